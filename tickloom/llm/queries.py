@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import language
+from tickloom.llm import language, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8,
     "op10_language": language.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
