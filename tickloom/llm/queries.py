@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import language, toxicity
+from tickloom.llm import language, simhash, toxicity
 
 QUERIES = {
+    "op6_simhash": simhash.op6,
     "op8_toxicity": toxicity.op8,
     "op10_language": language.op10,
 }
