@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import language, simhash, toxicity
+from tickloom.llm import language, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1,
     "op6_simhash": simhash.op6,
     "op8_toxicity": toxicity.op8,
     "op10_language": language.op10,
