@@ -137,14 +137,23 @@ def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Positions of 64-bit keys in a fixed key list, by a table addressed with their low bits."""
+    """Positions of distinct 64-bit keys in a key list that may grow, by a table addressed with their low bits."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.asarray(keys, np.uint64)
-        self.mask = np.uint64((1 << max(4, int(2 * len(self.keys)).bit_length())) - 1)
-        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
-        self.slot_key = np.zeros(int(self.mask) + 1, np.uint64)
-        todo, place = np.arange(len(self.keys), dtype=np.int32), self.keys & self.mask
+        self.keys = np.zeros(0, np.uint64)
+        self.mask = np.uint64(0)
+        self.add(keys)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Append keys that aren't in the list."""
+        old, self.keys = len(self.keys), np.concatenate([self.keys, np.asarray(keys, np.uint64)])
+        if not old or 2 * len(self.keys) > int(self.mask):
+            self.mask = np.uint64((1 << max(4, int(4 * len(self.keys)).bit_length())) - 1)
+            self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+            self.slot_key = np.zeros(int(self.mask) + 1, np.uint64)
+            old = 0
+        todo = np.arange(old, len(self.keys), dtype=np.int32)
+        place = self.keys[old:] & self.mask
         while len(todo):
             free = self.slots[place] < 0
             self.slots[place[free]] = todo[free]  # of several for one slot the last stays

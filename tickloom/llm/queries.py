@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import language, phrase_print, simhash, toxicity, url_filter
+from tickloom.llm import language, phrase_print, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op4_token_files": token_files.op4,
     "op3_phrase_print": phrase_print.op3,
     "op1_url_filter": url_filter.op1,
     "op6_simhash": simhash.op6,
