@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tickloom.llm import language, phrase_print, simhash, token_files, toxicity, url_filter
+from tickloom.llm import bpe, language, length_hist, phrase_print, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op7_length_hist": length_hist.op7,
+    "op9_bpe": bpe.op9,
     "op4_token_files": token_files.op4,
     "op3_phrase_print": phrase_print.op3,
     "op1_url_filter": url_filter.op1,
