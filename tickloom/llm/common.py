@@ -65,6 +65,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Lower case in all scripts."""
+    return pc.utf8_lower(column)
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts of about ``most`` bytes."""
     i, n = 0, len(offsets) - 1

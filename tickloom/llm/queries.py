@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, language, length_hist, lm_score, phrase_print, simhash, token_files, toxicity, url_filter
+from tickloom.llm import bpe, decontaminate, language, length_hist, lm_score, phrase_print, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5,
     "op2_lm_score": lm_score.op2,
     "op7_length_hist": length_hist.op7,
     "op9_bpe": bpe.op9,

@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression from sparse text features to a severity grade.
 
-Features of a text are the hashed words (A-Z lower-cased, cut at white space and ASCII
+Features of a text are the hashed words (lower-cased, cut at white space and ASCII
 punctuation) and the hashed beginnings of words, each present or absent. One weight vector is
 shared by the ordered thresholds: P(grade <= j) = sigmoid(threshold_j - weights . features).
 The result is the expected grade, sum over j of P(grade > j).
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, SPACE, Lookup, Words, mix, pieces, saved, signed, table, utf8
+from tickloom.llm.common import LOWER, SPACE, Lookup, Words, lowered, mix, pieces, saved, signed, table, utf8
 
 #: Most labelled texts of each class that the model is fitted on.
 MAX_PER_CLASS = 6_000
@@ -60,7 +60,7 @@ def feature_counts(batches):
     """Task over (text, toxic): (feature, toxic texts, clean texts), added up within some texts."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, data, offsets in pieces(*utf8(batch.column(0)), most=8 << 20):
+        for i, j, data, offsets in pieces(*utf8(lowered(batch.column(0))), most=8 << 20):
             h, owner = features(data, offsets)
             order = np.lexsort((owner, h))
             h, owner = h[order], owner[order]
@@ -76,7 +76,7 @@ def feature_counts(batches):
 def present(texts: pa.Array, known: Lookup) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature position) of the known features of each text, once each, in order."""
     rows, found = [], []
-    for i, _, data, offsets in pieces(*utf8(texts)):
+    for i, _, data, offsets in pieces(*utf8(lowered(texts))):
         h, owner = features(data, offsets)
         at = known.find(h)
         hit = at >= 0
