@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import indicators as ind
+from tickloom.functions.pmax import pmax
 from tickloom.functions.scan import ema, ema_grid
 from tickloom.operators import backtest as bt
-from tickloom.operators import build, joins, quality
+from tickloom.operators import build, exits, joins, quality
 from tickloom.operators import trades as tr
 from tickloom.sources import candles as src
 
@@ -438,6 +439,57 @@ def alive_bars(spark, sf_dir):
     return found.groupBy("symbol", "trade_id").agg(F.count("*").alias("bars"), F.max("close").alias("highest"))
 
 
+# Exits
+
+
+def first_hit(d: DataFrame, trades_df: DataFrame) -> DataFrame:
+    return trades_df.select("symbol", "trade_id").join(d, ["symbol", "trade_id"], "left")
+
+
+@with_trades(
+    "trailing_stop",
+    """, b AS (SELECT c.symbol, trade_id, b.time, b.low, max(b.close * (1 - CASE WHEN b.close / open_rate - 1 > 0.2 THEN 0.05 WHEN b.close / open_rate - 1 > 0.1 THEN 0.03 WHEN b.close / open_rate - 1 > 0.06 THEN 0.02 WHEN b.close / open_rate - 1 > 0.03 THEN 0.015 END))
+        OVER (PARTITION BY c.symbol, trade_id ORDER BY b.time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM closed c JOIN candles b ON b.symbol = c.symbol AND b.time BETWEEN open_time AND close_time)
+    SELECT symbol, trade_id, min(time) AS stop_time, round(arg_min(stop, time),4) AS stop_rate FROM b WHERE low <= stop GROUP BY 1, 2""",
+)
+def trailing_stop(spark, sf_dir):
+    """R8."""
+    return exits.trailing_stop(closed(spark, sf_dir), hourly(spark, sf_dir))
+
+
+@with_trades(
+    "take_profit",
+    """, b AS (SELECT c.symbol, trade_id, b.time, b.close / open_rate - 1 AS p, CASE WHEN b.time - open_time >= 292 * 60000 THEN 0.005 WHEN b.time - open_time >= 81 * 60000 THEN 0.038 ELSE 0.205 END AS wanted
+        FROM closed c JOIN candles b ON b.symbol = c.symbol AND b.time BETWEEN open_time AND close_time)
+    SELECT symbol, trade_id, min(time) AS take_time, round(arg_min(p, time),4) AS profit FROM b WHERE p >= wanted GROUP BY 1, 2""",
+)
+def take_profit(spark, sf_dir):
+    """R9."""
+    return exits.take_profit(closed(spark, sf_dir), hourly(spark, sf_dir))
+
+
+@query(
+    "slippage_guard",
+    f"""WITH {HOURLY}, o AS (SELECT event_id AS order_id, event_type AS symbol, CAST(epoch_ms(ts) AS BIGINT) - 7200000 AS time, value AS rate FROM events)
+    SELECT order_id, o.symbol, coalesce(rate <= c.close OR (rate / c.close - 1) * 100 < 0.983, false) AS accepted FROM o ASOF LEFT JOIN candles c ON o.symbol = c.symbol AND o.time >= c.time""",
+)
+def slippage_guard(spark, sf_dir):
+    """R10: every event as an order at its price, two hours earlier."""
+    orders = ticks(spark, sf_dir).select(F.col("seq").alias("order_id"), "symbol", (F.unix_millis(F.col("ts").cast("timestamp")) - 2 * HOUR).alias("time"), F.col("price").alias("rate"))
+    return exits.slippage_guard(orders, hourly(spark, sf_dir)).select("order_id", "symbol", "accepted")
+
+
+on_hours("exit_flag", ["exit_long"], exits.exit_flag, "!CASE WHEN volume > 0 THEN 0 END")
+
+_PMAX = f"""{_CHANGE}, {_wilder_sql('tr', 10, 'wt', 2)}, bars3 AS (SELECT *, (high + low + close + open) / 4 AS x FROM bars), {ema_sql('[9]', 'e', 'bars3', 'x')},
+    m AS (SELECT b.symbol, b.n, CASE WHEN b.n >= 9 THEN e.s END AS ma, 2.7 * wt.s AS wide FROM bars b JOIN e USING (symbol, n) LEFT JOIN wt USING (symbol, n)),
+    l AS (SELECT symbol, n, ma, 0::DOUBLE AS top, 0::DOUBLE AS bottom, true AS upper FROM m WHERE n = 10 UNION ALL
+        SELECT symbol, n, ma, t, b, CASE WHEN upper THEN ma <= t ELSE NOT ma >= b END FROM (
+            SELECT m.symbol, m.n, m.ma, l.upper, CASE WHEN m.ma + m.wide < l.top OR l.ma > l.top THEN m.ma + m.wide ELSE l.top END AS t, CASE WHEN m.ma - m.wide > l.bottom OR l.ma < l.bottom THEN m.ma - m.wide ELSE l.bottom END AS b
+            FROM l JOIN m ON m.symbol = l.symbol AND m.n = l.n + 1)),
+    result AS (SELECT bars.*, CASE WHEN bars.n <= 10 THEN 0 WHEN upper THEN top ELSE bottom END AS pm, l.ma FROM bars LEFT JOIN l USING (symbol, n))"""
+on_hours("pmax", ["pm", "pmx"], pmax, "pm ;; !CASE WHEN pm > 0 THEN CASE WHEN ma < pm THEN 'down' ELSE 'up' END END", _PMAX)
+
 # Indicators whose SQL is another form of the same code are run without one; tests hold them against plain loops.
 
 for _name, _columns, _fn in (
