@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import IdMemory, SpanHash, ragged, table
 from tickloom.llm.token_files import tokenizer_path
 
 # Fixed value: the pretoken pattern that this tokenizer's published description gives.
@@ -36,12 +36,54 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SAFE = regex.compile(r"[^\x00-ԯḀ-῿‐- ₠-₿぀-ヿ一-龥가-힣\U0001F300-\U0001F64F]|[͸-Ͽ--[Α-ω]]|[ἀ-῿]", flags=regex.V1)
 #: Characters of a pretoken that is encoded in parts, and of a leaf.
 LONG, LEAF = 1024, 256
-#: Distinct pretokens in each of the two generations that a worker remembers.
-MAX_PRETOKENS = 300_000
+#: Distinct pretokens that a worker remembers.
+MAX_PRETOKENS = 1 << 20
 #: Ids on each side of a join that the first window takes.
 WINDOW = 8
 
 
+SPACE_CLASS, LETTER_CLASS, NUMBER_CLASS, OTHER_CLASS, UNSAFE_CLASS = range(5)
+_classes: list[np.ndarray] = []
+
+
+def char_classes() -> np.ndarray:
+    """The pattern's class of every code point."""
+    if not _classes:
+        chars = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        table = np.full(0x110000, OTHER_CLASS, np.uint8)
+        for pattern, kind in ((r"\s", SPACE_CLASS), (r"\p{L}", LETTER_CLASS), (r"\p{N}", NUMBER_CLASS), (SAFE.pattern, UNSAFE_CLASS)):
+            table[[ord(c) for c in regex.findall(pattern, chars, flags=regex.V1)]] = kind
+        _classes.append(table)
+    return _classes[0]
+
+
+def pretokens(chars: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pretokens begin in code points of texts that begin at ``first`` (one more at the end), as PATTERN cuts them."""
+    n = len(chars)
+    begins = np.zeros(n + 1, bool)
+    begins[first] = True
+    new = begins[:n].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    # the last of the spaces before something else: it stands alone, or, if a plain space, goes with what follows
+    last = np.flatnonzero((kind[:-1] == SPACE_CLASS) & (kind[1:] != SPACE_CLASS) & ~begins[1:n]) if n else np.zeros(0, np.int64)
+    new[last] = True
+    new[last[chars[last] == 0x20] + 1] = False
+    # 's, 't, 'm, 'd, 're, 've and 'll where a pretoken begins
+    mark = np.flatnonzero((chars == 0x27) & new)
+    mark = mark[mark + 1 < n]
+    mark = mark[~begins[mark + 1]]
+    one = chars[mark + 1]
+    two = np.where((mark + 2 < n) & ~begins[np.minimum(mark + 2, n)], chars[np.minimum(mark + 2, n - 1)], 0)
+    single = np.isin(one, [ord(c) for c in "stmd"])
+    double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    size = np.where(single, 2, np.where(double, 3, 0))
+    mark, size = mark[size > 0], size[size > 0]
+    new[mark + 1] = False
+    after = (mark + size)[mark + size < n]
+    new[after] = True
+    return np.flatnonzero(new)
+
+
 def byte_of_char() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: printable bytes for themselves, the others by rising code points from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -65,14 +107,18 @@ class Codec:
         self.bytes_of |= {i: t.encode() for t, i in special.items()}
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.text_of = {str(i).encode(): b for i, b in self.bytes_of.items()}
         self.id_of_byte = {b[0]: i for i, b in sorted(self.bytes_of.items(), reverse=True) if len(b) == 1}
         vocab = model["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.find = regex.compile(PATTERN).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = IdMemory(MAX_PRETOKENS)
+        top = max(self.bytes_of) + 1
+        self.token_begin = np.concatenate([[0], np.cumsum([len(self.bytes_of.get(i, b"")) for i in range(top)])])
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
+        digits = [b"%d," % i for i in range(top)]
+        self.digit_begin = np.concatenate([[0], np.cumsum([len(d) for d in digits])])
+        self.digit_bytes = np.frombuffer(b"".join(digits), np.uint8)
 
     # ids of bytes, as the definition says: the lowest-ranked pair first, of equal ones the leftmost
 
@@ -114,46 +160,60 @@ class Codec:
             leaves = [self.join(leaves[k], leaves[k + 1]) for k in range(0, len(leaves), 2)]
         return leaves[0]
 
-    def learn(self, pretokens: set[str]) -> None:
-        """Remember the ids of pretokens, as text."""
-        self.young |= {p: self.old[p] for p in pretokens if p in self.old}
-        new = [p for p in pretokens if p not in self.young]
-        short = [p for p in new if len(p) <= LONG]
-        found = [e.ids for e in self.library.encode_batch_fast(short, add_special_tokens=False)]
-        self.young |= {p: b",".join(b"%d" % i for i in ids) for p, ids in zip(short, found, strict=True)}
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text: decimal numbers with commas between them."""
-        if len(self.young) > MAX_PRETOKENS:
-            self.old, self.young = self.young, {}
-        cut = []
-        for text in texts:
-            if not text.isascii() and SAFE.search(text) is not None:
-                cut.append(None)
-            else:
-                parts = self.cut.split(text) if self.cut else [text]
-                cut.append([x if k % 2 else self.find(x) for k, x in enumerate(parts)])
-        missing = {p for parts in cut if parts for part in parts if isinstance(part, list) for p in part if p not in self.young}
-        if missing:
-            self.learn(missing)
-        out, get = [], self.young.__getitem__
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(b",".join(b"%d" % i for i in self.library.encode(text, add_special_tokens=False).ids))
+    def encode_one(self, text: str) -> list[int]:
+        """Any text: cut at special tokens, long pretokens in parts, all others by the library."""
+        if SAFE.search(text) is not None:
+            return self.library.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            if k % 2:
+                out.append(self.special[part])
                 continue
-            found: list[bytes] = []
-            for part in parts:
-                if isinstance(part, str):
-                    found.append(b"%d" % self.special[part])
-                elif any(len(p) > LONG for p in part):
-                    found += [get(p) if len(p) <= LONG else b",".join(b"%d" % i for i in self.encode_long(p)) for p in part]
-                else:
-                    found += map(get, part)
-            out.append(b",".join(found))
+            cut = self.find(part)
+            short = iter(e.ids for e in self.library.encode_batch_fast([p for p in cut if len(p) <= LONG], add_special_tokens=False))
+            for p in cut:
+                out += next(short) if len(p) <= LONG else self.encode_long(p)
         return out
 
-    def decode_text(self, ids: bytes) -> str:
-        return b"".join(map(self.text_of.__getitem__, ids.split(b","))).decode("utf-8", "replace") if ids else ""
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        size = np.array([len(t) for t in texts], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        kind = char_classes()[chars]
+        start = pretokens(chars, kind, first)
+        at = np.searchsorted(start, first)
+        alone = np.zeros(len(texts), bool)
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        alone[owner[np.diff(np.append(start, len(chars))) > LONG]] = True
+        alone[np.searchsorted(first, np.flatnonzero(kind == UNSAFE_CLASS), "right") - 1] = True
+        alone |= np.array([any(s in t for s in self.special) for t in texts], bool)
+        place = np.concatenate([[0], np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000).astype(np.int64))])
+        data = "".join(texts).encode()
+        end = np.append(start[1:], len(chars))
+        usual = ~alone[owner]
+        begin, stop = place[start[usual]], place[end[usual]]
+        h = SpanHash(np.frombuffer(data, np.uint8))(begin, stop)
+        encode = lambda k: [e.ids for e in self.library.encode_batch_fast([data[a:b].decode() for a, b in zip(begin[k].tolist(), stop[k].tolist(), strict=True)], add_special_tokens=False)]
+        ids, by_pretoken = self.memory.ids_of(h, encode)
+        counts = np.concatenate([[0], np.cumsum(usual)])[at]
+        ends = by_pretoken[counts]
+        if not alone.any():
+            return ids, ends
+        parts = [np.array(self.encode_one(t), np.int32) if own else ids[a:b] for t, own, a, b in zip(texts, alone, ends[:-1], ends[1:], strict=True)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def texts_of(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """The decoded texts of runs of ids."""
+        take, place = ragged(self.token_begin[ids], self.token_begin[ids + 1] - self.token_begin[ids])
+        data, bounds = self.token_bytes[take].tobytes(), place[first].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def digits_of(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Runs of ids as decimal numbers with commas between them."""
+        take, place = ragged(self.digit_begin[ids], self.digit_begin[ids + 1] - self.digit_begin[ids])
+        data, bounds = self.digit_bytes[take].tobytes(), place[first].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _codecs: dict[str, Codec] = {}
@@ -187,8 +247,13 @@ def encode_udf(path: str):
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        found = [np.array(ids.split(b",") if ids else [], dtype="S8").astype(np.int32) for part in runs(_texts(texts)) for ids in codec(path).encode_texts(part)]
-        return pa.array(found, pa.list_(pa.int32()))
+        found, ends, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        for part in runs(_texts(texts)):
+            ids, first = codec(path).encode_texts(part)
+            found.append(ids)
+            ends.append(total + first[1:])
+            total += len(ids)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
 
     return run
 
@@ -198,7 +263,10 @@ def decode_udf(path: str):
 
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else b"".join(codec(path).bytes_of[i] for i in x).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+        lists = ids.fill_null([]) if ids.null_count else ids
+        first = lists.offsets.to_numpy()
+        texts = codec(path).texts_of(lists.values.to_numpy()[first[0] : first[-1]], first - first[0])
+        return pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return run
 
@@ -208,7 +276,7 @@ def count_udf(path: str):
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([ids.count(b",") + 1 if ids else 0 for part in runs(_texts(texts)) for ids in codec(path).encode_texts(part)], pa.int64())
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(codec(path).encode_texts(part)[1]) for part in runs(_texts(texts)))]))
 
     return run
 
@@ -220,10 +288,10 @@ def round_trip_udf(path: str):
     def run(texts: pa.Array) -> pa.Array:
         own, n, a, b = codec(path), [], [], []
         for part in runs(_texts(texts)):
-            for ids in own.encode_texts(part):
-                n.append(ids.count(b",") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(own.decode_text(ids).encode()).hexdigest())
+            ids, first = own.encode_texts(part)
+            n += np.diff(first).tolist()
+            a += [hashlib.sha256(x).hexdigest() for x in own.digits_of(ids, first)]
+            b += [hashlib.sha256(x.encode()).hexdigest() for x in own.texts_of(ids, first)]
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -41,10 +41,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again: later steps start from files, not from their lineage."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -102,6 +102,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class SpanHash:
+    """64-bit hashes of spans of bytes, from prefix sums of a polynomial."""
+
+    def __init__(self, data: np.ndarray):
+        self.up, self.down = powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+
 class Words:
     """Words of a run of texts: lower-cased A-Z, cut at ``space`` bytes and at the ends of texts."""
 
@@ -124,16 +136,54 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes from start to end."""
-        up, down = powers(len(self.low) + 1)
         if self._sums is None:
-            self._sums = np.zeros(len(self.low) + 1, np.uint64)
-            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * up[: len(self.low)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * down[start])
+            self._sums = SpanHash(self.low)
+        return self._sums(start, end)
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
 
 
+def ragged(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, firsts): the positions of runs that start at begin, one run after the other, and where each run's begin."""
+    first = np.concatenate([[0], np.cumsum(size)])
+    return np.arange(first[-1]) + np.repeat(begin - first[:-1], size), first
+
+
+class IdMemory:
+    """The ids of the strings that a worker has encoded, by the strings' hashes; it starts anew when it holds ``most``."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.begin, self.ids, self.used = Lookup(np.zeros(0, np.uint64)), np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        flat = np.array([x for ids in found for x in ids], np.int32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(ids) for ids in found])])
+        self.used += len(flat)
+        self.known.add(keys)
+
+    def ids_of(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the strings with hashes h, and where each string's begin; encode gives the id lists of strings by their positions in h."""
+        at = self.known.find(h)
+        if (at < 0).any():
+            if len(self.known.keys) + np.count_nonzero(at < 0) > self.most:
+                self.forget()
+                at[:] = -1
+            missing = np.flatnonzero(at < 0)
+            keys, first = np.unique(h[missing], return_index=True)
+            self._learn(keys, encode(missing[first]))
+            at = self.known.find(h)
+        take, first = ragged(self.begin[at], self.begin[at + 1] - self.begin[at])
+        return self.ids[take], first
+
+
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of runs of values; run i goes from first[i] to first[i + 1] and may be empty."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.result_type(values.dtype, np.int64) if values.dtype.kind in "iub" else np.float64)
