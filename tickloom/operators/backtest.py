@@ -128,6 +128,12 @@ def sharpe(ret: str, per_year: int, rf: float = 0.0) -> Column:
     return F.when(good, (F.avg(ret) - rf) / sd * F.sqrt(F.lit(float(per_year)))).otherwise(F.lit(0.0))
 
 
+def cast_prices(candles: DataFrame, precision: str) -> DataFrame:
+    """Prices as stored in 32 (f32) or 64 bits (f64); sums stay in 64 bits."""
+    kind = {"f32": "float", "f64": "double"}[precision]
+    return candles.withColumns({c: F.col(c).cast(kind).cast("double") for c in ("open", "high", "low", "close")})
+
+
 def runs(candles: DataFrame, strategy: Strategy, fee: float, capital: float) -> DataFrame:
     """Every bar of every run: position, factor, value, peak and return."""
     keys = [*SERIES, *strategy.params]

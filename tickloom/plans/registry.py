@@ -490,12 +490,62 @@ _PMAX = f"""{_CHANGE}, {_wilder_sql('tr', 10, 'wt', 2)}, bars3 AS (SELECT *, (hi
     result AS (SELECT bars.*, CASE WHEN bars.n <= 10 THEN 0 WHEN upper THEN top ELSE bottom END AS pm, l.ma FROM bars LEFT JOIN l USING (symbol, n))"""
 on_hours("pmax", ["pm", "pmx"], pmax, "pm ;; !CASE WHEN pm > 0 THEN CASE WHEN ma < pm THEN 'down' ELSE 'up' END END", _PMAX)
 
-# Indicators whose SQL is another form of the same code are run without one; tests hold them against plain loops.
+# Indicators over columns made on the way
+
+_BB = "result AS (SELECT *, {m} AS m, {s} AS sd FROM bars)".format(m=full("avg", _TP, 20), s=full("stddev_samp", _TP, 20))
+on_hours("band_shapes", ["bb_width", "bb_delta"], ind.band_shapes, "4 * sd / nullif(m, 0) ;; sd / nullif(m - 2 * sd, 0)", _BB)
+_W26 = "OVER (PARTITION BY symbol ORDER BY time ROWS 25 PRECEDING)"
+_CCI = f"tp AS (SELECT *, {_TP} AS t FROM bars), result AS (SELECT *, CASE WHEN n >= 26 THEN avg(t) {_W26} END AS m, list(t) {_W26} AS l FROM tp)"
+on_hours("cci", ["cci_26"], lambda d: ind.cci(d, 26), "(t - m) / nullif(0.015 * list_avg(list_transform(l, lambda x: abs(x - m))), 0)", _CCI)
+_MFI = f"""tp AS (SELECT *, {_TP} AS t, lag({_TP}) OVER (PARTITION BY symbol ORDER BY time) AS p FROM bars), ud AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN t > p THEN t * volume ELSE 0 END AS up, CASE WHEN p IS NULL THEN NULL WHEN t < p THEN t * volume ELSE 0 END AS dn FROM tp),
+    result AS (SELECT *, {full("sum", "up", 14)} AS u, {full("sum", "dn", 14)} AS d FROM ud)"""
+on_hours("money_flow_index", ["mfi"], ind.money_flow_index, "CASE WHEN u + d = 0 THEN 50 ELSE 100 * u / (u + d) END", _MFI)
+_SQUEEZE = f"""va AS (SELECT *, close - (({full("max", "high", 20)} + {full("min", "low", 20)}) / 2 + {full("avg", "close", 20)}) / 2 AS v FROM bars),
+    result AS (SELECT *, CASE WHEN count(v) {_W20} = 20 THEN regr_slope(v, n) {_W20} * n + regr_intercept(v, n) {_W20} END AS line FROM va)"""
+on_hours("squeeze_momentum", ["linreg_20"], ind.squeeze_momentum, "line", _SQUEEZE)
+_GUARD = f"result AS (SELECT *, ({full('max', 'high', 5)} - {full('min', 'low', 5)}) / ({full('min', 'low', 5)}) AS hl, {full('min', 'low', 5, -1)} AS l5 FROM bars)"
+on_hours("dump_guard", ["safe_dump"], ind.dump_guard, "!coalesce(hl < 0.66 OR close < l5 OR close > open, close > open, false)", _GUARD)
+_DIV = f"""mo AS (SELECT *, close - lag(close, 10) OVER (PARTITION BY symbol ORDER BY time) AS m FROM bars), ba AS (SELECT *, {full("avg", "m", 20)} AS mid, {full("stddev_pop", "m", 20)} AS sd FROM mo),
+    cr AS (SELECT *, mid - 2 * sd AS low_b, mid + 2 * sd AS up_b, {full("max", "high", 30)} AS h30, {full("min", "low", 30)} AS l30 FROM ba), result AS (SELECT *, lag(m) OVER (PARTITION BY symbol ORDER BY time) AS pm, lag(low_b) OVER (PARTITION BY symbol ORDER BY time) AS pl, lag(up_b) OVER (PARTITION BY symbol ORDER BY time) AS pu FROM cr)"""
+on_hours(
+    "momentum_divergence", ["momdiv_buy", "momdiv_sell", "momdiv_coh", "momdiv_col"], ind.momentum_divergence,
+    "!coalesce(m < low_b AND pm >= pl, false) ;; !coalesce(m > up_b AND pm <= pu, false) ;; !coalesce(high >= h30, false) ;; !coalesce(low <= l30, false)", _DIV,
+)
+
+
+def _averaged(periods: list[int], extra: str = "") -> str:
+    """Averages of the close as columns e<period> of ``result``."""
+    columns = ", ".join(f"max(CASE WHEN e.period = {p} AND e.n >= {p} THEN e.s END) AS e{p}" for p in periods)
+    return f"{ema_sql(str(periods))}, ep AS (SELECT symbol, n, {columns} FROM e GROUP BY 1, 2), result AS (SELECT bars.*, {', '.join(f'e{p}' for p in periods)} FROM bars JOIN ep USING (symbol, n))"
+
+
+on_hours("ewo", ["ewo"], ind.ewo, "(e50 - e200) / nullif(low, 0) * 100", _averaged([50, 200]))
+on_hours("smoothed_roc", ["srocr"], ind.smoothed_roc, "(e13 / lag(e13, 21) OVER w - 1) * 100", _averaged([13]))
+on_hours("rmi", ["rmi_17"], lambda d: ind.rmi(d, 17), "r", f"bars2 AS (SELECT *, greatest(close - lag(close, 4) OVER w, 0) AS up, greatest(lag(close, 4) OVER w - close, 0) AS dn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)), {_wilder_sql('up', 17, 'wu', 5)}, {_wilder_sql('dn', 17, 'wd', 5)}, result AS (SELECT bars.*, CASE WHEN wu.s + wd.s = 0 THEN 50 ELSE 100 * wu.s / (wu.s + wd.s) END AS r FROM bars LEFT JOIN wu USING (symbol, n) LEFT JOIN wd USING (symbol, n))")
+
+
+@with_trades(
+    "loss_score",
+    f"{_CURVE}, ls AS (SELECT symbol, max((high - cumulated) / (1000 + high)) AS dd, sum(profit_abs) / 10 AS pc FROM u GROUP BY 1), lr AS (SELECT symbol, avg(profit_ratio) / stddev_samp(profit_ratio) AS sharpe FROM closed GROUP BY 1) SELECT symbol, round(CASE WHEN 1 / (1 - dd) - 1 = 0 THEN 50 WHEN pc < 200 THEN -pc / (1 / (1 - dd) - 1) * sharpe ELSE 50 END,4) AS loss FROM ls JOIN lr USING (symbol)",
+)
+def loss_score(spark, sf_dir):
+    """A6, by symbol, with the ratio of mean and deviation of the trades' profits as the Sharpe ratio."""
+    own = closed(spark, sf_dir)
+    worst = tr.worst_drawdown(tr.underwater(own, CAPITAL, ["symbol"]), ["symbol"])
+    made = own.groupBy("symbol").agg((F.sum("profit_abs") / 10).alias("pc"), (F.avg("profit_ratio") / F.stddev_samp("profit_ratio")).alias("sharpe"))
+    return made.join(worst, "symbol").select("symbol", tr.loss_score(F.col("pc"), F.col("max_share"), F.col("sharpe")).alias("loss"))
+
+
+@query("sweep_single_precision")
+def sweep_single_precision(spark, sf_dir):
+    """P7: prices kept in 32 bits."""
+    return in_logs(bt.rank(bt.backtest(bt.cast_prices(hourly(spark, sf_dir), "f32"), GRID, "1h", FEE, CAPITAL), GRID.params, 1))
+
+
+# Indicators without SQL here; tests hold them against plain loops or by their parts.
 
 for _name, _columns, _fn in (
-    ("moderi", ["moderi_96"], lambda d: ind.moderi(d, 96)), ("ewo", ["ewo"], ind.ewo), ("smoothed_roc", ["srocr"], ind.smoothed_roc), ("band_shapes", ["bb_width", "bb_delta"], ind.band_shapes), ("cci", ["cci_26"], lambda d: ind.cci(d, 26)),
-    ("rmi", ["rmi_17"], lambda d: ind.rmi(d, 17)), ("crsi", ["crsi"], ind.crsi), ("stochastic_rsi", ["srsi_k", "srsi_d"], ind.stochastic_rsi), ("money_flow_index", ["mfi"], ind.money_flow_index), ("adx", ["adx"], ind.adx),
-    ("squeeze_momentum", ["linreg_20"], ind.squeeze_momentum), ("momentum_divergence", ["momdiv_buy", "momdiv_sell", "momdiv_coh", "momdiv_col"], ind.momentum_divergence), ("t3", ["t3"], ind.t3), ("dump_guard", ["safe_dump"], ind.dump_guard),
+    ("moderi", ["moderi_96"], lambda d: ind.moderi(d, 96)), ("crsi", ["crsi"], ind.crsi), ("stochastic_rsi", ["srsi_k", "srsi_d"], ind.stochastic_rsi), ("adx", ["adx"], ind.adx), ("t3", ["t3"], ind.t3),
     ("moving_averages", ["dema", "tema", "wma"], lambda d: ind.moving_average(ind.moving_average(ind.moving_average(d, "dema", 9, "dema"), "tema", 9, "tema"), "wma", 9, "wma")),
 ):
     QUERIES[_name] = lambda spark, sf_dir, columns=_columns, fn=_fn: rounded(fn(hourly(spark, sf_dir)).select("symbol", "time", *columns))
