@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, Lookup, Words, new_path, pieces, table, utf8
+from tickloom.llm.common import LOWER, IdMemory, Words, new_path, pieces, saved, table, utf8
 
 END_ID = 1
 #: Distinct words that a worker remembers, at most, and ids in a block, about.
@@ -40,6 +40,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+PUNCTUATION, ALPHANUMERIC = np.zeros(256, bool), np.zeros(256, bool)
+PUNCTUATION[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+ALPHANUMERIC[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+def without_tails(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of words, of which up to three punctuation marks after an ASCII letter or digit are words of their own: the tokenizer cuts there too."""
+    size, tail = words.end - words.start, np.zeros(len(words), np.int64)
+    for k in range(1, 4):
+        longer = (tail == k - 1) & (size > k)
+        longer[longer] = PUNCTUATION[words.low[words.end[longer] - k]]
+        tail[longer] = k
+    ends_there = tail > 0
+    ends_there[ends_there] = ALPHANUMERIC[words.low[words.end[ends_there] - tail[ends_there] - 1]]
+    place = np.arange(len(words) + 1) + np.concatenate([[0], np.cumsum(ends_there)])
+    start, end = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64)
+    cut = words.end - np.where(ends_there, tail, 0)
+    start[place[:-1]], end[place[:-1]] = words.start, cut
+    start[place[:-1][ends_there] + 1], end[place[:-1][ends_there] + 1] = cut[ends_there], words.end[ends_there]
+    return start, end, place[words.first]
+
+
 class WordEncoder:
     """Encodes texts word by word, remembering the ids of each distinct word."""
 
@@ -50,26 +72,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.begin, self.ids, self.used = Lookup(np.zeros(0, np.uint64)), np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.memory = IdMemory(MAX_WORDS)
 
     def encode_each(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        if len(self.known.keys) + len(keys) > MAX_WORDS:
-            self.forget()
-        found = self.encode_each(words)
-        flat = np.array([x for ids in found for x in ids], np.int32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(ids) for ids in found])])
-        self.used += len(flat)
-        self.known.add(keys)
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (one more at the end)."""
         raw = data.tobytes()
@@ -77,25 +84,11 @@ class WordEncoder:
             found = self.encode_each([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
             return np.array([x for ids in found for x in ids], np.int32), np.concatenate([[0], np.cumsum([len(ids) for ids in found])])
         words = Words(data, offsets, LOWER)
-        h = words.hashes()
-        at = self.known.find(h)
-        if (at < 0).any():
-            missing = np.flatnonzero(at < 0)
-            keys, first = np.unique(h[missing], return_index=True)
-            first = missing[first]
-            before = len(self.known.keys)
-            low = words.low.tobytes()
-            self.learn(keys, [low[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
-            if len(self.known.keys) < before + len(keys):  # it forgot the others
-                if (again := np.setdiff1d(h, keys)).size:
-                    where = {int(x): k for k, x in enumerate(h)}
-                    first = [where[int(x)] for x in again]
-                    self.learn(again, [low[words.start[k] : words.end[k]] for k in first])
-            at = self.known.find(h)
-        size = self.begin[at + 1] - self.begin[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(total[-1]) + np.repeat(self.begin[at] - total[:-1], size)
-        return self.ids[take], total[words.first]
+        start, end, begins = without_tails(words)
+        h = words.span_hash(start, end)
+        low = words.low.tobytes()
+        ids, first = self.memory.ids_of(h, lambda at: self.encode_each([low[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+        return ids, first[begins]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -145,37 +138,55 @@ def unpack(control: bytes, data: bytes) -> np.ndarray:
 # The jobs
 
 
-def count_ids(path: str, end: int):
+def token_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def encode_documents(path: str, end: int, bounds: np.ndarray):
+    """Task over (doc_id, text): the shard of each document and its ids, the end id included."""
+
+    def run(batches):
+        own = encoder(path)
+        kind = token_type(own.size)
+        for batch in batches:
+            ids = batch.column(0)
+            shard = np.minimum(np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy()), max(0, len(bounds) - 1)).astype(np.int32)
+            for i, j, data, offsets in pieces(*utf8(batch.column(1))):
+                tokens, first = with_end(*own.encode(data, offsets), end)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(first * int(kind[2])), pa.py_buffer(tokens.astype(kind))])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(shard[i:j]), raw.cast(pa.binary())], names=["doc_id", "shard", "ids"])
+
+    return run
+
+
+def count_ids(kind: str):
     def run(batches):
-        own, counts = encoder(path), np.zeros(encoder(path).size, np.int64)
+        counts = np.zeros(1 << 8, np.int64)
         for batch in batches:
-            counts[end] += batch.num_rows
-            for _, _, data, offsets in pieces(*utf8(batch.column(0))):
-                counts += np.bincount(own.encode(data, offsets)[0], minlength=len(counts))
+            for raw in batch.column(0):
+                own = np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=len(counts))
+                own[: len(counts)] += counts
+                counts = own
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], names=["id", "n"])
 
     return run
 
 
-def ranked_ids(docs: DataFrame, path: str, end: int = END_ID) -> np.ndarray:
+def ranked_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """All ids of the documents by falling count, then rising id; their number is bounded by the vocabulary."""
-    counts = docs.select("text").mapInArrow(count_ids(path, end), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toArrow()
+    counts = tokens.select("ids").mapInArrow(count_ids(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toArrow()
     return counts["id"].to_numpy()
 
 
-def pack_documents(path: str, end: int, by_rank, bounds: np.ndarray):
+def pack_documents(kind: str, by_rank):
     def run(batches):
-        own = encoder(path)
-        rank = np.zeros(own.size, np.uint32)
+        rank = np.zeros(int(by_rank.value.max(initial=0)) + 1, np.uint32)
         rank[by_rank.value] = np.arange(len(by_rank.value), dtype=np.uint32)
         for batch in batches:
-            ids = batch.column(0)
-            shard = np.minimum(np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy()), max(0, len(bounds) - 1)).astype(np.int32)
-            for i, j, data, offsets in pieces(*utf8(batch.column(1))):
-                tokens, first = with_end(*own.encode(data, offsets), end)
-                coded = [pack(rank[tokens[a:b]]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(shard[i:j]), pa.array(np.diff(first)), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=["doc_id", "shard", "size", "control", "data"])
+            coded = [pack(rank[np.frombuffer(raw.as_buffer(), kind)]) for raw in batch.column(2)]
+            size = [raw.as_buffer().size // int(kind[2]) for raw in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=["doc_id", "shard", "size", "control", "data"])
 
     return run
 
@@ -213,9 +224,11 @@ def write_files(docs: DataFrame, out: str, path: str, end: int = END_ID) -> np.n
     shards = min(10_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
     found = docs.agg(F.percentile_approx("doc_id", [(k + 1) / shards for k in range(shards)], 100_000).alias("at"), F.max("doc_id").alias("last")).first()
     bounds = np.unique(np.array([*(found["at"] or []), *([found["last"]] if found["last"] is not None else [])], np.int64))
-    ranks = ranked_ids(docs, path, end)
+    kind = token_type(encoder(path).size)
+    tokens = saved(docs.mapInArrow(encode_documents(path, end, bounds), "doc_id long, shard int, ids binary"), "tokens", compression="zstd")
+    ranks = ranked_ids(tokens, kind)
     by_rank = spark.sparkContext.broadcast(ranks)
-    coded = docs.mapInArrow(pack_documents(path, end, by_rank, bounds), "doc_id long, shard int, size long, control binary, data binary")
+    coded = tokens.mapInArrow(pack_documents(kind, by_rank), "doc_id long, shard int, size long, control binary, data binary")
     ordered = coded.repartition(max(1, len(bounds)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "control", "data")
     blocks = ordered.mapInArrow(join_blocks, "shard int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary")
     blocks.write.partitionBy("shard").parquet(out)
