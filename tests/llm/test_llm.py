@@ -327,6 +327,33 @@ def test_op5(spark, table_dir):
     assert decontaminate.find(docs, decontaminate.fit(docs, own.limit(0))).count() == 0
 
 
+def test_candidates_of_many_items(spark):
+    """All copies whose best window reaches the least cosine, by brute force over all features, are found however many items there are."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{k}" for k in range(6000)])
+    share = 1 / np.arange(5, 6005)
+    items = [" ".join(rng.choice(vocabulary, rng.integers(15, 60), p=share / share.sum())) for _ in range(1050)]
+    rows = [(k, " ".join([*rng.choice(vocabulary, rng.integers(0, 90), p=share / share.sum()), x, *rng.choice(vocabulary, 60, p=share / share.sum())])) for k, x in enumerate(items)]
+    docs, own = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    blocks = decontaminate.fit(docs, own)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, blocks).collect()}
+    want = set()
+    for index in (x for b in blocks for x in b.indexes):
+        known = Lookup(index.keys)
+
+        def vector(words, known=known, index=index):
+            at = known.find(np.array(words, np.uint64))
+            return np.bincount(at[at >= 0], index.weight[at[at >= 0]], len(index.keys))
+
+        for k, words in zip(index.items.ids, index.items.words):
+            item = vector(words)
+            h = decontaminate.words_of(*utf8(pa.array([rows[k][1]]))).hashes().tolist()
+            windows = [vector(h[a : a + 2 * decontaminate.HALF]) for a in range(0, len(h), decontaminate.HALF)]
+            if max(w @ item / max(1e-9, np.linalg.norm(w) * np.linalg.norm(item)) for w in windows) >= decontaminate.COSINE + 0.01:
+                want.add((k, k))
+    assert len(want) > 1000 and not want - got
+
+
 def test_lcs():
     def plain(a, b):
         t = [0] * (len(b) + 1)
