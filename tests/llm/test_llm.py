@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tickloom.llm import bpe, decontaminate, language, length_hist, lm_score, phrase_print, simhash, token_files, toxicity, url_filter
+from tickloom.llm import bpe, decontaminate, language, length_hist, lm_score, near_copies, phrase_print, simhash, token_files, toxicity, url_filter
 from tickloom.llm.common import Lookup, Words, utf8
 
 TINY = "/root/testdata/sf0.001"
@@ -172,6 +172,41 @@ def test_vantage_points_find_all_pairs():
     assert all(find(int(values[i])) == find(int(values[j])) for i, j in pairs.tolist())
 
 
+def test_near_copies(spark):
+    """Of pairs with a five-word Jaccard similarity of 0.8 or more one stays, by brute force; null ids and repeated ids group by the texts alone."""
+    rng = np.random.default_rng(9)
+    fill = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(60):
+        base = rng.choice(fill, 200).tolist()
+        for c in range(3):
+            own = list(base)
+            for at in rng.choice(200, c * (k % 6), replace=False):
+                own[at] = "new" + str(rng.integers(1 << 30))
+            rows.append((3 * k + c, " ".join(own)))
+    cluster = rng.choice(fill, 200).tolist()
+    rows += [(1000 + k, " ".join([*cluster[:k], "other" + str(k), *cluster[k + 1 :]])) for k in range(150)]
+    rows += [(5, "an id again, on quite another text"), (5, "and again on one more unlike any"), (None, " ".join(cluster)), (None, None), (None, " "), (9000, "")]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if group[i] != group[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+    want = Counter(min((r[0] for r, g in zip(rows, group) if g == x and r[0] is not None), default=None) for x in set(group))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(r["doc_id"] for r in near_copies.keep_one_of_each(docs).collect()) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, i) for i in range(101, 130)] + [(129, 5), (7, 7)]
     got = {r["v"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -223,17 +223,3 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = saved(docs.select("doc_id", fingerprint_udf()("text").alias("fp")), "fingerprints")
     found = saved(groups(prints), "components")
     return with_component(prints, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Of each component the row with the smallest doc_id stays (nulls last; of several with that id, the one with the smallest text hash)."""
-    prints = saved(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_udf(shingle)("text").alias("fp")), "fingerprints")
-    found = saved(groups(prints.select("doc_id", "fp"), distance), "components")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "fp"))
-    least = prints.groupBy("fp").agg(first.alias("least")).join(found.select("fp", "component_id"), "fp")
-    # a component is known by the smallest id in it; that of ids that are all null is one fingerprint's or has none
-    kept = least.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
-    names = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("h"))
-    one = marked.join(kept.withColumn("k", F.lit(True)), F.col("row.doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_hash")), "left_semi")
-    return one.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "h"]).select("row.*")
