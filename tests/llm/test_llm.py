@@ -88,11 +88,37 @@ def test_op10(spark, table_dir):
     model = language.fit(d.where(~language.held_out()))
     for text in ("the nd thing", "Éaux la des"):
         found, _ = language.grams(*utf8(pa.array([text])))
-        logs = model.prior + np.array([sum(row[b] for b in found.ravel()) for row in model.matrix.astype(float)])
+        logs = (model.prior + np.array([sum(row[b] for b in found.ravel()) for row in model.matrix.astype(float)])) / (1 + found.size / model.grain)
         r = spark.createDataFrame([(text,)], "text string").select(language.predictor(spark, model)("text").alias("p")).first()["p"]
         assert r["lang_pred"] == model.langs[int(np.argmax(logs))] and abs(r["score"] - 1 / np.exp(logs - logs.max()).sum()) < 1e-4
 
 
+def test_language_counts(spark):
+    """The matrix by brute force over the rows that are counted."""
+    rows = [("the cat and the dog " * (k % 5 + 1) + str(k), "en") for k in range(60)] + [("le chat et la souris " * (k % 3 + 1) + str(k), "fr") for k in range(50)] + [(None, "fr"), ("x", None), ("", "en")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    kept = {r["text"] for r in spark.createDataFrame(rows, "text string, lang string").where(f"pmod(xxhash64(text), {language.FOLDS}) != 0").collect()}
+    assert len(kept) < len(rows) - 1
+    for k, lang in enumerate(model.langs):
+        counts = Counter()
+        for text, own in rows:
+            if own == lang and text is not None and text in kept:
+                counts.update(language.grams(*utf8(pa.array([text])))[0].ravel().tolist())
+        total = sum(counts.values()) + language.SMOOTHING * (1 << language.BUCKET_BITS)
+        want = np.log((np.array([counts[b] for b in range(1 << language.BUCKET_BITS)]) + language.SMOOTHING) / total)
+        assert np.allclose(model.matrix[k], want, atol=1e-4)
+
+
+def test_many_languages(spark):
+    """All of 300 languages are learned and told apart."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 4))) for _ in range(300)]
+    rows = [(f"{w} " * 5 + str(j), f"l{k:03d}") for k, w in enumerate(words) for j in range(4)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = docs.select("lang", language.identify(docs, language.fit(docs)).alias("p")).collect()
+    assert len({r["p"]["lang_pred"] for r in got}) == 300 and np.mean([r["lang"] == r["p"]["lang_pred"] for r in got]) > 0.98
+
+
 def test_op8(spark, table_dir):
     assert len(toxicity.op8(spark, table_dir).collect()) == len(rows_of(spark, table_dir))
     # planted words in made-up labels
@@ -172,6 +198,26 @@ def test_vantage_points_find_all_pairs():
     assert all(find(int(values[i])) == find(int(values[j])) for i, j in pairs.tolist())
 
 
+def plain_near_groups(rows):
+    """The group of each of rows (id, text): the least position that chains of pairs of similarity 0.8 or more reach."""
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if group[i] != group[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+    return group
+
+
 def test_near_copies(spark):
     """Of pairs with a five-word Jaccard similarity of 0.8 or more one stays, by brute force; null ids and repeated ids group by the texts alone."""
     rng = np.random.default_rng(9)
@@ -188,25 +234,46 @@ def test_near_copies(spark):
     rows += [(1000 + k, " ".join([*cluster[:k], "other" + str(k), *cluster[k + 1 :]])) for k in range(150)]
     rows += [(5, "an id again, on quite another text"), (5, "and again on one more unlike any"), (None, " ".join(cluster)), (None, None), (None, " "), (9000, "")]
 
-    def shingles(text):
-        w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [shingles(t) for _, t in rows]
-    group = list(range(len(rows)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            for j in range(i):
-                if group[i] != group[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
+    group = plain_near_groups(rows)
     want = Counter(min((r[0] for r, g in zip(rows, group) if g == x and r[0] is not None), default=None) for x in set(group))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert Counter(r["doc_id"] for r in near_copies.keep_one_of_each(docs).collect()) == want
 
 
+def test_near_copies_of_a_hot_group(spark):
+    """Many texts that share most fingerprints, in chains that only whole comparisons of the group link."""
+    rng = np.random.default_rng(2)
+    shared = [f"s{k}" for k in range(300)]
+    rows = []
+    for k in range(130):  # couples: each of them is alike, two couples are not
+        own = [f"o{k}x{j}" for j in range(90)]
+        rows += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + own[:-8] + [f"z{k}y{j}" for j in range(8)]))]
+    order = rng.permutation(len(rows))
+    docs = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each(docs).collect()) == [2 * k for k in range(130)]
+
+
+def test_large_leaves_are_dealt_again(spark):
+    """Links of few large leaves are those of a plain search, dense clusters in blocks of pairs among them."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    near = base[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    values = np.unique(np.concatenate([base, near, np.arange(700, dtype=np.uint64)]))
+    prints = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    got = {r["v"]: r["root"] for r in simhash.components(simhash.link(prints, 2, most=200)).collect()}
+    want = {r["v"]: r["root"] for r in simhash.components(simhash.link(prints, 2)).collect()}
+    label = values.view(np.int64).copy()
+    close = np.argwhere(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 2, 1))
+    while True:
+        old = label.copy()
+        np.minimum.at(label, close[:, 0], label[close[:, 1]])
+        np.minimum.at(label, close[:, 1], label[close[:, 0]])
+        if (old == label).all():
+            break
+    ends = set(close.ravel().tolist())
+    assert got == want == {int(values.view(np.int64)[k]): int(label[k]) for k in ends}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(100, i) for i in range(101, 130)] + [(129, 5), (7, 7)]
     got = {r["v"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -255,6 +322,15 @@ def test_op4(spark, table_dir):
     assert [r["doc_id"] if r["doc_id"] is not None else -1 for r in ordered] == sorted(r[0] if r[0] is not None else -1 for r in rows)
 
 
+def test_files_are_read_without_their_writer(spark, table_dir, tmp_path):
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet")
+    token_files.write_files(docs, str(tmp_path / "out"), token_files.tokenizer_path("word_bpe_49k.json"))
+    got = token_files.read_files(spark.newSession(), str(tmp_path / "out"), of=lambda ids: ids.tolist(), of_type="array<long>", name="ids").collect()
+    encode = token_files.WordEncoder(token_files.tokenizer_path("word_bpe_49k.json")).tokenizer.encode
+    want = Counter((r["doc_id"], tuple(encode(r["text"] or "", add_special_tokens=False).ids) + (1,)) for r in docs.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+
+
 @pytest.mark.parametrize("bits", [8, 16, 24, 32])
 def test_coding(bits):
     for n in range(0, 40):
@@ -306,6 +382,76 @@ def test_tree_concatenation():
                 assert own.encode_long(text) == want and own.merge_bytes(text.encode()) == want
 
 
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return [text[:n], text[:n].translate(str.maketrans("ab", "ba"))]
+
+
+#: texts on which polynomial hashes, lower-casing before composition, or tables of other Unicode versions go wrong
+HARD = [*thue_morse(1024), *thue_morse(4096), "H\u0331 T\u0308 W\u030a Y\u030a J\u030c \u1e96", "x" * 5000 + "\U0001f680", "\u0645" * 5000, "\u05e9\u05dc\u05d5\u05dd " * 900, "\u0e44\u0e17\u0e22" * 900, "don't, isn't. A's (B)!? \u0130\u03a3."]
+
+
+def fuzzed(n):
+    import random
+
+    rng = random.Random(11)
+    pool = [*"aAbB'stmdrvel .,!?0129\n\t\u3000\u00a0\u00c9\u00df\u0130\u03a3\u03c2\u1e96\u0331\u0308\u030a\u0645\u05e9\u0915\u093f\u65e5\u672c\u0301\u200d\ufeff\x0b\x1c_-#", "\U0001d400", "\U0001f680", "'s", "'ll", "<|endoftext|>", "  "]
+    for _ in range(n):
+        yield "".join(rng.choice(pool) for _ in range(rng.randint(0, 24))) + (chr(rng.randrange(0xE000, 0x110000)) if rng.random() < 0.1 else "")
+
+
+def test_hard_texts_have_the_library_s_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*HARD, *fuzzed(20_000)]
+    for name, own in (("byte_bpe_50k.json", bpe.Codec), ("word_bpe_49k.json", token_files.WordEncoder)):
+        path = token_files.tokenizer_path(name)
+        codec, library = own(path), Tokenizer.from_file(path)
+        for at in range(0, len(texts), 5000):
+            part = texts[at : at + 5000]
+            ids, first = codec.encode_texts(part) if name.startswith("byte") else codec.encode(*utf8(pa.array(part)))
+            assert all(e.ids == ids[a:b].tolist() for e, a, b in zip(library.encode_batch(part, add_special_tokens=False), first[:-1], first[1:], strict=True))
+    docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string").coalesce(1)
+    library = Tokenizer.from_file(token_files.tokenizer_path("byte_bpe_50k.json"))
+    assert sorted(r["n_tokens"] for r in bpe.lengths(docs, token_files.tokenizer_path("byte_bpe_50k.json")).collect()) == sorted(len(library.encode(t, add_special_tokens=False).ids) for t in HARD)
+
+
+def test_runs_in_any_script_go_by_tree_concatenation(monkeypatch):
+    own, seen = bpe.Codec(token_files.tokenizer_path("byte_bpe_50k.json")), []
+    plain = own.encode_long
+    monkeypatch.setattr(own, "encode_long", lambda text: seen.append(text) or plain(text))
+    for text in ("\u0645" * 5000, "x" * 5000 + "\U0001f680", "\u0e44" * 2000):
+        ids, _ = own.encode_texts([text])
+        assert ids.tolist() == own.library.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in seen] == [5000, 5000, 2000]
+
+
+def test_memory_compares_bytes(monkeypatch):
+    """Ids are right even if all strings have one hash."""
+    from tickloom.llm import common
+
+    monkeypatch.setattr(common, "span_hash", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    own = token_files.WordEncoder(token_files.tokenizer_path("word_bpe_49k.json"))
+    for text in ("some words, and some others", "other words at all " * 3):
+        assert own.encode(*utf8(pa.array([text])))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_are_dealt_in_parts(spark):
+    """A text of over BIG characters, with runs without a cut in several scripts, and any other columns."""
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    text = thue_morse(1 << 16)[0] * 8 + " and <|endoftext|> then " + "\u0645" * 300_000 + " one two three" * 5_000
+    docs = spark.createDataFrame([(1, text, "a"), (2, "short", "b"), (3, None, None), (1, text, "c")], "doc_id long, text string, ids_ string")
+    want = library.encode(text, add_special_tokens=False).ids
+    got = {(r["doc_id"], r["ids_"]): r["ids"] for r in bpe.encode(docs, path).collect()}
+    assert len(text) > bpe.BIG and got == {(1, "a"): want, (1, "c"): want, (2, "b"): library.encode("short", add_special_tokens=False).ids, (3, None): []}
+    assert [r["n_tokens"] for r in bpe.round_trip(docs.where("doc_id = 1"), path).collect()] == [len(want)] * 2
+
+
 def test_op2(spark, table_dir):
     got = lm_score.op2(spark, table_dir).collect()
     rows = rows_of(spark, table_dir)
@@ -389,6 +535,30 @@ def test_candidates_of_many_items(spark):
     assert len(want) > 1000 and not want - got
 
 
+def test_long_items_and_paraphrases(spark):
+    """Verbatim items of 40 to 2,500 words, and short ones with words replaced, against an exact search of all windows."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"w{k}" for k in range(4000)])
+    share = 1 / np.arange(8, 4008)
+    some = lambda n: rng.choice(vocabulary, n, p=share / share.sum()).tolist()
+    items = [some(n) for n in [*(40, 300, 600, 1200, 2500) * 3, *rng.integers(16, 60, 60)]]
+    rows = [[*some(70), *x, *some(70)] for x in items]
+    for k, x in enumerate(items[15:]):
+        rows.append([*some(40), *(w if rng.random() > 0.1 + 0.25 * (k % 11) / 10 else f"n{rng.integers(1 << 30)}" for w in x), *some(40)])
+    docs = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    own = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, decontaminate.fit(docs, own)).collect()}
+    assert {(k, k) for k in range(len(items))} <= got
+    wanted = set()
+    for k, words in enumerate(rows[len(items) :]):
+        item = [int(w[1:]) for w in items[15 + k]]
+        near, n = [hash(w) if w[0] == "n" else int(w[1:]) for w in words], len(item)
+        spans = [near[a : a + n + n // 2 + 1] for a in range(0, max(1, len(near) - n), n // 2)]
+        if any(decontaminate.lcs(decontaminate.masks(item), n, x) / n >= decontaminate.SHARE for x in spans):
+            wanted.add((len(items) + k, 15 + k))
+    assert len(wanted) > 40 and len(wanted & got) >= 0.9 * len(wanted)
+
+
 def test_lcs():
     def plain(a, b):
         t = [0] * (len(b) + 1)
@@ -430,6 +600,16 @@ def test_op1(spark):
     assert got[8]["verdict"] == got[9]["verdict"] == "allow"
 
 
+def test_op1_edge_cases(spark, tmp_path):
+    rows = [(k, f"http://a{k % 7}.org/p{k}", "html", "c") for k in range(60)] + [(60 + k, f"http://b{k % 5}.com/de/q{k}", None, "d") for k in range(60)]
+    rows += [(None, "http://x.net/", None, None), (200, "http://y.net/" + "long/" * 200_000, None, None), (200, None, None, None), (201, "", None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, verdict string").withColumnRenamed("html", "score").write.parquet(str(tmp_path / "pages.parquet"))
+    got = url_filter.op1(spark, str(tmp_path)).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows) and {r["verdict"] for r in got} <= {"allow", "block"}
+    by = {r["page_id"]: r for r in got}
+    assert by[None]["host"] == "x.net" and by[201]["verdict"] == "allow" and len(by[3]["path"]) == 3 and by[61]["verdict"] == "block"
+
+
 def test_markov_is_a_distribution():
     data, offsets = utf8(pa.array(["ab/ab", "abc", "bca"]))
     context, both = url_filter.grams(data, offsets)
@@ -463,15 +643,21 @@ def test_pipeline(spark, table_dir, empty_dir):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         kept = stage(spark, docs, table_dir)
         if k == 4:
-            assert kept.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and kept.count() == docs.count()
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(token_files.tokenizer_path("byte_bpe_50k.json"))
+            assert kept.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+            want = Counter((r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in docs.collect())
+            assert Counter((r["doc_id"], tuple(r["ids"])) for r in kept.collect()) == want
             break
         assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
         ids = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
         assert ids <= Counter(r["doc_id"] for r in docs.select("doc_id").collect())
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
-            _, least = plain_components(rows)
-            assert set(ids) - {None} == set(least) - {None} and max(ids.values()) == 1
+            group = plain_near_groups(rows)
+            want = Counter(min((r[0] for r, g in zip(rows, group) if g == x and r[0] is not None), default=None) for x in set(group))
+            assert ids == want
         path = f"{table_dir}/kept-{name}"
         kept.write.parquet(path)
         docs = spark.read.parquet(path)

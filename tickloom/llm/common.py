@@ -9,29 +9,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at a time; a longer text is one piece of its own.
 CHUNK_BYTES = 1 << 20
-#: Odd multiplier of the polynomial word hash, its inverse modulo 2**64, and the hash that stands for the end of a text.
+#: An odd multiplier that chains hashes, and the hash that stands for the end of a text.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 END_HASH = np.uint64(0x0E0E0E0E0E0E0E0E)
+#: Spans of up to this many bytes are hashed in numpy, 8 bytes at a time; longer ones by XXH64.
+LANES_END = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else what the context has, else a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else what the context has; a new one only where driver and tasks are one process."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,11 +43,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+_saved: dict[int, tuple[DataFrame, str]] = {}
+
+
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again: later steps start from files, not from their lineage."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _saved[id(found)] = found, path
+    return found
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete saved tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        held, path = _saved.pop(id(df), (None, ""))
+        if held is not None:
+            jvm = held.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(held.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +74,20 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Bytes of text in a range of ids, about, and most ranges.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 50_000
+
+
+def id_bounds(docs: DataFrame) -> np.ndarray:
+    """Rising last ids of ranges of docs (doc_id, text) that hold about RANGE_BYTES each; empty without ids."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last")).first()
+    if size["last"] is None:
+        return np.zeros(0, np.int64)
+    n = int(min(MOST_RANGES, max(2, -(-(size["bytes"] or 0) // RANGE_BYTES))))
+    at = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("at")).first()["at"]
+    return np.unique(np.array([*at, size["last"]], np.int64))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, and where each begins (one more offset at the end). Nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -79,20 +110,6 @@ def pieces(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> It
         i = j
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-        if n > 1 << 24:  # a very long text: not kept
-            found = _powers["up"], _powers["down"]
-            _powers.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
-            return found
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit values."""
     h = h ^ (h >> np.uint64(31))
@@ -102,16 +119,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class SpanHash:
-    """64-bit hashes of spans of bytes, from prefix sums of a polynomial."""
-
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes that begin at each place, as one value; bytes after the end count as zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from start to end."""
+    size = end - start
+    own = lanes(data)
+    h = mix(size.astype(np.uint64) + np.uint64(BASE))
+    todo = np.arange(len(start)) if size.max(initial=0) <= LANES_END else np.flatnonzero(size <= LANES_END)
+    at, left = start[todo], size[todo]
+    for _ in range(0, LANES_END, 8):
+        more = left > 0
+        if not more.all():
+            todo, at, left = todo[more], at[more], left[more]
+        if not len(todo):
+            break
+        h[todo] = mix((h[todo] ^ (own[at] & _LANE_MASK[np.minimum(left, 8)])) * np.uint64(BASE))
+        at, left = at + 8, left - 8
+    long = np.flatnonzero(size > LANES_END)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh64_intdigest(raw[a:b], 17) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes of a and b are the same bytes, one by one."""
+    same = np.ones(len(size), bool)
+    of_a, of_b = lanes(a), lanes(b)
+    todo, left, x, y = np.arange(len(size)), size, a_start, b_start
+    while len(todo):
+        more = left > 0
+        todo, left, x, y = todo[more], left[more], x[more], y[more]
+        equal = (of_a[x] ^ of_b[y]) & _LANE_MASK[np.minimum(left, 8)] == 0
+        same[todo[~equal]] = False
+        todo, left, x, y = todo[equal], left[equal] - 8, x[equal] + 8, y[equal] + 8
+    return same
 
 
 class Words:
@@ -129,16 +179,13 @@ class Words:
         self.start, self.end = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
         #: index of each text's first word, one more at the end
         self.first = np.searchsorted(self.start, offsets)
-        self._sums = None
 
     def __len__(self) -> int:
         return len(self.start)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes from start to end."""
-        if self._sums is None:
-            self._sums = SpanHash(self.low)
-        return self._sums(start, end)
+        return span_hash(self.low, start, end)
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
@@ -151,7 +198,9 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class IdMemory:
-    """The ids of the strings that a worker has encoded, by the strings' hashes; it starts anew when it holds ``most``."""
+    """The ids of the strings that a worker has encoded; it starts anew when it holds ``most``.
+
+    Strings are found by their hashes and compared byte by byte; a string whose hash another one has is encoded anew each time."""
 
     def __init__(self, most: int):
         self.most = most
@@ -159,18 +208,26 @@ class IdMemory:
 
     def forget(self) -> None:
         self.known, self.begin, self.ids, self.used = Lookup(np.zeros(0, np.uint64)), np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.place, self.text, self.filled = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint8), 0
 
-    def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
+    def _learn(self, keys: np.ndarray, found: list[list[int]], data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         flat = np.array([x for ids in found for x in ids], np.int32)
+        take, _ = ragged(start, end - start)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.filled + len(take) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.ids[self.used : self.used + len(flat)] = flat
+        self.text[self.filled : self.filled + len(take)] = data[take]
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(ids) for ids in found])])
+        self.place = np.concatenate([self.place, self.place[-1] + np.cumsum(end - start)])
         self.used += len(flat)
+        self.filled += len(take)
         self.known.add(keys)
 
-    def ids_of(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the strings with hashes h, and where each string's begin; encode gives the id lists of strings by their positions in h."""
+    def ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the strings from start to end of data, and where each string's begin; encode gives the id lists of strings by their positions."""
+        h = span_hash(data, start, end)
         at = self.known.find(h)
         if (at < 0).any():
             if len(self.known.keys) + np.count_nonzero(at < 0) > self.most:
@@ -178,10 +235,20 @@ class IdMemory:
                 at[:] = -1
             missing = np.flatnonzero(at < 0)
             keys, first = np.unique(h[missing], return_index=True)
-            self._learn(keys, encode(missing[first]))
+            new = missing[first]
+            self._learn(keys, encode(new), data, start[new], end[new])
             at = self.known.find(h)
         take, first = ragged(self.begin[at], self.begin[at + 1] - self.begin[at])
-        return self.ids[take], first
+        ids = self.ids[take]
+        size = end - start
+        other = size != self.place[at + 1] - self.place[at]
+        other[~other] = ~same_spans(self.text[: self.filled], self.place[at[~other]], data, start[~other], size[~other])
+        if other.any():
+            own = dict(zip(np.flatnonzero(other).tolist(), encode(np.flatnonzero(other)), strict=True))
+            parts = [np.array(own[k], np.int32) if k in own else ids[first[k] : first[k + 1]] for k in range(len(h))]
+            first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            ids = np.concatenate([np.zeros(0, np.int32), *parts])
+        return ids, first
 
 
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:

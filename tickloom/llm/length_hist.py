@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.bpe import count_udf
-from tickloom.llm.common import table
+from tickloom.llm.bpe import lengths
+from tickloom.llm.common import saved, table
 from tickloom.llm.token_files import tokenizer_path
 
 RANGE = 4096
@@ -26,7 +26,7 @@ RANGE = 4096
 
 def histogram(docs: DataFrame, path: str) -> DataFrame:
     """(n_tokens, docs): how many documents have each encoded length."""
-    return docs.select(count_udf(path)(F.col("text").cast("string")).alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    return lengths(docs.select("text"), path).groupBy("n_tokens").agg(F.count("*").alias("docs"))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
@@ -60,4 +60,5 @@ def quantile(sums: DataFrame, share: float) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    hist = saved(histogram(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), "lengths")  # read twice: a row for each length
+    return suffix_sums(hist)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import mix, pieces, powers, table, utf8
+from tickloom.llm.common import BASE, id_bounds, mix, pieces, table, utf8
 
 BINS, LEVELS = 64, (2, 3, 4)
 #: Coin-tossing rounds that leave six labels of 8-bit and 64-bit symbols.
@@ -65,12 +65,14 @@ def next_level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(top)
     named = one.astype(np.uint64)
     many = length > 1
-    named[many] = mix(named[many] * np.uint64(0x9E3779B97F4A7C15) + length[many].astype(np.uint64))
-    up, down = powers(len(named) + 1)
-    sums = np.zeros(len(named) + 1, np.uint64)
-    np.cumsum((named + np.uint64(1)) * up[: len(named)], out=sums[1:])
+    named[many] = mix(named[many] * np.uint64(BASE) + length[many].astype(np.uint64))
     end = np.append(start[1:], len(named))
-    names = mix((sums[end] - sums[start]) * down[start])
+    names = mix((end - start).astype(np.uint64) + np.uint64(BASE))
+    todo, place = np.arange(len(start)), start.copy()
+    while len(todo):  # a phrase has a dozen symbols at most
+        names[todo] = mix((names[todo] ^ named[place]) * np.uint64(BASE))
+        more = place + 1 < end[todo]
+        todo, place = todo[more], place[more] + 1
     return names, np.searchsorted(at[start], first)
 
 
@@ -121,13 +123,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _compare(ids, texts: list[str], following: list[str]) -> pa.RecordBatch:
-    own, new, after = _marks(texts), [edited(t, f) for t, f in zip(texts, following, strict=True)], _marks(following)
+def _compare(ids, texts: list[str], following: list[str], marks: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    """Rows of SCHEMA; marks and after are the fingerprints of the texts and of the following ones."""
+    new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     changed = _marks(new)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
-            _hex(own), _hex(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after)),
+            _hex(marks), _hex(changed), pa.array(likeness(marks, changed)), pa.array(likeness(marks, after)),
         ],
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
@@ -141,18 +144,21 @@ def _compare_sorted(batches):
             part = batch.slice(at, 256)
             ids, texts, buckets, helper = (part.column(k).to_pylist() for k in range(4))
             texts = [t or "" for t in texts]
+            marks = _marks(texts)
             if held:
-                ids, texts, buckets, helper = ([x, *y] for x, y in zip(held, (ids, texts, buckets, helper), strict=True))
-            held = ids[-1], texts[-1], buckets[-1], helper[-1]
+                ids, texts, buckets, helper = ([x, *y] for x, y in zip(held[:4], (ids, texts, buckets, helper), strict=True))
+                marks = np.concatenate([held[4], marks])
+            held = ids[-1], texts[-1], buckets[-1], helper[-1], marks[-1:]
             pairs = [k for k in range(len(ids) - 1) if not helper[k] and buckets[k] == buckets[k + 1]]
             if pairs:
-                yield _compare([ids[k] for k in pairs], [texts[k] for k in pairs], [texts[k + 1] for k in pairs])
+                k = np.array(pairs)
+                yield _compare([ids[k] for k in pairs], [texts[k] for k in pairs], [texts[k + 1] for k in pairs], marks[k], marks[k + 1])
 
 
 def _compare_alone(batches):
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        yield _compare(batch.column(0), texts, [""] * len(texts))
+        yield _compare(batch.column(0), texts, [""] * len(texts), _marks(texts), _marks([""] * len(texts)))
 
 
 def bucket_udf(bounds: np.ndarray):
@@ -173,18 +179,15 @@ def bucket_udf(bounds: np.ndarray):
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text): fingerprints of its text and its edited text, and their likeness; columns as in SCHEMA."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = min(10_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
-    found = docs.agg(F.percentile_approx("doc_id", [(k + 1) / ranges for k in range(ranges)], 100_000).alias("at"), F.max("doc_id").alias("last")).first()
     alone = docs.where("doc_id is null").mapInArrow(_compare_alone, SCHEMA)
-    if found["last"] is None:
+    bounds = id_bounds(docs)
+    if not len(bounds):
         return alone
-    bounds = np.unique(np.array([*found["at"], found["last"]], np.int64))
     dealt = docs.where("doc_id is not null").withColumn("to", F.explode(bucket_udf(bounds)("doc_id")))
     helper = F.col("to") < 0
     dealt = dealt.select("doc_id", "text", F.when(helper, -1 - F.col("to")).otherwise(F.col("to")).alias("bucket"), helper.alias("helper"))
-    ordered = dealt.repartition(len(bounds), "bucket").sortWithinPartitions("bucket", "helper", F.desc("doc_id"), "text")
+    ordered = dealt.repartitionById(len(bounds), "bucket").sortWithinPartitions("bucket", "helper", F.desc("doc_id"), "text")
     return ordered.mapInArrow(_compare_sorted, SCHEMA).unionByName(alone)
 
 

@@ -4,12 +4,13 @@ Ids are counted over all documents and replaced by their rank, so frequent ids t
 rank takes one to four bytes; the lengths of four ranks stand in one byte of a separate control
 stream, and a numpy table that is addressed by the control byte gives the places of all four.
 
-Files: Parquet, one folder per shard, shards and the rows in them in ascending doc_id order. A row
-is a block of whole documents: ``start`` (ids of the shard before it), ``doc_ids``, ``sizes`` (ids of
-each document), ``control`` and ``data``. The first ids of the shards follow from their sizes.
+Files: Parquet, in ``blocks`` one folder per shard, shards and the rows in them in ascending doc_id
+order. A row is a block of whole documents: ``start`` (ids of the shard before it), ``doc_ids``,
+``sizes`` (ids of each document), ``control`` and ``data``. The first ids of the shards follow from
+their sizes. ``ranks`` holds the id of each rank; the folder is all that readers need.
 
 A text is cut into words at ASCII white space, where this kind of tokenizer never joins tokens, and
-each distinct word is encoded by the tokenizers library once per worker.
+each distinct word, as it is written, is encoded by the tokenizers library once per worker.
 
 Defined results: null texts are empty and hold only the end id; null ids come first; equal ids are
 ordered by their coded bytes. An empty table gives no rows. Special tokens' strings in a text are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LOWER, IdMemory, Words, new_path, pieces, saved, table, utf8
+from tickloom.llm.common import IdMemory, Words, forget, id_bounds, new_path, pieces, saved, table, utf8
 
 END_ID = 1
 #: Distinct words that a worker remembers, at most, and ids in a block, about.
@@ -42,7 +43,9 @@ def tokenizer_path(name: str) -> str:
 
 PUNCTUATION, ALPHANUMERIC = np.zeros(256, bool), np.zeros(256, bool)
 PUNCTUATION[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
-ALPHANUMERIC[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+ALPHANUMERIC[[b for b in range(128) if chr(b).isalnum()]] = True
+AS_IS = np.arange(256, dtype=np.uint8)
+BLOCKS = "shard int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary"
 
 
 def without_tails(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,11 +86,9 @@ class WordEncoder:
         if any(s in raw for s in self.special):
             found = self.encode_each([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
             return np.array([x for ids in found for x in ids], np.int32), np.concatenate([[0], np.cumsum([len(ids) for ids in found])])
-        words = Words(data, offsets, LOWER)
+        words = Words(data, offsets, AS_IS)
         start, end, begins = without_tails(words)
-        h = words.span_hash(start, end)
-        low = words.low.tobytes()
-        ids, first = self.memory.ids_of(h, lambda at: self.encode_each([low[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+        ids, first = self.memory.ids_of(data, start, end, lambda at: self.encode_each([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
         return ids, first[begins]
 
 
@@ -217,31 +218,30 @@ def join_blocks(batches):
         yield block()
 
 
-def write_files(docs: DataFrame, out: str, path: str, end: int = END_ID) -> np.ndarray:
-    """Write the ids of docs (doc_id, text) to the folder out; returns the ids by rank, which readers need."""
+def write_files(docs: DataFrame, out: str, path: str, end: int = END_ID) -> None:
+    """Write the ids of docs (doc_id, text) and the ids by rank to the folder out."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = min(10_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
-    found = docs.agg(F.percentile_approx("doc_id", [(k + 1) / shards for k in range(shards)], 100_000).alias("at"), F.max("doc_id").alias("last")).first()
-    bounds = np.unique(np.array([*(found["at"] or []), *([found["last"]] if found["last"] is not None else [])], np.int64))
+    bounds = id_bounds(docs)
     kind = token_type(encoder(path).size)
     tokens = saved(docs.mapInArrow(encode_documents(path, end, bounds), "doc_id long, shard int, ids binary"), "tokens", compression="zstd")
     ranks = ranked_ids(tokens, kind)
+    spark.createDataFrame(pa.table({"rank": np.arange(len(ranks), dtype=np.int32), "id": ranks.astype(np.int32)})).coalesce(1).write.parquet(f"{out}/ranks")
     by_rank = spark.sparkContext.broadcast(ranks)
     coded = tokens.mapInArrow(pack_documents(kind, by_rank), "doc_id long, shard int, size long, control binary, data binary")
-    ordered = coded.repartition(max(1, len(bounds)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "control", "data")
-    blocks = ordered.mapInArrow(join_blocks, "shard int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary")
-    blocks.write.partitionBy("shard").parquet(out)
-    return ranks
+    ordered = coded.repartitionById(max(1, len(bounds)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "control", "data")
+    ordered.mapInArrow(join_blocks, BLOCKS).write.partitionBy("shard").parquet(f"{out}/blocks")
+    forget(tokens)
 
 
 def digest(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def read_files(spark: SparkSession, out: str, ranks: np.ndarray, of=digest, of_type: str = "long", name: str = "ids_crc32") -> DataFrame:
+def read_files(spark: SparkSession, out: str, of=digest, of_type: str = "long", name: str = "ids_crc32") -> DataFrame:
     """(doc_id, start, n_tokens, of(ids)) of every document in the files, ``of`` being a function of a document's ids."""
-    blocks = spark.read.schema("shard int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary").parquet(out)
+    ranks = spark.read.schema("rank int, id int").parquet(f"{out}/ranks").orderBy("rank").toArrow()["id"].to_numpy()  # as many as the vocabulary
+    blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
     ends = blocks.select("shard", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").toArrow()
     # a row for each shard
     shard, first = ends["shard"].to_numpy(), np.concatenate([[0], np.cumsum(ends["n"].to_numpy())])
@@ -264,5 +264,5 @@ def read_files(spark: SparkSession, out: str, ranks: np.ndarray, of=digest, of_t
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
-    ranks = write_files(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"))
-    return read_files(spark, out, ranks)
+    write_files(table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"))
+    return read_files(spark, out)
