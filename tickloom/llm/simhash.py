@@ -3,9 +3,10 @@
 A fingerprint has bit b set if over half of the text's shingle hashes have it. Distinct
 fingerprints are dealt to the leaves of a vantage-point tree that is built on a bounded sample;
 a fingerprint outside a node's ball, but within ``distance`` of its border, goes to both sides, so
-that by the triangle inequality every pair within ``distance`` meets in a leaf. Each leaf is
-searched by a tree of its own, with the same bounds, and gives a spanning forest of its links, not
-all pairs. Links of all leaves are joined to components by alternating large-star and small-star
+that by the triangle inequality every pair within ``distance`` meets in a leaf. A leaf that is too
+large for a task is dealt again by a tree on a sample of its own; a dense cluster that no ball divides
+is cut in blocks, and every pair of blocks is a leaf. Each leaf is searched by a tree of its own, with
+the same bounds, and gives a spanning forest of its links, not all pairs. Links of all leaves are joined to components by alternating large-star and small-star
 rounds, each written to the shared folder.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; a null
@@ -19,14 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import pieces, saved, signed, table, utf8
+from tickloom.llm.common import forget, pieces, saved, signed, table, utf8
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Fingerprints that the tree is built on, at most; those aimed at in a leaf; the least of the sample in a leaf.
 SAMPLE, LEAF, LEAST_SAMPLE = 1 << 17, 4096, 24
+#: Fingerprints of a leaf that isn't dealt again, those sampled from a larger one, and the share of it that its largest part must be under.
+MOST_IN_LEAF, LEAF_SAMPLE, SHRINK = 1 << 17, 1024, 0.8
 #: Within a leaf, runs up to this many are compared pair by pair.
 BLOCK = 384
 #: A fingerprint of over 1 / HOT of all rows is joined by broadcast: there are fewer than HOT of them.
@@ -156,11 +159,49 @@ def leaf_links(distance: int):
     return run
 
 
-def link(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def deal_again(dealt: DataFrame, distance: int, most: int) -> DataFrame:
+    """dealt (fp, leaf, n, was) with its leaves dealt on until none holds over ``most``; n and was are how many a leaf holds and the leaf that it came from held."""
+    spark = dealt.sparkSession
+    done: list[DataFrame] = []
+    while True:
+        large = F.col("n") > most
+        dense = large & (F.col("n") > SHRINK * F.col("was"))
+        blocks = F.ceil(F.col("n") / (most / 2)).cast("int")
+        block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.concat_ws(".", F.col("leaf"), F.least(block, x).cast("string"), F.greatest(block, x).cast("string")))
+        done += [dealt.where(~large).select("fp", "leaf"), dealt.where(dense).select("fp", F.explode(pairs).alias("leaf"))]
+        rest = dealt.where(large & ~dense)
+        # at most LEAF_SAMPLE for each of few large leaves
+        by_hash = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("fp")))
+        sample = rest.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("n") / (2 * LEAF_SAMPLE)))) == 0).withColumn("k", by_hash).where(F.col("k") <= LEAF_SAMPLE).select("leaf", "fp").toArrow()
+        if not sample.num_rows:
+            break
+        names, values = np.array(sample["leaf"].to_pylist()), sample["fp"].to_numpy().view(np.uint64)
+        trees = spark.sparkContext.broadcast({str(x): Tree(values[names == x], 5, distance) for x in np.unique(names)})
+
+        def run(batches, trees=trees):
+            for batch in batches:
+                fp, leaf = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist())
+                for x in np.unique(leaf):
+                    own = fp[leaf == x]
+                    at, node = trees.value[str(x)].deal(own.view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array([f"{x}-{k}" for k in node]), pa.array(np.full(len(at), batch.column(2)[int(np.argmax(leaf == x))].as_py()))], names=["fp", "leaf", "was"])
+
+        parts = saved(rest.select("fp", "leaf", "n").mapInArrow(run, "fp long, leaf string, was long"), "dealt-again")
+        dealt = parts.join(F.broadcast(parts.groupBy("leaf").agg(F.count("*").alias("n"))), "leaf").select("fp", "leaf", "n", "was")  # a row for each leaf
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def link(distinct: DataFrame, distance: int = DISTANCE, most: int = MOST_IN_LEAF) -> DataFrame:
     """(a, b) links between distinct fingerprints (column fp), enough to connect all within that distance."""
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(n, SAMPLE)).toArrow()["fp"].to_numpy().view(np.uint64)
+    # about 2 * SAMPLE rows are sorted
+    part = max(1, n // (2 * SAMPLE))
+    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(part)) == 0).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(1, len(sample) / LEAST_SAMPLE)))))
     tree = spark.sparkContext.broadcast(Tree(sample, depth, distance))
 
@@ -170,7 +211,13 @@ def link(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             at, leaf = tree.value.deal(fp.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(leaf)], names=["fp", "leaf"])
 
-    return distinct.select("fp").mapInArrow(deal, "fp long, leaf long").groupBy("leaf").applyInArrow(leaf_links(distance), "a long, b long").distinct()
+    dealt = distinct.select("fp").mapInArrow(deal, "fp long, leaf long")
+    if n > most:  # leaves may be too large
+        dealt = saved(dealt, "dealt")
+        sizes = dealt.groupBy("leaf").agg(F.count("*").alias("n"))
+        if sizes.where(F.col("n") > most).limit(1).count():
+            dealt = deal_again(dealt.join(F.broadcast(sizes), "leaf").select("fp", F.col("leaf").cast("string").alias("leaf"), "n", F.lit(n).cast("long").alias("was")), distance, most)
+    return dealt.groupBy("leaf").applyInArrow(leaf_links(distance), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,9 +235,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         # small star: v and its neighbours below it are linked to the smallest of them
         large = saved(large, "large-star")
+        forget(edges)
         low = smallest(large)
         small = large.join(low, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionAll(low.select("v", F.col("m").alias("u")))
         edges = saved(small.where("v != u").distinct(), "small-star")
+        forget(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == seen:
             break
