@@ -6,8 +6,9 @@ a probability from the longest context seen, interpolated down to the uniform di
 difference of the log-likelihoods divided by its length; the threshold is calibrated on labelled
 URLs held out of the training.
 
-Learning: URLs that a rule decides, at most ``MAX_PER_CLASS`` of each verdict (chosen by hash), a
-quarter of them kept for calibration. Every URL is judged.
+Learning: URLs that a rule decides, at most ``MAX_PER_CLASS`` of each verdict (chosen by hash) of up to
+``MAX_BYTES`` bytes each, a quarter of them kept for calibration; all their contexts are kept. Every
+URL is judged.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; a null
 or empty URL has score 0 and is allowed. With URLs of only one verdict to learn from, all scores are
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Lookup, pieces, signed, table, utf8
+from tickloom.llm.common import Lookup, forget, pieces, saved, signed, table, utf8
 
 #: (verdict, rule); the longest rule that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MAX_ORDER = 5
-#: Most URLs of each verdict that are learned from, and most contexts with successors kept (the most frequent): 32 MB.
-MAX_PER_CLASS, MAX_GRAMS = 40_000, 1 << 20
+#: Most URLs of each verdict that are learned from, and their most bytes: with the orders this bounds the model that is broadcast.
+MAX_PER_CLASS, MAX_BYTES = 10_000, 2_048
 HELD_OUT = 4
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -154,16 +155,18 @@ def threshold(scores: np.ndarray, allowed: np.ndarray) -> float:
 def fit(urls: DataFrame) -> Model:
     """Learn from rows (url, allowed), a bounded number of each verdict."""
     order = (F.xxhash64("url"), F.col("url"))
-    known = urls.where(F.col("url").isNotNull() & F.col("allowed").isNotNull()).distinct()
+    known = urls.where((F.octet_length("url") <= MAX_BYTES) & F.col("allowed").isNotNull()).distinct()
     sample = known.where("allowed").orderBy(*order).limit(MAX_PER_CLASS).unionAll(known.where("not allowed").orderBy(*order).limit(MAX_PER_CLASS))
+    sample = saved(sample, "url-sample")
     fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(HELD_OUT)) == 0
     counts = sample.where(~fold).mapInArrow(count_grams, "context long, gram long, good long, bad long").groupBy("context", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    best = counts.orderBy(F.desc(F.col("good") + F.col("bad")), "gram").limit(MAX_GRAMS).toArrow()
+    best = counts.toArrow()  # bounded by the sample
     model = Model(*(best[c].to_numpy().view(np.uint64) for c in ("context", "gram")), *(best[c].to_numpy() for c in ("good", "bad")), 0.0)
     if not model.good.any() or not model.bad.any():
         return Model(*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(2)), 0.0)
     held = sample.where(fold).select("allowed", scorer(urls.sparkSession, model)("url").alias("score")).toArrow()
     model.threshold = threshold(held["score"].to_numpy(), held["allowed"].to_numpy().astype(bool))
+    forget(sample)
     return model
 
 
