@@ -1,8 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts every n-gram of every labelled text in Spark tasks and adds them up by
-(language, bucket). The log-probability matrix has a fixed number of buckets and a bounded
-number of languages, so it is broadcast; tasks score whole batches of texts in numpy.
+(language, bucket). The log-probability matrix has a fixed number of buckets and a row for each
+language (256 KB), and is broadcast; tasks score whole batches of texts in numpy.
+
+N-grams of one text depend on each other, so its log-likelihoods are divided by 1 + n-grams / ``grain``
+before they are made probabilities. ``grain`` is calibrated: of the powers of 2 it is the one with the
+least log loss on at most ``CALIBRATE`` labelled texts that aren't counted (one in ``FOLDS``, by hash).
 
 Defined results: a null text, an empty text or a text without a letter gets ``und`` and score 0.
 Rows whose language is null are not learned from. With nothing to learn from, all texts get
@@ -23,8 +27,10 @@ from tickloom.llm.common import crc_of_id, pieces, sums_by_text, table, utf8
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
-#: Most languages that are told apart (the most frequent): it bounds the broadcast matrix to 64 MB.
-MAX_LANGUAGES = 256
+#: Languages whose counts a task holds before it gives them out.
+HELD_LANGUAGES = 128
+#: One labelled text in FOLDS calibrates the score instead of being counted; at most CALIBRATE of them do.
+FOLDS, CALIBRATE = 16, 4_000
 #: Added to each count.
 SMOOTHING = 0.5
 #: A document is kept from this score on.
@@ -58,17 +64,25 @@ def count_grams(langs: list[str]):
     """A task that gives (language, bucket, n) of its rows of (text, lang)."""
 
     def run(batches):
-        counts = np.zeros((len(langs), 1 << BUCKET_BITS), np.int64)
         number = {x: i for i, x in enumerate(langs)}
+        counts: dict[int, np.ndarray] = {}
+
+        def flush():
+            for k, n in counts.items():
+                bucket = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), k, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[bucket])], names=["lang_no", "bucket", "n"])
+            counts.clear()
+
         for batch in batches:
             of = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             for i, j, data, offsets in pieces(*utf8(batch.column(0))):
                 found, first = grams(data, offsets)
                 owner = np.repeat(of[i:j], np.diff(first))
-                for k in np.unique(owner[owner >= 0]):
-                    counts[k] += np.bincount(found[:, owner == k].ravel(), minlength=1 << BUCKET_BITS)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], names=["lang_no", "bucket", "n"])
+                for k in np.unique(owner[owner >= 0]).tolist():
+                    counts[k] = counts.get(k, 0) + np.bincount(found[:, owner == k].ravel(), minlength=1 << BUCKET_BITS)
+                    if len(counts) > HELD_LANGUAGES:
+                        yield from flush()
+        yield from flush()
 
     return run
 
@@ -79,46 +93,88 @@ class Model:
     #: natural log of P(bucket | language), a row for each language
     matrix: np.ndarray
     prior: np.ndarray
+    grain: float = 1.0
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learn from all rows that have a language."""
-    train = train.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    train = train.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = train.groupBy("lang").count().collect()  # a row for each language
     docs = {r["lang"]: r["count"] for r in rows}
     langs = sorted(docs)
-    counts = np.zeros((len(langs), 1 << BUCKET_BITS))
-    if langs:
-        sums = train.mapInArrow(count_grams(langs), "lang_no int, bucket int, n long").groupBy("lang_no", "bucket").agg(F.sum("n").alias("n")).toArrow()
-        counts[sums["lang_no"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    smooth = counts + SMOOTHING
-    with np.errstate(divide="ignore"):
-        matrix = np.log(smooth / smooth.sum(1, keepdims=True))
-        prior = np.log(np.array([docs[x] for x in langs], float) / max(1, sum(docs.values())))
-    return Model(langs, np.ascontiguousarray(matrix, np.float32), prior)
+    if not langs:
+        return Model([], np.zeros((0, 1 << BUCKET_BITS), np.float32), np.zeros(0))
+    aside = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    counts = np.zeros((len(langs), 1 << BUCKET_BITS), np.float32)
+    sums = train.where(~aside).mapInArrow(count_grams(langs), "lang_no int, bucket int, n long").groupBy("lang_no", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums["lang_no"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    counts += SMOOTHING
+    total = counts.sum(1, keepdims=True, dtype=np.float64)
+    matrix = np.log(counts, out=counts)
+    matrix -= np.log(total)
+    model = Model(langs, matrix, np.log(np.array([docs[x] for x in langs], float) / sum(docs.values())))
+    part = max(1, sum(docs.values()) // (FOLDS * CALIBRATE))
+    held = train.where(aside & (F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(part)) == 0)).limit(CALIBRATE).select("lang", logs_udf(train.sparkSession, model)("text").alias("x")).toArrow()
+    model.grain = calibrated(model, held)
+    return model
+
+
+def logs_of(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log P(language) + log P(text | language) by text and language, n-grams of each text)."""
+    found, first = grams(data, offsets)
+    logs = np.tile(model.prior, (len(offsets) - 1, 1))
+    for k in range(len(model.langs)):
+        logs[:, k] += sums_by_text(sum(model.matrix[k].take(row) for row in found), first)
+    return logs, len(ORDERS) * np.diff(first)
+
+
+def logs_udf(spark: SparkSession, model: Model):
+    """A column function: text -> its logs and the number of its n-grams, as one array."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [np.column_stack(logs_of(shared.value, data, offsets)) for _, _, data, offsets in pieces(*utf8(texts))]
+        flat = np.concatenate([np.zeros((0, len(shared.value.langs) + 1)), *parts])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+    return run
+
+
+def shares(logs: np.ndarray, n: np.ndarray, grain: float) -> np.ndarray:
+    """Probabilities of the languages."""
+    x = logs / (1 + n / grain)[:, None]
+    p = np.exp(x - x.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def calibrated(model: Model, held: pa.Table) -> float:
+    """The grain with the least log loss on rows (lang, x); 1 without rows."""
+    if not held.num_rows:
+        return 1.0
+    number = {x: i for i, x in enumerate(model.langs)}
+    of, flat = np.array([number[x] for x in held["lang"].to_pylist()]), np.array(held["x"].to_pylist())
+    loss = {grain: -np.log(np.maximum(shares(flat[:, :-1], flat[:, -1], grain)[np.arange(len(of)), of], 1e-9)).mean() for grain in 2.0 ** np.arange(17)}
+    return float(min(loss, key=lambda g: (round(loss[g], 6), g)))
 
 
 def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast((model.langs, model.matrix, model.prior))
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        langs, matrix, prior = shared.value
+        own = shared.value
         pred, score = np.full(len(texts), -1, np.int64), np.zeros(len(texts))
         whole, bounds = utf8(texts)
-        for i, j, data, offsets in pieces(whole, bounds) if langs else ():
-            found, first = grams(data, offsets)
-            logs = np.tile(prior, (j - i, 1))
-            for k in range(len(langs)):
-                logs[:, k] += sums_by_text(sum(matrix[k].take(row) for row in found), first)
+        for i, j, data, offsets in pieces(whole, bounds) if own.langs else ():
+            logs, n = logs_of(own, data, offsets)
             raw = data.tobytes()
             letters = np.array([LETTER.search(raw[a:b].decode("utf-8", "replace")) is not None for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-            best = logs.argmax(1)
-            pred[i:j] = np.where(letters, best, -1)
-            score[i:j] = np.where(letters, 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0)
-        names = pa.array([*langs, UNKNOWN], pa.string())
-        return pa.StructArray.from_arrays([names.take(pa.array(np.where(pred < 0, len(langs), pred))), pa.array(score)], names=["lang_pred", "score"])
+            pred[i:j] = np.where(letters, logs.argmax(1), -1)
+            score[i:j] = np.where(letters, shares(logs, n, own.grain).max(1), 0)
+        names = pa.array([*own.langs, UNKNOWN], pa.string())
+        return pa.StructArray.from_arrays([names.take(pa.array(np.where(pred < 0, len(own.langs), pred))), pa.array(score)], names=["lang_pred", "score"])
 
     return predict
 
