@@ -335,8 +335,11 @@ def decode_udf(path: str):
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         own = ids.fill_null([]) if ids.null_count else ids
-        first = own.offsets.to_numpy()
-        texts = codec(path).texts_of(own.values.to_numpy()[first[0] : first[-1]], first - first[0])
+        first, values, texts, k = own.offsets.to_numpy(), own.values.to_numpy(), [], 0
+        while k < len(own):
+            end = max(k + 1, int(np.searchsorted(first, first[k] + DIGEST_IDS, "right")) - 1)
+            texts += codec(path).texts_of(values[first[k] : first[end]], first[k : end + 1] - first[k])
+            k = end
         return pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return run
@@ -348,12 +351,18 @@ def digests_udf(path: str):
     @F.arrow_udf(DIGESTS)
     def run(ids: pa.Array) -> pa.Array:
         own = ids.fill_null([]) if ids.null_count else ids
-        first = own.offsets.to_numpy()
-        return digests(codec(path), own.values.to_numpy()[first[0] : first[-1]], first - first[0])
+        first, values, found, k = own.offsets.to_numpy(), own.values.to_numpy(), [], 0
+        while k < len(own):  # some texts at a time: their bytes are addressed one by one
+            end = max(k + 1, int(np.searchsorted(first, first[k] + DIGEST_IDS, "right")) - 1)
+            found.append(digests(codec(path), values[first[k] : first[end]], first[k : end + 1] - first[k]))
+            k = end
+        return pa.concat_arrays(found) if found else digests(codec(path), np.zeros(0, np.int64), np.zeros(1, np.int64))
 
     return run
 
 
+#: Ids that are decoded and hashed at once, about.
+DIGEST_IDS = 1 << 18
 DIGESTS = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>"
 
 

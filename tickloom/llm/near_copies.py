@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import BASE, Words, forget, mix, pieces, saved, signed, utf8
-from tickloom.llm.simhash import DISTANCE, HOT, components, link
+from tickloom.llm.simhash import HOT, components, link
 
 SHINGLE = 5
 #: Similarity as a fraction of integers.
 SIMILARITY = (4, 5)
-ROWS, SAMPLES, BLOCK = 5, 20, 96
+ROWS, SAMPLES, DISTANCE, BLOCK = 5, 20, 1, 96
 
 _seeds = np.random.default_rng(17).integers(0, 1 << 63, (2, SAMPLES, ROWS), np.uint64)
 _seeds[0] |= np.uint64(1)

@@ -132,9 +132,9 @@ def near_pairs(values: np.ndarray, distance: int, rng: np.random.Generator) -> I
 def block_links(left: np.ndarray, right: np.ndarray | None, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     both = left if right is None else np.concatenate([left, right])
     close = np.bitwise_count(left[:, None] ^ both[None, :]) <= distance
-    row, column = np.nonzero(close)
-    if len(row) == len(left):
+    if np.count_nonzero(close) == len(left):  # each with itself only
         return
+    row, column = np.nonzero(close)
     label = both.copy()
     while True:  # the smallest value reachable
         low = np.minimum(label[row], label[column])
