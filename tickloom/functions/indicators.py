@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scan import ema, linear_scan, wilder
+from tickloom.functions.scan import Step, ema, linear_scan, recurrences, wilder
 
 KEYS = ["symbol", "level"]
 
@@ -45,9 +45,7 @@ def sma(df: DataFrame, lengths, col: str = "close") -> DataFrame:
 
 
 def emas(df: DataFrame, lengths, col: str = "close", prefix: str = "ema") -> DataFrame:
-    for n in lengths:
-        df = ema(df, col, n, f"{prefix}_{n}", KEYS)
-    return df
+    return recurrences(df, KEYS, [Step(f"{prefix}_{n}", "ema", col, n) for n in lengths])
 
 
 def highs_lows(df: DataFrame, n: int = 20) -> DataFrame:
@@ -71,7 +69,7 @@ def moderi(df: DataFrame, n: int = 96) -> DataFrame:
 
 
 def ewo(df: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
-    d = ema(ema(df, "close", fast, "_f", KEYS), "close", slow, "_s", KEYS)
+    d = recurrences(df, KEYS, [Step("_f", "ema", "close", fast), Step("_s", "ema", "close", slow)])
     return d.withColumn("ewo", F.try_divide(F.col("_f") - F.col("_s"), F.col("low")) * 100).drop("_f", "_s")
 
 
@@ -97,14 +95,16 @@ def williams_r(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn(f"r_{n}", F.try_divide(top - F.col("close"), top - rolling(F.min, "low", n)) * -100)
 
 
-def money_flow(df: DataFrame, n: int = 20) -> DataFrame:
-    """Chaikin money flow; frames at the beginning are shorter."""
+def money_flow(df: DataFrame, n: int = 20, fill: float | None = None) -> DataFrame:
+    """Chaikin money flow; frames at the beginning are shorter. fill stands where there is no volume."""
     share = F.coalesce(F.try_divide((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), F.col("high") - F.col("low")), F.lit(0.0))
-    return df.withColumn("cmf", F.try_divide(F.sum(share * F.col("volume")).over(frame(n)), F.sum("volume").over(frame(n))))
+    flow = F.try_divide(F.sum(share * F.col("volume")).over(frame(n)), F.sum("volume").over(frame(n)))
+    return df.withColumn("cmf", flow if fill is None else F.coalesce(flow, F.lit(float(fill))))
 
 
-def typical_price() -> Column:
-    return (F.col("high") + F.col("low") + F.col("close")) / 3
+def typical_price(prefix: str = "") -> Column:
+    """Mean of high, low and close; prefix "ha_": of the Heikin-Ashi prices."""
+    return (F.col(f"{prefix}high") + F.col(f"{prefix}low") + F.col(f"{prefix}close")) / 3
 
 
 def heikin_ashi(df: DataFrame) -> DataFrame:
@@ -125,6 +125,19 @@ def band_shapes(df: DataFrame, n: int = 20) -> DataFrame:
     return d.withColumn("bb_width", F.try_divide(F.col("bb2_up") - F.col("bb2_low"), F.col("bb2_mid"))).withColumn("bb_delta", F.try_divide(F.col("bb2_low") - F.col("bb3_low"), F.col("bb2_low")))
 
 
+def ha_bands(df: DataFrame, n: int = 40) -> DataFrame:
+    """Bands of the Heikin-Ashi typical price, and how far the lower one is from the middle (bb_delta_cluc)."""
+    d = df if "ha_close" in df.columns else heikin_ashi(df)
+    d = bollinger(d, n, 2, "bbh", typical_price("ha_"))
+    return d.withColumn("bb_delta_cluc", F.abs(F.col("bbh_mid") - F.col("bbh_low")))
+
+
+def keltner_gap(df: DataFrame, n: int = 20, k: float = 2) -> DataFrame:
+    """kc_bb_delta: the lower Keltner line over the lower band, in percent of the latter."""
+    d = keltner(bollinger(df, n, 2, "bb2"), n, k)
+    return d.withColumn("kc_bb_delta", F.try_divide(F.col(f"kc_low_{n}") - F.col("bb2_low"), F.col("bb2_low")) * 100)
+
+
 def close_deltas(df: DataFrame) -> DataFrame:
     """Absolute changes of close and Heikin-Ashi close, and the distance of the latter from the low."""
     d = df if "ha_close" in df.columns else heikin_ashi(df)
@@ -138,12 +151,24 @@ def cci(df: DataFrame, n: int) -> DataFrame:
     return d.withColumn(f"cci_{n}", F.try_divide(F.col("_x") - F.col("_m"), 0.015 * deviation)).drop("_x", "_m", "_all")
 
 
+def ups_and_downs(change: Column, name: str) -> dict[str, Column]:
+    """Columns _u<name> and _d<name>: rises and falls, null without a change before."""
+    return {f"_u{name}": F.greatest(change, F.lit(0.0)) + change * 0, f"_d{name}": F.greatest(-change, F.lit(0.0)) + change * 0}
+
+
+def strength_steps(name: str, n: int, out: str) -> list[Step]:
+    return [Step(f"_u{out}", "wilder", f"_u{name}", n), Step(f"_d{out}", "wilder", f"_d{name}", n)]
+
+
+def strength_of(out: str) -> Column:
+    """100 * up / (up + down) of smoothed rises and falls; 50 without movement."""
+    up, both = F.col(f"_u{out}"), F.col(f"_u{out}") + F.col(f"_d{out}")
+    return F.when(both == 0, 50.0).otherwise(100 * F.try_divide(up, both))
+
+
 def strength(df: DataFrame, change: Column, n: int, out: str) -> DataFrame:
-    """100 * up / (up + down) of Wilder-smoothed changes; 50 without movement."""
-    d = df.withColumn("_c", change).withColumn("_u", F.greatest("_c", F.lit(0.0)) + F.col("_c") * 0).withColumn("_d", F.greatest(-F.col("_c"), F.lit(0.0)) + F.col("_c") * 0)
-    d = wilder(wilder(d, "_u", n, "_wu", KEYS), "_d", n, "_wd", KEYS)
-    both = F.col("_wu") + F.col("_wd")
-    return d.withColumn(out, F.when(both == 0, 50.0).otherwise(100 * F.try_divide(F.col("_wu"), both))).drop("_c", "_u", "_d", "_wu", "_wd")
+    d = recurrences(df.withColumn("_c", change).withColumns(ups_and_downs(F.col("_c"), "_")), KEYS, strength_steps("_", n, "_w"))
+    return d.withColumn(out, strength_of("_w")).drop("_c", "_u_", "_d_", "_u_w", "_d_w")
 
 
 def rsi(df: DataFrame, n: int, col: str = "close", out: str | None = None) -> DataFrame:
@@ -156,9 +181,10 @@ def rmi(df: DataFrame, n: int, mom: int = 4) -> DataFrame:
 
 def crsi(df: DataFrame) -> DataFrame:
     """(RSI 3 + RSI 2 of the changes' signs + rate of change over 100) / 3."""
-    d = df.withColumn("_sign", F.coalesce(F.signum(F.col("close") - lag("close")), F.lit(0.0)))
-    d = rsi(rsi(d, 3, out="_a"), 2, "_sign", "_b")
-    return d.withColumn("crsi", (F.col("_a") + F.col("_b") + (F.try_divide(F.col("close"), lag("close", 100)) - 1) * 100) / 3).drop("_sign", "_a", "_b")
+    d = df.withColumns({"_c": F.col("close") - lag("close"), "_r": (F.try_divide(F.col("close"), lag("close", 100)) - 1) * 100}).withColumn("_s", F.coalesce(F.signum("_c"), F.lit(0.0)))
+    d = d.withColumns(ups_and_downs(F.col("_c"), "_a")).withColumns(ups_and_downs(F.col("_s") - lag("_s"), "_b"))
+    d = recurrences(d, KEYS, [*strength_steps("_a", 3, "_wa"), *strength_steps("_b", 2, "_wb")])
+    return d.withColumn("crsi", (strength_of("_wa") + strength_of("_wb") + F.col("_r")) / 3).select(*df.columns, "crsi")
 
 
 def stochastic_rsi(df: DataFrame, n: int = 15, k: int = 20) -> DataFrame:
@@ -195,11 +221,14 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
     up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
     d = df.withColumn("_tr", true_range()).withColumn("_up", up).withColumn("_dn", down)
     d = d.withColumn("_pdm", F.when(F.col("_up").isNull(), None).when((F.col("_up") > F.col("_dn")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)).withColumn("_mdm", F.when(F.col("_up").isNull(), None).when((F.col("_dn") > F.col("_up")) & (F.col("_dn") > 0), F.col("_dn")).otherwise(0.0))
-    for c in ("_tr", "_pdm", "_mdm"):
-        d = wilder(d, c, n, f"{c}w", KEYS)
+    d = recurrences(d, KEYS, [Step(f"{c}w", "wilder", c, n) for c in ("_tr", "_pdm", "_mdm")])
+    return wilder(d.withColumn("_dx", direction()), "_dx", n, "adx", KEYS).select(*df.columns, "adx")
+
+
+def direction() -> Column:
+    """Directional index of smoothed movements _pdmw and _mdmw over the smoothed range _trw."""
     plus, minus = F.try_divide(F.col("_pdmw"), F.col("_trw")), F.try_divide(F.col("_mdmw"), F.col("_trw"))
-    d = d.withColumn("_dx", F.when(F.col("_trw").isNotNull(), F.coalesce(100 * F.try_divide(F.abs(plus - minus), plus + minus), F.lit(0.0))))
-    return wilder(d, "_dx", n, "adx", KEYS).drop("_tr", "_up", "_dn", "_pdm", "_mdm", "_trw", "_pdmw", "_mdmw", "_dx")
+    return F.when(F.col("_trw").isNotNull(), F.coalesce(100 * F.try_divide(F.abs(plus - minus), plus + minus), F.lit(0.0)))
 
 
 def keltner(df: DataFrame, n: int, k: float) -> DataFrame:
@@ -237,14 +266,18 @@ def momentum_divergence(df: DataFrame, n: int = 10, bands: int = 20, lookback: i
     }).drop("_m", "_b_mid", "_b_low", "_b_up")
 
 
+def t3_steps(n: int) -> list[Step]:
+    return [Step(f"_t{k}", "ema", f"_t{k - 1}" if k > 1 else "close", n) for k in range(1, 7)]
+
+
+def t3_of(b: float = 0.7) -> Column:
+    weights = (-(b**3), 3 * b * b + 3 * b**3, -6 * b * b - 3 * b - 3 * b**3, 1 + 3 * b + b**3 + 3 * b * b)
+    return sum((w * F.col(f"_t{6 - k}") for k, w in enumerate(weights)), F.lit(0.0))
+
+
 def t3(df: DataFrame, n: int = 5, b: float = 0.7) -> DataFrame:
     """Tillson's average: six nested averages."""
-    d = df.withColumn("_t0", F.col("close"))
-    for k in range(1, 7):
-        d = ema(d, f"_t{k - 1}", n, f"_t{k}", KEYS)
-    weights = (-(b**3), 3 * b * b + 3 * b**3, -6 * b * b - 3 * b - 3 * b**3, 1 + 3 * b + b**3 + 3 * b * b)
-    value = sum((w * F.col(f"_t{6 - k}") for k, w in enumerate(weights)), F.lit(0.0))
-    return d.withColumn("t3", value).drop(*[f"_t{k}" for k in range(7)])
+    return recurrences(df, KEYS, t3_steps(n)).withColumn("t3", t3_of(b)).select(*df.columns, "t3")
 
 
 def dump_guard(df: DataFrame) -> DataFrame:
@@ -265,7 +298,7 @@ def moving_average(df: DataFrame, kind: str, n: int, out: str) -> DataFrame:
         d = df.withColumn("_all", F.collect_list("close").over(frame(n)))
         total = F.aggregate(F.zip_with("_all", F.sequence(F.lit(1), F.size("_all")), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
         return d.withColumn(out, F.when(F.size("_all") == n, total / (n * (n + 1) / 2))).drop("_all")
-    d = ema(ema(ema(df, "close", n, "_1", KEYS), "_1", n, "_2", KEYS), "_2", n, "_3", KEYS)
+    d = recurrences(df, KEYS, [Step("_1", "ema", "close", n), Step("_2", "ema", "_1", n), Step("_3", "ema", "_2", n)])
     one, two, three = (F.col(f"_{k}") for k in (1, 2, 3))
     value = {"ema": one, "dema": 2 * one - two, "zlema": one + (one - two), "tema": 3 * one - 3 * two + three}[kind]
     return d.withColumn(out, value).drop("_1", "_2", "_3")

@@ -1,33 +1,16 @@
 """The profit maximiser: a trend line that follows one of two ratcheting bands.
 
 Each band depends on its own last value and on comparisons with the average, so it is no linear
-recurrence; a series is folded in order within one task.
+recurrence; it is a step of the pass along a series, which keeps only the bands from batch to batch.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.indicators import KEYS, atr, moving_average
-
-
-def fold(average: np.ndarray, wide: np.ndarray, period: int) -> np.ndarray:
-    """The line of one series: 0 before it starts, from an average and a half width that may begin with NaN."""
-    line = np.zeros(len(average))
-    top = bottom = 0.0
-    on_top = True
-    for k in range(period, len(average)):
-        x, before = average[k], average[k - 1]
-        if x + wide[k] < top or before > top:
-            top = x + wide[k]
-        if x - wide[k] > bottom or before < bottom:
-            bottom = x - wide[k]
-        on_top = x <= top if on_top else not x >= bottom
-        line[k] = top if on_top else bottom
-    return line
+from tickloom.functions.scan import Step, recurrences
 
 
 def pmax(df: DataFrame, kind: str = "ema", length: int = 9, multiplier: int = 27, period: int = 10, source: int = 3) -> DataFrame:
@@ -35,12 +18,6 @@ def pmax(df: DataFrame, kind: str = "ema", length: int = 9, multiplier: int = 27
     x = {1: F.col("close"), 2: (F.col("high") + F.col("low")) / 2, 3: (F.col("high") + F.col("low") + F.col("close") + F.col("open")) / 4}[source]
     d = atr(df, period).withColumn("_close", F.col("close")).withColumn("close", x)
     d = moving_average(d, kind, length, "_average").withColumn("close", F.col("_close")).drop("_close")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time")
-        average = pdf["_average"].to_numpy(float)
-        line = fold(average, multiplier / 10 * pdf[f"atr_{period}"].to_numpy(float), period)
-        return pdf.assign(pm=line, pmx=np.where(line > 0, np.where(average < line, "down", "up"), None))
-
-    schema = f"{', '.join(f'`{c}` {kind_}' for c, kind_ in d.dtypes)}, pm double, pmx string"
-    return d.groupBy(*KEYS).applyInPandas(one, schema).drop("_average", "trange", f"atr_{period}")
+    d = recurrences(d.withColumn("_wide", F.col(f"atr_{period}") * (multiplier / 10)), KEYS, [Step("pm", "trail", "_average", period, wide="_wide")])
+    side = F.when(F.col("pm") > 0, F.when(F.col("_average") < F.col("pm"), "down").otherwise("up"))
+    return d.withColumn("pmx", side).select(*df.columns, "pm", "pmx")

@@ -1,71 +1,191 @@
-"""Linear recurrences along a series, s_i = q * s_(i-1) + b_i, as windows.
+"""Recurrences along a series: averages that depend on their own last value, all in one pass.
 
-Bars are cut into chunks. Within a chunk the recurrence is a scaled prefix sum, which can't
-overflow over so few bars; the totals of the chunks before are folded into the chunk's carry; a
-bar's value is its chunk's part plus the decayed carry. Everything is clustered by the series, so a
-recurrence costs one shuffle, or none where the table is dealt that way already, and nested
-recurrences add up instead of multiplying. Only one row for each chunk holds more than a bar.
+The rows of a series are brought together and sorted once; a task then goes through them batch by
+batch and keeps nothing but the last value of each recurrence, so a series of any length takes
+bounded memory and nothing is forgotten. Within a batch a linear recurrence s_i = q * s_(i-1) + b_i is
+a scaled prefix sum over short chunks, in numpy, with the chunks' last values carried on. A step may
+read the result of a step before it, so nested averages need no further pass. Warm-up values are
+null, never NaN.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bars of a chunk: the powers of q over it stay within double precision's range.
 CHUNK = 128
-#: Chunks that a carry reaches back: over 131,072 bars the weight of a value is below double precision for periods up to 6,000.
-REACH = 1024
-
-
-def linear_scan(df: DataFrame, keys: list[str], order: str, q: Column | float, b: Column, out: str) -> DataFrame:
-    """df with the recurrence's values as ``out``. q is constant within the keys; a null b counts as 0, and bars before the first non-null b get null."""
-    q = q if isinstance(q, Column) else F.lit(float(q))
-    columns = [c for c in df.columns if c != out]
-    series = Window.partitionBy(*keys).orderBy(order)
-    d = df.withColumns({"_b": b.cast("double"), "_q": q.cast("double"), "_n": F.row_number().over(series) - 1})
-    d = d.withColumns({"_chunk": F.floor(F.col("_n") / CHUNK), "_j": F.col("_n") % CHUNK, "_begun": F.max(F.col("_b").isNotNull()).over(series.rowsBetween(Window.unboundedPreceding, 0))})
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    decay = F.pow("_q", F.col("_j"))
-    plain = F.coalesce("_b", F.lit(0.0))
-    d = d.withColumn("_part", F.when(F.col("_q") > 0, F.sum(plain / F.when(F.col("_q") > 0, decay)).over(inside) * decay).otherwise(plain))
-    rest = [c for c in columns if c not in keys]
-    chunks = d.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(*rest, "_j", "_begun", "_part")).alias("_rows"), F.max_by("_part", "_n").alias("_total"), F.first("_q").alias("_q"))
-    before = F.collect_list("_total").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-REACH, -1))
-    chunks = chunks.withColumn("_before", before)
-    carry = F.aggregate("_before", F.lit(0.0), lambda s, x: s * F.pow(F.col("_q"), F.lit(CHUNK)) + x)
-    d = chunks.withColumn("_carry", carry).select(*keys, "_q", "_carry", F.explode("_rows").alias("_r")).select(*keys, "_q", "_carry", "_r.*")
-    value = F.when(F.col("_begun"), F.col("_part") + F.pow("_q", F.col("_j") + 1) * F.col("_carry"))
-    return d.select(*columns, value.alias(out))
-
-
-def place_from_first(keys: list[str], order: str, x: Column) -> Column:
-    """1 at the first bar with a non-null x, 2 at the next, and so on; 0 before."""
-    return F.count(F.when(x.isNotNull(), 1)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def ema(df: DataFrame, col: str, period: Column | int, out: str, keys: list[str], order: str = "time") -> DataFrame:
-    """Exponential moving average: alpha = 2 / (period + 1), seeded with the first value; null for the first period - 1 values and for period 0.
-
-    The column may begin with nulls (an average of an average does)."""
-    p = period if isinstance(period, Column) else F.lit(int(period))
-    alpha = 2 / (p + 1)
-    d = df.withColumn("_place", place_from_first(keys, order, F.col(col))).withColumn("_p", p)
-    b = F.when(F.col("_place") == 1, F.col(col)).otherwise(F.col(col) * alpha)
-    d = linear_scan(d, keys, order, F.when(p > 0, 1 - alpha).otherwise(F.lit(0.0)), b, "_ema")
-    return d.withColumn(out, F.when((F.col("_p") > 0) & (F.col("_place") >= F.col("_p")), F.col("_ema"))).drop("_ema", "_place", "_p")
+
+
+@dataclass(frozen=True)
+class Step:
+    """A recurrence over column x (of the table, or of a step before).
+
+    ema: alpha = 2 / (n + 1), seeded with the first value, null for the first n - 1 values and for n = 0.
+    wilder: seeded with the mean of the first n values, then s + (x - s) / n, null before the seed.
+    linear: q * s + x, null before the first value.
+    trail: the line that follows one of two ratcheting bands, x the average and wide their distance from it; 0 for the first n bars.
+
+    Values may begin with nulls; later ones count as 0 (trail: as no number, which fails every comparison)."""
+
+    out: str
+    kind: str
+    x: str
+    n: int = 0
+    q: float = 0.0
+    wide: str = ""
+
+    @property
+    def reads(self) -> list[str]:
+        return [self.x, self.wide] if self.wide else [self.x]
+
+
+def run_linear(b: np.ndarray, q: float, s: float) -> np.ndarray:
+    """s_i = q * s_(i-1) + b_i for all i, s before the first."""
+    if q == 0 or not len(b):
+        return b
+    chunks = -(-len(b) // CHUNK)
+    padded = np.zeros(chunks * CHUNK)
+    padded[: len(b)] = b
+    decay = q ** np.arange(CHUNK)
+    part = np.cumsum(padded.reshape(chunks, CHUNK) / decay, axis=1) * decay
+    carry, whole = np.empty(chunks), q**CHUNK
+    for k, last in enumerate(part[:, -1].tolist()):
+        carry[k] = s
+        s = whole * s + last
+    return (part + carry[:, None] * (decay * q)).ravel()[: len(b)]
+
+
+class Linear:
+    """The state of one ema, wilder or linear step along a series."""
+
+    def __init__(self, step: Step):
+        self.step, self.seen, self.sum, self.last = step, 0, 0.0, 0.0
+        n = step.n
+        self.q = {"ema": 1 - 2 / (n + 1), "wilder": 1 - 1 / max(1, n), "linear": step.q}[step.kind]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        step, there = self.step, ~np.isnan(x)
+        place = self.seen + np.cumsum(there)
+        b = np.where(there, x, 0.0)
+        if step.kind == "ema":
+            b = np.where(place == 1, b, b * (1 - self.q))
+            shown = (place >= max(1, step.n)) & (step.n > 0)
+        elif step.kind == "wilder":
+            early = place < step.n
+            at = int(np.argmax(place == step.n)) if step.n > self.seen and (place == step.n).any() else -1
+            first = self.sum + b[: at + 1].sum() if at >= 0 else 0.0
+            self.sum += b[early].sum()
+            b = np.where(early, 0.0, b / step.n)
+            if at >= 0:
+                b[at] = first / step.n
+            shown = ~early
+        else:
+            shown = place >= 1
+        value = run_linear(b, self.q, self.last)
+        if len(x):
+            self.seen, self.last = int(place[-1]), float(value[-1])
+        return np.where(shown, value, np.nan)
+
+
+class Trail:
+    """The state of a trail step: both bands, the one that is followed, and the average before."""
+
+    def __init__(self, step: Step):
+        self.n, self.bar, self.top, self.bottom, self.on_top, self.before = step.n, 0, 0.0, 0.0, True, np.nan
+
+    def __call__(self, average: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        line = np.zeros(len(average))
+        for k, (x, w) in enumerate(zip(average.tolist(), wide.tolist(), strict=True)):
+            if self.bar >= self.n:
+                if x + w < self.top or self.before > self.top:
+                    self.top = x + w
+                if x - w > self.bottom or self.before < self.bottom:
+                    self.bottom = x - w
+                self.on_top = x <= self.top if self.on_top else not x >= self.bottom
+                line[k] = self.top if self.on_top else self.bottom
+            self.bar, self.before = self.bar + 1, x
+        return line
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """Doubles, NaN for null."""
+    return column.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+
+
+def segments(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        codes = batch[key].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
+def recurrences(df: DataFrame, keys: list[str], steps: list[Step], order: str = "time") -> DataFrame:
+    """df with a column for each step."""
+    outs = [s.out for s in steps]
+    rest = df.drop(*outs)
+    sources = sorted({c for s in steps for c in s.reads} - set(outs))
+
+    def run(batches):
+        current, state = None, {}
+        for batch in batches:
+            bounds = segments(batch, keys)
+            x = {c: numbers(batch[c]) for c in sources}
+            found = {c: np.empty(batch.num_rows) for c in outs}
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                key = tuple(batch[k][a].as_py() for k in keys)
+                if key != current:
+                    current, state = key, {s.out: Trail(s) if s.kind == "trail" else Linear(s) for s in steps}
+                for s in steps:
+                    found[s.out][a:b] = state[s.out](*((found if c in found else x)[c][a:b] for c in s.reads))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], pa.float64(), from_pandas=True) for c in outs)], names=[*batch.schema.names, *outs])
+
+    schema = T.StructType([*rest.schema.fields, *(T.StructField(c, T.DoubleType()) for c in outs)])
+    return rest.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def linear_scan(df: DataFrame, keys: list[str], order: str, q: float, b: Column, out: str) -> DataFrame:
+    return recurrences(df.withColumn("_b", b.cast("double")), keys, [Step(out, "linear", "_b", q=q)], order).drop("_b")
+
+
+def ema(df: DataFrame, col: str, period: int, out: str, keys: list[str], order: str = "time") -> DataFrame:
+    return recurrences(df, keys, [Step(out, "ema", col, period)], order)
 
 
 def wilder(df: DataFrame, col: str, period: int, out: str, keys: list[str], order: str = "time") -> DataFrame:
-    """Wilder smoothing: seeded with the mean of the first period values, then s + (x - s) / period; null before the seed."""
-    d = df.withColumn("_place", place_from_first(keys, order, F.col(col)))
-    first = F.avg(col).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(period - 1), 0))
-    d = d.withColumn("_first", first)
-    b = F.when(F.col("_place") == period, F.col("_first")).when(F.col("_place") > period, F.col(col) / period)
-    return linear_scan(d, keys, order, 1 - 1 / period, b, out).drop("_place", "_first")
+    return recurrences(df, keys, [Step(out, "wilder", col, period)], order)
+
+
+#: Periods of a grid that one task makes.
+PERIODS = 16
 
 
 def ema_grid(df: DataFrame, p_min: int, p_max: int, keys: list[str], order: str = "time", col: str = "close") -> DataFrame:
-    """A row for each bar and each period from p_min to p_max, with its ema; periods multiply the parallelism."""
-    spark = df.sparkSession
-    periods = spark.range(p_min, p_max + 1).select(F.col("id").cast("int").alias("period"))
-    return ema(df.crossJoin(F.broadcast(periods)), col, F.col("period"), "ema", [*keys, "period"], order)
+    """A row for each bar and each period from p_min to p_max, with its ema; a series is dealt to a task for each PERIODS periods."""
+    starts = F.explode(F.sequence(F.lit(p_min), F.lit(p_max), F.lit(PERIODS)))
+    own, names = [*keys, "_from"], [*df.columns, "period", "ema"]
+
+    def run(batches):
+        current, state = None, {}
+        for batch in batches:
+            bounds, x = segments(batch, own), numbers(batch[col])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                key = tuple(batch[k][a].as_py() for k in own)
+                if key != current:
+                    current, state = key, {p: Linear(Step("", "ema", col, p)) for p in range(key[-1], min(p_max + 1, key[-1] + PERIODS))}
+                rows = batch.slice(a, b - a)
+                for p, step in state.items():
+                    yield pa.RecordBatch.from_arrays([*rows.drop_columns(["_from"]).columns, pa.array(np.full(b - a, p, np.int32)), pa.array(step(x[a:b]), pa.float64(), from_pandas=True)], names=names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("period", T.IntegerType()), T.StructField("ema", T.DoubleType())])
+    if p_max < p_min:
+        return df.withColumns({"period": F.lit(None).cast("int"), "ema": F.lit(None).cast("double")}).limit(0)
+    return df.withColumn("_from", starts).repartition(*own).sortWithinPartitions(*own, order).mapInArrow(run, schema)

@@ -1,4 +1,10 @@
-"""Signals, positions, equity and run summaries as windows over (symbol, level, parameters).
+"""Signals, positions, equity and run summaries.
+
+Two layouts give the same scores. The relational one, ``runs``, has a row for each bar and run, with
+windows over (symbol, level, parameters); it takes any strategy and shows every bar. The array one
+takes strategies that deal their parameters out in tiles: a task gets the arrays of a series' prices
+and a tile, makes each average of the tile once, and gives one row for each run; only those rows are
+shuffled. A series' opens and closes must fit in a task: 16 bytes a bar.
 
 A position follows the last signal that isn't hold, one bar later; every bar's growth factor comes
 from its own and the previous bar alone, and equity is the running product of the factors, as a sum
@@ -9,10 +15,12 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scan import ema_grid
+from tickloom.functions.scan import Linear, Step, ema_grid
 from tickloom.operators.build import periods_per_year
 from tickloom.operators.joins import pair_emas
 
@@ -52,14 +60,35 @@ def period_grid(spark: SparkSession, least: int, most: int) -> DataFrame:
     return spark.range(least, most + 1).select(F.col("id").cast("int").alias("period"))
 
 
+#: Periods on a side of a tile of averages.
+TILE = 32
+
+
+def ema_values(close: np.ndarray, period: int) -> np.ndarray:
+    """The ema of a whole series, NaN in its warm-up."""
+    return Linear(Step("", "ema", "", period))(close)
+
+
+def followed(above: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Whether the last signal up to each bar that isn't hold was to enter; ``equal`` bars hold."""
+    if not equal.any():
+        return above
+    last = np.maximum.accumulate(np.where(equal, -1, np.arange(len(above))))
+    return (last >= 0) & above[last]
+
+
 class DoubleEma:
+    """A fast and a slow average: all pairs with fast < slow of a range, or given ones."""
+
     name, params = "double_ema", ["fast", "slow"]
 
-    def __init__(self, fast_min: int = 5, slow_min: int = 6, most: int = 600):
-        self.range = fast_min, slow_min, most
+    def __init__(self, fast_min: int = 5, slow_min: int = 6, most: int = 600, pairs: list[tuple[int, int]] | None = None):
+        if pairs:
+            fast_min, slow_min, most = min(f for f, _ in pairs), min(s for _, s in pairs), max(s for _, s in pairs)
+        self.range, self.pairs = (fast_min, slow_min, most), pairs
 
     def grid(self, spark: SparkSession) -> DataFrame:
-        return pair_grid(spark, *self.range)
+        return spark.createDataFrame(self.pairs, "fast int, slow int") if self.pairs else pair_grid(spark, *self.range)
 
     def indicators(self, candles: DataFrame) -> DataFrame:
         own = candles.select(*SERIES, "time", "open", "close")
@@ -71,8 +100,28 @@ class DoubleEma:
     def text(self) -> Column:
         return F.format_string("fast=%d,slow=%d", "fast", "slow")
 
+    def tiles(self) -> list[list[tuple[int, int]]]:
+        """The pairs, in tiles of TILE by TILE periods."""
+        first, least, most = self.range
+        if self.pairs:
+            return [self.pairs[k : k + TILE] for k in range(0, len(self.pairs), TILE)]
+        corners = [(f, s) for f in range(first, most + 1, TILE) for s in range(least, most + 1, TILE)]
+        found = [[(x, y) for x in range(f, min(f + TILE, most + 1)) for y in range(max(s, x + 1), min(s + TILE, most + 1))] for f, s in corners]
+        return [t for t in found if t]
+
+    def follow(self, close: np.ndarray, tile: list[tuple[int, int]]):
+        """(parameters, whether each bar's last signal is to enter) of each pair of a tile."""
+        made = {p: ema_values(close, p) for p in {p for pair in tile for p in pair}}
+        for fast, slow in tile:
+            x, y = made[fast], made[slow]
+            equal = np.zeros(len(close), bool)
+            equal[slow - 1 :] = x[slow - 1 :] == y[slow - 1 :]
+            yield (fast, slow), followed(x > y, equal)
+
 
 class SingleEma:
+    """The price against one average."""
+
     name, params = "single_ema", ["period"]
 
     def __init__(self, least: int = 5, most: int = 600):
@@ -90,6 +139,15 @@ class SingleEma:
     def text(self) -> Column:
         return F.format_string("period=%d", "period")
 
+    def tiles(self) -> list[list[tuple[int]]]:
+        every = [(p,) for p in range(self.range[0], self.range[1] + 1)]
+        return [every[k : k + TILE] for k in range(0, len(every), TILE)]
+
+    def follow(self, close: np.ndarray, tile: list[tuple[int]]):
+        for (period,) in tile:
+            average = ema_values(close, period)
+            yield (period,), followed(close > average, close == average)
+
 
 def positions(df: DataFrame, signal: Column, keys: list[str], order: str = "time") -> DataFrame:
     """df with ``held`` (0 or 1): the position in each bar; the first bar is flat."""
@@ -141,12 +199,79 @@ def runs(candles: DataFrame, strategy: Strategy, fee: float, capital: float) ->
     return equity(growth(positions(d, strategy.signal(), keys), fee, keys), capital, keys)
 
 
-def backtest(candles: DataFrame, strategy: Strategy, level: str, fee: float = 0.0015, capital: float = 1000.0) -> DataFrame:
-    """One row for each series and parameter row: final value, drawdown in percent, Sharpe ratio, bars."""
+def relational_scores(candles: DataFrame, strategy: Strategy, level: str, fee: float, capital: float) -> DataFrame:
     d = runs(candles.where(F.col("level") == level), strategy, fee, capital)
     return d.groupBy(*SERIES, *strategy.params).agg(F.max_by("value", "time").alias("final_value"), max_drawdown().alias("max_dd"), sharpe("ret", periods_per_year(level)).alias("sharpe"), F.count("*").alias("bars"))
 
 
+class Scorer:
+    """Scores runs over one series from the positions alone.
+
+    Sums of returns and their squares between an entry and an exit are differences of prefix sums; only the drawdown needs the value of every bar."""
+
+    def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, capital: float, per_year: int):
+        self.n, self.capital, self.per_year = len(closes), capital, per_year
+        before = np.concatenate([closes[:1], closes[:-1]])
+        enter, leave, stay = (1 - fee) * closes / opens, (1 - fee) * opens / before, closes / before
+        self.logs = np.log(enter), np.log(leave), np.log(stay)
+        self.enter, self.leave = enter - 1, leave - 1
+        self.sums = [np.concatenate([[0.0], np.cumsum((stay - 1) ** k)]) for k in (1, 2)]
+
+    def __call__(self, follow: np.ndarray) -> tuple[float, float, float]:
+        """(final value, drawdown in percent, Sharpe ratio) of positions that follow each bar's signal one bar later."""
+        n = self.n
+        held = np.zeros(n, bool)
+        held[1:] = follow[:-1]
+        change = np.flatnonzero(held[1:] != held[:-1]) + 1
+        into, out = change[::2], change[1::2]
+        if not len(into):
+            return self.capital, 0.0, 0.0
+        grown = np.where(held, self.logs[2], 0.0)
+        grown[into], grown[out] = self.logs[0][into], self.logs[1][out]
+        value = np.cumsum(grown)
+        fall = np.maximum.accumulate(value)
+        np.subtract(value, fall, out=fall)
+        end = out if len(out) == len(into) else np.append(out, n)
+        a, b = self.enter[into], self.leave[out]
+        one, two = ((s[end] - s[into + 1]).sum() + (a**k).sum() + (b**k).sum() for k, s in enumerate(self.sums, 1))
+        ratio = 0.0
+        if n > 2 and self.per_year > 0:
+            mean = one / (n - 1)
+            sd = np.sqrt(max(0.0, (two - (n - 1) * mean * mean) / (n - 2)))
+            ratio = mean / sd * np.sqrt(self.per_year) if sd > 1e-15 else 0.0
+        return self.capital * float(np.exp(value[-1])), float(-np.expm1(fall.min()) * 100), float(ratio)
+
+
+def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float) -> DataFrame:
+    tiles, per_year = strategy.tiles(), periods_per_year(level)
+    bars = F.sort_array(F.collect_list(F.struct("time", "open", "close")))
+    arrays = candles.where(F.col("level") == level).groupBy(*SERIES).agg(bars.alias("b")).select(*SERIES, F.col("b.open").alias("open"), F.col("b.close").alias("close"))
+    spark = candles.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(tiles), 10_000))
+    dealt = arrays.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(len(tiles) - 1)))).repartition(tasks, *SERIES, "tile")
+
+    def run(batches):
+        held, scorer = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                symbol, own_level, opens, closes, tile = (batch.column(c)[k] for c in range(5))
+                opens, closes = (numbers.values.to_numpy(zero_copy_only=False) for numbers in (opens, closes))
+                if held != (symbol, own_level):
+                    held, scorer = (symbol, own_level), Scorer(opens, closes, fee, capital, per_year)
+                found = [(params, scorer(follow)) for params, follow in strategy.follow(closes, tiles[tile.as_py()])]
+                n = len(found)
+                names = [[symbol.as_py()] * n, [own_level.as_py()] * n]
+                columns = [pa.array(x, pa.string()) for x in names] + [pa.array(x, pa.int32()) for x in zip(*(p for p, _ in found), strict=True)] + [pa.array(x, pa.float64()) for x in zip(*(x for _, x in found), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(closes)] * n, pa.int64())], names=[*SERIES, *strategy.params, "final_value", "max_dd", "sharpe", "bars"])
+
+    return dealt.mapInArrow(run, f"symbol string, level string, {', '.join(f'{p} int' for p in strategy.params)}, final_value double, max_dd double, sharpe double, bars long")
+
+
+def backtest(candles: DataFrame, strategy: Strategy, level: str, fee: float = 0.0015, capital: float = 1000.0) -> DataFrame:
+    """One row for each series and parameter row: final value, drawdown in percent, Sharpe ratio, bars."""
+    return (array_scores if hasattr(strategy, "tiles") else relational_scores)(candles, strategy, level, fee, capital)
+
+
 def rank(scores: DataFrame, params: list[str], k: int) -> DataFrame:
     """The k best rows of each series: finite Sharpe ratios first, then Sharpe, final value, and the parameters in order."""
     finite = F.col("sharpe").isNotNull() & ~F.isnan("sharpe") & (F.abs("sharpe") < float("inf"))

@@ -20,14 +20,23 @@ def asof_merge(base: DataFrame, coarse: DataFrame, columns: list[str], suffix: s
     return both.where("_side = 1").select("_row.*", "_seen.*")
 
 
+#: Parameter rows that are sent to every task; more of them are dealt by shuffling.
+MOST_BROADCAST = 1 << 20
+
+
+def small(params: DataFrame) -> DataFrame:
+    """params, to be broadcast if they are few: they are counted first."""
+    return F.broadcast(params) if params.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else params
+
+
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Every bar with every parameter row; parameter grids are small."""
-    return df.crossJoin(F.broadcast(params))
+    """Every bar with every parameter row."""
+    return df.crossJoin(small(params))
 
 
 def pair_emas(grid: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     """Each bar with the fast and the slow average of each parameter row (fast, slow); grid has (keys, time, period, ema)."""
-    sides = F.broadcast(params.select(F.posexplode(F.array("fast", "slow")).alias("side", "period"), "fast", "slow"))
+    sides = small(params.select(F.posexplode(F.array("fast", "slow")).alias("side", "period"), "fast", "slow"))
     own = grid.join(sides, "period")
     rest = [c for c in grid.columns if c not in (*keys, "time", "period", "ema")]
     return own.groupBy(*keys, "fast", "slow", "time").agg(*[F.first(c).alias(c) for c in rest], F.max(F.when(F.col("side") == 0, F.col("ema"))).alias("ema_fast"), F.max(F.when(F.col("side") == 1, F.col("ema"))).alias("ema_slow"))

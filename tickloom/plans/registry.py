@@ -309,11 +309,7 @@ _SIG = f"""{HOURLY}, {BARS}, {ema_sql(f'[{FAST}, {SLOW}]')},
 
 
 def one_pair() -> bt.DoubleEma:
-    class Pair(bt.DoubleEma):
-        def grid(self, spark):
-            return spark.createDataFrame([(FAST, SLOW)], "fast int, slow int")
-
-    return Pair(FAST, SLOW, SLOW)
+    return bt.DoubleEma(pairs=[(FAST, SLOW)])
 
 
 def in_logs(scores: DataFrame) -> DataFrame:
