@@ -202,3 +202,45 @@ def test_candle_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("bars").orderBy("time").collect()
     assert [(r["open"], r["close"], r["volume"]) for r in got][:3] == [(1, 59, 3), (61, 119, 3), (121, 179, 3)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 40, 400])
+def test_array_and_relational_scores(spark, n):
+    """Both layouts score alike, ties of averages and flat stretches included."""
+    closes = walk(n, n)
+    closes[5:12] = closes[5:6] * len(closes[5:12])
+    d = series(spark, closes, [round(c * (1 + (k % 5 - 2) / 300), 2) for k, c in enumerate(closes)])
+    d = d.unionByName(series(spark, walk(n, 9), symbol="C-D")).unionByName(series(spark, [50.0] * n, symbol="E-F"))
+    for strategy in (bt.DoubleEma(1, 2, 9), bt.SingleEma(1, 7), bt.DoubleEma(pairs=[(3, 8), (2, 5)])):
+        one = {tuple(r[c] for c in ("symbol", *strategy.params)): r for r in bt.backtest(d, strategy, "1h").collect()}
+        two = {tuple(r[c] for c in ("symbol", *strategy.params)): r for r in bt.relational_scores(d, strategy, "1h", 0.0015, 1000.0).collect()}
+        assert one.keys() == two.keys() and len(one) >= 6
+        for k, r in one.items():
+            assert r["bars"] == two[k]["bars"] == n
+            for c in ("final_value", "max_dd", "sharpe"):
+                assert r[c] == pytest.approx(two[k][c], rel=1e-9, abs=1e-9), (k, c)
+
+
+def test_every_default_pair_is_in_a_tile():
+    pairs = [p for t in bt.DoubleEma().tiles() for p in t]
+    assert len(pairs) == len(set(pairs)) == 177_310 and max(map(len, bt.DoubleEma().tiles())) <= bt.TILE**2
+
+
+def test_best_of_a_sweep_is_the_same_twice(spark):
+    closes = [100 + 20 * math.sin(k / 30) for k in range(200)]
+    d = series(spark, closes, [c + 0.5 for c in closes], [60_000 * k for k in range(200)])
+    best = [bt.rank(bt.backtest(x, bt.DoubleEma(3, 4, 8), "1h"), ["fast", "slow"], 1).first() for x in (d, d.repartition(5))]
+    assert best[0] == best[1]
+
+
+def test_long_memory(spark):
+    """An average over 50,000 bars of a series of 300,000 forgets nothing."""
+    n, p = 300_000, 50_000
+    d = spark.range(n).select(F.lit("A-B").alias("symbol"), F.lit("1m").alias("level"), F.col("id").alias("time"), (F.when(F.col("id") < 1000, 1e6).otherwise(1.0) + F.col("id") % 7).alias("close"))
+    got = ema(d, "close", p, "e", KEYS).where(f"time in ({p - 2}, {p - 1}, {n - 1})").orderBy("time").collect()
+    e, want = None, []
+    for k in range(n):
+        x = (1e6 if k < 1000 else 1.0) + k % 7
+        e = x if e is None else e + 2 / (p + 1) * (x - e)
+        want.append(e)
+    assert got[0]["e"] is None and [r["e"] for r in got[1:]] == pytest.approx([want[p - 1], want[n - 1]], rel=1e-9)

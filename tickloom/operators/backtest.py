@@ -114,9 +114,7 @@ class DoubleEma:
         made = {p: ema_values(close, p) for p in {p for pair in tile for p in pair}}
         for fast, slow in tile:
             x, y = made[fast], made[slow]
-            equal = np.zeros(len(close), bool)
-            equal[slow - 1 :] = x[slow - 1 :] == y[slow - 1 :]
-            yield (fast, slow), followed(x > y, equal)
+            yield (fast, slow), followed(x > y, x == y)  # NaN compares as neither, and nothing is held before
 
 
 class SingleEma:
@@ -205,33 +203,45 @@ def relational_scores(candles: DataFrame, strategy: Strategy, level: str, fee: f
 
 
 class Scorer:
-    """Scores runs over one series from the positions alone.
+    """Scores runs over one series from the bars in which the position changes.
 
-    Sums of returns and their squares between an entry and an exit are differences of prefix sums; only the drawdown needs the value of every bar."""
+    Between an entry and an exit the value goes with the close, so sums of returns and of their squares are differences of prefix sums,
+    and the value's extremes are those of the close. A fall within one trade is followed bar by bar only where the trade's range exceeds the deepest fall found."""
 
     def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, capital: float, per_year: int):
         self.n, self.capital, self.per_year = len(closes), capital, per_year
         before = np.concatenate([closes[:1], closes[:-1]])
-        enter, leave, stay = (1 - fee) * closes / opens, (1 - fee) * opens / before, closes / before
-        self.logs = np.log(enter), np.log(leave), np.log(stay)
-        self.enter, self.leave = enter - 1, leave - 1
-        self.sums = [np.concatenate([[0.0], np.cumsum((stay - 1) ** k)]) for k in (1, 2)]
+        self.enter, self.leave = (1 - fee) * closes / opens - 1, (1 - fee) * opens / before - 1
+        self.close, self.log_enter, self.log_leave = np.log(closes), np.log1p(self.enter), np.log1p(self.leave)
+        self.sums = [np.concatenate([[0.0], np.cumsum((closes / before - 1) ** k)]) for k in (1, 2)]
 
     def __call__(self, follow: np.ndarray) -> tuple[float, float, float]:
         """(final value, drawdown in percent, Sharpe ratio) of positions that follow each bar's signal one bar later."""
         n = self.n
-        held = np.zeros(n, bool)
-        held[1:] = follow[:-1]
-        change = np.flatnonzero(held[1:] != held[:-1]) + 1
+        change = np.flatnonzero(follow[1:-1] != follow[:-2]) + 2
+        if n > 1 and follow[0]:
+            change = np.concatenate([[1], change])
         into, out = change[::2], change[1::2]
         if not len(into):
             return self.capital, 0.0, 0.0
-        grown = np.where(held, self.logs[2], 0.0)
-        grown[into], grown[out] = self.logs[0][into], self.logs[1][out]
-        value = np.cumsum(grown)
-        fall = np.maximum.accumulate(value)
-        np.subtract(value, fall, out=fall)
         end = out if len(out) == len(into) else np.append(out, n)
+        # logarithms of the value: when a trade begins, less the close's while it lasts, when it has ended
+        gain = self.log_enter[into] + self.close[end - 1] - self.close[into]
+        gain[: len(out)] += self.log_leave[out]
+        after = np.cumsum(gain)
+        offset = after - gain + self.log_enter[into] - self.close[into]
+        bounds = np.column_stack([into, end]).ravel()
+        bounds = bounds[:-1] if bounds[-1] == n else bounds
+        high, low = (f.reduceat(self.close, bounds)[::2] for f in (np.maximum, np.minimum))
+        top = np.maximum(offset + high, after)
+        peak = np.maximum.accumulate(np.concatenate([[0.0], top]))[:-1]
+        fall = max(0.0, float((peak - offset - low).max()), float((np.maximum(peak, offset + high) - after).max()))
+        wide = high - low
+        for k in np.flatnonzero(wide > fall)[np.argsort(-wide[wide > fall], kind="stable")].tolist():
+            if wide[k] <= fall:
+                break
+            own = self.close[into[k] : end[k]]
+            fall = max(fall, float((np.maximum.accumulate(own) - own).max()))
         a, b = self.enter[into], self.leave[out]
         one, two = ((s[end] - s[into + 1]).sum() + (a**k).sum() + (b**k).sum() for k, s in enumerate(self.sums, 1))
         ratio = 0.0
@@ -239,7 +249,7 @@ class Scorer:
             mean = one / (n - 1)
             sd = np.sqrt(max(0.0, (two - (n - 1) * mean * mean) / (n - 2)))
             ratio = mean / sd * np.sqrt(self.per_year) if sd > 1e-15 else 0.0
-        return self.capital * float(np.exp(value[-1])), float(-np.expm1(fall.min()) * 100), float(ratio)
+        return self.capital * float(np.exp(after[-1])), float(-np.expm1(-fall) * 100), float(ratio)
 
 
 def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float) -> DataFrame:
