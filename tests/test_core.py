@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import indicators as ind
 from tickloom.functions.scan import ema, ema_grid
 from tickloom.operators import backtest as bt
-from tickloom.operators import build, joins, quality
+from tickloom.operators import build, joins, quality, rules
 from tickloom.sources import candles as src
 from tickloom.streaming import ingest
 
@@ -244,3 +244,70 @@ def test_long_memory(spark):
         e = x if e is None else e + 2 / (p + 1) * (x - e)
         want.append(e)
     assert got[0]["e"] is None and [r["e"] for r in got[1:]] == pytest.approx([want[p - 1], want[n - 1]], rel=1e-9)
+
+
+NEUTRAL = dict(
+    open=100.0, high=101.0, low=99.0, close=100.0, volume=100.0, rsi=50.0, rsi_fast=50.0, rsi_slow=50.0, rmi=50.0, cci=0.0, srsi_k=50.0, bb_delta=0.01, bb_width=0.05, closedelta=0.0, bb3_low=80.0, bb_low=85.0, bb_mid=100.0, bb_up=115.0,
+    kc_low_28=80.0, kc_up_28=120.0, ewo=0.0, crsi=50.0, cti=0.0, r_14=-30.0, rocr_168_1h=1.0, bbh_low=80.0, bb_delta_cluc=1.0, ha_close=100.0, ha_closedelta=0.0, tail=1.0, fastk=50.0, fastd=50.0, adx=20.0, t3=100.0, t3_1h=100.0, bb_mid_1h=90.0,
+    linreg_20=1.0, cti_1h=0.0, crsi_1h=50.0, pm=90.0, pmax_thresh=100.0, roc_1h=0.0, bb_width_1h=0.1, **{f"ema_{n}": 100.0 for n in (4, 8, 12, 13, 16, 20, 26, 50, 100, 200)}, **{f"sma_{n}": 100.0 for n in (15, 21, 28, 30, 75)},
+    **{f"volume_mean_{n}": 100.0 for n in (4, 12, 24)}, ema_50_1h=100.0, ema_100_1h=100.0, ema_200_1h=100.0, moderi=False, safe_dump_1h=False,
+)
+RISING = {0: {"ema_200_1h": 103.0}, 12: {"ema_200_1h": 102.0}, 24: {"ema_200_1h": 101.0}}
+#: what fires each rule at the last bar, by bars back
+FIRES = {
+    "bb": {0: dict(rmi=40.0, cci=-120.0, srsi_k=20.0, bb_delta=0.03, bb_width=0.1, closedelta=5.0, close=70.0)},
+    "local_uptrend": {0: dict(ema_26=110.0, close=70.0, closedelta=5.0), 1: dict(ema_26=110.0)},
+    "local_dip": {0: dict(ema_26=110.0, close=90.0, rsi=15.0, crsi=20.0, closedelta=5.0), 1: dict(ema_26=110.0)},
+    "ewo": {0: dict(rsi_fast=40.0, close=90.0, rsi=20.0)},
+    "ewo2": {**RISING, 0: dict(ema_200_1h=103.0, rsi_fast=40.0, close=90.0, ewo=5.0, rsi=30.0)},
+    "r_deadfish": {0: dict(bb_width=0.4, close=90.0, volume_mean_12=200.0, cti=-0.5, r_14=-60.0)},
+    "clucHA": {0: dict(bb_delta_cluc=10.0, ha_closedelta=5.0, ha_close=90.0), 1: dict(bbh_low=95.0)},
+    "cofi": {0: dict(fastk=20.0, fastd=10.0, ewo=9.0, cti=-0.95, r_14=-90.0), 1: dict(fastk=10.0, fastd=10.0)},
+    "gumbo": {0: dict(ewo=-10.0, bb_mid_1h=105.0, cti=-0.5, r_14=-60.0)},
+    "sqzmom": {0: dict(bb_low=75.0, bb_up=125.0, linreg_20=-2.0, close=90.0, ewo=-5.0, r_14=-60.0), 1: dict(linreg_20=-3.0), 2: dict(linreg_20=-1.0)},
+    "nfi_13": {0: dict(ema_50_1h=101.0, close=90.0, cti=-0.95, ewo=-6.0, cti_1h=-0.9)},
+    "nfi_32": {0: dict(rsi_slow=40.0, rsi_fast=40.0, rsi=30.0, close=90.0, cti=-0.95)},
+    "nfi_33": {0: dict(close=90.0, ewo=9.0, cti=-0.9, rsi=30.0, r_14=-99.0)},
+    "nfi_38": {0: dict(pm=110.0, close=90.0, ewo=-5.0, cti=-0.96, r_14=-98.0)},
+    "nfix_5": {**RISING, 0: dict(ema_200_1h=103.0, close=90.0, ewo=4.0, cti=-0.95, r_14=-98.0)},
+    "nfix_39": {**RISING, 0: dict(ema_200_1h=103.0, bb_delta_cluc=10.0, closedelta=5.0, close=95.0), 1: dict(bbh_low=98.0)},
+    "nfix_49": {0: dict(cti=-0.5, r_14=-85.0), 3: dict(ema_26=110.0, close=80.0, rsi=30.0, crsi=20.0), 9: dict(ema_26=110.0)},
+    "nfi7_33": {0: dict(moderi=True, cti=-0.9, close=90.0, ewo=7.0, rsi=30.0)},
+    "nfi7_37": {0: dict(pm=110.0, close=90.0, ewo=10.0, cti=-0.8, safe_dump_1h=True)},
+}
+
+
+def test_each_entry_rule_fires(spark):
+    rows = []
+    for tag, bars in FIRES.items():
+        rows += [{"symbol": tag, "level": "1h", "time": k, **NEUTRAL, **bars.get(29 - k, {})} for k in range(30)]
+    rows += [{"symbol": "none", "level": "1h", "time": k, **NEUTRAL} for k in range(30)] + [{"symbol": "null", "level": "1h", "time": 0, **dict.fromkeys(NEUTRAL)}]
+    kinds = ", ".join(f"{c} {'boolean' if isinstance(v, bool) else 'double'}" for c, v in NEUTRAL.items())
+    d = spark.createDataFrame([tuple(r.values()) for r in rows], f"symbol string, level string, time long, {kinds}")
+    d = rules.with_rules(d).withColumn("tags", rules.entry_tags()).withColumn("enter", rules.enter_long())
+    got = {r["symbol"]: r for r in d.groupBy("symbol").agg(F.max_by("tags", "time").alias("tags"), F.max_by("enter", "time").alias("enter")).collect()}
+    assert list(FIRES) == rules.TAGS and all(f"{t} " in got[t]["tags"] and got[t]["enter"] == 1 for t in FIRES)
+    assert got["none"]["tags"] == got["null"]["tags"] == "" and got["none"]["enter"] is None
+    assert got["bb"]["tags"].startswith("bb ") and d.where("symbol = 'none' and tags != ''").count() == 0
+
+
+def test_each_exit_reason_fires(spark):
+    base = dict(
+        profit=-0.01, max_profit=-0.01, rsi=50.0, cmf=0.0, cmf_1h=0.0, cti=0.0, cti_1h=0.0, rsi_1h=60.0, r_14=-50.0, r_480_1h=-50.0, momdiv_sell=False, momdiv_sell_1h=False, momdiv_coh=False, close=100.0, ema_200=100.0, ema_4=90.0, pm=90.0,
+        pmax_thresh=100.0, sma_21=100.0, fisher=0.0, ha_high=100.0, ha_close=98.0, bb_mid=100.0, bb_width=0.1, volume_mean_12=100.0, volume_mean_24=100.0, before_ha_high=100.0, before2_ha_high=100.0, before_ha_close=98.0, before_rsi=50.0, buy_tag=None,
+    )
+    t0, t1, q = dict(profit=0.005), dict(profit=0.015), dict(profit=0.03, max_profit=0.03)
+    fires = {
+        "sell_profit_t_0_1": dict(**t0, max_profit=0.06, rsi=45.0), "sell_profit_t_0_2": dict(**t0, max_profit=0.035, rsi=31.0), "sell_profit_t_0_3": dict(**t0, max_profit=0.06, rsi=47.0),
+        "sell_profit_t_1_1": dict(**t1, max_profit=0.03, rsi=38.0), "sell_profit_t_1_2": dict(**t1, max_profit=0.055, rsi=44.0, cmf=-0.1, cmf_1h=-0.1), "sell_profit_t_1_4": dict(**t1, max_profit=0.04, rsi=39.5, cmf=-0.05, cti_1h=0.9),
+        "sell_profit_t_1_5": dict(**t1, max_profit=0.06, rsi=48.0, cmf_1h=-0.1), "sell_profit_t_1_7": dict(**t1, max_profit=0.08, rsi=42.5, cmf=-0.05), "sell_profit_t_1_9": dict(**t1, max_profit=0.045, rsi=39.5, cmf=-0.2, rsi_1h=40.0),
+        "sell_profit_t_1_10": dict(**t1, max_profit=0.045, rsi=45.0, cmf=-0.05, r_480_1h=-10.0), "sell_profit_t_1_11": dict(**t1, max_profit=0.045, rsi=41.0), "sell_profit_t_1_12": dict(**t1, max_profit=0.03, rsi=43.0, cmf=-0.3),
+        "sell_profit_t_cti_r_0_1": dict(**t0, cti=0.9, r_14=-10.0), "signal_profit_q_momdiv_1h": dict(**q, momdiv_sell_1h=True), "signal_profit_q_momdiv": dict(**q, momdiv_sell=True), "signal_profit_q_momdiv_coh": dict(**q, momdiv_coh=True),
+        "sell_profit_u_bear_1_1": dict(**t1, close=90.0, rsi=33.0, cmf=-0.1), "sell_profit_u_bear_1_2": dict(**t1, close=90.0, rsi=43.0, cmf=-0.5), "signal_profit_q_1": dict(**q, rsi=85.0), "signal_profit_q_2": dict(**q, cti=0.96),
+        "signal_profit_q_pmax_bull": dict(**q, close=120.0), "signal_profit_q_pmax_bear": dict(**q, close=105.0, pm=110.0), "sell_scalp": dict(profit=0.1, buy_tag="nfix_39 ", fisher=0.5, ema_4=100.0, bb_mid=90.0),
+        "sell_stoploss_u_e_1": dict(profit=-0.055, close=98.0, cmf=-0.1, rsi=62.0, rsi_1h=50.0), "sell_stoploss_deadfish": dict(profit=-0.07, close=98.0, bb_width=0.04),
+    }
+    kinds = ", ".join(f"{c} {'boolean' if isinstance(v, bool) else 'string' if v is None else 'double'}" for c, v in base.items())
+    rows = [(name, *{**base, **over}.values()) for name, over in fires.items()] + [("none", *base.values()), ("other tag", *{**base, **fires["sell_scalp"], "buy_tag": "nfix_39 bb "}.values())]
+    got = {r["name"]: r["r"] for r in spark.createDataFrame(rows, f"name string, {kinds}").select("name", rules.exit_chain().alias("r")).collect()}
+    assert got == {n: f"{n}( {'nfix_39 ' if n == 'sell_scalp' else 'empty'})" for n in fires} | {"none": None, "other tag": None}

@@ -408,7 +408,7 @@ def sweep_top3(spark, sf_dir):
     return in_logs(bt.rank(scores(spark, sf_dir), GRID.params, 3)).withColumn("params", GRID.text())
 
 
-@query("sweep_single_best")
+@query("sweep_single_best", places=4)
 def sweep_single_best(spark, sf_dir):
     """P2, R2: price against one average, the best of each series."""
     strategy = bt.SingleEma(5, 24)
@@ -532,16 +532,19 @@ def loss_score(spark, sf_dir):
     return made.join(worst, "symbol").select("symbol", tr.loss_score(F.col("pc"), F.col("max_share"), F.col("sharpe")).alias("loss"))
 
 
-@query("sweep_single_precision")
+@query("sweep_single_precision", places=4)
 def sweep_single_precision(spark, sf_dir):
     """P7: prices kept in 32 bits."""
     return in_logs(bt.rank(bt.backtest(bt.cast_prices(hourly(spark, sf_dir), "f32"), GRID, "1h", FEE, CAPITAL), GRID.params, 1))
 
 
-# Indicators without SQL here; tests hold them against plain loops or by their parts.
+# Indicators whose SQL is made of that of the rules, in rule_queries.
 
 for _name, _columns, _fn in (
     ("moderi", ["moderi_96"], lambda d: ind.moderi(d, 96)), ("crsi", ["crsi"], ind.crsi), ("stochastic_rsi", ["srsi_k", "srsi_d"], ind.stochastic_rsi), ("adx", ["adx"], ind.adx), ("t3", ["t3"], ind.t3),
     ("moving_averages", ["dema", "tema", "wma"], lambda d: ind.moving_average(ind.moving_average(ind.moving_average(d, "dema", 9, "dema"), "tema", 9, "tema"), "wma", 9, "wma")),
 ):
     QUERIES[_name] = lambda spark, sf_dir, columns=_columns, fn=_fn: rounded(fn(hourly(spark, sf_dir)).select("symbol", "time", *columns))
+
+
+from tickloom.plans import rule_queries  # noqa: E402, F401  adds the queries of the entry rules and exit reasons
