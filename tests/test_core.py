@@ -194,6 +194,48 @@ def test_ingest(spark, tmp_path):
     assert spark.read.parquet(f"{table}-bad").count() == 1
 
 
+def test_ingest_loses_nothing(spark, tmp_path):
+    """A bad row of another series, two bars of one time, and a table that can't be read."""
+    landing, table = f"{tmp_path}/landing", f"{tmp_path}/table"
+    src.write_candles(series(spark, [1.0 + k for k in range(10)], times=[k * 3_600_000 for k in range(10)]).unionByName(series(spark, [5.0], symbol="C-D")), table)
+    bar = lambda t, p: f'["{t}","{p}","{p}","{p}","{p}"]'
+    rows = [("A-B", "1h", f"[{bar(36_000_000, 7)},{bar(36_000_000, 8)},{bar(36_000_000, 6)}]"), ("C-D", "1h", f"[{bar('x', 1)}]"), ("A-B", "1h", f"[{bar(36_000_000, 1)}]")]
+    spark.createDataFrame(rows, ingest.LANDED).coalesce(1).write.parquet(landing)
+    ingest.ingest_stream(spark, landing, table, f"{tmp_path}/checkpoint").awaitTermination()
+    got = src.read_candles(spark, table)
+    assert column(got.where("symbol = 'A-B'"), "close") == [*range(1, 11), 7] and column(got.where("symbol = 'C-D'"), "close") == [5]
+    bad = tmp_path / "table" / "symbol=A-B" / "level=1h"
+    for f in bad.glob("*.parquet"):
+        f.write_bytes(b"not a table at all")
+    spark.createDataFrame([("A-B", "1h", f"[{bar(40_000_000, 2)}]")], ingest.LANDED).write.mode("append").parquet(landing)
+    with pytest.raises(Exception):
+        ingest.ingest_stream(spark, landing, table, f"{tmp_path}/checkpoint").awaitTermination()
+    assert all(f.read_bytes() == b"not a table at all" for f in bad.glob("*.parquet")) and len(list(bad.glob("*.parquet"))) >= 1
+    (tmp_path / "a.json").write_text('[{"time": 1, "open": 1, "high": 1, "low": 1, "close": 4}]')
+    assert src.migrate_archives(spark, {("A-B", "1h"): f"{tmp_path}/a.json", ("C-D", "1h"): f"{tmp_path}/a.json"}, table) == {("A-B", "1h"): True, ("C-D", "1h"): False}
+    assert column(src.read_candles(spark, table).where("symbol = 'A-B'"), "close") == [4]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 5])
+def test_merge_takes_the_first_arrival(spark, parts):
+    new = spark.createDataFrame([("A-B", "1h", 0, float(k), float(k), float(k), float(k), None, (k * 5) % 8) for k in range(8)], "symbol string, level string, time long, open double, high double, low double, close double, volume double, at int")
+    old = spark.createDataFrame([], src.SCHEMA)
+    assert column(quality.merge_candles(old, new.repartition(parts), "at"), "close") == [0.0] and len({column(quality.merge_candles(old, new.repartition(parts)), "close")[0]}) == 1
+
+
+@pytest.mark.parametrize("level", ["3m", "30m", "2h", "6h", "12h", "3d", "1w"])
+def test_candle_stream_levels(spark, tmp_path, level):
+    """Bars of a stream are those of the table, up to the last."""
+    rows = [("a", k * 3_600_000 * 7, k, float(k), 1.0) for k in range(120)]
+    d = spark.createDataFrame(rows, "symbol string, ms long, seq long, price double, volume double").withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    d.write.parquet(f"{tmp_path}/ticks")
+    q = ingest.candle_stream(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/ticks"), level, "0 seconds").writeStream.format("memory").queryName(f"bars_{level}").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["time"]: (r["open"], r["close"]) for r in spark.table(f"bars_{level}").collect()}
+    want = {r["time"]: (r["open"], r["close"]) for r in build.build_candles(d, level).collect()}
+    assert got and got.items() <= want.items() and len(got) >= len(want) - 1
+
+
 def test_candle_stream(spark, tmp_path):
     rows = [("a", f"2024-01-01 0{h}:{m:02d}:00", h * 100 + m, float(h * 60 + m), 1.0) for h in range(4) for m in (1, 30, 59)]
     spark.createDataFrame(rows, "symbol string, ts string, seq long, price double, volume double").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/ticks")

@@ -9,13 +9,16 @@ from tickloom.operators.joins import alive_bars
 
 # Fixed values: (profit above, distance of the stop), and (minutes since the opening, profit to take).
 STOP_TIERS = ((0.2, 0.05), (0.1, 0.03), (0.06, 0.02), (0.03, 0.015))
+BASE_STOP = -0.99
 TAKE_TIERS = ((292, 0.005), (81, 0.038), (0, 0.205))
 MAX_SLIP = 0.983
 DAY_MS = 86_400_000
 
 
-def trailing_stop(trades: DataFrame, bars: DataFrame, tiers=STOP_TIERS) -> DataFrame:
-    """Of each trade (symbol, trade_id, open_time, close_time, open_rate) the first bar whose low reaches the stop of the bars before: stop_time, stop_rate."""
+def trailing_stop(trades: DataFrame, bars: DataFrame, tiers=STOP_TIERS, base: float = BASE_STOP) -> DataFrame:
+    """Of each trade (symbol, trade_id, open_time, close_time, open_rate) the first bar whose low reaches the stop: stop_time, stop_rate.
+
+    The stop is the highest that the closes of the bars before set, and at least ``base`` under the opening rate."""
     d = alive_bars(trades, bars.select("symbol", "time", "low", "close"), DAY_MS)
     profit = F.col("close") / F.col("open_rate") - 1
     distance = F
@@ -23,6 +26,7 @@ def trailing_stop(trades: DataFrame, bars: DataFrame, tiers=STOP_TIERS) -> DataF
         distance = distance.when(profit > least, F.lit(far))
     w = Window.partitionBy("symbol", "trade_id").orderBy("time")
     d = d.withColumn("_stop", F.max(F.col("close") * (1 - distance)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("_stop", F.greatest("_stop", F.col("open_rate") * (1 + base)))
     hit = d.where(F.col("low") <= F.col("_stop"))
     return hit.groupBy("symbol", "trade_id").agg(F.min("time").alias("stop_time"), F.min_by("_stop", "time").alias("stop_rate"))
 

@@ -9,9 +9,9 @@ SERIES = ["symbol", "level"]
 DAY_MS = 86_400_000
 
 
-def normalize(df: DataFrame, arrival: str) -> DataFrame:
-    """One row for each time of a series: the first to arrive wins."""
-    w = Window.partitionBy(*SERIES, "time").orderBy(arrival)
+def normalize(df: DataFrame, *arrival: str) -> DataFrame:
+    """One row for each time of a series: the first to arrive, by the columns ``arrival``, wins."""
+    w = Window.partitionBy(*SERIES, "time").orderBy(*arrival)
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
@@ -43,10 +43,14 @@ def interval_check(df: DataFrame) -> DataFrame:
     return df.select(*SERIES).distinct().join(found, SERIES, "left").select(*SERIES, F.coalesce("constant", F.lit(True)).alias("constant"), F.coalesce("max_gap", F.lit(0)).cast("long").alias("max_gap"))
 
 
-def merge_candles(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Both tables' rows, one for each time; an existing row wins over a new one."""
-    both = existing.withColumn("_from", F.lit(0)).unionByName(new.withColumn("_from", F.lit(1)))
-    return normalize(both, "_from").drop("_from")
+def merge_candles(existing: DataFrame, new: DataFrame, *arrival: str) -> DataFrame:
+    """Both tables' rows, one for each time: an existing row wins over a new one, and of new ones the first by the columns ``arrival`` of new (then by its prices)."""
+    columns = existing.columns
+    order = [f"_a{k}" for k in range(len(arrival))]
+    old = existing.withColumns({"_from": F.lit(0), **{a: F.lit(None).cast(new.schema[c].dataType) for a, c in zip(order, arrival, strict=True)}})
+    own = new.select(*columns, F.lit(1).alias("_from"), *[F.col(c).alias(a) for a, c in zip(order, arrival, strict=True)])
+    rest = [c for c in columns if c not in (*SERIES, "time")]
+    return normalize(old.unionByName(own), "_from", *order, *rest).select(*columns)
 
 
 def last_candle(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +45,16 @@ def win_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def underwater(trades: DataFrame, balance: float, keys: list[str]) -> DataFrame:
-    """Per trade, in order of closing: cumulated profit, its peak, and the falls from it in money and as a share of the balance at the peak."""
+    """Per trade, in order of closing: cumulated profit, its peak and when that was last reached (null: before any trade), and the falls from it in money and as a share of the balance at the peak."""
     w = Window.partitionBy(*keys).orderBy("close_time", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
     d = trades.withColumn("cumulated", F.sum("profit_abs").over(w)).withColumn("high", F.greatest(F.max("cumulated").over(w), F.lit(0.0)))
-    return d.select(*keys, "trade_id", "close_time", "cumulated", "high", (F.col("cumulated") - F.col("high")).alias("drawdown"), ((F.col("high") - F.col("cumulated")) / (balance + F.col("high"))).alias("drawdown_share"))
+    d = d.withColumn("high_at", F.last(F.when((F.col("cumulated") == F.col("high")) & (F.col("high") > 0), F.col("close_time")), ignorenulls=True).over(w))
+    return d.select(*keys, "trade_id", "close_time", "cumulated", "high", "high_at", (F.col("cumulated") - F.col("high")).alias("drawdown"), ((F.col("high") - F.col("cumulated")) / (balance + F.col("high"))).alias("drawdown_share"))
 
 
 def worst_drawdown(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: deepest fall in money and as a share, and when the deepest was reached."""
-    return curve.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"), F.max("drawdown_share").alias("max_share"), F.min_by("close_time", F.struct("drawdown", "close_time")).alias("low_at"))
+    """Per group: deepest fall in money and as a share, when the deepest began (null: with the first trade) and when it was reached."""
+    return curve.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"), F.max("drawdown_share").alias("max_share"), F.min_by("high_at", F.struct("drawdown", "close_time")).alias("began_at"), F.min_by("close_time", F.struct("drawdown", "close_time")).alias("low_at"))
 
 
 def loss_score(profit_percent: Column, drawdown_share: Column, sharpe: Column) -> Column:
@@ -65,11 +68,13 @@ def exit_counts(trades: DataFrame) -> DataFrame:
 
 
 def parallelism(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Open trades at each bar time that occurs: the opening included, the closing excluded; a running sum of openings less closings."""
+    """Open trades at each bar time that occurs: the opening included, the closing excluded; openings less closings of all days before, and of the day so far."""
     steps = trades.select(F.col("open_time").alias("time"), F.lit(1).alias("step")).unionAll(trades.select(F.col("close_time").alias("time"), F.lit(-1).alias("step"))).groupBy("time").agg(F.sum("step").alias("step"))
-    times = bars.select("time").distinct().join(steps, "time", "full")
-    w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)  # one row for each bar time
-    return times.select("time", F.sum(F.coalesce("step", F.lit(0))).over(w).alias("open_trades"))
+    times = bars.select("time").distinct().join(steps, "time", "full").select("time", F.coalesce("step", F.lit(0)).alias("step"), F.floor(F.col("time") / DAY_MS).alias("day"))
+    before = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    days = times.groupBy("day").agg(F.sum("step").alias("step")).select("day", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("open_before"))
+    so_far = Window.partitionBy("day").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    return times.join(F.broadcast(days), "day").select("time", (F.col("open_before") + F.sum("step").over(so_far)).alias("open_trades"))
 
 
 def profit_hist(trades: DataFrame, bin_size: float = 0.01) -> DataFrame:
@@ -80,6 +85,13 @@ def pair_results(trades: DataFrame) -> DataFrame:
     return trades.groupBy("symbol").agg(F.count("*").alias("trades"), F.avg("profit_ratio").alias("mean_profit"), F.sum("profit_abs").alias("profit"))
 
 
+def compare_strategies(results: dict[str, DataFrame]) -> DataFrame:
+    """A row for each strategy's trades: their number, mean and summed profit, and the share won."""
+    won = F.count_if(F.col("profit_ratio") > 0)
+    rows = [t.agg(F.count("*").alias("trades"), F.avg("profit_ratio").alias("mean_profit"), F.sum("profit_abs").alias("profit"), F.try_divide(won, F.count("*")).alias("win_rate")).withColumn("strategy", F.lit(name)) for name, t in results.items()]
+    return reduce(DataFrame.unionByName, rows).select("strategy", "trades", "mean_profit", "profit", "win_rate")
+
+
 def market_change(candles: DataFrame) -> DataFrame:
     """One row: mean over the series of the change from the first to the last close."""
     own = candles.groupBy("symbol", "level").agg(F.min_by("close", "time").alias("a"), F.max_by("close", "time").alias("b"))

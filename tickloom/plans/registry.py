@@ -367,7 +367,7 @@ query("daily_equity", f"WITH RECURSIVE {_TRADES}{_DAILY} SELECT strftime(day, '%
 with_trades("win_stats", "SELECT symbol, count(*) AS trades, count(*) FILTER (profit_ratio > 0) AS wins, round(sum(profit_abs),4) AS profit, round(count(*) FILTER (profit_ratio > 0)::DOUBLE / count(*),4) AS win_rate FROM closed GROUP BY 1")(lambda spark, sf_dir: tr.win_stats(closed(spark, sf_dir), ["symbol"]))
 _CURVE = ", c AS (SELECT *, sum(profit_abs) OVER (PARTITION BY symbol ORDER BY close_time, trade_id) AS cumulated FROM closed), u AS (SELECT *, greatest(max(cumulated) OVER (PARTITION BY symbol ORDER BY close_time, trade_id), 0) AS high FROM c)"
 query("underwater", f"WITH RECURSIVE {_TRADES}{_CURVE} SELECT symbol, trade_id, close_time, round(cumulated,4) AS cumulated, round(high,4) AS high, round(cumulated - high,4) AS drawdown, round((high - cumulated) / (1000 + high),4) AS drawdown_share FROM u", 4)(
-    lambda spark, sf_dir: tr.underwater(closed(spark, sf_dir), CAPITAL, ["symbol"])
+    lambda spark, sf_dir: tr.underwater(closed(spark, sf_dir), CAPITAL, ["symbol"]).drop("high_at")
 )
 with_trades("exit_counts", "SELECT symbol, 'signal' AS exit_reason, count(*) AS n FROM closed GROUP BY 1")(lambda spark, sf_dir: tr.exit_counts(closed(spark, sf_dir)))
 with_trades("profit_hist", "SELECT CAST(floor(profit_ratio / 0.01) AS BIGINT) AS bin, count(*) AS n FROM closed GROUP BY 1")(lambda spark, sf_dir: tr.profit_hist(closed(spark, sf_dir)))
@@ -444,8 +444,8 @@ def first_hit(d: DataFrame, trades_df: DataFrame) -> DataFrame:
 
 @with_trades(
     "trailing_stop",
-    """, b AS (SELECT c.symbol, trade_id, b.time, b.low, max(b.close * (1 - CASE WHEN b.close / open_rate - 1 > 0.2 THEN 0.05 WHEN b.close / open_rate - 1 > 0.1 THEN 0.03 WHEN b.close / open_rate - 1 > 0.06 THEN 0.02 WHEN b.close / open_rate - 1 > 0.03 THEN 0.015 END))
-        OVER (PARTITION BY c.symbol, trade_id ORDER BY b.time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop FROM closed c JOIN candles b ON b.symbol = c.symbol AND b.time BETWEEN open_time AND close_time)
+    """, b AS (SELECT c.symbol, trade_id, b.time, b.low, greatest(open_rate * (1 - 0.99), max(b.close * (1 - CASE WHEN b.close / open_rate - 1 > 0.2 THEN 0.05 WHEN b.close / open_rate - 1 > 0.1 THEN 0.03 WHEN b.close / open_rate - 1 > 0.06 THEN 0.02 WHEN b.close / open_rate - 1 > 0.03 THEN 0.015 END))
+        OVER (PARTITION BY c.symbol, trade_id ORDER BY b.time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS stop FROM closed c JOIN candles b ON b.symbol = c.symbol AND b.time BETWEEN open_time AND close_time)
     SELECT symbol, trade_id, min(time) AS stop_time, round(arg_min(stop, time),4) AS stop_rate FROM b WHERE low <= stop GROUP BY 1, 2""",
 )
 def trailing_stop(spark, sf_dir):

@@ -44,37 +44,66 @@ def read_json(spark: SparkSession, path: str, symbol: str, level: str) -> DataFr
     return d.select(F.lit(symbol).alias("symbol"), F.lit(level).alias("level"), "time", *PRICES, F.lit(None).cast("double").alias("volume"), F.monotonically_increasing_id().alias("arrival"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at the path, as the file system says."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def is_unreadable(error: Exception) -> bool:
+    """Whether an error says that files aren't a candle table: other columns, or no Parquet files. Errors of access or network aren't."""
+    text = str(error)
+    return isinstance(error, SchemaError) or any(x in text for x in ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "ChecksumException", "UNABLE_TO_INFER_SCHEMA"))
+
+
 def migrate_json(spark: SparkSession, path: str, symbol: str, level: str, target: str) -> bool:
-    """Convert an archive into the table, normalized; False where the table has the series already. An unreadable table is rebuilt."""
-    try:
-        if not read_candles(spark, target).where((F.col("symbol") == symbol) & (F.col("level") == level)).isEmpty():
-            return False
-    except Exception:  # no table, or none that can be read
-        pass
+    """Convert an archive into the table, normalized; False where the table has the series already.
+
+    A series of the table whose files aren't a candle table is rebuilt; any other error rises."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    own = f"{target.rstrip('/')}/symbol={escaped(symbol)}/level={escaped(level)}"
+    if exists(spark, own):
+        try:
+            found = spark.read.parquet(own)
+            missing = {f.name: f.dataType for f in SCHEMA if f.name not in SERIES}
+            if {f.name: f.dataType for f in found.schema} != missing:
+                raise SchemaError(f"expected {missing}")
+            if found.limit(1).count():
+                return False
+        except Exception as error:
+            if not is_unreadable(error):
+                raise
     write_candles(normalize(read_json(spark, path, symbol, level), "arrival").drop("arrival"), target)
     return True
 
 
+def migrate_archives(spark: SparkSession, archives: dict[tuple[str, str], str], target: str) -> dict[tuple[str, str], bool]:
+    """migrate_json for the archive of each (symbol, level): which were converted."""
+    return {(symbol, level): migrate_json(spark, path, symbol, level, target) for (symbol, level), path in archives.items()}
+
+
 def parse_klines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of payloads (symbol, level, payload): an array of arrays, the time first and then four prices as text.
 
-    Bad rows are those with a missing or invalid field, payloads that are no such array, and symbols with ``SWAP``."""
-    rows = raw.select("symbol", "level", F.posexplode_outer(F.from_json("payload", "array<array<string>>")).alias("place", "k"))
+    Other columns of raw come along, and ``place`` is a row's place in its payload. Bad rows are those with a missing or invalid field,
+    payloads that are no such array, and symbols with ``SWAP``."""
+    rest = [c for c in raw.columns if c not in ("symbol", "level", "payload")]
+    rows = raw.select("symbol", "level", *rest, F.posexplode_outer(F.from_json("payload", "array<array<string>>")).alias("place", "k"))
     field = lambda i, kind: F.expr(f"try_cast(try_element_at(k, {i + 1}) as {kind})")
-    parsed = rows.select("symbol", "level", "place", "k", field(0, "bigint").alias("time"), *[field(i + 1, "double").alias(c) for i, c in enumerate(PRICES)])
+    parsed = rows.select("symbol", "level", *rest, "place", "k", field(0, "bigint").alias("time"), *[field(i + 1, "double").alias(c) for i, c in enumerate(PRICES)])
     ok = F.col("time").isNotNull() & ~F.col("symbol").contains("SWAP")
     for c in PRICES:
         ok = ok & F.col(c).isNotNull()
     ok = F.coalesce(ok, F.lit(False))
-    return parsed.where(ok).select("symbol", "level", "time", *PRICES), parsed.where(~ok).select("symbol", "level", "place", "k")
+    return parsed.where(ok).select("symbol", "level", "time", *PRICES, *rest, "place"), parsed.where(~ok).select("symbol", "level", "place", "k")
 
 
-def result_record(best: DataFrame, name: str, precision: str, strategy: str, text: Column, duration_ms: int) -> DataFrame:
-    """Result rows as text, three decimals."""
+def result_record(best: DataFrame, name: str, precision: str, strategy: str, text: Column, duration_ms: float) -> DataFrame:
+    """Result rows as text, three decimals. The names of the columns are fixed values."""
     number = lambda c: F.format_string("%.3f", c)
     return best.select(
         F.lit(name).alias("Filename"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("Date"), F.lit(precision).alias("Precision"), F.lit(strategy).alias("Strategy"), text.alias("Params"),
-        F.lit(duration_ms).cast("long").alias("DurationMs"), number("final_value").alias("portfolio_val"), number("max_dd").alias("max_dd"), number("sharpe").alias("sharpe_ratio"),
+        number(F.lit(float(duration_ms))).alias("DurationMs"), number("final_value").alias("portfolio_val"), number("max_dd").alias("max_dd"), number("sharpe").alias("sharpe_ratio"),
     )
 
 

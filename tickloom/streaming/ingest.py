@@ -5,46 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.build import bar_start
+from tickloom.operators.build import LEVELS, bar_start
 from tickloom.operators.quality import SERIES, check_increasing, merge_candles
-from tickloom.sources.candles import SCHEMA, parse_klines, read_candles, write_candles
+from tickloom.sources.candles import SCHEMA, exists, parse_klines, read_candles, write_candles
 
 LANDED = "symbol string, level string, payload string"
 
 
-def _merge(spark: SparkSession, new: DataFrame, table: str, work: str) -> None:
-    """Merge new candles into the series they touch; an existing candle wins. Written aside first, as the plan reads the table."""
-    new = new.withColumn("volume", F.lit(None).cast("double")).select(*SCHEMA.names)
-    touched = new.select(*SERIES).distinct()
-    try:
-        old = read_candles(spark, table).join(touched, SERIES, "left_semi")
-    except Exception:  # the table isn't there yet
-        old = spark.createDataFrame([], SCHEMA)
-    merge_candles(old, new).write.mode("overwrite").parquet(work)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def _merge(spark: SparkSession, new: DataFrame, table: str, work: str, *arrival: str) -> None:
+    """Merge new candles into the series they touch; an existing candle wins. Written aside first, as the plan reads the table.
+
+    Only a table that the file system doesn't have counts as new; a table that can't be read is an error and stays as it is."""
+    new = new.withColumn("volume", F.lit(None).cast("double"))
+    old = spark.createDataFrame([], SCHEMA)
+    if exists(spark, table):
+        touched = F.broadcast(new.select(*SERIES).distinct())  # the series of one batch
+        old = read_candles(spark, table).join(touched, SERIES, "left_semi").select(*SCHEMA.names)
+    merge_candles(old, new, *arrival).write.mode("overwrite").parquet(work)
     merged = spark.read.schema(SCHEMA).parquet(work)
-    if merged.isEmpty():
-        return
-    if not check_increasing(merged.withColumn("arrival", F.col("time")), "arrival").isEmpty():
-        raise ValueError("times don't rise")
-    write_candles(merged, table)
+    if not merged.isEmpty():
+        if not check_increasing(merged.withColumn("arrival", F.col("time")), "arrival").isEmpty():
+            raise ValueError("times don't rise")
+        write_candles(merged, table)
+    delete(spark, work)
 
 
 def ingest_stream(spark: SparkSession, landing: str, table: str, checkpoint: str):
-    """Take in all landed files (Parquet: symbol, level, payload) that weren't taken in before, and stop. Bad rows go to a folder beside the table."""
+    """Take in all landed files (Parquet: symbol, level, payload) that weren't taken in before, and stop.
+
+    Of two bars of one time the one of the earlier file (by modification time, then path), row and place in the payload counts. Bad rows
+    go to a folder beside the table, one for each batch, which a repeated batch replaces."""
 
     def batch(df: DataFrame, number: int) -> None:
-        good, bad = parse_klines(df)
-        _merge(spark, good, table, f"{checkpoint}/merged-{number}")
-        bad.write.mode("append").parquet(f"{table.rstrip('/')}-bad")
+        landed = f"{checkpoint}/landed-{number}"
+        df.write.mode("overwrite").parquet(landed)  # parsed twice, read from the source once
+        good, bad = parse_klines(spark.read.schema(df.schema).parquet(landed))
+        bad.write.mode("overwrite").parquet(f"{table.rstrip('/')}-bad/batch={number}")
+        _merge(spark, good, table, f"{checkpoint}/merged-{number}", "landed_at", "file", "row", "place")
+        delete(spark, landed)
 
-    stream = spark.readStream.schema(LANDED).parquet(landing)
+    meta = lambda name, to: F.col(f"_metadata.{name}").alias(to)
+    stream = spark.readStream.schema(LANDED).parquet(landing).select("*", meta("file_modification_time", "landed_at"), meta("file_path", "file"), meta("row_index", "row"))
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def candle_stream(ticks: DataFrame, level: str, late: str = "1 hour") -> DataFrame:
-    """Candles of a stream of ticks (symbol, ts, seq, price, volume); a bar is given once no tick of it can come any more."""
+    """Candles of a stream of ticks (symbol, ts, seq, price, volume) at any level but the month, whose bars have no fixed length; a bar is given once no tick of it can come any more."""
     own = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    minutes = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "1d": "1 day"}[level]
+    length = {x[0]: x[1] for x in LEVELS}[level]
+    if length is None:
+        raise ValueError("months have no fixed length: roll up a stream's days instead")
+    start = "4 days" if level == "1w" else "0 seconds"  # 1970-01-05 was a Monday
     at = F.struct("ts", "seq")
-    bars = own.groupBy(F.window("ts", minutes), "symbol").agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
+    bars = own.groupBy(F.window("ts", f"{length} milliseconds", startTime=start), "symbol").agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
     return bars.select("symbol", F.lit(level).alias("level"), bar_start(F.col("window.start"), level).alias("time"), "open", "high", "low", "close", "volume")
