@@ -116,7 +116,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def block_links(group: pa.Table) -> pa.Table:
-    """Links between the sets of two blocks (or of one) that aren't in one component yet."""
+    """Links between the sets of two blocks (or of one), enough to connect all components that links between those sets connect."""
     up, down = SIMILARITY
     sid, root, block = (group[c].to_numpy() for c in ("sid", "root", "block"))
     lists = [np.unique(x) for x in group["members"].to_numpy()]
@@ -128,7 +128,20 @@ def block_links(group: pa.Table) -> pa.Table:
     shared = has[first] @ has[second].T
     close = ((up + down) * shared >= up * (size[first][:, None] + size[second][None, :])) & (root[first][:, None] != root[second][None, :])
     x, y = np.nonzero(close)
-    return pa.table({"a": sid[first[x]], "b": sid[second[y]]})
+    x, y = first[x], second[y]
+    # one link for two components, and none for those that other links connect
+    low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+    kept, leader = [], {}
+    for k in np.unique(np.stack([low, high]), axis=1, return_index=True)[1].tolist():
+        a, b = int(low[k]), int(high[k])
+        while leader.get(a, a) != a:
+            a = leader[a]
+        while leader.get(b, b) != b:
+            b = leader[b]
+        if a != b:
+            leader[b] = a
+            kept.append(k)
+    return pa.table({"a": sid[x[kept]], "b": sid[y[kept]]})
 
 
 def roots(rows: DataFrame) -> DataFrame:
@@ -152,7 +165,7 @@ def roots(rows: DataFrame) -> DataFrame:
     members = with_hot(placed, saved(open_keys, "open-keys"), "key", total).withColumn("block", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "root")
     more = dealt.join(sets, "sid").groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
-    links = links.unionByName(saved(more.distinct(), "alike-rest"))
+    links = links.unionByName(saved(more, "alike-rest"))
     result = saved(components(links).select(F.col("v").alias("sid"), "root"), "roots")
     forget(own, prints, named, keys, per_key, grouped, sets, found, placed)
     return result
