@@ -19,18 +19,22 @@ def with_slippage(trades: DataFrame, slippage: float = SLIPPAGE) -> DataFrame:
     return trades.withColumn("profit_after_slippage", F.col("profit_ratio") - slippage)
 
 
-def daily_profit(trades: DataFrame, start: str, end: str, slippage: float = SLIPPAGE) -> DataFrame:
-    """A row for each day from start to end: the sum of the slippage-adjusted profits of trades closed that day, 0 without any."""
-    spark = trades.sparkSession
-    days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as day")
-    own = with_slippage(trades, slippage).groupBy(day_of("close_time").alias("day")).agg(F.sum("profit_after_slippage").alias("profit"))
-    return days.join(own, "day", "left").select("day", F.coalesce("profit", F.lit(0.0)).alias("profit"))
+def calendar(bars: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each day from that of the first bar to that of the last, by the keys; none without bars."""
+    day = day_of("time")
+    return bars.groupBy(*keys).agg(F.min(day).alias("a"), F.max(day).alias("b")).select(*keys, F.explode(F.sequence("a", "b")).alias("day"))
 
 
-def daily_sharpe(daily: DataFrame) -> DataFrame:
-    """One row: mean over sample deviation of the daily profits, by the year; -20 without variation."""
+def daily_profit(trades: DataFrame, days: DataFrame, keys: tuple[str, ...] = (), slippage: float = SLIPPAGE) -> DataFrame:
+    """A row for each of the days: the sum of the slippage-adjusted profits of trades closed that day, 0 without any."""
+    own = with_slippage(trades, slippage).groupBy(*keys, day_of("close_time").alias("day")).agg(F.sum("profit_after_slippage").alias("profit"))
+    return days.join(own, [*keys, "day"], "left").select(*keys, "day", F.coalesce("profit", F.lit(0.0)).alias("profit"))
+
+
+def daily_sharpe(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over sample deviation of the daily profits, by the year; -20 without variation. One row, or one for each of the keys."""
     sd = F.stddev_samp("profit")
-    return daily.agg(F.when(sd > 0, F.avg("profit") / sd * F.sqrt(F.lit(365.0))).otherwise(F.lit(-20.0)).alias("sharpe"))
+    return daily.groupBy(*keys).agg(F.when(sd > 0, F.avg("profit") / sd * F.sqrt(F.lit(365.0))).otherwise(F.lit(-20.0)).alias("sharpe"))
 
 
 def daily_equity(daily: DataFrame) -> DataFrame:

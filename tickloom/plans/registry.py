@@ -353,12 +353,13 @@ def trades(spark, sf_dir):
     return closed(spark, sf_dir).drop("profit_abs")
 
 
-_DAILY = """, days AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d)),
+_DAILY = """, spans AS (SELECT symbol, CAST(make_timestamp(min(time) * 1000) AS DATE) AS a, CAST(make_timestamp(max(time) * 1000) AS DATE) AS b FROM candles GROUP BY 1),
+    days AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(a) AS a, max(b) AS b FROM spans)),
     dp AS (SELECT day, coalesce(sum(profit_ratio - 0.0005), 0) AS profit FROM days LEFT JOIN closed ON CAST(make_timestamp(close_time * 1000) AS DATE) = day GROUP BY 1)"""
 
 
 def by_day(spark, sf_dir):
-    return tr.daily_profit(closed(spark, sf_dir), "2024-01-01", "2024-01-31")
+    return tr.daily_profit(closed(spark, sf_dir), tr.calendar(hourly(spark, sf_dir)))
 
 
 query("daily_profit", f"WITH RECURSIVE {_TRADES}{_DAILY} SELECT strftime(day, '%Y-%m-%d') AS day, round(profit,6) AS profit FROM dp")(lambda spark, sf_dir: by_day(spark, sf_dir).withColumn("day", F.col("day").cast("string")))
@@ -520,16 +521,22 @@ on_hours("smoothed_roc", ["srocr"], ind.smoothed_roc, "(e13 / lag(e13, 21) OVER
 on_hours("rmi", ["rmi_17"], lambda d: ind.rmi(d, 17), "r", f"bars2 AS (SELECT *, greatest(close - lag(close, 4) OVER w, 0) AS up, greatest(lag(close, 4) OVER w - close, 0) AS dn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)), {_wilder_sql('up', 17, 'wu', 5)}, {_wilder_sql('dn', 17, 'wd', 5)}, result AS (SELECT bars.*, CASE WHEN wu.s + wd.s = 0 THEN 50 ELSE 100 * wu.s / (wu.s + wd.s) END AS r FROM bars LEFT JOIN wu USING (symbol, n) LEFT JOIN wd USING (symbol, n))")
 
 
-@with_trades(
+@query(
     "loss_score",
-    f"{_CURVE}, ls AS (SELECT symbol, max((high - cumulated) / (1000 + high)) AS dd, sum(profit_abs) / 10 AS pc FROM u GROUP BY 1), lr AS (SELECT symbol, avg(profit_ratio) / stddev_samp(profit_ratio) AS sharpe FROM closed GROUP BY 1) SELECT symbol, round(CASE WHEN 1 / (1 - dd) - 1 = 0 THEN 50 WHEN pc < 200 THEN -pc / (1 / (1 - dd) - 1) * sharpe ELSE 50 END,4) AS loss FROM ls JOIN lr USING (symbol)",
+    f"""WITH RECURSIVE {_TRADES}{_DAILY}{_CURVE}, ls AS (SELECT symbol, max((high - cumulated) / (1000 + high)) AS dd, sum(profit_abs) / 10 AS pc FROM u GROUP BY 1),
+    own_days AS (SELECT symbol, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM spans),
+    od AS (SELECT d.symbol, d.day, coalesce(sum(profit_ratio - 0.0005), 0) AS profit FROM own_days d LEFT JOIN closed ON closed.symbol = d.symbol AND CAST(make_timestamp(close_time * 1000) AS DATE) = d.day GROUP BY 1, 2),
+    lr AS (SELECT symbol, CASE WHEN stddev_samp(profit) > 0 THEN avg(profit) / stddev_samp(profit) * sqrt(365) ELSE -20 END AS sharpe FROM od GROUP BY 1)
+    SELECT symbol, round(CASE WHEN 1 / (1 - dd) - 1 = 0 THEN 50 WHEN pc < 200 THEN -pc / (1 / (1 - dd) - 1) * sharpe ELSE 50 END,4) AS loss FROM ls JOIN lr USING (symbol)""",
+    4,
 )
 def loss_score(spark, sf_dir):
-    """A6, by symbol, with the ratio of mean and deviation of the trades' profits as the Sharpe ratio."""
+    """A6, by symbol, with A3's Sharpe ratio of the daily profits between the symbol's first and last bar."""
     own = closed(spark, sf_dir)
     worst = tr.worst_drawdown(tr.underwater(own, CAPITAL, ["symbol"]), ["symbol"])
-    made = own.groupBy("symbol").agg((F.sum("profit_abs") / 10).alias("pc"), (F.avg("profit_ratio") / F.stddev_samp("profit_ratio")).alias("sharpe"))
-    return made.join(worst, "symbol").select("symbol", tr.loss_score(F.col("pc"), F.col("max_share"), F.col("sharpe")).alias("loss"))
+    made = own.groupBy("symbol").agg((F.sum("profit_abs") / 10).alias("pc"))
+    sharpe = tr.daily_sharpe(tr.daily_profit(own, tr.calendar(hourly(spark, sf_dir), ("symbol",)), ("symbol",)), ("symbol",))
+    return made.join(worst, "symbol").join(sharpe, "symbol").select("symbol", tr.loss_score(F.col("pc"), F.col("max_share"), F.col("sharpe")).alias("loss"))
 
 
 @query("sweep_single_precision", places=4)
