@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickloom.llm import bpe, decontaminate, language, length_hist, lm_score, near_copies, phrase_print, simhash, token_files, toxicity, url_filter
@@ -465,6 +466,25 @@ def test_op2(spark, table_dir):
     assert all(r["score"] < 0 for r in got) and sum(r["score"] for r in got if r["n_tokens"] < 3000) > sum(r["base_score"] for r in got if r["n_tokens"] < 3000)
 
 
+def test_score_by_any_split(spark, table_dir):
+    """The model and the scores don't depend on how the rows are split; the classes' counts by brute force."""
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet").select("doc_id", "text")
+    found = []
+    for n in (2, 6):
+        own = docs.repartition(n)
+        model = lm_score.fit(own)
+        found.append(sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm_score.score(own.withColumn("held_out", F.lit(False)), model).collect()))
+    assert [r[:2] for r in found[0]] == [r[:2] for r in found[1]] and np.allclose([r[2] for r in found[0]], [r[2] for r in found[1]], rtol=1e-3)
+    c = model.counts
+    n = {r["h"]: r["n"] for r in c.table.collect()}
+    keys = np.array(list(n), np.int64).view(np.uint64)
+    ids = lm_score.ids_of(Lookup(c.head).find(keys), keys)
+    words = np.array(list(n.values()))
+    rest = ids >= lm_score.SINGLES
+    assert (np.bincount(ids[rest] - lm_score.SINGLES, words[rest], lm_score.CLASSES) == c.class_n).all()
+    assert (np.bincount(ids[rest] - lm_score.SINGLES, minlength=lm_score.CLASSES) == c.class_kinds).all()
+
+
 def test_normaliser():
     state = lm_score.start(np.full(30, 1 / 30))
     state[:700] += np.random.default_rng(0).normal(0, 0.5, 700).astype(np.float32)

@@ -3,12 +3,16 @@
 Words are counted over all training documents in Spark. The most frequent ones get vectors; the
 predicted vector of a position is the sum of the two words before it, each scaled by position
 weights, and a word's score is its inner product with the predicted vector plus a bias. Training is
-data-parallel: in each of ``ROUNDS`` rounds every task starts from the broadcast parameters, takes
-gradient steps of noise-contrastive estimation over its part of the training documents of that
-round (each document is in one round), and the parameters of all tasks are averaged, weighted by
-their words. Scores are normalised exactly: exp(score) is a product of a factor for each context
+data-parallel: the training documents of each of ``ROUNDS`` rounds (each document is in one) are dealt by
+their ids and texts to shards, whose number follows from the bytes of text, and sorted there, so that
+another split of the same table gives the same model. Every shard starts from the broadcast parameters and
+takes gradient steps of noise-contrastive estimation; the parameters of all shards are averaged, weighted
+by their words. Scores are normalised exactly: exp(score) is a product of a factor for each context
 word, so one matrix product of the two factor tables gives the normaliser of every context.
-Words without a vector share one class, within which smoothed counts give the probability.
+
+The ``SINGLES`` most frequent words have vectors of their own; all others are dealt to ``CLASSES`` classes
+with a vector each, words with a broadcast count by their rank, the rest by their hash, so that a class
+holds mostly one of the next frequent words. Within its class, smoothed counts give a word's probability.
 
 Counts of the ``HEAD`` most frequent words are broadcast, a fixed number; counts of all others are
 joined by shuffling word hashes (64 bits).
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import END_HASH, Lookup, Words, crc_of_id, pieces, saved, signed, sums_by_text, table, utf8
 
-#: Words with a broadcast count; of them, words with a vector (id 0 is the end, the last id the class of all others).
-HEAD, VECTORS = 1 << 18, 1024
+#: Words with a broadcast count; of them, words with a vector of their own (id 0 is the end); classes of all other words.
+HEAD, SINGLES, CLASSES = 1 << 18, 1024, 512
+#: Bytes of training text in a shard, about.
+SHARD_BYTES = 8 << 20
 SIZE, ROUNDS = 20, 4
 BATCH, NOISE, RATE = 1024, 48, 0.15
 #: Word hashes that a counting task sorts at once.
@@ -71,6 +77,15 @@ class Counts:
     kinds: int
     head: np.ndarray
     head_n: np.ndarray
+    #: occurrences and kinds of the words of each class
+    class_n: np.ndarray
+    class_kinds: np.ndarray
+
+
+def ids_of(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The vector of each word, by its place in the head (or -1) and its hash."""
+    of_rest = np.where(at < 0, (h >> np.uint64(20)).astype(np.int64), at) % CLASSES
+    return np.where((at >= 0) & (at < SINGLES), at, SINGLES + of_rest)
 
 
 def count(train: DataFrame) -> Counts:
@@ -81,7 +96,20 @@ def count(train: DataFrame) -> Counts:
     if not (h == END_HASH).any():
         h, n = np.append(h, END_HASH), np.append(n, 0)
     first = np.argsort(h != END_HASH, kind="stable")  # the end comes first
-    return Counts(counts, total["tokens"] or 0, total["kinds"], h[first], n[first])
+    h, n = h[first], n[first]
+    of_hash = F.pmod(F.shiftrightunsigned("h", 20), F.lit(CLASSES)).cast("int").alias("class")
+    rest = counts.groupBy(of_hash).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()  # a row for each class
+    class_n, class_kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    class_n[rest["class"].to_numpy()], class_kinds[rest["class"].to_numpy()] = rest["n"].to_numpy(), rest["kinds"].to_numpy()
+    # words of the head leave the class of their hash; those without a vector of their own enter that of their rank
+    seen = n > 0
+    own = (h >> np.uint64(20)).astype(np.int64) % CLASSES
+    np.subtract.at(class_n, own, n)
+    np.subtract.at(class_kinds, own, seen)
+    rank = np.arange(SINGLES, len(h))
+    np.add.at(class_n, rank % CLASSES, n[rank])
+    np.add.at(class_kinds, rank % CLASSES, seen[rank])
+    return Counts(counts, total["tokens"] or 0, total["kinds"], h, n, class_n, class_kinds)
 
 
 # The neural model. Parameters in one vector: context vectors, word vectors, position weights, biases, and their squared-gradient sums.
@@ -156,15 +184,14 @@ def train_part(shared, number: int):
         keys, p, state = shared.value
         vectors = len(p)
         known, state = Lookup(keys), state.copy()
-        rng = np.random.default_rng([number, TaskContext.get().partitionId()])
+        rng = np.random.default_rng([number, TaskContext.get().partitionId()])  # the shard's number
         log_kp = (np.log(p) + np.log(NOISE)).astype(np.float32)
         cumulated = np.cumsum(p)
         seen = 0
         for batch in batches:
             for _, _, data, offsets in pieces(*utf8(batch.column(0))):
                 h, first = words_and_ends(data, offsets)
-                ids = known.find(h)
-                ids[ids < 0] = vectors - 1
+                ids = ids_of(known.find(h), h)
                 before, last = contexts(ids, first)
                 order = rng.permutation(len(ids))
                 for at in range(0, len(ids), BATCH):
@@ -189,14 +216,19 @@ def fit(train: DataFrame) -> Model:
     """Count all words of train (doc_id, text) and train on all its documents."""
     spark = train.sparkSession
     counts = count(train)
-    n = counts.head_n[: VECTORS - 1].astype(np.float64)
-    p = np.append(n, counts.tokens - n.sum()) + SMOOTHING
+    n = np.zeros(SINGLES)
+    n[: len(counts.head_n)] = counts.head_n[:SINGLES]
+    p = np.concatenate([n, counts.class_n]) + SMOOTHING
     p /= p.sum()
     state = start(p)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
+    size = train.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = int(max(1, -(-size // (ROUNDS * SHARD_BYTES))))
     for number in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((counts.head[: len(n)], p, state))
-        sums = train.where(part == number).select("text").mapInArrow(train_part(shared, number), "at int, value double, weight long").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+        shared = spark.sparkContext.broadcast((counts.head, p, state))
+        own = train.where(part == number).withColumn("text_hash", F.xxhash64("text"))
+        dealt = own.repartition(shards, "text_hash", "doc_id").sortWithinPartitions("doc_id", "text_hash")
+        sums = dealt.select("text").mapInArrow(train_part(shared, number), "at int, value double, weight long").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
         # as many rows as the model has parameters
         if sums.num_rows:
             state[sums["at"].to_numpy()] = sums["value"].to_numpy()
@@ -217,23 +249,23 @@ def score_part(shared):
     """Task over (doc_id, held_out, text): what a document's head words give, and the hashes of its other words."""
 
     def run(batches):
-        head, head_n, vectors, state, tokens, kinds, rare, rare_kinds = shared.value
+        head, head_n, vectors, state, tokens, kinds, class_n, class_kinds = shared.value
         known = Lookup(head)
         near, far, norm = tables(state, vectors)
         log_n = np.log10(head_n + SMOOTHING)
         base_norm = np.log10(tokens + SMOOTHING * (kinds + 1))
-        rare_norm = np.log10(rare + SMOOTHING * (rare_kinds + 1))
+        class_norm = np.log10(np.concatenate([np.ones(SINGLES), class_n + SMOOTHING * (class_kinds + 1)]))
         for batch in batches:
             for i, j, data, offsets in pieces(*utf8(batch.column(2))):
                 h, first = words_and_ends(data, offsets)
                 at = known.find(h)
                 tail = at < 0
-                ids = np.where(tail | (at >= vectors - 1), vectors - 1, at)
+                ids = ids_of(at, h)
                 before, last = contexts(ids, first)
                 model = ((near[last, ids] + far[before, ids] - norm[before, last]) / np.log(10)).astype(np.float64)
-                model[ids == vectors - 1] -= rare_norm
+                model -= class_norm[ids]
                 of_head = np.where(tail, 0.0, log_n[at])
-                other = np.where(ids == vectors - 1, of_head, 0.0)
+                other = np.where(ids >= SINGLES, of_head, 0.0)
                 n = np.diff(first)
                 n_tail = sums_by_text(tail, first)
                 yield pa.RecordBatch.from_arrays(
@@ -251,9 +283,7 @@ def score_part(shared):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, held_out, text)."""
     counts, vectors = model.counts, len(model.p)
-    own = min(vectors - 1, len(counts.head_n))
-    rare, rare_kinds = counts.tokens - int(counts.head_n[:own].sum()), counts.kinds - int((counts.head_n[:own] > 0).sum())
-    shared = docs.sparkSession.sparkContext.broadcast((counts.head, counts.head_n, vectors, model.state, counts.tokens, counts.kinds, rare, rare_kinds))
+    shared = docs.sparkSession.sparkContext.broadcast((counts.head, counts.head_n, vectors, model.state, counts.tokens, counts.kinds, counts.class_n, counts.class_kinds))
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(score_part(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<long>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # the row numbers stay as written
     tail = rows.select("row", F.explode("tail").alias("h"))
