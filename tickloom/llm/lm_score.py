@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import END_HASH, Lookup, Words, crc_of_id, pieces, saved, signed, sums_by_text, table, utf8
+from tickloom.llm.common import END_HASH, Lookup, Words, crc_of_id, forget, pieces, saved, signed, sums_by_text, table, utf8
 
 #: Words with a broadcast count; of them, words with a vector of their own (id 0 is the end); classes of all other words.
 HEAD, SINGLES, CLASSES = 1 << 18, 1024, 512
@@ -178,7 +178,7 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train_part(shared, number: int):
-    """Task: the parameters after its part of a round, times its words, as (at, value, weight)."""
+    """Task: the parameters after its shard of a round, and its words, as one row (state, weight)."""
 
     def run(batches):
         keys, p, state = shared.value
@@ -200,11 +200,23 @@ def train_part(shared, number: int):
                     train_batch(state, vectors, before[own], last[own], ids[own], noise, log_kp)
                 seen += len(ids)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state), dtype=np.int32)), pa.array(state.astype(np.float64) * seen), pa.array(np.full(len(state), seen, np.int64))], names=["at", "value", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([state.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["state", "weight"])
 
     return run
 
 
+def weighted_sums(batches):
+    """Task over rows of train_part: the sum of their parameters times their words, as (at, value, weight)."""
+    total, weight = None, 0
+    for batch in batches:
+        for state, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(state.as_buffer(), np.float32).astype(np.float64) * n
+            total = own if total is None else total + own
+            weight += n
+    if weight:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), weight, np.int64))], names=["at", "value", "weight"])
+
+
 @dataclass
 class Model:
     counts: Counts
@@ -228,7 +240,10 @@ def fit(train: DataFrame) -> Model:
         shared = spark.sparkContext.broadcast((counts.head, p, state))
         own = train.where(part == number).withColumn("text_hash", F.xxhash64("text"))
         dealt = own.repartition(shards, "text_hash", "doc_id").sortWithinPartitions("doc_id", "text_hash")
-        sums = dealt.select("text").mapInArrow(train_part(shared, number), "at int, value double, weight long").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+        # half a megabyte a shard; reading packs some thirty of them into a task, which sums them first
+        states = saved(dealt.select("text").mapInArrow(train_part(shared, number), "state binary, weight long"), "shard-states")
+        sums = states.mapInArrow(weighted_sums, "at int, value double, weight long").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+        forget(states)
         # as many rows as the model has parameters
         if sums.num_rows:
             state[sums["at"].to_numpy()] = sums["value"].to_numpy()
