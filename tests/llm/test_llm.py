@@ -478,14 +478,20 @@ def test_score_by_any_split(spark, table_dir):
     c = model.counts
     n = {r["h"]: r["n"] for r in c.table.collect()}
     keys = np.array(list(n), np.int64).view(np.uint64)
-    ids = lm_score.ids_of(Lookup(c.head).find(keys), keys)
+    ids = lm_score.ids_of(Lookup(c.head).find(keys), keys, len(c.class_n))
     words = np.array(list(n.values()))
     rest = ids >= lm_score.SINGLES
-    assert (np.bincount(ids[rest] - lm_score.SINGLES, words[rest], lm_score.CLASSES) == c.class_n).all()
-    assert (np.bincount(ids[rest] - lm_score.SINGLES, minlength=lm_score.CLASSES) == c.class_kinds).all()
+    assert (np.bincount(ids[rest] - lm_score.SINGLES, words[rest], len(c.class_n)) == c.class_n).all()
+    assert (np.bincount(ids[rest] - lm_score.SINGLES, minlength=len(c.class_n)) == c.class_kinds).all()
 
 
-def test_normaliser():
+def test_vectors_grow_with_the_words():
+    found = [lm_score.classes_for(n) for n in (0, 1_000, 1_000_000, 1_000_000_000)]
+    assert found == [1, 60, 600, 6000]
+
+
+def test_normaliser(monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH", 7)  # contexts at once
     state = lm_score.start(np.full(30, 1 / 30))
     state[:700] += np.random.default_rng(0).normal(0, 0.5, 700).astype(np.float32)
     near, far, norm = lm_score.tables(state, 30)

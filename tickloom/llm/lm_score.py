@@ -10,9 +10,12 @@ takes gradient steps of noise-contrastive estimation; the parameters of all shar
 by their words. Scores are normalised exactly: exp(score) is a product of a factor for each context
 word, so one matrix product of the two factor tables gives the normaliser of every context.
 
-The ``SINGLES`` most frequent words have vectors of their own; all others are dealt to ``CLASSES`` classes
-with a vector each, words with a broadcast count by their rank, the rest by their hash, so that a class
-holds mostly one of the next frequent words. Within its class, smoothed counts give a word's probability.
+The ``SINGLES`` most frequent words have vectors of their own; all others are dealt to classes with a
+vector each, words with a broadcast count by their rank, the rest by their hash, so that a class holds
+mostly one of the next frequent words. Within its class, smoothed counts give a word's probability. There
+are ``SPREAD`` classes for each unit of the cube root of the number of distinct words: vectors grow with
+the corpus, and the tables of scores (vectors squared) stay below it: a billion distinct words give 7,024
+vectors and three tables of 200 MB.
 
 Counts of the ``HEAD`` most frequent words are broadcast, a fixed number; counts of all others are
 joined by shuffling word hashes (64 bits).
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import END_HASH, Lookup, Words, crc_of_id, forget, pieces, saved, signed, sums_by_text, table, utf8
 
-#: Words with a broadcast count; of them, words with a vector of their own (id 0 is the end); classes of all other words.
-HEAD, SINGLES, CLASSES = 1 << 18, 1024, 512
+#: Words with a broadcast count; of them, words with a vector of their own (id 0 is the end).
+HEAD, SINGLES = 1 << 18, 1024
+#: Classes of all other words, for each unit of the cube root of the number of distinct words.
+SPREAD = 6
 #: Bytes of training text in a shard, about.
 SHARD_BYTES = 8 << 20
 SIZE, ROUNDS = 20, 4
@@ -77,14 +82,18 @@ class Counts:
     kinds: int
     head: np.ndarray
     head_n: np.ndarray
-    #: occurrences and kinds of the words of each class
+    #: occurrences and kinds of the words of each class, whose number grows with the kinds of all words
     class_n: np.ndarray
     class_kinds: np.ndarray
 
 
-def ids_of(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+def classes_for(kinds: int) -> int:
+    return max(1, round(SPREAD * kinds ** (1 / 3)))
+
+
+def ids_of(at: np.ndarray, h: np.ndarray, classes: int) -> np.ndarray:
     """The vector of each word, by its place in the head (or -1) and its hash."""
-    of_rest = np.where(at < 0, (h >> np.uint64(20)).astype(np.int64), at) % CLASSES
+    of_rest = np.where(at < 0, (h >> np.uint64(20)).astype(np.int64), at) % classes
     return np.where((at >= 0) & (at < SINGLES), at, SINGLES + of_rest)
 
 
@@ -97,18 +106,19 @@ def count(train: DataFrame) -> Counts:
         h, n = np.append(h, END_HASH), np.append(n, 0)
     first = np.argsort(h != END_HASH, kind="stable")  # the end comes first
     h, n = h[first], n[first]
-    of_hash = F.pmod(F.shiftrightunsigned("h", 20), F.lit(CLASSES)).cast("int").alias("class")
+    classes = classes_for(total["kinds"])
+    of_hash = F.pmod(F.shiftrightunsigned("h", 20), F.lit(classes)).cast("int").alias("class")
     rest = counts.groupBy(of_hash).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()  # a row for each class
-    class_n, class_kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    class_n, class_kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     class_n[rest["class"].to_numpy()], class_kinds[rest["class"].to_numpy()] = rest["n"].to_numpy(), rest["kinds"].to_numpy()
     # words of the head leave the class of their hash; those without a vector of their own enter that of their rank
     seen = n > 0
-    own = (h >> np.uint64(20)).astype(np.int64) % CLASSES
+    own = (h >> np.uint64(20)).astype(np.int64) % classes
     np.subtract.at(class_n, own, n)
     np.subtract.at(class_kinds, own, seen)
     rank = np.arange(SINGLES, len(h))
-    np.add.at(class_n, rank % CLASSES, n[rank])
-    np.add.at(class_kinds, rank % CLASSES, seen[rank])
+    np.add.at(class_n, rank % classes, n[rank])
+    np.add.at(class_kinds, rank % classes, seen[rank])
     return Counts(counts, total["tokens"] or 0, total["kinds"], h, n, class_n, class_kinds)
 
 
@@ -191,7 +201,7 @@ def train_part(shared, number: int):
         for batch in batches:
             for _, _, data, offsets in pieces(*utf8(batch.column(0))):
                 h, first = words_and_ends(data, offsets)
-                ids = ids_of(known.find(h), h)
+                ids = ids_of(known.find(h), h, vectors - SINGLES)
                 before, last = contexts(ids, first)
                 order = rng.permutation(len(ids))
                 for at in range(0, len(ids), BATCH):
@@ -240,7 +250,7 @@ def fit(train: DataFrame) -> Model:
         shared = spark.sparkContext.broadcast((counts.head, p, state))
         own = train.where(part == number).withColumn("text_hash", F.xxhash64("text"))
         dealt = own.repartition(shards, "text_hash", "doc_id").sortWithinPartitions("doc_id", "text_hash")
-        # half a megabyte a shard; reading packs some thirty of them into a task, which sums them first
+        # 328 bytes a vector for each shard; reading packs some thirty of them into a task, which sums them first
         states = saved(dealt.select("text").mapInArrow(train_part(shared, number), "state binary, weight long"), "shard-states")
         sums = states.mapInArrow(weighted_sums, "at int, value double, weight long").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
         forget(states)
@@ -257,7 +267,12 @@ def tables(state: np.ndarray, vectors: int) -> tuple[np.ndarray, np.ndarray, np.
     near = (m["context"] * m["position"][0]) @ m["word"].T + m["bias"]
     far = (m["context"] * m["position"][1]) @ m["word"].T
     top_near, top_far = near.max(1, keepdims=True), far.max(1, keepdims=True)
-    return near, far, np.log(np.exp(far - top_far) @ np.exp(near - top_near).T) + top_far + top_near.T
+    after_last = np.exp(near - top_near).T
+    norm = np.empty_like(near)
+    for at in range(0, vectors, BATCH):  # contexts at once
+        part = slice(at, at + BATCH)
+        norm[part] = np.log(np.exp(far[part] - top_far[part]) @ after_last) + top_far[part] + top_near.T
+    return near, far, norm
 
 
 def score_part(shared):
@@ -275,7 +290,7 @@ def score_part(shared):
                 h, first = words_and_ends(data, offsets)
                 at = known.find(h)
                 tail = at < 0
-                ids = ids_of(at, h)
+                ids = ids_of(at, h, vectors - SINGLES)
                 before, last = contexts(ids, first)
                 model = ((near[last, ids] + far[before, ids] - norm[before, last]) / np.log(10)).astype(np.float64)
                 model -= class_norm[ids]
