@@ -42,6 +42,8 @@ LONG, LEAF = 1024, 256
 BIG, PART = 1 << 19, 1 << 17
 #: Distinct pretokens that a worker remembers.
 MAX_PRETOKENS = 1 << 20
+#: New pretokens that the library encodes at once.
+AT_ONCE = 4096
 #: Ids on each side of a join that the first window takes.
 WINDOW = 8
 
@@ -215,7 +217,15 @@ class Codec:
         raw = "".join(texts).encode()
         usual = ~alone
         begin, stop = place[start[:-1][usual]], place[start[1:][usual]]
-        encode = lambda k: [e.ids for e in self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(begin[k].tolist(), stop[k].tolist(), strict=True)], add_special_tokens=False)]
+
+        def encode(k: np.ndarray) -> list[list[int]]:
+            found = []
+            for at in range(0, len(k), AT_ONCE):
+                own = k[at : at + AT_ONCE]
+                words = [raw[a:b].decode() for a, b in zip(begin[own].tolist(), stop[own].tolist(), strict=True)]
+                found += [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            return found
+
         ids, by_piece = self.memory.ids_of(np.frombuffer(raw, np.uint8), begin, stop, encode)
         at = np.searchsorted(start[:-1], first)
         if not alone.any():
@@ -309,6 +319,12 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def runs_of(column: pa.Array, rows: int = 256):
+    """Runs of a text column's texts, some rows at a time: not all of a batch become strings at once."""
+    for at in range(0, len(column), rows):
+        yield from runs(_texts(column.slice(at, rows)))
+
+
 def lists(ids: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
 
@@ -318,13 +334,8 @@ def encode_udf(path: str):
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        found, ends, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
-        for part in runs(_texts(texts)):
-            ids, first = codec(path).encode_texts(part)
-            found.append(ids)
-            ends.append(total + first[1:])
-            total += len(ids)
-        return lists(np.concatenate(found), np.concatenate(ends))
+        found = [lists(*codec(path).encode_texts(part)) for part in runs_of(texts)]
+        return pa.concat_arrays(found) if found else lists(np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     return run
 
@@ -378,7 +389,7 @@ def round_trip_udf(path: str):
     @F.arrow_udf(DIGESTS)
     def run(texts: pa.Array) -> pa.Array:
         own = codec(path)
-        found = [digests(own, *own.encode_texts(part)) for part in runs(_texts(texts))]
+        found = [digests(own, *own.encode_texts(part)) for part in runs_of(texts)]
         return pa.concat_arrays(found) if found else digests(own, np.zeros(0, np.int64), np.zeros(1, np.int64))
 
     return run
@@ -389,7 +400,7 @@ def count_udf(path: str):
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(codec(path).encode_texts(part)[1]) for part in runs(_texts(texts)))]))
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(codec(path).encode_texts(part)[1]) for part in runs_of(texts))]))
 
     return run
 
