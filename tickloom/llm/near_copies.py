@@ -9,7 +9,8 @@ so that they share none with (1 - s ** ROWS) ** SAMPLES, 0.0004 at 0.8.
 
 Every candidate is checked on the sets themselves. Texts of a group of linked fingerprints are first
 compared with one of them only; a group that is still in several components is then compared whole,
-in blocks of about ``BLOCK`` texts: a task takes two blocks and gives only the links found.
+in blocks of about ``BLOCK`` texts or ``BLOCK_SHINGLES`` shingles, if those are fewer texts: a task takes
+two blocks, counts what their sets share over ``COLUMNS`` shingles at a time, and gives only the links found.
 
 Defined results: words are lower-cased A-Z and cut at ASCII white space; a text of fewer words is one
 shingle; null, empty and blank texts are copies of each other; null and repeated ids are kept apart by
@@ -30,6 +31,8 @@ SHINGLE = 5
 #: Similarity as a fraction of integers.
 SIMILARITY = (4, 5)
 ROWS, SAMPLES, DISTANCE, BLOCK = 5, 20, 1, 96
+#: Shingles of a block, about, and those that a matrix of texts and shingles has columns for.
+BLOCK_SHINGLES, COLUMNS = 1 << 19, 1 << 15
 
 _seeds = np.random.default_rng(17).integers(0, 1 << 63, (2, SAMPLES, ROWS), np.uint64)
 _seeds[0] |= np.uint64(1)
@@ -122,10 +125,15 @@ def block_links(group: pa.Table) -> pa.Table:
     lists = [np.unique(x) for x in group["members"].to_numpy()]
     size = np.array([len(x) for x in lists])
     _, word = np.unique(np.concatenate(lists), return_inverse=True)
-    has = np.zeros((len(lists), int(word.max(initial=0)) + 1), np.float32)
-    has[np.repeat(np.arange(len(lists)), size), word] = 1
+    text, order = np.repeat(np.arange(len(lists)), size), np.argsort(word, kind="stable")
+    text, word = text[order], word[order]
     first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    shared = has[first] @ has[second].T
+    shared, has = np.zeros((len(first), len(second))), np.zeros((len(lists), COLUMNS), np.float32)
+    for low in range(0, int(word.max(initial=-1)) + 1, COLUMNS):
+        own = slice(*np.searchsorted(word, [low, low + COLUMNS]))
+        has[text[own], word[own] - low] = 1
+        shared += has[first] @ has[second].T
+        has[text[own], word[own] - low] = 0
     close = ((up + down) * shared >= up * (size[first][:, None] + size[second][None, :])) & (root[first][:, None] != root[second][None, :])
     x, y = np.nonzero(close)
     x, y = first[x], second[y]
@@ -146,13 +154,13 @@ def block_links(group: pa.Table) -> pa.Table:
 
 def roots(rows: DataFrame) -> DataFrame:
     """(sid, root) of the sets of rows (row, sid, members, prints) that have near copies."""
-    own = saved(rows.select("sid", F.explode("prints").alias("fp")).distinct(), "set-prints")
+    own = saved(rows.select("sid", F.size("members").alias("size"), F.explode("prints").alias("fp")).distinct(), "set-prints")
     prints = saved(own.groupBy("fp").agg(F.count("*").alias("n")), "prints")
     linked = components(link(prints, DISTANCE)).select(F.col("v").alias("fp"), F.col("root").alias("to"))
     # a fingerprint of many sets or one that is linked: the others tell nothing
     named = saved(prints.join(linked, "fp", "left").where("n > 1 or to is not null").select("fp", "n", F.coalesce("to", "fp").alias("key")), "print-keys")
     total = own.count()
-    keys = saved(with_hot(own, named, "fp", total).select("key", "sid").distinct(), "keys")
+    keys = saved(with_hot(own, named, "fp", total).select("key", "sid", "size").distinct(), "keys")
     per_key = saved(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"), "key-sizes")
     grouped = saved(with_hot(keys, per_key, "key", total), "grouped")
     known = rows.groupBy("sid").agg(F.min("row").alias("row")).join(grouped.select("sid").distinct(), "sid").select("row")
@@ -161,7 +169,8 @@ def roots(rows: DataFrame) -> DataFrame:
     found = saved(components(links).select(F.col("v").alias("sid"), "root"), "first-roots")
     placed = grouped.drop("first", "n").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     placed = saved(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", blocks.alias("blocks"), "n")
     members = with_hot(placed, saved(open_keys, "open-keys"), "key", total).withColumn("block", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "root")
     more = dealt.join(sets, "sid").groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long")
