@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, decontaminate, language, length_hist, lm_score, phrase_print, simhash, token_files, toxicity, url_filter
+from tickloom.llm import bpe, conversations, decontaminate, language, length_hist, lexical, lm_score, mixing, phrase_print, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5,
@@ -15,5 +15,8 @@ QUERIES = {
     "op6_simhash": simhash.op6,
     "op8_toxicity": toxicity.op8,
     "op10_language": language.op10,
+    "op11_repair": conversations.op11,
+    "op12_search": lexical.op12,
+    "op13_mix": mixing.op13,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_search": lexical.SQL, "op13_mix": mixing.SQL}
