@@ -263,6 +263,58 @@ def test_array_and_relational_scores(spark, n):
                 assert r[c] == pytest.approx(two[k][c], rel=1e-9, abs=1e-9), (k, c)
 
 
+def plain_run(opens, closes, follow, fee, capital, per_year):
+    """(final value, drawdown, Sharpe ratio) bar by bar; follow says after each bar whether to hold."""
+    import numpy as np
+
+    opens, closes = np.array(opens, float), np.array(closes, float)
+    cash, quantity, held, before = np.float64(capital), np.float64(0), False, capital
+    values, returns = [cash], []
+    with np.errstate(all="ignore"):
+        for k in range(1, len(closes)):
+            if follow[k - 1] and not held:
+                quantity, cash, held = cash / opens[k] * (1 - fee), np.float64(0), True
+            elif not follow[k - 1] and held:
+                cash, quantity, held = quantity * opens[k] * (1 - fee), np.float64(0), False
+            value = quantity * closes[k] if held else cash
+            values.append(value)
+            if before > 0:
+                returns.append((value - before) / before)
+            before = value
+        peak, fall = values[0], 0.0
+        for v in values:
+            peak = v if v > peak else peak
+            own = (peak - v) / peak if peak > 0 else 0.0
+            fall = own if own > fall else fall
+        sd = np.std(returns, ddof=1) if len(returns) > 1 else 0.0
+    ratio = np.mean(returns) / sd * per_year**0.5 if np.isfinite(sd) and sd > 1e-15 else 0.0
+    return float(values[-1]), fall * 100, float(ratio)
+
+
+def same(a, b):
+    return a == b or (math.isnan(a) and math.isnan(b)) or a == pytest.approx(b, rel=1e-8, abs=1e-7)
+
+
+@pytest.mark.parametrize("zero_closes, zero_opens", [((30, 31, 70), ()), ((), (40,)), ((12, 55), (56, 20)), ((79,), ()), (range(50, 80), (60,))])
+def test_prices_of_zero_in_both_layouts(spark, recwarn, zero_closes, zero_opens):
+    closes, n = walk(80, 3), 80
+    opens = [round(c * (1 + (k % 5 - 2) / 300), 2) for k, c in enumerate(closes)]
+    for k in zero_closes:
+        closes[k] = 0.0
+    for k in zero_opens:
+        opens[k] = 0.0
+    d = series(spark, closes, opens)
+    strategy = bt.DoubleEma(1, 2, 9)
+    one, two = ({(r["fast"], r["slow"]): r for r in x.collect()} for x in (bt.backtest(d, strategy, "1h"), bt.relational_scores(d, strategy, "1h", 0.0015, 1000.0)))
+    import numpy as np
+
+    for (pair, follow) in strategy.follow(np.array(closes), [p for t in strategy.tiles() for p in t]):
+        want = plain_run(opens, closes, follow, 0.0015, 1000.0, 8760)
+        for found in (one[pair], two[pair]):
+            assert found["bars"] == n and all(same(found[c], x) for c, x in zip(("final_value", "max_dd", "sharpe"), want)), (pair, found, want)
+    assert not [w for w in recwarn if issubclass(w.category, RuntimeWarning)]
+
+
 def test_every_default_pair_is_in_a_tile():
     pairs = [p for t in bt.DoubleEma().tiles() for p in t]
     assert len(pairs) == len(set(pairs)) == 177_310 and max(map(len, bt.DoubleEma().tiles())) <= bt.TILE**2

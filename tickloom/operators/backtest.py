@@ -6,9 +6,13 @@ takes strategies that deal their parameters out in tiles: a task gets the arrays
 and a tile, makes each average of the tile once, and gives one row for each run; only those rows are
 shuffled. A series' opens and closes must fit in a task: 16 bytes a bar.
 
-A position follows the last signal that isn't hold, one bar later; every bar's growth factor comes
-from its own and the previous bar alone, and equity is the running product of the factors, as a sum
-of logarithms. Prices must be above 0. Warm-up values are null, so comparisons with them hold.
+A position follows the last signal that isn't hold, one bar later. The value of a trade is its stake
+times the price over the opening rate, and stakes are the running product of what trades returned, as a
+sum of logarithms. Warm-up values are null, so comparisons with them hold.
+
+Prices may be 0: a bar's value is then 0, the return of the bar after a value of 0 isn't counted, a sale at 0 leaves
+nothing for the rest of the run, and a purchase at 0 buys without limit, so that the final value is infinite and the
+Sharpe ratio 0; such runs rank by their ratio like all others. Negative prices aren't prices.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scan import Linear, Step, ema_grid
+from tickloom.functions.scan import Linear, Step, ema_grid, recurrences
 from tickloom.operators.build import periods_per_year
 from tickloom.operators.joins import pair_emas
 
@@ -60,8 +64,8 @@ def period_grid(spark: SparkSession, least: int, most: int) -> DataFrame:
     return spark.range(least, most + 1).select(F.col("id").cast("int").alias("period"))
 
 
-#: Periods on a side of a tile of averages.
-TILE = 32
+#: Periods on a side of a tile of averages; pairs whose averages one pass along a series makes.
+TILE, FEW_PAIRS = 32, 64
 
 
 def ema_values(close: np.ndarray, period: int) -> np.ndarray:
@@ -92,6 +96,10 @@ class DoubleEma:
 
     def indicators(self, candles: DataFrame) -> DataFrame:
         own = candles.select(*SERIES, "time", "open", "close")
+        if self.pairs and len(self.pairs) <= FEW_PAIRS:  # one pass makes just their averages
+            made = recurrences(own, SERIES, [Step(f"ema_{p}", "ema", "close", p) for p in sorted({p for pair in self.pairs for p in pair})])
+            pair = [F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(f"ema_{f}").alias("ema_fast"), F.col(f"ema_{s}").alias("ema_slow")) for f, s in self.pairs]
+            return made.select(*own.columns, F.explode(F.array(*pair)).alias("pair")).select(*own.columns, "pair.*")
         return pair_emas(ema_grid(own, self.range[0], self.range[2], SERIES), self.grid(candles.sparkSession), SERIES)
 
     def signal(self) -> Column:
@@ -156,25 +164,34 @@ def positions(df: DataFrame, signal: Column, keys: list[str], order: str = "time
 
 
 def growth(df: DataFrame, fee: float, keys: list[str], order: str = "time") -> DataFrame:
-    """df with ``factor``: by how much the portfolio grows in each bar; entries and exits at the open, fees on both."""
+    """df with ``factor``, by how much the portfolio grows in each bar (null after a close of 0), and ``kept``, what each bar of a trade, its sale included, leaves of the stake; entries and exits at the open, fees on both."""
     w = Window.partitionBy(*keys).orderBy(order)
     was, close = F.coalesce(F.lag("held").over(w), F.lit(0)), F.lag("close").over(w)
     enter, leave, stay = (F.col("held") == 1) & (was == 0), (F.col("held") == 0) & (was == 1), (F.col("held") == 1) & (was == 1)
-    factor = F.when(enter, (1 - fee) * F.col("close") / F.col("open")).when(leave, (1 - fee) * F.col("open") / close).when(stay, F.col("close") / close).otherwise(F.lit(1.0))
-    return df.withColumn("factor", factor)
+    factor = F.when(enter, (1 - fee) * F.try_divide(F.col("close"), F.col("open"))).when(leave, (1 - fee) * F.try_divide(F.col("open"), close)).when(stay, F.try_divide(F.col("close"), close)).otherwise(F.lit(1.0))
+    rate = F.last(F.when(enter, F.col("open")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    share = lambda x: F.when(rate == 0, F.when(x == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(x, rate))
+    kept = F.when(F.col("held") == 1, (1 - fee) * share(F.col("close"))).when(leave, (1 - fee) * (1 - fee) * share(F.col("open")))
+    return df.withColumn("factor", factor).withColumn("kept", kept)
 
 
 def equity(df: DataFrame, capital: float, keys: list[str], order: str = "time") -> DataFrame:
-    """df with ``value``, its running peak, and the return of each bar but the first."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("value", capital * F.exp(F.sum(F.log("factor")).over(w)))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
-    return d.withColumn("peak", F.max("value").over(w)).withColumn("ret", F.when(~first, F.col("factor") - 1))
+    """df (held, kept) with ``value``, its running peak, and the return of each bar but the first and those after a value of 0."""
+    ordered = Window.partitionBy(*keys).orderBy(order)
+    w = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    sold = F.when(F.col("held") == 0, F.col("kept"))
+    gone = F.coalesce(F.max(F.when(sold == 0, 1)).over(w), F.lit(0)) == 1
+    cash = F.when(gone, 0.0).otherwise(capital * F.exp(F.coalesce(F.sum(F.log(sold)).over(w), F.lit(0.0))))
+    d = df.withColumn("value", cash * F.when(F.col("held") == 1, F.col("kept")).otherwise(1.0))
+    before = F.lag("value").over(ordered)
+    d = d.withColumn("peak", F.max(F.when(~F.isnan("value"), F.col("value"))).over(w))
+    return d.withColumn("ret", F.when(before > 0, F.try_divide(F.col("value"), before) - 1)).drop("kept")
 
 
 def max_drawdown(value: str = "value", peak: str = "peak") -> Column:
-    """Aggregate: the deepest fall from the running peak, in percent."""
-    return F.coalesce(F.max(F.when(F.col(peak) > 0, (F.col(peak) - F.col(value)) / F.col(peak) * 100)), F.lit(0.0))
+    """Aggregate: the deepest fall from the running peak, in percent; none from a peak without limit."""
+    fall = F.when((F.col(peak) > 0) & (F.col(peak) < float("inf")) & ~F.isnan(value), F.try_divide(F.col(peak) - F.col(value), F.col(peak)) * 100)
+    return F.coalesce(F.max(fall), F.lit(0.0))
 
 
 def sharpe(ret: str, per_year: int, rf: float = 0.0) -> Column:
@@ -209,11 +226,17 @@ class Scorer:
     and the value's extremes are those of the close. A fall within one trade is followed bar by bar only where the trade's range exceeds the deepest fall found."""
 
     def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, capital: float, per_year: int):
-        self.n, self.capital, self.per_year = len(closes), capital, per_year
+        self.n, self.capital, self.per_year, self.fee = len(closes), capital, per_year, float(np.log1p(-fee))
         before = np.concatenate([closes[:1], closes[:-1]])
-        self.enter, self.leave = (1 - fee) * closes / opens - 1, (1 - fee) * opens / before - 1
-        self.close, self.log_enter, self.log_leave = np.log(closes), np.log1p(self.enter), np.log1p(self.leave)
-        self.sums = [np.concatenate([[0.0], np.cumsum((closes / before - 1) ** k)]) for k in (1, 2)]
+        self.zeros = bool((closes == 0).any() or (opens == 0).any())
+        self.free = opens == 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.enter, self.leave = (1 - fee) * closes / opens - 1, (1 - fee) * opens / before - 1
+            self.open, self.close, change = np.log(opens), np.log(closes), closes / before - 1
+        if self.zeros:  # returns after a value of 0 don't count
+            self.lost = np.concatenate([[0], np.cumsum(before == 0)])
+            change[before == 0] = self.leave[before == 0] = 0.0
+        self.sums = [np.concatenate([[0.0], np.cumsum(change**k)]) for k in (1, 2)]
 
     def __call__(self, follow: np.ndarray) -> tuple[float, float, float]:
         """(final value, drawdown in percent, Sharpe ratio) of positions that follow each bar's signal one bar later."""
@@ -221,15 +244,45 @@ class Scorer:
         change = np.flatnonzero(follow[1:-1] != follow[:-2]) + 2
         if n > 1 and follow[0]:
             change = np.concatenate([[1], change])
-        into, out = change[::2], change[1::2]
+        into, out, bars, without_limit = change[::2], change[1::2], n, False
+        if self.zeros:
+            # a purchase or a sale at 0 ends what there is to follow
+            bought = np.flatnonzero(self.free[into])[:1]
+            sold = np.flatnonzero(self.free[out])[:1]
+            if len(bought) and (not len(sold) or bought[0] <= sold[0]):
+                into, out, without_limit = into[: bought[0]], out[: bought[0]], True
+            elif len(sold):
+                into, out = into[: sold[0] + 1], out[: sold[0] + 1]
+                bars = int(out[-1]) + 1
         if not len(into):
-            return self.capital, 0.0, 0.0
+            return float("inf") if without_limit else self.capital, 0.0, 0.0
+        with np.errstate(invalid="ignore"):
+            final, fall = self.value(into, out)
+        if without_limit:
+            return float("inf"), fall, 0.0
+        end = out if len(out) == len(into) else np.append(out, n)
+        a, b = self.enter[into], self.leave[out]
+        one, two = ((s[end] - s[into + 1]).sum() + (a**k).sum() + (b**k).sum() for k, s in enumerate(self.sums, 1))
+        count = bars - 1
+        if self.zeros:
+            count -= int((self.lost[np.minimum(end + 1, n)] - self.lost[into + 1]).sum())  # the bar of the sale included
+        ratio = 0.0
+        if count > 1 and self.per_year > 0:
+            mean = one / count
+            sd = np.sqrt(max(0.0, (two - count * mean * mean) / (count - 1)))
+            ratio = mean / sd * np.sqrt(self.per_year) if sd > 1e-15 else 0.0
+        return final, fall, float(ratio)
+
+    def value(self, into: np.ndarray, out: np.ndarray) -> tuple[float, float]:
+        """(final value, drawdown in percent) of trades from into to out, the last of them open if out is shorter."""
+        n = self.n
         end = out if len(out) == len(into) else np.append(out, n)
         # logarithms of the value: when a trade begins, less the close's while it lasts, when it has ended
-        gain = self.log_enter[into] + self.close[end - 1] - self.close[into]
-        gain[: len(out)] += self.log_leave[out]
+        paid = self.fee - self.open[into]
+        gain = paid + self.close[end - 1]
+        gain[: len(out)] = paid[: len(out)] + self.open[out] + self.fee
         after = np.cumsum(gain)
-        offset = after - gain + self.log_enter[into] - self.close[into]
+        offset = np.concatenate([[0.0], after[:-1]]) + paid
         bounds = np.column_stack([into, end]).ravel()
         bounds = bounds[:-1] if bounds[-1] == n else bounds
         high, low = (f.reduceat(self.close, bounds)[::2] for f in (np.maximum, np.minimum))
@@ -242,14 +295,7 @@ class Scorer:
                 break
             own = self.close[into[k] : end[k]]
             fall = max(fall, float((np.maximum.accumulate(own) - own).max()))
-        a, b = self.enter[into], self.leave[out]
-        one, two = ((s[end] - s[into + 1]).sum() + (a**k).sum() + (b**k).sum() for k, s in enumerate(self.sums, 1))
-        ratio = 0.0
-        if n > 2 and self.per_year > 0:
-            mean = one / (n - 1)
-            sd = np.sqrt(max(0.0, (two - (n - 1) * mean * mean) / (n - 2)))
-            ratio = mean / sd * np.sqrt(self.per_year) if sd > 1e-15 else 0.0
-        return self.capital * float(np.exp(after[-1])), float(-np.expm1(-fall) * 100), float(ratio)
+        return self.capital * float(np.exp(after[-1])), float(-np.expm1(-fall) * 100)
 
 
 def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float) -> DataFrame:

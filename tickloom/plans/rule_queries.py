@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import rules
+from tickloom.operators import backtest as bt
+from tickloom.operators import build, rules
 from tickloom.operators import trades as tr
 from tickloom.plans import registry as reg
 from tickloom.plans.registry import BARS, HOUR, HOURLY, full, query
@@ -215,16 +216,16 @@ reg.ORACLE_SQL["moving_averages"] = f"""WITH RECURSIVE {HOURLY}, {BARS}, {ema_of
     SELECT symbol, time, round(2 * a - b, 6) AS dema, round(3 * a - 3 * b + c, 6) AS tema, CASE WHEN n >= 9 THEN round(list_sum(list_transform(l, lambda x, i: x * i)) / 45, 6) END AS wma FROM r""".replace("list(close) OVER (PARTITION BY symbol ORDER BY time", "list(close) OVER (PARTITION BY bars.symbol ORDER BY bars.time")
 
 
-def scored(signal: str, params: str, source: str, f32: bool = False) -> str:
-    """SQL of the scores of runs with a signal, by params, from bars joined with averages."""
+def scored(signal: str, params: str, source: str, level: str = "1h", per_year: int = 8760, best: bool = True) -> str:
+    """SQL of the scores of runs with a signal, by params, from bars joined with averages; of each series the best, or all."""
     part = f"PARTITION BY symbol, {params} ORDER BY n"
     return f"""s AS (SELECT b.*, {source}), k AS (SELECT *, last_value({signal} IGNORE NULLS) OVER ({part}) AS kept FROM s), h AS (SELECT *, coalesce(lag(kept) OVER ({part}), 0) AS held FROM k),
     g AS (SELECT *, coalesce(lag(held) OVER ({part}), 0) AS was, lag(close) OVER ({part}) AS pc FROM h),
     f2 AS (SELECT *, CASE WHEN held = 1 AND was = 0 THEN (1 - {reg.FEE}) * close / open WHEN held = 0 AND was = 1 THEN (1 - {reg.FEE}) * open / pc WHEN held = 1 THEN close / pc ELSE 1 END AS factor FROM g),
     v AS (SELECT *, sum(ln(factor)) OVER ({part}) + ln({reg.CAPITAL}) AS value FROM f2), q AS (SELECT *, max(value) OVER ({part}) AS peak, CASE WHEN n > 1 THEN factor - 1 END AS ret FROM v),
-    scores AS (SELECT symbol, '1h' AS level, {params}, arg_max(value, n) AS log_final, max(1 - exp(value - peak)) * 100 AS max_dd, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(8760) ELSE 0 END AS sharpe, count(*) AS bars FROM q GROUP BY ALL),
+    scores AS (SELECT symbol, '{level}' AS level, {params}, arg_max(value, n) AS log_final, max(1 - exp(value - peak)) * 100 AS max_dd, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt({per_year}) ELSE 0 END AS sharpe, count(*) AS bars FROM q GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, log_final DESC, {params}) AS rank FROM scores)
-    SELECT symbol, level, {params}, round(log_final, 4) AS log_final, round(max_dd, 4) AS max_dd, round(sharpe, 4) AS sharpe, bars, rank::INT AS rank FROM ranked WHERE rank = 1"""
+    SELECT symbol, level, {params}, round(log_final, 4) AS log_final, round(max_dd, 4) AS max_dd, round(sharpe, 4) AS sharpe, bars{', rank::INT AS rank FROM ranked WHERE rank = 1' if best else ' FROM scores'}"""
 
 
 reg.ORACLE_SQL["sweep_single_best"] = f"WITH RECURSIVE {HOURLY}, {BARS}, {reg.ema_sql('range(5, 25)')}, " + scored(
@@ -234,3 +235,19 @@ _F32 = BARS.replace("SELECT *,", "SELECT symbol, level, time, open::FLOAT::DOUBL
 reg.ORACLE_SQL["sweep_single_precision"] = f"WITH RECURSIVE {HOURLY}, {_F32}, {reg.ema_sql('range(3, 13)')}, p AS (SELECT f.range::INT AS fast, l.range::INT AS slow FROM range(3, 13) f, range(4, 13) l WHERE l.range > f.range), " + scored(
     "CASE WHEN n >= slow THEN CASE WHEN x > y THEN 1 WHEN x < y THEN 0 END END", "fast, slow", "fast, slow, f.s AS x, l.s AS y FROM p JOIN e f ON f.period = p.fast JOIN e l ON l.period = p.slow AND l.symbol = f.symbol AND l.n = f.n JOIN bars b ON b.symbol = f.symbol AND b.n = f.n"
 )
+
+_QUARTERS = f"{reg.TICKS}, {reg.candles_sql('15m', 'CAST(epoch_ms(ts) AS BIGINT) // 900000 * 900000')}"
+
+
+@query(
+    "sweep_15m",
+    f"WITH RECURSIVE {_QUARTERS}, {BARS}, {reg.ema_sql('range(3, 13)')}, p AS (SELECT f.range::INT AS fast, l.range::INT AS slow FROM range(3, 13) f, range(4, 13) l WHERE l.range > f.range), "
+    + scored(
+        "CASE WHEN n >= slow THEN CASE WHEN x > y THEN 1 WHEN x < y THEN 0 END END", "fast, slow", "fast, slow, f.s AS x, l.s AS y FROM p JOIN e f ON f.period = p.fast JOIN e l ON l.period = p.slow AND l.symbol = f.symbol AND l.n = f.n JOIN bars b ON b.symbol = f.symbol AND b.n = f.n",
+        "15m", 35040, best=False,
+    ),
+    4,
+)
+def sweep_15m(spark, sf_dir):
+    """P3, P9 on 15-minute candles."""
+    return reg.in_logs(bt.backtest(build.build_candles(reg.ticks(spark, sf_dir), "15m"), reg.GRID, "15m", reg.FEE, reg.CAPITAL))
