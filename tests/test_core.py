@@ -405,3 +405,67 @@ def test_each_exit_reason_fires(spark):
     rows = [(name, *{**base, **over}.values()) for name, over in fires.items()] + [("none", *base.values()), ("other tag", *{**base, **fires["sell_scalp"], "buy_tag": "nfix_39 bb "}.values())]
     got = {r["name"]: r["r"] for r in spark.createDataFrame(rows, f"name string, {kinds}").select("name", rules.exit_chain().alias("r")).collect()}
     assert got == {n: f"{n}( {'nfix_39 ' if n == 'sell_scalp' else 'empty'})" for n in fires} | {"none": None, "other tag": None}
+
+
+def plain_trades(bars, chain):
+    """Trades of bars (time, open, high, low, close, holds, enter, tag) one by one; chain has (name, at_least, above, below, fall, tag)."""
+    out, trade, signal = [], None, None
+    for time, op, high, low, close, holds, enter, tag in bars:
+        if trade is None and signal is not None and op > 0:
+            trade = {"time": time, "rate": op, "tag": signal[0], "top": high, "stop": op * (1 - 0.99)}
+        signal, why = None, None
+        if trade is not None:
+            trade["top"] = max(trade["top"], high)
+            profit, top = close / trade["rate"] - 1, trade["top"] / trade["rate"] - 1
+            age = (time - trade["time"]) / 60_000
+            if low <= trade["stop"]:
+                why, rate = "trailing_stop", trade["stop"]
+            else:
+                rate = close
+                for k, (name, at_least, above, below, fall, own) in enumerate(chain):
+                    if holds >> k & 1 and profit >= at_least and profit > above and profit < below and (fall is None or top > profit + fall) and own in (None, trade["tag"]):
+                        why = f"{name}( {trade['tag'] or 'empty'})"
+                        break
+                if why is None and profit >= (0.005 if age >= 292 else 0.038 if age >= 81 else 0.205):
+                    why = "take_profit"
+            if why is None:
+                for least, far in ((0.2, 0.05), (0.1, 0.03), (0.06, 0.02), (0.03, 0.015)):
+                    if profit > least:
+                        trade["stop"] = max(trade["stop"], close * (1 - far))
+                        break
+            else:
+                out.append((len(out) + 1, trade["time"], time, trade["rate"], rate, trade["tag"], why))
+                trade = None
+        if trade is None and enter:
+            signal = (tag or None,)
+    return out
+
+
+def test_rule_trades_one_by_one(spark, monkeypatch):
+    """Every reason occurs, in batches of any size."""
+    from tickloom.operators import rule_trades as rt
+
+    chain = rules.exit_rules()
+    bounds = rt.Bounds.of(chain)
+    rows, wanted, seen = [], {}, set()
+    for series_no in range(6):
+        rng, price, bars = random.Random(series_no), 100.0, []
+        for k in range(4000):
+            op, price = price * (1 + rng.uniform(-0.002, 0.002)), max(1.0, price * (1 + rng.gauss(0, 0.02 if series_no % 2 else 0.006)))
+            if k % 997 == 5:
+                op = 0.0
+            holds = sum(1 << rng.randrange(len(chain)) for _ in range(2)) if rng.random() < 0.3 else 0
+            bars.append((k * (60_000 if series_no < 4 else 3_600_000), op, max(op, price) * rng.choice([1.002, 1.002, 1.07]), min(op, price) * (0.999 if rng.random() < 0.999 else 0.001), price, holds, rng.random() < 0.1, rng.choice(["nfix_39 ", "", "bb ewo "])))
+        name = f"S{series_no}"
+        rows += [(name, "1h", t, o, h, lo, c, x, 1 if e else None, tag) for t, o, h, lo, c, x, e, tag in bars]
+        wanted[name] = plain_trades(bars, [(r.name, r.at_least, r.above, r.below, r.fall, r.tag) for r in chain])
+        seen |= {t[-1].split("(")[0] for t in wanted[name]}
+    assert seen >= {r.name for r in chain} | {"trailing_stop", "take_profit"}
+    d = spark.createDataFrame(rows, "symbol string, level string, time long, open double, high double, low double, close double, holds long, enter_long int, buy_tag string")
+    for size in (10_000, 113):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = rt.closed_trades(d, bounds, 0.0015, 100.0).orderBy("symbol", "trade_id").collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for name, want in wanted.items():
+            have = [tuple(r)[2:9] for r in got if r["symbol"] == name]
+            assert len(have) == len(want) and all(a[:3] == b[:3] and a[5:] == b[5:] and a[3:5] == pytest.approx(b[3:5], rel=1e-12) for a, b in zip(have, want)), name

@@ -7,6 +7,7 @@ one. Every rule is a Column, so all are evaluated in one projection.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -153,52 +154,87 @@ def enter_long(p: dict[str, float] = ENTRY) -> Column:
     return F.when(check & reduce(lambda a, b: a | b, (F.col(f"rule_{t}") for t in TAGS)), 1)
 
 
-def exit_chain(p: dict[str, float] = EXIT) -> Column:
-    """The first reason that holds, of an open trade's bar with ``profit``, ``max_profit``, ``buy_tag`` and features of the last three bars (before_, before2_)."""
+NO_END = float("inf")
+
+
+@dataclass(frozen=True)
+class ExitRule:
+    """A reason to leave a trade: bounds of its profit, how far its highest profit must be above, its tags (None: any), and what the bar's features must be."""
+
+    name: str
+    holds: Column
+    at_least: float = -NO_END
+    above: float = -NO_END
+    below: float = NO_END
+    fall: float | None = None
+    tag: str | None = None
+
+    def of(self, profit: Column, top: Column) -> Column:
+        found = self.holds
+        for bound, test in ((self.at_least, profit >= self.at_least), (self.above, profit > self.above), (self.below, profit < self.below)):
+            found = found & test if abs(bound) < NO_END else found
+        found = found if self.fall is None else found & (top > profit + self.fall)
+        return found if self.tag is None else found & (F.col("buy_tag") == self.tag)
+
+
+def exit_rules(p: dict[str, float] = EXIT) -> list[ExitRule]:
+    """The reasons in the order in which they are tried, over features of the last three bars (before_, before2_)."""
     c = F.col
-    profit, top = c("profit"), c("max_profit")
-    chain: list[tuple[str, Column]] = []
+    chain = []
     for name, least, under, fall, rsi, more in TRAILS:
-        found = (profit >= least) & (profit < under) & (top > profit + fall) & (c("rsi") < rsi)
+        holds = c("rsi") < rsi
         for column, (sign, bound) in more.items():
-            found = found & (c(column) < bound if sign == "<" else c(column) > bound)
-        chain.append((f"sell_profit_{name}", found))
-    chain.append(("sell_profit_t_cti_r_0_1", (profit >= 0.0) & (profit < 0.012) & (c("cti") > p["cti_r_cti"]) & (c("r_14") > p["cti_r_r"])))
+            holds = holds & (c(column) < bound if sign == "<" else c(column) > bound)
+        chain.append(ExitRule(f"sell_profit_{name}", holds, at_least=least, below=under, fall=fall))
+    chain.append(ExitRule("sell_profit_t_cti_r_0_1", (c("cti") > p["cti_r_cti"]) & (c("r_14") > p["cti_r_r"]), at_least=0.0, below=0.012))
     for name, column in (("momdiv_1h", "momdiv_sell_1h"), ("momdiv", "momdiv_sell"), ("momdiv_coh", "momdiv_coh")):
-        chain.append((f"signal_profit_q_{name}", (profit > 0.02) & c(column)))
-    bear = (c("close") < c("ema_200")) & (profit >= 0.01) & (profit < 0.02)
-    chain.append(("sell_profit_u_bear_1_1", bear & (c("rsi") < 34.0) & (c("cmf") < 0.0)))
-    chain.append(("sell_profit_u_bear_1_2", bear & (c("rsi") < 44.0) & (c("cmf") < -0.4)))
-    quick = (profit > 0.02) & (profit < 0.06)
-    chain.append(("signal_profit_q_1", quick & (c("rsi") > 80.0)))
-    chain.append(("signal_profit_q_2", quick & (c("cti") > 0.95)))
-    chain.append(("signal_profit_q_pmax_bull", quick & (c("pm") <= c("pmax_thresh")) & (c("close") > c("sma_21") * 1.1)))
-    chain.append(("signal_profit_q_pmax_bear", quick & (c("pm") > c("pmax_thresh")) & (c("close") > c("sma_21") * 1.016)))
-    scalp = (profit > 0) & (c("buy_tag") == "nfix_39 ") & (c("fisher") > 0.39075) & (c("ha_high") <= c("before_ha_high")) & (c("before_ha_high") <= c("before2_ha_high"))
-    chain.append(("sell_scalp", scalp & (c("ha_close") <= c("before_ha_close")) & (c("ema_4") > c("ha_close")) & (c("ha_close") * 0.99754 > c("bb_mid"))))
-    stop = (profit < -0.05) & (c("close") < c("ema_200") * 0.988) & (c("cmf") < -0.046) & ((c("ema_200") - c("close")) / c("close") < 0.022)
-    chain.append(("sell_stoploss_u_e_1", stop & (c("rsi") > c("before_rsi")) & (c("rsi") > c("rsi_1h") + 10.0)))
-    dead = (profit < p["deadfish_profit"]) & (c("close") < c("ema_200")) & (c("bb_width") < p["deadfish_bb_width"]) & (c("close") > c("bb_mid") * p["deadfish_bb_factor"])
-    chain.append(("sell_stoploss_deadfish", dead & (c("volume_mean_12") < c("volume_mean_24") * p["deadfish_volume_factor"])))
+        chain.append(ExitRule(f"signal_profit_q_{name}", c(column), above=0.02))
+    for name, rsi, flow in (("1", 34.0, 0.0), ("2", 44.0, -0.4)):
+        chain.append(ExitRule(f"sell_profit_u_bear_1_{name}", (c("close") < c("ema_200")) & (c("rsi") < rsi) & (c("cmf") < flow), at_least=0.01, below=0.02))
+    bear = c("pm") > c("pmax_thresh")
+    quick = {"1": c("rsi") > 80.0, "2": c("cti") > 0.95, "pmax_bull": (c("pm") <= c("pmax_thresh")) & (c("close") > c("sma_21") * 1.1), "pmax_bear": bear & (c("close") > c("sma_21") * 1.016)}
+    chain += [ExitRule(f"signal_profit_q_{name}", holds, above=0.02, below=0.06) for name, holds in quick.items()]
+    lower = (c("ha_high") <= c("before_ha_high")) & (c("before_ha_high") <= c("before2_ha_high")) & (c("ha_close") <= c("before_ha_close"))
+    chain.append(ExitRule("sell_scalp", lower & (c("fisher") > 0.39075) & (c("ema_4") > c("ha_close")) & (c("ha_close") * 0.99754 > c("bb_mid")), above=0.0, tag="nfix_39 "))
+    stop = (c("close") < c("ema_200") * 0.988) & (c("cmf") < -0.046) & (F.try_divide(c("ema_200") - c("close"), c("close")) < 0.022)
+    chain.append(ExitRule("sell_stoploss_u_e_1", stop & (c("rsi") > c("before_rsi")) & (c("rsi") > c("rsi_1h") + 10.0), below=-0.05))
+    dead = (c("close") < c("ema_200")) & (c("bb_width") < p["deadfish_bb_width"]) & (c("close") > c("bb_mid") * p["deadfish_bb_factor"])
+    chain.append(ExitRule("sell_stoploss_deadfish", dead & (c("volume_mean_12") < c("volume_mean_24") * p["deadfish_volume_factor"]), below=p["deadfish_profit"]))
+    return chain
+
+
+def exit_chain(p: dict[str, float] = EXIT) -> Column:
+    """The first reason that holds, of an open trade's bar with ``profit``, ``max_profit``, ``buy_tag`` and features of the last three bars."""
     out = F
-    for name, found in chain:
-        out = out.when(found, F.lit(name))
+    for rule in exit_rules(p):
+        out = out.when(rule.of(F.col("profit"), F.col("max_profit")), F.lit(rule.name))
     return F.when(out.isNotNull(), F.concat(out, F.lit("( "), F.coalesce("buy_tag", F.lit("empty")), F.lit(")")))
 
 
+def held_rules(p: dict[str, float] = EXIT) -> Column:
+    """The reasons whose features hold in a bar, whatever a trade's profit and tags: bit k for the k-th."""
+    return reduce(lambda a, b: a + b, (F.when(rule.holds, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(exit_rules(p))))
+
+
 #: Features that the exit chain reads.
 EXIT_FEATURES = [
     "close", "high", "rsi", "cmf", "cti", "r_14", "momdiv_sell", "momdiv_coh", "ema_200", "ema_4", "pm", "pmax_thresh", "sma_21", "fisher", "ha_high", "ha_close", "bb_mid", "bb_width", "volume_mean_12", "volume_mean_24",
     "cmf_1h", "cti_1h", "rsi_1h", "r_480_1h", "momdiv_sell_1h",
 ]
+BEFORE = {"before_ha_high": ("ha_high", 1), "before_ha_close": ("ha_close", 1), "before_rsi": ("rsi", 1), "before2_ha_high": ("ha_high", 2)}
 DAY_MS = 86_400_000
 
 
+def with_bars_before(df: DataFrame) -> DataFrame:
+    """df with what the exit chain reads of the bars before."""
+    return df.withColumns({name: lag(f, k) for name, (f, k) in BEFORE.items()})
+
+
 def exit_reasons(trades: DataFrame, df: DataFrame, p: dict[str, float] = EXIT) -> DataFrame:
     """Of each trade (symbol, trade_id, open_time, close_time, open_rate, buy_tag) the first bar with a reason to leave: exit_time, exit_reason, exit_rate.
 
     A bar's profit is that of its close, the highest that of the highest price since the opening. Trades without such a bar are left out."""
-    own = df.select("symbol", "time", *EXIT_FEATURES, *(lag(f).alias(f"before_{f}") for f in ("ha_high", "ha_close", "rsi")), lag("ha_high", 2).alias("before2_ha_high"))
+    own = with_bars_before(df).select("symbol", "time", *EXIT_FEATURES, *BEFORE)
     d = alive_bars(trades.select("symbol", "trade_id", "open_time", "close_time", "open_rate", "buy_tag"), own, DAY_MS)
     so_far = Window.partitionBy("symbol", "trade_id").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("profit", F.col("close") / F.col("open_rate") - 1).withColumn("max_profit", F.max("high").over(so_far) / F.col("open_rate") - 1)

@@ -339,9 +339,13 @@ _TRADES = f"""{_SIG}, t AS (SELECT *, sum(CASE WHEN held = 1 AND was = 0 THEN 1
 
 
 def closed(spark, sf_dir):
+    return closed_of(hourly(spark, sf_dir))
+
+
+def closed_of(candles: DataFrame) -> DataFrame:
     """The trades of one pair of averages, each with the same stake."""
     keys = [*bt.SERIES, *one_pair().params]
-    return bt.trades(bt.runs(hourly(spark, sf_dir), one_pair(), FEE, CAPITAL), keys, FEE, CAPITAL).drop(*keys[1:]).withColumn("profit_abs", 100 * F.col("profit_ratio"))
+    return bt.trades(bt.runs(candles, one_pair(), FEE, CAPITAL), keys, FEE, CAPITAL).drop(*keys[1:]).withColumn("profit_abs", 100 * F.col("profit_ratio"))
 
 
 def with_trades(name: str, sql: str, places: int = 4):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import backtest as bt
 from tickloom.operators import build, rules
+from tickloom.operators import rule_trades as rule_trade
 from tickloom.operators import trades as tr
 from tickloom.plans import registry as reg
 from tickloom.plans.registry import BARS, HOUR, HOURLY, full, query
@@ -127,8 +128,8 @@ _RULES = f"{_FEATURES}, ru AS (SELECT *, {', '.join(f'coalesce({x}, false) AS ru
 _TAGGED = f"{_RULES}, tg AS (SELECT *, {' || '.join(f'CASE WHEN rule_{t} THEN {t + chr(32)!r} ELSE {chr(39) * 2} END' for t in RULES_SQL)} AS buy_tag, CASE WHEN roc < 86 AND bb_width < 0.954 AND ({' OR '.join(f'rule_{t}' for t in RULES_SQL)}) THEN 1 END AS enter_long FROM ru)"
 
 
-def ruled(spark, sf_dir) -> DataFrame:
-    d = rules.features(reg.hourly(spark, sf_dir))
+def ruled(candles: DataFrame) -> DataFrame:
+    d = rules.features(candles)
     return rules.with_rules(rules.with_coarse(d, d, HOUR, HOUR))
 
 
@@ -149,11 +150,15 @@ def entry_features(spark, sf_dir):
 @query("entry_rules", f"WITH RECURSIVE {_RULES} SELECT symbol, time, {', '.join(f'rule_{t}' for t in RULES_SQL)} FROM ru")
 def entry_rules(spark, sf_dir):
     """R3."""
-    return ruled(spark, sf_dir).select("symbol", "time", *[f"rule_{t}" for t in rules.TAGS])
+    return ruled(reg.hourly(spark, sf_dir)).select("symbol", "time", *[f"rule_{t}" for t in rules.TAGS])
 
 
 def tagged(spark, sf_dir) -> DataFrame:
-    return ruled(spark, sf_dir).withColumn("buy_tag", rules.entry_tags()).withColumn("enter_long", rules.enter_long())
+    return tagged_of(reg.hourly(spark, sf_dir))
+
+
+def tagged_of(candles: DataFrame) -> DataFrame:
+    return ruled(candles).withColumn("buy_tag", rules.entry_tags()).withColumn("enter_long", rules.enter_long())
 
 
 @query("entry_tags", f"WITH RECURSIVE {_TAGGED} SELECT symbol, time, buy_tag FROM tg")
@@ -169,7 +174,12 @@ def enter_long(spark, sf_dir):
 
 
 _BANDS = [
-    *[(f"sell_profit_{n}", f"p >= {a} AND p < {b} AND mp > p + {f} AND rsi < {r}" + "".join(f" AND {c.removesuffix('_1h')} {s} {x}" for c, (s, x) in more.items())) for n, a, b, f, r, more in rules.TRAILS],
+    ("sell_profit_t_0_1", "p >= 0 AND p < 0.012 AND mp > p + 0.045 AND rsi < 46"), ("sell_profit_t_0_2", "p >= 0 AND p < 0.012 AND mp > p + 0.025 AND rsi < 32"), ("sell_profit_t_0_3", "p >= 0 AND p < 0.012 AND mp > p + 0.05 AND rsi < 48"),
+    ("sell_profit_t_1_1", "p >= 0.012 AND p < 0.02 AND mp > p + 0.01 AND rsi < 39"), ("sell_profit_t_1_2", "p >= 0.012 AND p < 0.02 AND mp > p + 0.035 AND rsi < 45 AND cmf < 0"),
+    ("sell_profit_t_1_4", "p >= 0.012 AND p < 0.02 AND mp > p + 0.02 AND rsi < 40 AND cmf < 0 AND cti > 0.8"), ("sell_profit_t_1_5", "p >= 0.012 AND p < 0.02 AND mp > p + 0.04 AND rsi < 49 AND cmf < 0"),
+    ("sell_profit_t_1_7", "p >= 0.012 AND p < 0.02 AND mp > p + 0.06 AND rsi < 43 AND cmf < 0"), ("sell_profit_t_1_9", "p >= 0.012 AND p < 0.02 AND mp > p + 0.025 AND rsi < 40 AND cmf < -0.1 AND rsi < 50"),
+    ("sell_profit_t_1_10", "p >= 0.012 AND p < 0.02 AND mp > p + 0.025 AND rsi < 46 AND cmf < 0 AND r_480 > -20"), ("sell_profit_t_1_11", "p >= 0.012 AND p < 0.02 AND mp > p + 0.025 AND rsi < 42"),
+    ("sell_profit_t_1_12", "p >= 0.012 AND p < 0.02 AND mp > p + 0.01 AND rsi < 44 AND cmf < -0.25"),
     ("sell_profit_t_cti_r_0_1", "p >= 0 AND p < 0.012 AND cti > 0.844 AND r_14 > -19.99"), ("signal_profit_q_momdiv_1h", "p > 0.02 AND momdiv_sell"), ("signal_profit_q_momdiv", "p > 0.02 AND momdiv_sell"),
     ("signal_profit_q_momdiv_coh", "p > 0.02 AND momdiv_coh"), ("sell_profit_u_bear_1_1", "close < ema_200 AND p >= 0.01 AND p < 0.02 AND rsi < 34 AND cmf < 0"),
     ("sell_profit_u_bear_1_2", "close < ema_200 AND p >= 0.01 AND p < 0.02 AND rsi < 44 AND cmf < -0.4"), ("signal_profit_q_1", "p > 0.02 AND p < 0.06 AND rsi > 80"), ("signal_profit_q_2", "p > 0.02 AND p < 0.06 AND cti > 0.95"),
@@ -206,6 +216,60 @@ def exit_reason_counts(spark, sf_dir):
     return tr.exit_counts(reasons(spark, sf_dir))
 
 
+# Trades that the rules open and the first exit closes
+
+_STOP_FAR = "CASE WHEN p > 0.2 THEN 0.05 WHEN p > 0.1 THEN 0.03 WHEN p > 0.06 THEN 0.02 WHEN p > 0.03 THEN 0.015 END"
+_RULE_TRADES = f"""lg AS (SELECT *, lag(ha_high) OVER w AS hh1, lag(ha_high, 2) OVER w AS hh2, lag(hac) OVER w AS hc1, lag(rsi) OVER w AS r1, coalesce(enter_long = 1, false) AS sig, nullif(buy_tag, '') AS own_tag FROM tg WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+    st AS (SELECT symbol, n, false AS was_open, sig AS pending, own_tag AS tag, 0::BIGINT AS ot, 0::DOUBLE AS orate, 0::DOUBLE AS top, 0::DOUBLE AS stop, false AS ended, ''::VARCHAR AS why, 0::DOUBLE AS rate, 0::BIGINT AS ct FROM lg WHERE n = 1
+        UNION ALL SELECT symbol, n, is_open AND NOT ends, sig AND (ends OR NOT is_open), CASE WHEN sig AND (ends OR NOT is_open) THEN own_tag ELSE tag END, ot, orate, top,
+            CASE WHEN far IS NULL THEN stop ELSE greatest(stop, close * (1 - far)) END, is_open AND ends, CASE WHEN low <= stop THEN 'trailing_stop' WHEN reason IS NOT NULL THEN reason || '( ' || coalesce(tag, 'empty') || ')' ELSE 'take_profit' END || '|' || coalesce(tag, ''), CASE WHEN low <= stop THEN stop ELSE close END, time
+        FROM (SELECT *, coalesce(low <= stop OR reason IS NOT NULL OR p >= wanted, false) AS ends FROM (SELECT *, CASE {' '.join(f"WHEN {x} THEN '{n}'" for n, x in _BANDS)} END AS reason, {_STOP_FAR} AS far, CASE WHEN time - ot >= 292 * 60000 THEN 0.005 WHEN time - ot >= 81 * 60000 THEN 0.038 ELSE 0.205 END AS wanted
+            FROM (SELECT *, close / orate - 1 AS p, top / orate - 1 AS mp FROM (SELECT lg.*, s.tag, s.was_open OR (s.pending AND lg.open > 0) AS is_open, CASE WHEN s.was_open THEN s.ot ELSE lg.time END AS ot, CASE WHEN s.was_open THEN s.orate ELSE lg.open END AS orate,
+                CASE WHEN s.was_open THEN greatest(s.top, lg.high) ELSE lg.high END AS top, CASE WHEN s.was_open THEN s.stop ELSE lg.open * (1 - 0.99) END AS stop FROM st s JOIN lg ON lg.symbol = s.symbol AND lg.n = s.n + 1))))),
+    rt AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY n) AS trade_id, ot AS open_time, ct AS close_time, orate AS open_rate, rate AS close_rate, nullif(split_part(why, '|', 2), '') AS buy_tag, split_part(why, '|', 1) AS exit_reason,
+        {(1 - reg.FEE) * (1 - reg.FEE)!r} * rate / orate - 1 AS profit_ratio, 100 * ({(1 - reg.FEE) * (1 - reg.FEE)!r} * rate / orate - 1) AS profit_abs FROM st WHERE ended)"""
+
+
+def calmed(sql: str) -> str:
+    return f"WITH RECURSIVE {sql}".replace("value AS price", "245 + 0.3 * (value - 245) AS price")
+
+
+def calm(spark, sf_dir) -> DataFrame:
+    """Hourly candles of prices with three tenths of the given ones' swings, in which rules find entries."""
+    return build.build_candles(reg.ticks(spark, sf_dir).withColumn("price", 245 + 0.3 * (F.col("price") - 245)), "1h")
+
+
+def of_rules(spark, sf_dir) -> DataFrame:
+    return rule_trade.rule_trades(tagged_of(calm(spark, sf_dir)), reg.FEE, 100.0)
+
+
+@query("rule_trades", calmed(f"{_TAGGED}, {_RULE_TRADES} SELECT symbol, trade_id, open_time, close_time, round(open_rate, 4) AS open_rate, round(close_rate, 4) AS close_rate, buy_tag, exit_reason, round(profit_ratio, 4) AS profit_ratio FROM rt"), 4)
+def rule_trades(spark, sf_dir):
+    """R5, R7-R9 to B9."""
+    return of_rules(spark, sf_dir).drop("level", "profit_abs")
+
+
+@query("rule_exit_counts", calmed(f"{_TAGGED}, {_RULE_TRADES} SELECT symbol, exit_reason, count(*) AS n FROM rt GROUP BY 1, 2"))
+def rule_exit_counts(spark, sf_dir):
+    """A7 over the trades of the rules."""
+    return tr.exit_counts(of_rules(spark, sf_dir))
+
+
+@query("rule_win_stats", calmed(f"{_TAGGED}, {_RULE_TRADES} SELECT symbol, count(*) AS trades, count(*) FILTER (profit_ratio > 0) AS wins, round(sum(profit_abs), 4) AS profit, round(count(*) FILTER (profit_ratio > 0)::DOUBLE / count(*), 4) AS win_rate FROM rt GROUP BY 1"), 4)
+def rule_win_stats(spark, sf_dir):
+    """A4 over the trades of the rules."""
+    return tr.win_stats(of_rules(spark, sf_dir), ["symbol"])
+
+
+_SHOWN = "count(*) AS trades, round(avg(profit_ratio), 4) AS mean_profit, round(sum(profit_abs), 4) AS profit, round(count(*) FILTER (profit_ratio > 0)::DOUBLE / nullif(count(*), 0), 4) AS win_rate"
+
+
+@query("strategy_comparison", calmed(f"{_TAGGED}, {_RULE_TRADES}, {reg._TRADES.removeprefix(f'{HOURLY}, {BARS}, ')} SELECT 'rules' AS strategy, {_SHOWN} FROM rt UNION ALL SELECT 'double_ema' AS strategy, {_SHOWN} FROM closed"), 4)
+def strategy_comparison(spark, sf_dir):
+    """A11: the rules' trades beside those of one pair of averages."""
+    return tr.compare_strategies({"rules": of_rules(spark, sf_dir), "double_ema": reg.closed_of(calm(spark, sf_dir))})
+
+
 # Single indicators that the rules' SQL has too
 
 for _name, _columns in (("moderi", "moderi AS moderi_96"), ("crsi", "round(crsi, 6) AS crsi"), ("stochastic_rsi", "round(srsi_k, 6) AS srsi_k, round((2 * srsi_k + lag(srsi_k) OVER w) / 3, 6) AS srsi_d"), ("adx", "round(adx, 6) AS adx"), ("t3", "round(t3, 6) AS t3")):
