@@ -469,3 +469,34 @@ def test_rule_trades_one_by_one(spark, monkeypatch):
         for name, want in wanted.items():
             have = [tuple(r)[2:9] for r in got if r["symbol"] == name]
             assert len(have) == len(want) and all(a[:3] == b[:3] and a[5:] == b[5:] and a[3:5] == pytest.approx(b[3:5], rel=1e-12) for a, b in zip(have, want)), name
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64])
+def test_series_split_in_time_equal_the_single_pass(spark, monkeypatch, stretch):
+    """Nested steps, warm-ups longer than a stretch, gaps, columns that begin with nulls or hold some later."""
+    from tickloom.functions import scan
+
+    monkeypatch.setattr(scan, "STRETCH", stretch)
+    rng, rows = random.Random(4), []
+    for name, n in (("A", 400), ("B", 37), ("C", 1), ("D", 90)):
+        at = 1_700_000_000_000
+        for k in range(n):
+            at += 3_600_000 * rng.choice([1, 1, 1, 2, 90])
+            rows.append((name, "1h", at, rng.uniform(1, 9), None if k < 20 or k % 31 == 0 or name == "D" else rng.uniform(1, 9)))
+    d = spark.createDataFrame(rows, "symbol string, level string, time long, x double, y double").repartition(5)
+    steps = [scan.Step("e9", "ema", "x", 9), scan.Step("e0", "ema", "x", 0), scan.Step("ee", "ema", "e9", 5), scan.Step("eee", "ema", "ee", 3), scan.Step("w", "wilder", "y", 14), scan.Step("we", "ema", "w", 4), scan.Step("l", "linear", "y", q=0.9), scan.Step("one", "wilder", "x", 1)]
+    want, got = (scan.recurrences(d, KEYS, steps, split=split).orderBy("symbol", "time").collect() for split in (False, True))
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert tuple(a)[:5] == tuple(b)[:5]
+        for c in [s.out for s in steps]:
+            assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], rel=1e-9)), (c, a, b)
+
+
+def test_both_passes_of_a_split_series_read_one_shuffle(spark):
+    d = series(spark, walk(300))
+    found = ema(d.repartition(2), "close", 9, "e", KEYS, split=True)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("ReusedExchange") >= 1

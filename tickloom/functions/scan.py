@@ -6,6 +6,12 @@ bounded memory and nothing is forgotten. Within a batch a linear recurrence s_i
 a scaled prefix sum over short chunks, in numpy, with the chunks' last values carried on. A step may
 read the result of a step before it, so nested averages need no further pass. Warm-up values are
 null, never NaN.
+
+A long series doesn't have to be one task: tables over ``SPLIT_BYTES`` (as Spark estimates them) are dealt by
+series and stretch of time. Over a stretch the values that the steps carry change by an affine map, since all of them are linear once warmed
+up, nested ones in the values of those that they read. So each stretch is first reduced to its map, and to the few
+bars that a series just begun would need to warm up; the maps of a series are then applied one after the other, a row for each stretch; and
+each stretch is gone through again from the values that it begins with. Both passes read the same shuffle.
 """
 
 from __future__ import annotations
@@ -128,14 +134,43 @@ def segments(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), batch.num_rows)
 
 
-def recurrences(df: DataFrame, keys: list[str], steps: list[Step], order: str = "time") -> DataFrame:
-    """df with a column for each step."""
+def made(steps: list[Step], states: dict[str, Linear | Trail], x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The columns of the steps over a run of rows with source columns x; states go on to its end."""
+    found: dict[str, np.ndarray] = {}
+    for s in steps:
+        found[s.out] = states[s.out](*((found if c in found else x)[c] for c in s.reads))
+    return found
+
+
+def begun(steps: list[Step]) -> dict[str, Linear | Trail]:
+    return {s.out: Trail(s) if s.kind == "trail" else Linear(s) for s in steps}
+
+
+#: Size of a table (Spark's estimate) from which series are split in time, and bars of a stretch.
+SPLIT_BYTES, STRETCH = 1 << 30, 1 << 16
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the sizes of the tables that df reads; those of which it knows nothing count as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < (1 << 63) - 1)
+
+
+def recurrences(df: DataFrame, keys: list[str], steps: list[Step], order: str = "time", split: bool | None = None) -> DataFrame:
+    """df with a column for each step; series split in time or not, if split doesn't leave it to the table's size.
+
+    Only series with a level, in order of their time, and only steps without a trail can be split."""
     outs = [s.out for s in steps]
     rest = df.drop(*outs)
     sources = sorted({c for s in steps for c in s.reads} - set(outs))
+    schema = T.StructType([*rest.schema.fields, *(T.StructField(c, T.DoubleType()) for c in outs)])
+    able = "level" in keys and order == "time" and all(s.kind != "trail" for s in steps)
+    if able and (estimated_bytes(rest) >= SPLIT_BYTES if split is None else split):
+        return _split(rest, keys, steps, sources, schema)
 
     def run(batches):
-        current, state = None, {}
+        current, states = None, {}
         for batch in batches:
             bounds = segments(batch, keys)
             x = {c: numbers(batch[c]) for c in sources}
@@ -143,21 +178,111 @@ def recurrences(df: DataFrame, keys: list[str], steps: list[Step], order: str =
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 key = tuple(batch[k][a].as_py() for k in keys)
                 if key != current:
-                    current, state = key, {s.out: Trail(s) if s.kind == "trail" else Linear(s) for s in steps}
-                for s in steps:
-                    found[s.out][a:b] = state[s.out](*((found if c in found else x)[c][a:b] for c in s.reads))
+                    current, states = key, begun(steps)
+                for c, values in made(steps, states, {c: v[a:b] for c, v in x.items()}).items():
+                    found[c][a:b] = values
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], pa.float64(), from_pandas=True) for c in outs)], names=[*batch.schema.names, *outs])
 
-    schema = T.StructType([*rest.schema.fields, *(T.StructField(c, T.DoubleType()) for c in outs)])
     return rest.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
+def affine(steps: list[Step], x: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, vector) of what n rows make of the steps' last values, once all are warmed up."""
+    at = {s.out: k for k, s in enumerate(steps)}
+
+    def run(last: np.ndarray, own: list[Step], sources: dict[str, np.ndarray]) -> np.ndarray:
+        states = begun(own)
+        for s in own:
+            states[s.out].seen, states[s.out].last = 1 << 40, last[at[s.out]]
+        made(own, states, sources)
+        return np.array([states[s.out].last for s in own])
+
+    vector = run(np.zeros(len(steps)), steps, x)
+    matrix = np.zeros((len(steps), len(steps)))
+    nothing = np.zeros(n)
+    for s in steps:
+        after = {s.out}  # the step and those that read it, directly or not
+        for t in steps:
+            if t.x in after:
+                after.add(t.out)
+        own = [t for t in steps if t.out in after]
+        if len(own) == 1:
+            matrix[at[s.out], at[s.out]] = begun(own)[s.out].q ** n
+        else:
+            unit = np.zeros(len(steps))
+            unit[at[s.out]] = 1.0
+            sources = {c: nothing for t in own for c in t.reads if c not in after}
+            matrix[[at[t.out] for t in own], at[s.out]] = run(unit, own, sources)
+    return matrix, vector
+
+
+def warmed_at(steps: list[Step], x: dict[str, np.ndarray], n: int) -> int:
+    """How many rows a series that begins with these needs until all steps are warmed up; n if they don't suffice."""
+    found = made(steps, begun(steps), x)
+    shown = [np.flatnonzero(~np.isnan(found[s.out]))[:1] for s in steps if s.kind != "ema" or s.n > 0]
+    return n if any(not len(k) for k in shown) else max((int(k[0]) + 1 for k in shown), default=n)
+
+
+def _split(rest: DataFrame, keys: list[str], steps: list[Step], sources: list[str], schema: T.StructType) -> DataFrame:
+    """recurrences of series that are dealt by stretches of time."""
+    from tickloom.operators.build import LEVELS  # the package's other direction
+
+    length = F.create_map(*[F.lit(v) for name, ms, _ in LEVELS for v in (name, ms or 30 * 86_400_000)])
+    stretch = F.floor(F.col("time") / (F.coalesce(F.try_element_at(length, F.col("level")), F.lit(86_400_000)) * STRETCH))
+    rows = rest.withColumn("_stretch", stretch)
+    own, outs = [*keys, "_stretch"], [s.out for s in steps]
+    k, w, columns = len(steps), len(sources), rest.columns
+
+    def in_order(rows: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray]]:
+        rows = rows.take(pa.array(np.argsort(rows["time"].to_numpy(), kind="stable")))
+        return rows, {c: numbers(rows[c].combine_chunks()) for c in sources}
+
+    def reduced(rows: pa.Table) -> pa.Table:
+        rows, x = in_order(rows)
+        n = rows.num_rows
+        head = warmed_at(steps, x, n)
+        whole, tail = affine(steps, x, n), affine(steps, {c: v[head:] for c, v in x.items()}, n - head)
+        numbers_ = np.concatenate([*(m.ravel() for m in (*whole, *tail)), *(x[c][:head] for c in sources)])
+        return pa.table({**{c: rows[c].slice(0, 1) for c in own}, "held": pa.array([numbers_.tolist()], pa.list_(pa.float64()))})
+
+    def carried(stretches: pa.Table) -> pa.Table:
+        """What each stretch of a series begins with: values seen, sum and last value of each step."""
+        stretches = stretches.take(pa.array(np.argsort(stretches["_stretch"].to_numpy(), kind="stable")))
+        states, begins = begun(steps), []
+        for held in stretches["held"]:
+            held = held.values.to_numpy()
+            begins.append([v for s in steps for v in (float(states[s.out].seen), states[s.out].sum, states[s.out].last)])
+            size = k * k + k
+            maps, heads = held[: 2 * size].reshape(2, size), held[2 * size :].reshape(w, -1)
+            change = maps[0]
+            if any(states[s.out].seen < max(1, s.n) for s in steps):
+                made(steps, states, {c: heads[j] for j, c in enumerate(sources)})
+                change = maps[1]
+            last = change[: k * k].reshape(k, k) @ np.array([states[s.out].last for s in steps]) + change[k * k :]
+            for s, v in zip(steps, last.tolist(), strict=True):
+                states[s.out].last = v
+        return pa.table({**{c: stretches[c] for c in own}, "begin": pa.array(begins, pa.list_(pa.float64()))})
+
+    def gone_through(rows: pa.Table, begin: pa.Table) -> pa.Table:
+        rows, x = in_order(rows)
+        states, values = begun(steps), begin["begin"][0].values.to_numpy().reshape(k, 3)
+        for s, (seen, total, last) in zip(steps, values.tolist(), strict=True):
+            states[s.out].seen, states[s.out].sum, states[s.out].last = int(seen), total, last
+        found = made(steps, states, x)
+        return pa.table({**{c: rows[c] for c in columns}, **{c: pa.array(found[c], pa.float64(), from_pandas=True) for c in outs}})
+
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema)
+    maps = rows.groupBy(*own).applyInArrow(reduced, f"{named}, held array<double>")
+    begins = maps.groupBy(*keys).applyInArrow(carried, f"{named}, begin array<double>")
+    return rows.groupBy(*own).cogroup(begins.groupBy(*own)).applyInArrow(gone_through, schema)
+
+
 def linear_scan(df: DataFrame, keys: list[str], order: str, q: float, b: Column, out: str) -> DataFrame:
     return recurrences(df.withColumn("_b", b.cast("double")), keys, [Step(out, "linear", "_b", q=q)], order).drop("_b")
 
 
-def ema(df: DataFrame, col: str, period: int, out: str, keys: list[str], order: str = "time") -> DataFrame:
-    return recurrences(df, keys, [Step(out, "ema", col, period)], order)
+def ema(df: DataFrame, col: str, period: int, out: str, keys: list[str], order: str = "time", split: bool | None = None) -> DataFrame:
+    return recurrences(df, keys, [Step(out, "ema", col, period)], order, split)
 
 
 def wilder(df: DataFrame, col: str, period: int, out: str, keys: list[str], order: str = "time") -> DataFrame:
