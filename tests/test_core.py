@@ -500,3 +500,18 @@ def test_both_passes_of_a_split_series_read_one_shuffle(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert final.count("ReusedExchange") >= 1
+
+
+@pytest.mark.parametrize("span", [1, 50, 10**6])
+def test_last_seen_split_in_time(spark, span):
+    rng = random.Random(span)
+    left = [(s, rng.randrange(2000), k) for s in "ABC" for k in range(150)]
+    right = [(s, t, -k) for s in "ABD" for k, t in enumerate(rng.sample(range(300, 1500), 40))]
+    one = spark.createDataFrame(left, "symbol string, at long, n long").select("symbol", "at", F.struct("n").alias("row"))
+    two = spark.createDataFrame(right, "symbol string, at long, v long").select("symbol", "at", F.struct("v").alias("held"))
+    for split in (False, True):
+        got = {r["row"]["n"] if r["symbol"] == "A" else (r["symbol"], r["row"]["n"]): r["seen"] and r["seen"]["v"] for r in joins.last_seen(one, two, span, split).collect()}
+        assert len(got) == len(left)
+        for s, t, k in left:
+            seen = [(at, v) for x, at, v in right if x == s and at <= t]
+            assert got[k if s == "A" else (s, k)] == (max(seen)[1] if seen else None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.joins import alive_bars
+from tickloom.operators.joins import alive_bars, last_seen
 
 # Fixed values: (profit above, distance of the stop), and (minutes since the opening, profit to take).
 STOP_TIERS = ((0.2, 0.05), (0.1, 0.03), (0.06, 0.02), (0.03, 0.015))
@@ -42,15 +42,13 @@ def take_profit(trades: DataFrame, bars: DataFrame, tiers=TAKE_TIERS) -> DataFra
     return hit.groupBy("symbol", "trade_id").agg(F.min("time").alias("take_time"), F.min_by("_profit", "time").alias("profit"))
 
 
-def slippage_guard(orders: DataFrame, bars: DataFrame, max_slip: float = MAX_SLIP) -> DataFrame:
+def slippage_guard(orders: DataFrame, bars: DataFrame, max_slip: float = MAX_SLIP, split: bool | None = None) -> DataFrame:
     """orders (symbol, time, rate, any others) with ``accepted``: the rate isn't above the close of the last bar up to then by max_slip percent or more; without a bar, no."""
-    row = F.struct(*[F.col(c) for c in orders.columns])
-    left = orders.select("symbol", "time", F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast("double").alias("_close"))
-    right = bars.select("symbol", "time", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col("close").alias("_close"))
-    w = Window.partitionBy("symbol").orderBy("time", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    d = left.unionByName(right).withColumn("_last", F.last("_close", ignorenulls=True).over(w)).where("_side = 1")
-    rate = F.col("_row.rate")
-    return d.select("_row.*", F.coalesce((rate <= F.col("_last")) | ((F.try_divide(rate, F.col("_last")) - 1) * 100 < max_slip), F.lit(False)).alias("accepted"))
+    left = orders.select("symbol", F.col("time").alias("at"), F.struct(*[F.col(c) for c in orders.columns]).alias("row"))
+    right = bars.select("symbol", F.col("time").alias("at"), F.struct("close").alias("held"))
+    rate, last = F.col("row.rate"), F.col("seen.close")
+    accepted = F.coalesce((rate <= last) | ((F.try_divide(rate, last) - 1) * 100 < max_slip), F.lit(False))
+    return last_seen(left, right, DAY_MS, split).select("row.*", accepted.alias("accepted"))
 
 
 def exit_flag(df: DataFrame) -> DataFrame:
