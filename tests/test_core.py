@@ -515,3 +515,29 @@ def test_last_seen_split_in_time(spark, span):
         for s, t, k in left:
             seen = [(at, v) for x, at, v in right if x == s and at <= t]
             assert got[k if s == "A" else (s, k)] == (max(seen)[1] if seen else None)
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 20])
+@pytest.mark.parametrize("zeros", [False, True])
+def test_sweeps_of_series_cut_in_time(spark, monkeypatch, stretch, zeros):
+    """Any stretches give the scores of the whole: ties, flat bars, gaps, prices of 0."""
+    from tickloom.operators import split_sweep
+
+    monkeypatch.setattr(split_sweep, "STRETCH", stretch)
+    monkeypatch.setattr(split_sweep, "PAIRS", 7)
+    n, d = 60, None
+    for no, name in enumerate(("A-B", "C-D", "E-F", "G-H")):
+        closes = walk(n, no + 3)
+        closes[5:12] = closes[5:6] * len(closes[5:12])
+        opens = [round(c * (1 + (k % 5 - 2) / 300), 2) for k, c in enumerate(closes)]
+        if zeros:
+            closes[20 + no] = closes[41] = 0.0
+            opens[(57, 30, 44, 10)[no]] = 0.0
+        times = [3_600_000 * (k + (k > 25) * 7 * no) for k in range(n)]
+        one = series(spark, closes, opens, times, symbol=name)
+        d = one if d is None else d.unionByName(one)
+    for strategy in (bt.DoubleEma(1, 2, 9), bt.SingleEma(1, 7), bt.DoubleEma(pairs=[(3, 8), (2, 5)])):
+        whole, parts = ({tuple(r[c] for c in ("symbol", *strategy.params)): r for r in bt.array_scores(d, strategy, "1h", 0.0015, 1000.0, split=split).collect()} for split in (False, True))
+        assert whole.keys() == parts.keys()
+        for k, r in whole.items():
+            assert all(same(r[c], parts[k][c]) for c in ("final_value", "max_dd", "sharpe", "bars")), (k, r, parts[k])

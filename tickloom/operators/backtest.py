@@ -4,7 +4,7 @@ Two layouts give the same scores. The relational one, ``runs``, has a row for ea
 windows over (symbol, level, parameters); it takes any strategy and shows every bar. The array one
 takes strategies that deal their parameters out in tiles: a task gets the arrays of a series' prices
 and a tile, makes each average of the tile once, and gives one row for each run; only those rows are
-shuffled. A series' opens and closes must fit in a task: 16 bytes a bar.
+shuffled. Series of large tables are cut in time (``split_sweep``), so that none has to fit in a task.
 
 A position follows the last signal that isn't hold, one bar later. The value of a trade is its stake
 times the price over the opening rate, and stakes are the running product of what trades returned, as a
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scan import Linear, Step, ema_grid, recurrences
+from tickloom.functions.scan import SPLIT_BYTES, Linear, Step, ema_grid, estimated_bytes, recurrences
 from tickloom.operators.build import periods_per_year
 from tickloom.operators.joins import pair_emas
+from tickloom.operators.split_sweep import split_scores
 
 SERIES = ["symbol", "level"]
 
@@ -120,9 +121,13 @@ class DoubleEma:
     def follow(self, close: np.ndarray, tile: list[tuple[int, int]]):
         """(parameters, whether each bar's last signal is to enter) of each pair of a tile."""
         made = {p: ema_values(close, p) for p in {p for pair in tile for p in pair}}
-        for fast, slow in tile:
-            x, y = made[fast], made[slow]
-            yield (fast, slow), followed(x > y, x == y)  # NaN compares as neither, and nothing is held before
+        for pair in tile:
+            yield pair, followed(*self.compare(close, made, pair))  # NaN compares as neither, and nothing is held before
+
+    def compare(self, close: np.ndarray, made: dict[int, np.ndarray], pair: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each bar's signal is to enter, whether it is to hold)."""
+        x, y = made[pair[0]], made[pair[1]]
+        return x > y, x == y
 
 
 class SingleEma:
@@ -151,8 +156,10 @@ class SingleEma:
 
     def follow(self, close: np.ndarray, tile: list[tuple[int]]):
         for (period,) in tile:
-            average = ema_values(close, period)
-            yield (period,), followed(close > average, close == average)
+            yield (period,), followed(*self.compare(close, {period: ema_values(close, period)}, (period,)))
+
+    def compare(self, close: np.ndarray, made: dict[int, np.ndarray], own: tuple[int]) -> tuple[np.ndarray, np.ndarray]:
+        return close > made[own[0]], close == made[own[0]]
 
 
 def positions(df: DataFrame, signal: Column, keys: list[str], order: str = "time") -> DataFrame:
@@ -298,7 +305,10 @@ class Scorer:
         return self.capital * float(np.exp(after[-1])), float(-np.expm1(-fall) * 100)
 
 
-def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float) -> DataFrame:
+def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float, split: bool | None = None) -> DataFrame:
+    """Scores of tiles of parameters; series cut in time or not, if split doesn't leave it to the table's size."""
+    if estimated_bytes(candles) >= SPLIT_BYTES if split is None else split:
+        return split_scores(candles, strategy, level, fee, capital)
     tiles, per_year = strategy.tiles(), periods_per_year(level)
     bars = F.sort_array(F.collect_list(F.struct("time", "open", "close")))
     arrays = candles.where(F.col("level") == level).groupBy(*SERIES).agg(bars.alias("b")).select(*SERIES, F.col("b.open").alias("open"), F.col("b.close").alias("close"))
