@@ -541,3 +541,29 @@ def test_sweeps_of_series_cut_in_time(spark, monkeypatch, stretch, zeros):
         assert whole.keys() == parts.keys()
         for k, r in whole.items():
             assert all(same(r[c], parts[k][c]) for c in ("final_value", "max_dd", "sharpe", "bars")), (k, r, parts[k])
+
+
+def test_frames_in_batches_of_any_size(spark):
+    """Steps over the last n values against plain frames, nulls and short series included."""
+    from tickloom.functions import scan
+
+    rng = random.Random(8)
+    x = [None if k in (40, 41, 70) else rng.uniform(-5, 5) for k in range(150)]
+    rows = [("A", "1h", k, v) for k, v in enumerate(x)] + [("B", "1h", k, 1.0 * k) for k in range(3)]
+    d = spark.createDataFrame(rows, "symbol string, level string, time long, x double")
+    lengths = (1, 2, 7, 30)
+    steps = [scan.Step(f"{kind}_{n}", kind, "x", n) for n in lengths for kind in ("max", "min", "mean", "deviation", "weighted")]
+    for size in (10_000, 11):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = scan.recurrences(d, KEYS, steps).orderBy("symbol", "time").collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for r in got:
+            own = x if r["symbol"] == "A" else [0.0, 1.0, 2.0]
+            for n in lengths:
+                f = own[max(0, r["time"] - n + 1) : r["time"] + 1]
+                want = [None] * 5
+                if len(f) == n and None not in f:
+                    mean = sum(f) / n
+                    want = [max(f), min(f), mean, sum(abs(v - mean) for v in f) / n, sum(w * v for w, v in enumerate(f, 1)) / (n * (n + 1) / 2)]
+                have = [r[f"{kind}_{n}"] for kind in ("max", "min", "mean", "deviation", "weighted")]
+                assert have == (want if want[0] is None else pytest.approx(want, rel=1e-9, abs=1e-12)), (n, r)

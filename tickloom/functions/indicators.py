@@ -50,7 +50,8 @@ def emas(df: DataFrame, lengths, col: str = "close", prefix: str = "ema") -> Dat
 
 def highs_lows(df: DataFrame, n: int = 20) -> DataFrame:
     """Rolling extremes, their midpoint, and the lowest low of the five bars before."""
-    return df.withColumns({f"hh_{n}": rolling(F.max, "high", n), f"ll_{n}": rolling(F.min, "low", n), "low_5": rolling(F.min, "low", 5, -1)}).withColumn(f"mid_{n}", (F.col(f"hh_{n}") + F.col(f"ll_{n}")) / 2)
+    d = recurrences(df, KEYS, [Step(f"hh_{n}", "max", "high", n), Step(f"ll_{n}", "min", "low", n)])
+    return d.withColumn("low_5", rolling(F.min, "low", 5, -1)).withColumn(f"mid_{n}", (F.col(f"hh_{n}") + F.col(f"ll_{n}")) / 2)
 
 
 def volume_means(df: DataFrame, lengths=(4, 12, 24)) -> DataFrame:
@@ -90,9 +91,18 @@ def range_change(df: DataFrame, method: str, n: int) -> DataFrame:
     return df.withColumn(f"{method.lower()}_change_{n}", F.try_divide(rolling(F.max, top, n) - rolling(F.min, low, n), rolling(F.min, low, n)))
 
 
-def williams_r(df: DataFrame, n: int) -> DataFrame:
-    top = rolling(F.max, "high", n)
-    return df.withColumn(f"r_{n}", F.try_divide(top - F.col("close"), top - rolling(F.min, "low", n)) * -100)
+def williams_steps(n: int) -> list[Step]:
+    return [Step(f"_high_{n}", "max", "high", n), Step(f"_low_{n}", "min", "low", n)]
+
+
+def williams_of(n: int) -> Column:
+    return F.try_divide(F.col(f"_high_{n}") - F.col("close"), F.col(f"_high_{n}") - F.col(f"_low_{n}")) * -100
+
+
+def williams_r(df: DataFrame, *lengths: int) -> DataFrame:
+    """Williams' %R of each length, in one pass whose cost doesn't depend on them."""
+    d = recurrences(df, KEYS, [s for n in lengths for s in williams_steps(n)])
+    return d.select(*df.columns, *[williams_of(n).alias(f"r_{n}") for n in lengths])
 
 
 def money_flow(df: DataFrame, n: int = 20, fill: float | None = None) -> DataFrame:
@@ -144,11 +154,19 @@ def close_deltas(df: DataFrame) -> DataFrame:
     return d.withColumn("closedelta", F.abs(F.col("close") - lag("close"))).withColumn("ha_closedelta", F.abs(F.col("ha_close") - lag("ha_close"))).withColumn("tail", F.abs(F.col("ha_close") - F.col("ha_low")))
 
 
-def cci(df: DataFrame, n: int) -> DataFrame:
-    d = df.withColumn("_x", typical_price())
-    d = d.withColumn("_m", rolling(F.avg, "_x", n)).withColumn("_all", F.collect_list("_x").over(frame(n)))
-    deviation = F.aggregate("_all", F.lit(0.0), lambda s, v: s + F.abs(v - F.col("_m"))) / n
-    return d.withColumn(f"cci_{n}", F.try_divide(F.col("_x") - F.col("_m"), 0.015 * deviation)).drop("_x", "_m", "_all")
+def cci_steps(n: int) -> list[Step]:
+    """Over the typical price, _x."""
+    return [Step(f"_mean_{n}", "mean", "_x", n), Step(f"_far_{n}", "deviation", "_x", n)]
+
+
+def cci_of(n: int) -> Column:
+    return F.try_divide(F.col("_x") - F.col(f"_mean_{n}"), 0.015 * F.col(f"_far_{n}"))
+
+
+def cci(df: DataFrame, *lengths: int) -> DataFrame:
+    """The commodity channel index of each length, in one pass."""
+    d = recurrences(df.withColumn("_x", typical_price()), KEYS, [s for n in lengths for s in cci_steps(n)])
+    return d.select(*df.columns, *[cci_of(n).alias(f"cci_{n}") for n in lengths])
 
 
 def ups_and_downs(change: Column, name: str) -> dict[str, Column]:
@@ -175,8 +193,11 @@ def rsi(df: DataFrame, n: int, col: str = "close", out: str | None = None) -> Da
     return strength(df, F.col(col) - lag(col), n, out or f"rsi_{n}")
 
 
-def rmi(df: DataFrame, n: int, mom: int = 4) -> DataFrame:
-    return strength(df, F.col("close") - lag("close", mom), n, f"rmi_{n}")
+def rmi(df: DataFrame, *lengths: int, mom: int = 4) -> DataFrame:
+    """The relative momentum index of each length, in one pass."""
+    d = df.withColumn("_c", F.col("close") - lag("close", mom)).withColumns(ups_and_downs(F.col("_c"), "_"))
+    d = recurrences(d, KEYS, [s for n in lengths for s in strength_steps("_", n, f"_w{n}")])
+    return d.select(*df.columns, *[strength_of(f"_w{n}").alias(f"rmi_{n}") for n in lengths])
 
 
 def crsi(df: DataFrame) -> DataFrame:
@@ -188,10 +209,9 @@ def crsi(df: DataFrame) -> DataFrame:
 
 
 def stochastic_rsi(df: DataFrame, n: int = 15, k: int = 20) -> DataFrame:
-    d = rsi(df, n, out="_r")
-    low = rolling(F.min, "_r", k)
-    d = d.withColumn("srsi_k", F.try_divide(F.col("_r") - low, rolling(F.max, "_r", k) - low) * 100)
-    return d.withColumn("srsi_d", (2 * F.col("srsi_k") + lag("srsi_k")) / 3).drop("_r")
+    d = recurrences(rsi(df, n, out="_r"), KEYS, [Step("_low", "min", "_r", k), Step("_high", "max", "_r", k)])
+    d = d.withColumn("srsi_k", F.try_divide(F.col("_r") - F.col("_low"), F.col("_high") - F.col("_low")) * 100)
+    return d.withColumn("srsi_d", (2 * F.col("srsi_k") + lag("srsi_k")) / 3).drop("_r", "_low", "_high")
 
 
 def fast_stochastic(df: DataFrame, k: int = 5, d_: int = 3) -> DataFrame:
@@ -258,11 +278,17 @@ def fisher(df: DataFrame, n: int = 14) -> DataFrame:
 
 def momentum_divergence(df: DataFrame, n: int = 10, bands: int = 20, lookback: int = 30) -> DataFrame:
     """Momentum crossing its own bands, and whether the bar is at the extreme of the lookback."""
+    d = recurrences(df, KEYS, [Step("_top", "max", "high", lookback), Step("_bottom", "min", "low", lookback)])
+    return momentum_of(d, n, bands).drop("_top", "_bottom")
+
+
+def momentum_of(df: DataFrame, n: int = 10, bands: int = 20) -> DataFrame:
+    """momentum_divergence of bars with the lookback's extremes, _top and _bottom."""
     d = bollinger(df.withColumn("_m", F.col("close") - lag("close", n)), bands, 2, "_b", F.col("_m"), F.stddev_pop)
     yes = lambda c: F.coalesce(c, F.lit(False))
     return d.withColumns({
         "momdiv_buy": crossed_below(F.col("_m"), F.col("_b_low")), "momdiv_sell": crossed_above(F.col("_m"), F.col("_b_up")),
-        "momdiv_coh": yes(F.col("high") >= rolling(F.max, "high", lookback)), "momdiv_col": yes(F.col("low") <= rolling(F.min, "low", lookback)),
+        "momdiv_coh": yes(F.col("high") >= F.col("_top")), "momdiv_col": yes(F.col("low") <= F.col("_bottom")),
     }).drop("_m", "_b_mid", "_b_low", "_b_up")
 
 
@@ -295,9 +321,7 @@ def moving_average(df: DataFrame, kind: str, n: int, out: str) -> DataFrame:
     if kind == "t3":
         return t3(df, n).withColumnRenamed("t3", out)
     if kind == "wma":
-        d = df.withColumn("_all", F.collect_list("close").over(frame(n)))
-        total = F.aggregate(F.zip_with("_all", F.sequence(F.lit(1), F.size("_all")), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-        return d.withColumn(out, F.when(F.size("_all") == n, total / (n * (n + 1) / 2))).drop("_all")
+        return recurrences(df, KEYS, [Step(out, "weighted", "close", n)])
     d = recurrences(df, KEYS, [Step("_1", "ema", "close", n), Step("_2", "ema", "_1", n), Step("_3", "ema", "_2", n)])
     one, two, three = (F.col(f"_{k}") for k in (1, 2, 3))
     value = {"ema": one, "dema": 2 * one - two, "zlema": one + (one - two), "tema": 3 * one - 3 * two + three}[kind]

@@ -36,6 +36,7 @@ class Step:
     wilder: seeded with the mean of the first n values, then s + (x - s) / n, null before the seed.
     linear: q * s + x, null before the first value.
     trail: the line that follows one of two ratcheting bands, x the average and wide their distance from it; 0 for the first n bars.
+    max, min, mean, deviation, weighted: of the last n values: extremes, mean, mean distance from the mean, mean with weights 1 to n; null unless all n are there.
 
     Values may begin with nulls; later ones count as 0 (trail: as no number, which fails every comparison)."""
 
@@ -119,6 +120,49 @@ class Trail:
         return line
 
 
+def extremes(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """of (maximum or minimum) of each n values in a row: the end of one block of n and the beginning of the next, whatever n."""
+    blocks = -(-len(x) // n)
+    padded = np.full(blocks * n, np.nan)
+    padded[: len(x)] = x
+    own = padded.reshape(blocks, n)
+    ahead = of.accumulate(own, axis=1).ravel()
+    back = of.accumulate(own[:, ::-1], axis=1)[:, ::-1].ravel()
+    return of(back[: len(x) - n + 1], ahead[n - 1 : len(x)])
+
+
+#: Values that are laid out at once as frames.
+LAID_OUT = 1 << 18
+
+
+class Frame:
+    """The state of a step over the last n values."""
+
+    def __init__(self, step: Step):
+        self.step, self.before = step, np.zeros(0)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        n, every = self.step.n, np.concatenate([self.before, x])
+        self.before = every[len(every) - min(len(every), n - 1) :]
+        out = np.full(len(every), np.nan)
+        if len(every) >= n:
+            out[n - 1 :] = self.of(every, n)
+        return out[len(every) - len(x) :]
+
+    def of(self, x: np.ndarray, n: int) -> np.ndarray:
+        kind = self.step.kind
+        if kind in ("max", "min"):
+            return extremes(x, n, np.maximum if kind == "max" else np.minimum)
+        if kind == "weighted":
+            return np.convolve(x, np.arange(n, 0, -1.0), "valid") / (n * (n + 1) / 2)
+        frames, out = np.lib.stride_tricks.sliding_window_view(x, n), []
+        for a in range(0, len(frames), max(1, LAID_OUT // n)):
+            own = frames[a : a + max(1, LAID_OUT // n)]
+            mean = own.mean(axis=1)
+            out.append(mean if kind == "mean" else np.abs(own - mean[:, None]).mean(axis=1))
+        return np.concatenate(out)
+
+
 def numbers(column: pa.Array) -> np.ndarray:
     """Doubles, NaN for null."""
     return column.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
@@ -134,7 +178,7 @@ def segments(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), batch.num_rows)
 
 
-def made(steps: list[Step], states: dict[str, Linear | Trail], x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def made(steps: list[Step], states: dict[str, Linear | Trail | Frame], x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The columns of the steps over a run of rows with source columns x; states go on to its end."""
     found: dict[str, np.ndarray] = {}
     for s in steps:
@@ -142,8 +186,11 @@ def made(steps: list[Step], states: dict[str, Linear | Trail], x: dict[str, np.n
     return found
 
 
-def begun(steps: list[Step]) -> dict[str, Linear | Trail]:
-    return {s.out: Trail(s) if s.kind == "trail" else Linear(s) for s in steps}
+LINEAR = ("ema", "wilder", "linear")
+
+
+def begun(steps: list[Step]) -> dict[str, Linear | Trail | Frame]:
+    return {s.out: Linear(s) if s.kind in LINEAR else Trail(s) if s.kind == "trail" else Frame(s) for s in steps}
 
 
 #: Size of a table (Spark's estimate) from which series are split in time, and bars of a stretch.
@@ -160,12 +207,12 @@ def estimated_bytes(df: DataFrame) -> int:
 def recurrences(df: DataFrame, keys: list[str], steps: list[Step], order: str = "time", split: bool | None = None) -> DataFrame:
     """df with a column for each step; series split in time or not, if split doesn't leave it to the table's size.
 
-    Only series with a level, in order of their time, and only steps without a trail can be split."""
+    Only series with a level, in order of their time, and only ema, wilder and linear steps can be split."""
     outs = [s.out for s in steps]
     rest = df.drop(*outs)
     sources = sorted({c for s in steps for c in s.reads} - set(outs))
     schema = T.StructType([*rest.schema.fields, *(T.StructField(c, T.DoubleType()) for c in outs)])
-    able = "level" in keys and order == "time" and all(s.kind != "trail" for s in steps)
+    able = "level" in keys and order == "time" and all(s.kind in LINEAR for s in steps)
     if able and (estimated_bytes(rest) >= SPLIT_BYTES if split is None else split):
         return _split(rest, keys, steps, sources, schema)
 

@@ -57,8 +57,8 @@ def features(candles: DataFrame) -> DataFrame:
         "_roc": (F.try_divide(F.col("close"), lag("close", 100)) - 1) * 100, "roc": (F.try_divide(F.col("close"), lag("close", 9)) - 1) * 100,
         "_vw": F.try_divide(own(F.col("close") * F.col("volume"), 96), own("volume", 96)),
     })
-    d = ind.dump_guard(ind.money_flow(ind.momentum_divergence(ind.volume_means(ind.sma(d, (15, 21, 28, 30, 75))))))
-    d = ind.williams_r(ind.williams_r(ind.cci(ind.band_shapes(d), ENTRY["cci_length"]), 14), 480)
+    d = ind.money_flow(ind.volume_means(ind.sma(d, (15, 21, 28, 30, 75))))
+    d = ind.band_shapes(d).withColumn("_x", ind.typical_price())
     d = ind.fast_stochastic(ind.squeeze_momentum(ind.correlation_trend(ind.keltner(d, 28, 1), 20)))
     d = d.withColumns({
         "closedelta": F.abs("_c"), "_tr": ind.true_range(), "_s": F.coalesce(F.signum("_c"), F.lit(0.0)), "_ha": F.coalesce(lag("ha_close") / 2, (F.col("open") + F.col("close")) / 2),
@@ -70,7 +70,10 @@ def features(candles: DataFrame) -> DataFrame:
     steps = [Step(f"ema_{n}", "ema", "close", n) for n in (4, 8, 12, 13, 16, 20, 26, 50, 100, 200)]
     steps += [Step("pmax_thresh", "ema", "ha_close", 9), Step("_vwe", "ema", "_vw", 96), *ind.t3_steps(5), Step("ha_open", "linear", "_ha", q=0.5)]
     steps += [s for n, name in RSI.items() for s in ind.strength_steps("_a", n, name)] + ind.strength_steps("_s", 2, "_rsi_s") + ind.strength_steps("_m", ENTRY["rmi_length"], "rmi")
+    steps += [*ind.williams_steps(14), *ind.williams_steps(480), *ind.cci_steps(ENTRY["cci_length"]), Step("_top", "max", "high", 30), Step("_bottom", "min", "low", 30)]
     d = recurrences(d, KEYS, steps + [Step(f"{c}w", "wilder", c, 14) for c in ("_tr", "_pdm", "_mdm")])
+    d = ind.momentum_of(d.withColumns({"r_14": ind.williams_of(14), "r_480": ind.williams_of(480), "cci": ind.cci_of(ENTRY["cci_length"])}))
+    d = ind.dump_guard(d)
     d = d.withColumns({name: ind.strength_of(name) for name in (*RSI.values(), "_rsi_s", "rmi")})
     d = d.withColumns({
         "crsi": (F.col("_rsi_3") + F.col("_rsi_s") + F.col("_roc")) / 3, "fisher": F.tanh(0.1 * (F.col("rsi") - 50)), "ewo": F.try_divide(F.col("ema_50") - F.col("ema_200"), F.col("low")) * 100,
@@ -85,7 +88,7 @@ def features(candles: DataFrame) -> DataFrame:
     })
     d = recurrences(d, KEYS, [Step("adx", "wilder", "_dx", 14), Step("_hm", "ema", "_hx", 9), Step("_ha_atr", "wilder", "_htr", 10)])
     d = recurrences(d.withColumn("_wide", F.col("_ha_atr") * 2.7), KEYS, [Step("pm", "trail", "_hm", 10, wide="_wide")])
-    d = d.withColumnsRenamed({"bb2_low": "bb_low", "bb2_mid": "bb_mid", "bb2_up": "bb_up", "bb3_low": "bb3_low_", "cti_20": "cti", f"cci_{ENTRY['cci_length']}": "cci"}).withColumnsRenamed({"bb3_low_": "bb3_low"})
+    d = d.withColumnsRenamed({"bb2_low": "bb_low", "bb2_mid": "bb_mid", "bb2_up": "bb_up", "bb3_low": "bb3_low_", "cti_20": "cti"}).withColumnsRenamed({"bb3_low_": "bb3_low"})
     return d.select(*[c for c in d.columns if not c.startswith("_")])
 
 

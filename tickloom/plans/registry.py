@@ -268,7 +268,8 @@ on_hours("volume_means", ["volume_mean_4", "volume_mean_12", "volume_mean_24"],
 on_hours("vwma", ["vwma_20"], lambda d: ind.vwma(d, 20), f"({full('avg', '(close * volume)', 20)}) / nullif({full('avg', 'volume', 20)}, 0)")
 on_hours("roc", ["roc_9", "rocr_9", "mom_9"], lambda d: ind.roc(d, 9), "(close / lag(close, 9) OVER w - 1) * 100 ;; close / lag(close, 9) OVER w ;; close - lag(close, 9) OVER w")
 on_hours("range_change", ["hl_change_5"], lambda d: ind.range_change(d, "HL", 5), f"({full('max', 'high', 5)} - {full('min', 'low', 5)}) / ({full('min', 'low', 5)})")
-on_hours("williams_r", ["r_14", "r_96"], lambda d: ind.williams_r(ind.williams_r(d, 14), 96), " ;; ".join(f"-100 * ({full('max', 'high', n)} - close) / nullif({full('max', 'high', n)} - {full('min', 'low', n)}, 0)" for n in (14, 96)))
+on_hours("open_close_range", ["oc_change_8"], lambda d: ind.range_change(d, "OC", 8), f"({full('max', 'open', 8)} - {full('min', 'close', 8)}) / nullif({full('min', 'close', 8)}, 0)")
+on_hours("williams_r", ["r_14", "r_96"], lambda d: ind.williams_r(d, 14, 96), " ;; ".join(f"-100 * ({full('max', 'high', n)} - close) / nullif({full('max', 'high', n)} - {full('min', 'low', n)}, 0)" for n in (14, 96)))
 _FLOW = "coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume"
 _W20 = "OVER (PARTITION BY symbol ORDER BY time ROWS 19 PRECEDING)"
 on_hours("money_flow", ["cmf"], ind.money_flow, f"sum({_FLOW}) {_W20} / nullif(sum(volume) {_W20}, 0)")
@@ -499,6 +500,14 @@ on_hours("band_shapes", ["bb_width", "bb_delta"], ind.band_shapes, "4 * sd / nul
 _W26 = "OVER (PARTITION BY symbol ORDER BY time ROWS 25 PRECEDING)"
 _CCI = f"tp AS (SELECT *, {_TP} AS t FROM bars), result AS (SELECT *, CASE WHEN n >= 26 THEN avg(t) {_W26} END AS m, list(t) {_W26} AS l FROM tp)"
 on_hours("cci", ["cci_26"], lambda d: ind.cci(d, 26), "(t - m) / nullif(0.015 * list_avg(list_transform(l, lambda x: abs(x - m))), 0)", _CCI)
+CCI_LENGTHS, RMI_LENGTHS = (26, 170, *range(25, 46)), range(8, 21)  # fixed values: the lengths that the rules choose from
+CCI_LENGTHS = tuple(dict.fromkeys(CCI_LENGTHS))
+_CCIS = f"tp AS (SELECT *, {_TP} AS t FROM bars), result AS (SELECT *, " + ", ".join(
+    f"CASE WHEN n >= {k} THEN avg(t) OVER (PARTITION BY symbol ORDER BY time ROWS {k - 1} PRECEDING) END AS m{k}, list(t) OVER (PARTITION BY symbol ORDER BY time ROWS {k - 1} PRECEDING) AS l{k}" for k in CCI_LENGTHS
+) + " FROM tp)"
+on_hours("cci_family", [f"cci_{k}" for k in CCI_LENGTHS], lambda d: ind.cci(d, *CCI_LENGTHS), " ;; ".join(f"(t - m{k}) / nullif(0.015 * list_avg(list_transform(l{k}, lambda x: abs(x - m{k}))), 0)" for k in CCI_LENGTHS), _CCIS)
+_GAP_BANDS = f"tr_ AS (SELECT *, {_TR} AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)), result AS (SELECT *, {full('avg', 'close', 20)} - 2 * {full('avg', 'tr', 20)} AS kl, {full('avg', _TP, 20)} - 2 * {full('stddev_samp', _TP, 20)} AS bl FROM tr_)"
+on_hours("keltner_gap", ["kc_bb_delta"], ind.keltner_gap, "(kl - bl) / nullif(bl, 0) * 100", _GAP_BANDS, places=4)
 _MFI = f"""tp AS (SELECT *, {_TP} AS t, lag({_TP}) OVER (PARTITION BY symbol ORDER BY time) AS p FROM bars), ud AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN t > p THEN t * volume ELSE 0 END AS up, CASE WHEN p IS NULL THEN NULL WHEN t < p THEN t * volume ELSE 0 END AS dn FROM tp),
     result AS (SELECT *, {full("sum", "up", 14)} AS u, {full("sum", "dn", 14)} AS d FROM ud)"""
 on_hours("money_flow_index", ["mfi"], ind.money_flow_index, "CASE WHEN u + d = 0 THEN 50 ELSE 100 * u / (u + d) END", _MFI)
@@ -524,6 +533,10 @@ def _averaged(periods: list[int], extra: str = "") -> str:
 on_hours("ewo", ["ewo"], ind.ewo, "(e50 - e200) / nullif(low, 0) * 100", _averaged([50, 200]))
 on_hours("smoothed_roc", ["srocr"], ind.smoothed_roc, "(e13 / lag(e13, 21) OVER w - 1) * 100", _averaged([13]))
 on_hours("rmi", ["rmi_17"], lambda d: ind.rmi(d, 17), "r", f"bars2 AS (SELECT *, greatest(close - lag(close, 4) OVER w, 0) AS up, greatest(lag(close, 4) OVER w - close, 0) AS dn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)), {_wilder_sql('up', 17, 'wu', 5)}, {_wilder_sql('dn', 17, 'wd', 5)}, result AS (SELECT bars.*, CASE WHEN wu.s + wd.s = 0 THEN 50 ELSE 100 * wu.s / (wu.s + wd.s) END AS r FROM bars LEFT JOIN wu USING (symbol, n) LEFT JOIN wd USING (symbol, n))")
+_RMIS = "bars2 AS (SELECT *, greatest(close - lag(close, 4) OVER w, 0) AS up, greatest(lag(close, 4) OVER w - close, 0) AS dn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)), "
+_RMIS += ", ".join(f"{_wilder_sql('up', k, f'wu{k}', 5)}, {_wilder_sql('dn', k, f'wd{k}', 5)}" for k in RMI_LENGTHS)
+_RMIS += ", result AS (SELECT bars.*, " + ", ".join(f"CASE WHEN wu{k}.s + wd{k}.s = 0 THEN 50 ELSE 100 * wu{k}.s / (wu{k}.s + wd{k}.s) END AS r{k}" for k in RMI_LENGTHS) + " FROM bars " + " ".join(f"LEFT JOIN wu{k} USING (symbol, n) LEFT JOIN wd{k} USING (symbol, n)" for k in RMI_LENGTHS) + ")"
+on_hours("rmi_family", [f"rmi_{k}" for k in RMI_LENGTHS], lambda d: ind.rmi(d, *RMI_LENGTHS), " ;; ".join(f"r{k}" for k in RMI_LENGTHS), _RMIS)
 
 
 @query(
