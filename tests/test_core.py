@@ -204,7 +204,7 @@ def test_ingest_loses_nothing(spark, tmp_path):
     ingest.ingest_stream(spark, landing, table, f"{tmp_path}/checkpoint").awaitTermination()
     got = src.read_candles(spark, table)
     assert column(got.where("symbol = 'A-B'"), "close") == [*range(1, 11), 7] and column(got.where("symbol = 'C-D'"), "close") == [5]
-    bad = tmp_path / "table" / "symbol=A-B" / "level=1h"
+    bad = tmp_path / "table" / "symbol=A-B" / "level=1h" / "period=1970"
     for f in bad.glob("*.parquet"):
         f.write_bytes(b"not a table at all")
     spark.createDataFrame([("A-B", "1h", f"[{bar(40_000_000, 2)}]")], ingest.LANDED).write.mode("append").parquet(landing)
@@ -567,3 +567,44 @@ def test_frames_in_batches_of_any_size(spark):
                     want = [max(f), min(f), mean, sum(abs(v - mean) for v in f) / n, sum(w * v for w, v in enumerate(f, 1)) / (n * (n + 1) / 2)]
                 have = [r[f"{kind}_{n}"] for kind in ("max", "min", "mean", "deviation", "weighted")]
                 assert have == (want if want[0] is None else pytest.approx(want, rel=1e-9, abs=1e-12)), (n, r)
+
+
+def test_a_batch_rewrites_only_its_months(spark, tmp_path, monkeypatch):
+    """Other months keep their files; a batch that breaks off between two steps is repeated and loses nothing."""
+    landing, table = f"{tmp_path}/landing", tmp_path / "table"
+    day = 86_400_000
+    bars = spark.createDataFrame([(s, "1m", k * day, 1.0, 1.0, 1.0, float(k), None) for s in ("A-B", "C-D") for k in range(70)], src.SCHEMA)
+    src.write_candles(bars, str(table))
+    files = {f: f.stat().st_mtime_ns for f in table.rglob("*.parquet")}
+    assert {f.parent.name for f in files} == {"period=1970-01", "period=1970-02", "period=1970-03"}
+    payload = f'[["{40 * day + 60_000}","7","7","7","7"],["{40 * day}","9","9","9","9"]]'
+    spark.createDataFrame([("A-B", "1m", payload)], ingest.LANDED).write.parquet(landing)
+    real, calls = ingest.write_candles, []
+
+    def breaks(df, path):
+        calls.append(path)
+        if len(calls) == 1:
+            raise OSError("lost")
+        real(df, path)
+
+    monkeypatch.setattr(ingest, "write_candles", breaks)
+    with pytest.raises(Exception):
+        ingest.ingest_stream(spark, landing, str(table), f"{tmp_path}/checkpoint").awaitTermination()
+    assert {f: f.stat().st_mtime_ns for f in table.rglob("*.parquet")} == files
+    ingest.ingest_stream(spark, landing, str(table), f"{tmp_path}/checkpoint").awaitTermination()
+    now = {f: f.stat().st_mtime_ns for f in table.rglob("*.parquet")}
+    changed = {f for f in files if now.get(f) != files[f]}
+    assert {(f.parent.parent.parent.name, f.parent.name) for f in changed} == {("symbol=A-B", "period=1970-02")}
+    got = src.read_candles(spark, str(table))
+    assert got.count() == 141 and column(got.where(f"symbol = 'A-B' and time between {40 * day} and {40 * day + 60_000}"), "close") == [40.0, 7.0]
+
+
+def test_results_have_one_header(spark, tmp_path):
+    rows = [("a,b", 'say "x"'), ("fast=5,slow=10", "2")]
+    for row in rows:
+        src.append_result(spark.createDataFrame([row], "Filename string, Params string"), f"{tmp_path}/r")
+    (file,) = (tmp_path / "r").glob("*.csv")
+    assert file.read_text().splitlines() == ["Filename,Params", '"a,b","say ""x"""', '"fast=5,slow=10",2']
+    (tmp_path / "r").rename(tmp_path / "r-before")  # as if broken off
+    src.append_result(spark.createDataFrame([("c", "3")], "Filename string, Params string"), f"{tmp_path}/r")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["r"] and len(next((tmp_path / "r").glob("*.csv")).read_text().splitlines()) == 4

@@ -15,17 +15,29 @@ SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("l
 PRICES = ["open", "high", "low", "close"]
 
 
+#: Levels whose tables are cut into months; those of others into years.
+FINE = ["1m", "3m", "5m", "15m", "30m"]
+
+
+def period() -> Column:
+    """The part of its series' files that a bar belongs to."""
+    day = F.timestamp_millis("time")
+    return F.when(F.col("level").isin(FINE), F.date_format(day, "yyyy-MM")).otherwise(F.date_format(day, "yyyy"))
+
+
 class SchemaError(ValueError):
     """A table that isn't a candle table."""
 
 
-def read_candles(spark: SparkSession, path: str) -> DataFrame:
-    """The table as SCHEMA; SchemaError for other columns or types, or nulls in a column but volume."""
+def read_candles(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """The table as SCHEMA; SchemaError for other columns or types, or nulls in a column but volume.
+
+    where picks rows by symbol, level and period, the table's folders; only those are read and checked."""
     found = spark.read.parquet(path)
-    want, have = {f.name: f.dataType for f in SCHEMA}, {f.name: f.dataType for f in found.schema}
+    want, have = {f.name: f.dataType for f in SCHEMA}, {f.name: f.dataType for f in found.schema if f.name != "period"}
     if want != have:
         raise SchemaError(f"expected {want}, found {have}")
-    d = found.select(*SCHEMA.names)
+    d = (found if where is None else found.where(where)).select(*SCHEMA.names)
     nulls = d.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in SCHEMA.names if c != "volume"]).first().asDict()
     if bad := [c for c, n in nulls.items() if n]:
         raise SchemaError(f"nulls in {bad}")
@@ -33,8 +45,9 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_candles(df: DataFrame, path: str) -> None:
-    """Replace the series of df in the table; other series stay, and a failed write leaves the old ones."""
-    df.select(*SCHEMA.names).repartition(*SERIES).sortWithinPartitions(*SERIES, "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES).parquet(path)
+    """Replace the periods of series that df has rows of in the table; others stay, and a failed write leaves the old ones."""
+    own = df.select(*SCHEMA.names).withColumn("period", period())
+    own.repartition(*SERIES, "period").sortWithinPartitions(*SERIES, "period", "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES, "period").parquet(path)
 
 
 def read_json(spark: SparkSession, path: str, symbol: str, level: str) -> DataFrame:
@@ -66,7 +79,7 @@ def migrate_json(spark: SparkSession, path: str, symbol: str, level: str, target
         try:
             found = spark.read.parquet(own)
             missing = {f.name: f.dataType for f in SCHEMA if f.name not in SERIES}
-            if {f.name: f.dataType for f in found.schema} != missing:
+            if {f.name: f.dataType for f in found.schema if f.name != "period"} != missing:
                 raise SchemaError(f"expected {missing}")
             if found.limit(1).count():
                 return False
@@ -108,8 +121,20 @@ def result_record(best: DataFrame, name: str, precision: str, strategy: str, tex
 
 
 def append_result(df: DataFrame, path: str) -> None:
-    """Add rows to a folder of CSV files with headers; fields with commas or quotes are quoted."""
-    df.coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    """Add rows to a folder of one CSV file with a header; fields with commas or quotes are quoted. Results are few: the file is written anew beside the old one, then takes its place."""
+    spark, aside, before = df.sparkSession, f"{path.rstrip('/')}-new", f"{path.rstrip('/')}-before"
+    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = where(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not exists(spark, path) and exists(spark, before):  # broken off between the two renames
+        files.rename(where(before), where(path))
+    if exists(spark, path):
+        df = spark.read.option("header", True).option("escape", '"').schema(df.schema).csv(path).unionByName(df)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(aside)
+    if exists(spark, path):
+        files.delete(where(before), True)
+        files.rename(where(path), where(before))
+    files.rename(where(aside), where(path))
+    files.delete(where(before), True)
 
 
 def time_ms(text: str) -> int:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.build import LEVELS, bar_start
 from tickloom.operators.quality import SERIES, check_increasing, merge_candles
-from tickloom.sources.candles import SCHEMA, exists, parse_klines, read_candles, write_candles
+from tickloom.sources.candles import SCHEMA, exists, parse_klines, period, read_candles, write_candles
 
 LANDED = "symbol string, level string, payload string"
 
@@ -17,15 +17,30 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Symbols and periods of a batch by which folders are picked; of more, only the periods are.
+MOST_NAMED = 1000
+
+
+def touched(new: DataFrame) -> Column:
+    """The folders of the table that new rows belong to, or few others."""
+    folders = new.select("symbol", "level", period().alias("period"))
+    named = folders.agg(F.collect_set("period").alias("periods")).first()["periods"]  # months and years: few
+    where = F.col("period").isin(named) if named else F.lit(False)
+    symbols = [r["symbol"] for r in folders.select("symbol").distinct().limit(MOST_NAMED + 1).collect()]
+    return where & F.col("symbol").isin(symbols) if len(symbols) <= MOST_NAMED else where
+
+
 def _merge(spark: SparkSession, new: DataFrame, table: str, work: str, *arrival: str) -> None:
-    """Merge new candles into the series they touch; an existing candle wins. Written aside first, as the plan reads the table.
+    """Merge new candles into the periods of series that they touch; an existing candle wins. Written aside first, as the plan reads the table.
 
+    Periods are replaced one by one: a batch that is broken off and repeated finds its own candles there and gives the same table.
     Only a table that the file system doesn't have counts as new; a table that can't be read is an error and stays as it is."""
     new = new.withColumn("volume", F.lit(None).cast("double"))
     old = spark.createDataFrame([], SCHEMA)
     if exists(spark, table):
-        touched = F.broadcast(new.select(*SERIES).distinct())  # the series of one batch
-        old = read_candles(spark, table).join(touched, SERIES, "left_semi").select(*SCHEMA.names)
+        own = [*SERIES, "period"]
+        there = read_candles(spark, table, touched(new)).withColumn("period", period())
+        old = there.join(F.broadcast(new.select(*SERIES, period().alias("period")).distinct()), own, "left_semi").select(*SCHEMA.names)  # the folders of one batch
     merge_candles(old, new, *arrival).write.mode("overwrite").parquet(work)
     merged = spark.read.schema(SCHEMA).parquet(work)
     if not merged.isEmpty():
