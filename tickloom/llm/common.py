@@ -78,14 +78,49 @@ def crc_of_id(column: str = "doc_id"):
 RANGE_BYTES, MOST_RANGES = 64 << 20, 50_000
 
 
-def id_bounds(docs: DataFrame) -> np.ndarray:
-    """Rising last ids of ranges of docs (doc_id, text) that hold about RANGE_BYTES each; empty without ids."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last")).first()
+def _percentiles(docs: DataFrame) -> tuple[list[int], int | None, int]:
+    """(ids that cut docs (doc_id, text) into parts of about RANGE_BYTES, an id as often as it holds a part; last id; bytes of texts without an id)."""
+    none = F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text")))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), none.alias("none"), F.max("doc_id").alias("last")).first()
     if size["last"] is None:
-        return np.zeros(0, np.int64)
-    n = int(min(MOST_RANGES, max(2, -(-(size["bytes"] or 0) // RANGE_BYTES))))
+        return [], None, size["none"] or 0
+    n = int(min(MOST_RANGES, max(2, -(-((size["bytes"] or 0) - (size["none"] or 0)) // RANGE_BYTES))))
     at = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("at")).first()["at"]
-    return np.unique(np.array([*at, size["last"]], np.int64))
+    return at, size["last"], size["none"] or 0
+
+
+def id_bounds(docs: DataFrame) -> np.ndarray:
+    """Rising last ids of ranges of docs (doc_id, text) that hold about RANGE_BYTES each; empty without ids."""
+    at, last, _ = _percentiles(docs)
+    return np.unique(np.array([*at, last] if last is not None else [], np.int64))
+
+
+class Shards:
+    """Numbers of shards of docs (doc_id, text) in rising order of ids, nulls first, of about RANGE_BYTES each: ranges of ids, and shares by text of an id (or null) that holds more."""
+
+    def __init__(self, docs: DataFrame):
+        at, last, none = _percentiles(docs)
+        self.none = max(1, -(-none // RANGE_BYTES))
+        ends, parts = [], []
+        found, times = np.unique(np.array([*at, last] if last is not None else [], np.int64), return_counts=True)
+        for end, n in zip(found.tolist(), times.tolist(), strict=True):
+            if n > 2 and (not ends or end - 1 > ends[-1]):  # the ids before it are a range of their own
+                ends.append(end - 1)
+                parts.append(1)
+            ends.append(end)
+            parts.append(n if n > 2 else 1)
+        self.ends, self.parts = np.array(ends, np.int64), np.array(parts, np.int64)
+        self.first = self.none + np.cumsum(self.parts) - self.parts
+        self.n = int(self.none + self.parts.sum())
+
+    def of(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+        """The shard of each document."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        cell = np.minimum(np.searchsorted(self.ends, ids.fill_null(0).to_numpy()), max(0, len(self.ends) - 1))
+        parts, first = (np.where(null, alone, x[cell] if len(x) else alone) for x, alone in ((self.parts, self.none), (self.first, 0)))
+        for k in np.flatnonzero(parts > 1).tolist():
+            first[k] += xxhash.xxh64_intdigest((texts[k].as_py() or "").encode(), 5) % int(parts[k])
+        return first.astype(np.int32)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ rank takes one to four bytes; the lengths of four ranks stand in one byte of a s
 stream, and a numpy table that is addressed by the control byte gives the places of all four.
 
 Files: Parquet, in ``blocks`` one folder per shard, shards and the rows in them in ascending doc_id
-order. A row is a block of whole documents: ``start`` (ids of the shard before it), ``doc_ids``,
+order; an id, or no id, with more text than a shard has several, dealt by text. A row is a block of whole documents: ``start`` (ids of the shard before it), ``doc_ids``,
 ``sizes`` (ids of each document), ``control`` and ``data``. The first ids of the shards follow from
 their sizes. ``ranks`` holds the id of each rank; the folder is all that readers need.
 
@@ -13,7 +13,7 @@ A text is cut into words at ASCII white space, where this kind of tokenizer neve
 each distinct word, as it is written, is encoded by the tokenizers library once per worker.
 
 Defined results: null texts are empty and hold only the end id; null ids come first; equal ids are
-ordered by their coded bytes. An empty table gives no rows. Special tokens' strings in a text are
+in any order. An empty table gives no rows. Special tokens' strings in a text are
 what the library makes of them: such texts are encoded as a whole.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import IdMemory, Words, forget, id_bounds, new_path, pieces, saved, table, utf8
+from tickloom.llm.common import IdMemory, Words, forget, Shards, new_path, pieces, saved, table, utf8
 
 END_ID = 1
 #: Distinct words that a worker remembers, at most, and ids in a block, about.
@@ -143,7 +143,7 @@ def token_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def encode_documents(path: str, end: int, bounds: np.ndarray):
+def encode_documents(path: str, end: int, shards: Shards):
     """Task over (doc_id, text): the shard of each document and its ids, the end id included."""
 
     def run(batches):
@@ -151,7 +151,7 @@ def encode_documents(path: str, end: int, bounds: np.ndarray):
         kind = token_type(own.size)
         for batch in batches:
             ids = batch.column(0)
-            shard = np.minimum(np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy()), max(0, len(bounds) - 1)).astype(np.int32)
+            shard = shards.of(ids, batch.column(1))
             for i, j, data, offsets in pieces(*utf8(batch.column(1))):
                 tokens, first = with_end(*own.encode(data, offsets), end)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(first * int(kind[2])), pa.py_buffer(tokens.astype(kind))])
@@ -222,14 +222,14 @@ def write_files(docs: DataFrame, out: str, path: str, end: int = END_ID) -> None
     """Write the ids of docs (doc_id, text) and the ids by rank to the folder out."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = id_bounds(docs)
+    shards = Shards(docs)
     kind = token_type(encoder(path).size)
-    tokens = saved(docs.mapInArrow(encode_documents(path, end, bounds), "doc_id long, shard int, ids binary"), "tokens", compression="zstd")
+    tokens = saved(docs.mapInArrow(encode_documents(path, end, shards), "doc_id long, shard int, ids binary"), "tokens", compression="zstd")
     ranks = ranked_ids(tokens, kind)
     spark.createDataFrame(pa.table({"rank": np.arange(len(ranks), dtype=np.int32), "id": ranks.astype(np.int32)})).coalesce(1).write.parquet(f"{out}/ranks")
     by_rank = spark.sparkContext.broadcast(ranks)
     coded = tokens.mapInArrow(pack_documents(kind, by_rank), "doc_id long, shard int, size long, control binary, data binary")
-    ordered = coded.repartitionById(max(1, len(bounds)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "control", "data")
+    ordered = coded.repartitionById(shards.n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "control", "data")
     ordered.mapInArrow(join_blocks, BLOCKS).write.partitionBy("shard").parquet(f"{out}/blocks")
     forget(tokens)
 
