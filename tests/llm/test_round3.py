@@ -382,3 +382,19 @@ def test_shards_of_null_and_repeated_ids(spark, monkeypatch, tmp_path):
         got = sorted(token_files.read_files(spark, out).collect(), key=lambda r: r["start"])
         assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]))
         assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-1 if i is None else i for i in ids)
+
+
+@pytest.mark.parametrize("name", ["url_rules", "lm_base", "text_edits"])
+def test_parts_by_sql(spark, name):
+    import duckdb
+
+    from tickloom.llm import checks
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got = checks.QUERIES[name](spark, "/root/testdata/sf0.001")
+    found = con.execute(checks.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(found.fetchall(), key=repr) == sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)

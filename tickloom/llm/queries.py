@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, conversations, decontaminate, language, length_hist, lexical, lm_score, mixing, phrase_print, simhash, token_files, toxicity, url_filter
+from tickloom.llm import bpe, checks, conversations, decontaminate, language, length_hist, lexical, lm_score, mixing, phrase_print, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5,
@@ -18,5 +18,5 @@ QUERIES = {
     "op11_repair": conversations.op11,
     "op12_search": lexical.op12,
     "op13_mix": mixing.op13,
-}
-ORACLE_SQL: dict[str, str] = {"op12_search": lexical.SQL, "op13_mix": mixing.SQL}
+} | checks.QUERIES
+ORACLE_SQL: dict[str, str] = {"op12_search": lexical.SQL, "op13_mix": mixing.SQL} | checks.ORACLE_SQL
