@@ -608,3 +608,29 @@ def test_results_have_one_header(spark, tmp_path):
     (tmp_path / "r").rename(tmp_path / "r-before")  # as if broken off
     src.append_result(spark.createDataFrame([("c", "3")], "Filename string, Params string"), f"{tmp_path}/r")
     assert sorted(p.name for p in tmp_path.iterdir()) == ["r"] and len(next((tmp_path / "r").glob("*.csv")).read_text().splitlines()) == 4
+
+
+def test_streams_of_all_levels_equal_the_batch(spark, tmp_path):
+    """Months and weeks included, in several batches, rows late within the watermark's delay, ties of times, missing volumes; too late ones are left out."""
+    rng = random.Random(3)
+    start, rows = 1_706_000_000_000, []
+    for k in range(600):
+        start += rng.choice([1000, 50_000, 3_000_000, 30_000_000])
+        rows.append((rng.choice("ab"), start - rng.choice([0, 0, 0, 600_000]), k, rng.uniform(1, 9), None if k % 7 == 0 else 1.0))
+    rows += [("a", rows[-1][1], 9000, 5.0, 1.0), ("a", rows[-1][1], 9001, 6.0, 1.0)]
+    late = [("b", rows[10][1], 9999, 1000.0, 1.0)]
+    last = [("z", start + 90 * 86_400_000, 10_000, 1.0, 1.0)]
+    kind = "symbol string, ms long, seq long, price double, volume double"
+    frame = lambda r: spark.createDataFrame(r, kind).withColumn("ts", F.timestamp_millis("ms")).drop("ms").coalesce(1)
+    for k, part in enumerate((rows[:200], rows[200:400], rows[400:], late, last, [(*last[0][:1], last[0][1] + 1, *last[0][2:])])):
+        frame(part).write.mode("append").parquet(f"{tmp_path}/ticks")
+        found = ingest.candle_streams(spark.readStream.schema(frame(rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ticks"))
+        q = found.writeStream.format("parquet").option("path", f"{tmp_path}/bars").option("checkpointLocation", f"{tmp_path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r["symbol"], r["level"], r["time"]): tuple(r)[3:] for r in spark.read.parquet(f"{tmp_path}/bars").collect()}
+    want = {}
+    for level, _, _ in build.LEVELS:
+        want |= {(r["symbol"], level, r["time"]): tuple(r)[3:] for r in build.build_candles(frame(rows), level).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "z"}.keys() == want.keys() and len({k[1] for k in want}) == 14
+    for k, v in want.items():
+        assert got[k][:4] == v[:4] and (got[k][4] == v[4] or got[k][4] == pytest.approx(v[4])), (k, got[k], v)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from tickloom.operators.build import LEVELS, bar_start
 from tickloom.operators.quality import SERIES, check_increasing, merge_candles
 from tickloom.sources.candles import SCHEMA, exists, parse_klines, period, read_candles, write_candles
 
+DAY_MS = 86_400_000
 LANDED = "symbol string, level string, payload string"
 
 
@@ -70,7 +76,7 @@ def ingest_stream(spark: SparkSession, landing: str, table: str, checkpoint: str
 
 
 def candle_stream(ticks: DataFrame, level: str, late: str = "1 hour") -> DataFrame:
-    """Candles of a stream of ticks (symbol, ts, seq, price, volume) at any level but the month, whose bars have no fixed length; a bar is given once no tick of it can come any more."""
+    """Candles of a stream of ticks (symbol, ts, seq, price, volume) at any level but the month, whose bars have no fixed length (``candle_streams`` has it); a bar is given once no tick of it can come any more."""
     own = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     length = {x[0]: x[1] for x in LEVELS}[level]
     if length is None:
@@ -79,3 +85,70 @@ def candle_stream(ticks: DataFrame, level: str, late: str = "1 hour") -> DataFra
     at = F.struct("ts", "seq")
     bars = own.groupBy(F.window("ts", f"{length} milliseconds", startTime=start), "symbol").agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
     return bars.select("symbol", F.lit(level).alias("level"), bar_start(F.col("window.start"), level).alias("time"), "open", "high", "low", "close", "volume")
+
+
+def bar_end(start: int, level: str) -> int:
+    """The end of the bar that begins at start, in ms since the epoch, UTC."""
+    length = {x[0]: x[1] for x in LEVELS}[level]
+    if length is not None:
+        return start + length
+    first = datetime.fromtimestamp(start / 1000, UTC)
+    return int(first.replace(year=first.year + first.month // 12, month=first.month % 12 + 1).timestamp() * 1000)
+
+
+BARS = "symbol string, level string, time long, open double, high double, low double, close double, volume double"
+#: What is kept of a bar: first and last tick as (ts, seq, price), highest and lowest price, volume (none: null).
+HELD = "bars string"
+
+
+def _starts(ms: np.ndarray, level: str) -> np.ndarray:
+    length = {x[0]: x[1] for x in LEVELS}[level]
+    if level == "1w":
+        return ms - (ms - 4 * DAY_MS) % length  # 1970-01-05 was a Monday
+    return ms.astype("datetime64[ms]").astype("datetime64[M]").astype("datetime64[ms]").astype(np.int64) if length is None else ms - ms % length
+
+
+def _taken_in(bars: dict[str, list], level: str, rows: pd.DataFrame) -> None:
+    """Add ticks (ms, us, seq, price, volume), by (us, seq), to the open bars of a level."""
+    for start, own in rows.groupby(_starts(rows["ms"].to_numpy(), level)):
+        ends = [[int(own[c].iloc[k]) for c in ("us", "seq")] + [float(own["price"].iloc[k])] for k in (0, -1)]
+        volume = own["volume"].sum(min_count=1)
+        new = [*ends, float(own["price"].max()), float(own["price"].min()), None if pd.isna(volume) else float(volume)]
+        old = bars.get(f"{level} {start}")
+        if old:
+            parts = [x for x in (old[4], new[4]) if x is not None]
+            new = [min(old[0], new[0]), max(old[1], new[1]), max(old[2], new[2]), min(old[3], new[3]), sum(parts) if parts else None]
+        bars[f"{level} {start}"] = new
+
+
+def candle_streams(ticks: DataFrame, levels: list[str] | None = None, late: str = "1 hour") -> DataFrame:
+    """Candles of a stream of ticks (symbol, ts, seq, price, volume) at all levels at once, calendar months included.
+
+    Spark keeps the open bars of each symbol as state. A bar is given once the watermark has passed its end, by a timer if no further tick of its symbol comes;
+    ticks of bars that have been given are left out."""
+    named = levels or [x[0] for x in LEVELS]
+
+    def run(key, frames, state):
+        bars = json.loads(state.get[0]) if state.exists else {}
+        closed = state.getCurrentWatermarkMs()
+        for rows in frames:
+            us = rows["ts"].astype("datetime64[us]").astype("int64")
+            rows = rows.assign(us=us, ms=us // 1000).sort_values(["us", "seq"], kind="stable")
+            for level in named:
+                ends = np.array([bar_end(x, level) for x in _starts(rows["ms"].to_numpy(), level).tolist()])
+                own = rows[ends > closed]
+                if len(own):
+                    _taken_in(bars, level, own)
+        ends = {name: bar_end(int(name.split()[1]), name.split()[0]) for name in bars}
+        done = sorted(name for name, end in ends.items() if end <= closed)
+        if done:
+            found = [(key[0], name.split()[0], int(name.split()[1]), *((b := bars.pop(name))[0][2], b[2], b[3], b[1][2], b[4])) for name in done]
+            yield pd.DataFrame(found, columns=[x.split()[0] for x in BARS.split(", ")]).astype({"volume": "float64"})
+        if bars:
+            state.update((json.dumps(bars),))
+            state.setTimeoutTimestamp(max(closed + 1, min(ends[name] for name in bars)))
+        else:
+            state.remove()
+
+    own = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return own.groupBy("symbol").applyInPandasWithState(run, BARS, HELD, "append", "EventTimeTimeout")
