@@ -18,6 +18,6 @@ def pmax(df: DataFrame, kind: str = "ema", length: int = 9, multiplier: int = 27
     x = {1: F.col("close"), 2: (F.col("high") + F.col("low")) / 2, 3: (F.col("high") + F.col("low") + F.col("close") + F.col("open")) / 4}[source]
     d = atr(df, period).withColumn("_close", F.col("close")).withColumn("close", x)
     d = moving_average(d, kind, length, "_average").withColumn("close", F.col("_close")).drop("_close")
-    d = recurrences(d.withColumn("_wide", F.col(f"atr_{period}") * (multiplier / 10)), KEYS, [Step("pm", "trail", "_average", period, wide="_wide")])
+    d = recurrences(d, KEYS, [Step("pm", "trail", "_average", period, multiplier / 10, f"atr_{period}")])
     side = F.when(F.col("pm") > 0, F.when(F.col("_average") < F.col("pm"), "down").otherwise("up"))
     return d.withColumn("pmx", side).select(*df.columns, "pm", "pmx")

@@ -35,7 +35,7 @@ class Step:
     ema: alpha = 2 / (n + 1), seeded with the first value, null for the first n - 1 values and for n = 0.
     wilder: seeded with the mean of the first n values, then s + (x - s) / n, null before the seed.
     linear: q * s + x, null before the first value.
-    trail: the line that follows one of two ratcheting bands, x the average and wide their distance from it; 0 for the first n bars.
+    trail: the line that follows one of two ratcheting bands, x the average and q times wide their distance from it; 0 for the first n bars.
     max, min, mean, deviation, weighted: of the last n values: extremes, mean, mean distance from the mean, mean with weights 1 to n; null unless all n are there.
 
     Values may begin with nulls; later ones count as 0 (trail: as no number, which fails every comparison)."""
@@ -104,11 +104,11 @@ class Trail:
     """The state of a trail step: both bands, the one that is followed, and the average before."""
 
     def __init__(self, step: Step):
-        self.n, self.bar, self.top, self.bottom, self.on_top, self.before = step.n, 0, 0.0, 0.0, True, np.nan
+        self.n, self.times, self.bar, self.top, self.bottom, self.on_top, self.before = step.n, step.q, 0, 0.0, 0.0, True, np.nan
 
     def __call__(self, average: np.ndarray, wide: np.ndarray) -> np.ndarray:
         line = np.zeros(len(average))
-        for k, (x, w) in enumerate(zip(average.tolist(), wide.tolist(), strict=True)):
+        for k, (x, w) in enumerate(zip(average.tolist(), (wide * self.times).tolist(), strict=True)):
             if self.bar >= self.n:
                 if x + w < self.top or self.before > self.top:
                     self.top = x + w

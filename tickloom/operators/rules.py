@@ -86,14 +86,15 @@ def features(candles: DataFrame) -> DataFrame:
         "srsi_k": F.try_divide(F.col("_rsi_15") - low, high - low) * 100, "tail": F.abs(F.col("ha_close") - F.col("ha_low")), "_hx": (F.col("ha_open") + F.col("ha_high") + F.col("ha_low") + F.col("ha_close")) / 4,
         "_htr": F.when(before.isNotNull(), F.greatest(F.col("ha_high") - F.col("ha_low"), F.abs(F.col("ha_high") - before), F.abs(F.col("ha_low") - before))),
     })
-    d = recurrences(d, KEYS, [Step("adx", "wilder", "_dx", 14), Step("_hm", "ema", "_hx", 9), Step("_ha_atr", "wilder", "_htr", 10)])
-    d = recurrences(d.withColumn("_wide", F.col("_ha_atr") * 2.7), KEYS, [Step("pm", "trail", "_hm", 10, wide="_wide")])
+    d = recurrences(d, KEYS, [Step("adx", "wilder", "_dx", 14), Step("_hm", "ema", "_hx", 9), Step("_ha_atr", "wilder", "_htr", 10), Step("pm", "trail", "_hm", 10, 2.7, "_ha_atr")])
     d = d.withColumnsRenamed({"bb2_low": "bb_low", "bb2_mid": "bb_mid", "bb2_up": "bb_up", "bb3_low": "bb3_low_", "cti_20": "cti"}).withColumnsRenamed({"bb3_low_": "bb3_low"})
     return d.select(*[c for c in d.columns if not c.startswith("_")])
 
 
 def with_coarse(base: DataFrame, coarse: DataFrame, base_ms: int, coarse_ms: int) -> DataFrame:
     """Features of the base interval with those of COARSE, as far as its bars have closed, suffix ``_1h``."""
+    if coarse is base and base_ms == coarse_ms:  # every bar has just closed itself
+        return base.withColumns({f"{c}_1h": F.col(c) for c in COARSE})
     return asof_merge(base, coarse, COARSE, "_1h", base_ms, coarse_ms)
 
 
