@@ -398,3 +398,93 @@ def test_parts_by_sql(spark, name):
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(found.fetchall(), key=repr) == sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)
+
+
+# ---- more of the earlier operators against brute force ----
+
+
+def plain_toxic_features(text):
+    """Words and their beginnings of 4 to 6 bytes, with marks of what they are."""
+    low = text.lower().encode()
+    words = re.split(rb"[\x00-\x08]{0}[ \t\n\x0b\x0c\r!-/:-@\[-`{-~]+", low)
+    out = set()
+    for w in filter(None, words):
+        out.add((0, w))
+        out |= {(k, w[:k]) for k in (4, 5, 6) if len(w) > k}
+    return out
+
+
+def toxic_hash(feature):
+    from tickloom.llm import toxicity
+
+    kind, w = feature
+    word = w if kind == 0 else w + b"x"
+    data = np.frombuffer(word, np.uint8)
+    hashes, _ = toxicity.features(data, np.array([0, len(word)]))
+    return int(hashes[0 if kind == 0 else 1 + [k for k in (4, 5, 6) if len(word) > k].index(kind)])
+
+
+def test_toxicity_by_brute_force(spark):
+    from tickloom.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.withColumn("text", labels["doc_id"].cast("string")))  # a clashing column
+    toxic = {r["doc_id"]: bool(r["toxic"]) for r in labels.collect()}
+    texts = {(r["text"], toxic[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in toxic and r["text"] is not None}
+    bad, good = sum(t for _, t in texts), sum(not t for _, t in texts)
+    assert bad and good and len(texts) <= 2 * toxicity.MAX_PER_CLASS
+    t, c = Counter(), Counter()
+    for text, is_bad in texts:
+        (t if is_bad else c).update(plain_toxic_features(text))
+    scored = []
+    for f in t:
+        share = (t[f] + c[f]) / (bad + good)
+        if t[f] >= toxicity.LEAST_TEXTS and share < 1:
+            z = (t[f] / bad - c[f] / good) / (share * (1 - share) * (1 / bad + 1 / good)) ** 0.5
+            if z >= toxicity.LEAST_Z:
+                scored.append((z, f))
+    assert len(scored) <= toxicity.MAX_FEATURES
+    chosen = {f for z, f in scored if z >= toxicity.LEAST_PART * max(scored)[0]}
+    by_hash = {toxic_hash(f): f for f in chosen}
+    assert sorted(by_hash) == sorted(int(k) for k in model.keys)
+    weight = {by_hash[int(k)]: w for k, w in zip(model.keys, model.weights)}
+    got = {r["doc_id"]: r for r in docs.select("doc_id", toxicity.scorer(spark, model)("text").alias("s")).select("doc_id", "s.*").collect()}
+    for r in docs.collect():
+        score = sum(weight[f] for f in plain_toxic_features(r["text"] or "") & weight.keys())
+        above = [1 / (1 + np.exp(-(score - x))) for x in model.thresholds]
+        own = got[r["doc_id"]]
+        assert own["severity"] == pytest.approx(sum(above), abs=1e-9) and own["toxic"] == (above[0] >= toxicity.THRESHOLD) and own["grade"] == sum(x >= toxicity.THRESHOLD for x in above)
+
+
+def test_grades_rise_with_evidence(spark):
+    """Of documents with more of the words that speak for toxicity the expected severity is never lower."""
+    from tickloom.llm import toxicity
+
+    model = toxicity.fit(*(spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels")))
+    assert (np.diff(model.thresholds) > 0).all()
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select(toxicity.scorer(spark, model)("text").alias("s")).select("s.*").orderBy("severity").collect()
+    assert all(a["grade"] <= b["grade"] and a["toxic"] <= b["toxic"] for a, b in zip(rows, rows[1:]))
+
+
+def test_fingerprints_of_null_ids_and_repeated_rows(spark, tmp_path):
+    from tickloom.llm import simhash
+
+    rows = [(None, "a b c d e", "x"), (None, "a b c d e", "x"), (None, "", "x"), (7, None, "x"), (7, "a b c d e", "x"), (3, "a b c d e", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.op6(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, 3), (None, 3), (None, 7), (7, 7), (7, 3), (3, 3)], key=repr)
+
+
+def test_edits_of_equal_and_null_ids(spark, tmp_path):
+    """Rows of one id follow each other, and each has a text of the id or the one after as its next."""
+    from tickloom.llm import phrase_print
+
+    rows = [(5, f"text number {k} " * (k + 1)) for k in range(40)] + [(2, "the text below, which is longer than others are"), (None, "none of these")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = phrase_print.op3(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t)) for i, t in rows)
+    texts = [t for i, t in rows if i is not None]
+    for r in got:
+        if r["doc_id"] == 5:
+            own = [t for t in texts if len(t) == r["n_chars"]]
+            assert any(hashlib.sha256(phrase_print.edited(t, f).encode()).hexdigest() == r["edited_sha256"] for t in own for f in texts)
