@@ -634,3 +634,28 @@ def test_streams_of_all_levels_equal_the_batch(spark, tmp_path):
     assert {k: v for k, v in got.items() if k[0] != "z"}.keys() == want.keys() and len({k[1] for k in want}) == 14
     for k, v in want.items():
         assert got[k][:4] == v[:4] and (got[k][4] == v[4] or got[k][4] == pytest.approx(v[4])), (k, got[k], v)
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 20])
+@pytest.mark.parametrize("zeros", [False, True])
+def test_rows_of_runs_cut_in_time(spark, monkeypatch, stretch, zeros):
+    """Each bar's position, value, peak and return are those of the row layout, however series are cut."""
+    from tickloom.operators import split_sweep
+
+    monkeypatch.setattr(split_sweep, "STRETCH", stretch)
+    n, d = 60, None
+    for no, name in enumerate(("A-B", "C-D")):
+        closes = walk(n, no + 3)
+        closes[5:12] = closes[5:6] * len(closes[5:12])
+        opens = [round(c * (1 + (k % 5 - 2) / 300), 2) for k, c in enumerate(closes)]
+        if zeros:
+            closes[20 + no] = closes[41] = 0.0
+        times = [3_600_000 * (k + (k > 25) * 7 * no) for k in range(n)]
+        one = series(spark, closes, opens, times, symbol=name)
+        d = one if d is None else d.unionByName(one)
+    for strategy in (bt.DoubleEma(pairs=[(3, 8), (2, 5), (4, 9)]), bt.SingleEma(2, 4)):
+        keys = ("symbol", *strategy.params, "time")
+        whole, parts = ({tuple(r[c] for c in keys): r for r in x.collect()} for x in (bt.runs(d, strategy, 0.0015, 1000.0), split_sweep.split_runs(d, strategy, "1h", 0.0015, 1000.0)))
+        assert whole.keys() == parts.keys()
+        for k, r in whole.items():
+            assert r["held"] == parts[k]["held"] and all((r[c] is None) == (parts[k][c] is None) and (r[c] is None or same(r[c], parts[k][c])) for c in ("value", "peak", "ret")), (k, r, parts[k])

@@ -215,7 +215,7 @@ def cast_prices(candles: DataFrame, precision: str) -> DataFrame:
 
 
 def runs(candles: DataFrame, strategy: Strategy, fee: float, capital: float) -> DataFrame:
-    """Every bar of every run: position, factor, value, peak and return."""
+    """Every bar of every run: position, factor, value, peak and return. ``split_sweep.split_runs`` has them for series cut in time."""
     keys = [*SERIES, *strategy.params]
     d = strategy.indicators(candles)
     return equity(growth(positions(d, strategy.signal(), keys), fee, keys), capital, keys)

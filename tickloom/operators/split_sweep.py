@@ -1,17 +1,22 @@
-"""Sweeps over series that are too long for one task: runs are scored by stretches of time and put together.
+"""Sweeps and runs over series that are too long for one task: runs are scored by stretches of time and put together.
 
 A series is cut into stretches of about ``scan.STRETCH`` bars. An average over a stretch goes on linearly from its value before, so
 a first pass reduces each stretch to what its bars add to each average, and the averages with which it begins follow in
 order, a row for each stretch. A second pass goes through each stretch from there, with the two bars before it, and gives a summary of
 each run: what its value is multiplied by, its top, bottom and deepest fall, and the sums of its returns, all relative to how the stretch
 begins. Whether a run holds then is what its averages say of the bars before; if those hold (equal averages, warm-up), the summary is
-made for both. Summaries of a run are put together in order. Results are those of ``backtest.array_scores``.
+made for both. Summaries of a run are put together in order. Results are those of ``backtest.array_scores``; ``split_runs`` goes through
+the stretches once more, from the value, peak and position with which each begins, and gives the bars of ``backtest.runs``.
 
 A task holds one stretch and the averages, or the summaries of ``PAIRS`` runs of one series.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +55,21 @@ class Stretch:
         change[before == 0] = self.leave[before == 0] = 0.0
         self.sums = [np.concatenate([[0.0], np.cumsum(change**k)]) for k in (1, 2)]
 
+    def values(self, follow: np.ndarray, value: float, ended: int) -> np.ndarray:
+        """The value at the last bar before the stretch and at each of its bars; value is the logarithm that the run begins with (of an open trade: less the close's)."""
+        n = self.n
+        held = np.concatenate([follow[:1], follow[:-1]])[1:]  # from the last bar before the stretch on
+        if ended:
+            return np.full(n - 1, 0.0 if ended == 1 else np.inf)
+        entered = np.flatnonzero(held[1:] & ~held[:-1]) + 2
+        left = np.flatnonzero(~held[1:] & held[:-1]) + 2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            steps = np.zeros(n)
+            steps[entered] = self.fee - self.open[entered]
+            steps[left] = self.open[left] + self.fee
+            base = value + np.cumsum(steps)[1:]
+            return np.exp(base + np.where(held, self.close[1:], 0.0))
+
     def summary(self, follow: np.ndarray) -> list[float]:
         """FIELDS of a run that follows each bar's signal one bar later; a trade may be open before the stretch."""
         n, ended, bars = self.n, 0, self.n
@@ -103,22 +123,55 @@ class Stretch:
         return [ended, last, before_last, total, top, bottom, fall, float(one), float(two), count]
 
 
-def split_scores(candles: DataFrame, strategy, level: str, fee: float, capital: float) -> DataFrame:
-    """backtest.array_scores of series that are dealt by stretches of time."""
-    tiles, per_year, params = strategy.tiles(), periods_per_year(level), list(strategy.params)
+@dataclass
+class Cut:
+    """Series of a level cut into stretches, for a strategy: the tables that the passes share, and what they know of it."""
+
+    strategy: object
+    tiles: list
+    periods: list[int]
+    fee: float
+    #: a row for each stretch with its opens and closes and what it begins with
+    stretches: DataFrame
+    summaries: DataFrame
+
+    def follows(self, open_: np.ndarray, close: np.ndarray, begin: np.ndarray, tile: list) -> tuple[Stretch, np.ndarray, int, Iterator]:
+        """(the stretch with two bars in front, its closes, bars before it, for each run of the tile: what it follows, and whether what it follows two bars before isn't known)."""
+        k, seen = len(self.periods), int(begin[0])
+        close = np.concatenate([begin[[2, 1]], close])
+        own = Stretch(np.concatenate([[1.0, 1.0], open_]), close, self.fee, seen == 0)
+        place = np.arange(seen - 1, seen + len(close) - 1)  # the number of each bar in its series, from 1
+        states = begin[3 : 3 + k], begin[3 + k :]
+        at = {p: j for j, p in enumerate(self.periods)}
+        needed = sorted({p for pair in tile for p in pair})
+        made = averages(close[2:], needed, states[0][[at[p] for p in needed]])
+        made = {p: np.where(place >= max(1, p), np.concatenate([[states[1][at[p]], states[0][at[p]]], v]), np.nan) for p, v in made.items()}
+
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+            for pair in tile:
+                above, equal = self.strategy.compare(close, made, pair)
+                holds = equal | np.logical_or.reduce([np.isnan(made[p]) for p in pair])
+                last = np.maximum.accumulate(np.where(holds, -1, np.arange(len(above))))
+                yield (last >= 0) & above[last], last < 0, bool(holds[0] and seen > 0)
+
+        return own, close, seen, each()
+
+
+def doubles(x: pa.Array, k: int) -> np.ndarray:
+    return x[k].values.to_numpy(zero_copy_only=False)
+
+
+def cut_in_time(candles: DataFrame, strategy, level: str, fee: float) -> Cut:
+    tiles = strategy.tiles()
     periods = sorted({p for tile in tiles for pair in tile for p in pair})
-    at = {p: k for k, p in enumerate(periods)}
     decay = np.array([1 - 2 / (p + 1) for p in periods])
     span = ({x[0]: x[1] for x in LEVELS}[level] or 30 * 86_400_000) * STRETCH
     bars = F.sort_array(F.collect_list(F.struct("time", "open", "close")))  # a stretch's
     cut = candles.where(F.col("level") == level).groupBy(*SERIES, F.floor(F.col("time") / span).alias("stretch")).agg(bars.alias("b"))
-    cut = cut.select(*SERIES, "stretch", F.col("b.open").alias("open"), F.col("b.close").alias("close"))
+    cut = cut.select(*SERIES, "stretch", F.col("b.time").alias("time"), F.col("b.open").alias("open"), F.col("b.close").alias("close"))
     names = "symbol string, level string"
     per_stretch = len(periods)
 
-    def doubles(x: pa.Array, k: int) -> np.ndarray:
-        return x[k].values.to_numpy(zero_copy_only=False)
-
     def reduced(batches):
         for batch in batches:
             rows = []
@@ -148,29 +201,15 @@ def split_scores(candles: DataFrame, strategy, level: str, fee: float, capital:
     def summarised(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                begin = doubles(batch["begin"], k)
-                seen, tile_from = int(begin[0]), batch["tile_from"][k].as_py()
-                close = np.concatenate([begin[[2, 1]], doubles(batch["close"], k)])
-                opens = np.concatenate([[1.0, 1.0], doubles(batch["open"], k)])
-                own = Stretch(opens, close, fee, seen == 0)
-                place = np.arange(seen - 1, seen + len(close) - 1)  # the number of each bar in its series, from 1
-                states = begin[3 : 3 + per_stretch], begin[3 + per_stretch :]
+                tile_from = batch["tile_from"][k].as_py()
                 for number in range(tile_from, min(len(tiles), tile_from + TILES)):
-                    tile = tiles[number]
-                    needed = sorted({p for pair in tile for p in pair})
-                    index = [at[p] for p in needed]
-                    made = averages(close[2:], needed, states[0][index])
-                    made = {p: np.where(place >= max(1, p), np.concatenate([[states[1][at[p]], states[0][at[p]]], v]), np.nan) for p, v in made.items()}
-                    for a in range(0, len(tile), PAIRS):
+                    own, close, _, follows = found_cut.follows(doubles(batch["open"], k), doubles(batch["close"], k), doubles(batch["begin"], k), tiles[number])
+                    for a in range(0, len(tiles[number]), PAIRS):
                         found, other, which = [], [], []
-                        for j, pair in enumerate(tile[a : a + PAIRS]):
-                            above, equal = strategy.compare(close, made, pair)
-                            holds = equal | ~known(made, pair)
-                            last = np.maximum.accumulate(np.where(holds, -1, np.arange(len(above))))
-                            follow = (last >= 0) & above[last]
+                        for j, (follow, open_, unknown) in enumerate(islice(follows, PAIRS)):
                             found.append(own.summary(follow))
-                            if holds[0] and seen > 0:  # what is followed two bars before the stretch may be either
-                                other.append(own.summary(follow | (last < 0)))
+                            if unknown:  # what is followed two bars before the stretch may be either
+                                other.append(own.summary(follow | open_))
                                 which.append(j)
                         yield pa.RecordBatch.from_arrays(
                             [batch["symbol"].slice(k, 1), batch["level"].slice(k, 1), batch["stretch"].slice(k, 1), pa.array([number], pa.int32()), pa.array([a], pa.int32()), pa.array([len(close) - 2], pa.int64()), pa.array([close[-1]], pa.float64())]
@@ -178,37 +217,101 @@ def split_scores(candles: DataFrame, strategy, level: str, fee: float, capital:
                             names=[*SERIES, "stretch", "tile", "from", "n", "last_close", "found", "other", "which"],
                         )
 
+    found_cut = Cut(strategy, tiles, periods, fee, None, None)
+    begins = cut.mapInArrow(reduced, f"{names}, stretch long, held array<double>").groupBy(*SERIES).applyInArrow(carried, f"{names}, stretch long, begin array<double>")
+    stretches = cut.join(begins, [*SERIES, "stretch"])
+    dealt = stretches.drop("time").withColumn("tile_from", F.explode(F.sequence(F.lit(0), F.lit(len(tiles) - 1), F.lit(TILES)))).repartition(*SERIES, "stretch", "tile_from")
+    summaries = dealt.mapInArrow(summarised, f"{names}, stretch long, tile int, `from` int, n long, last_close double, found array<double>, other array<double>, which array<double>")
+    return Cut(strategy, tiles, periods, fee, stretches, summaries)
+
+
+@dataclass
+class Runs:
+    """Runs of one series while their stretches are put together: logarithms of value (of a trade that is open: less the close's), peak and deepest fall, sums and number of returns."""
+
+    n: int
+
+    def __post_init__(self):
+        self.value, self.peak, self.fall, self.one, self.two, self.count, self.ended, self.held = (np.zeros(self.n) for _ in range(8))
+
+    def add(self, found: pa.ListScalar, other: pa.ListScalar, which: pa.ListScalar) -> None:
+        own = found.values.to_numpy().reshape(self.n, len(FIELDS)).copy()
+        rest, where = other.values.to_numpy().reshape(-1, len(FIELDS)), which.values.to_numpy().astype(int)
+        longer = self.held[where] == 1
+        own[where[longer]] = rest[longer]
+        own = dict(zip(FIELDS, own.T, strict=True))
+        on = self.ended == 0
+        with np.errstate(invalid="ignore"):
+            self.fall = np.where(on, np.maximum.reduce([self.fall, own["fall"], self.peak - self.value - own["low"]]), self.fall)
+            self.peak = np.where(on, np.maximum(self.peak, self.value + own["top"]), self.peak)
+        self.value, self.one, self.two, self.count = (np.where(on, x + own[c], x) for x, c in ((self.value, "change"), (self.one, "one"), (self.two, "two"), (self.count, "count")))
+        self.ended, self.held = np.where(on, own["ended"], self.ended), own["before_last"]
+
+
+def in_order(rows: pa.Table) -> pa.Table:
+    return rows.take(pa.array(np.argsort(rows["stretch"].to_numpy(), kind="stable")))
+
+
+def split_scores(candles: DataFrame, strategy, level: str, fee: float, capital: float) -> DataFrame:
+    """backtest.array_scores of series that are dealt by stretches of time."""
+    per_year, params = periods_per_year(level), list(strategy.params)
+    cut = cut_in_time(candles, strategy, level, fee)
+    tiles = cut.tiles
+
     def put_together(rows: pa.Table) -> pa.Table:
-        rows = rows.take(pa.array(np.argsort(rows["stretch"].to_numpy(), kind="stable")))
+        rows = in_order(rows)
         tile = tiles[rows["tile"][0].as_py()][rows["from"][0].as_py() :][:PAIRS]
-        n = len(tile)
-        value, peak, fall, one, two, count, ended, held, bars = (np.zeros(n) for _ in range(9))
-        for found, other, which, size in zip(*(rows[c] for c in ("found", "other", "which", "n")), strict=True):
-            own = found.values.to_numpy().reshape(n, len(FIELDS)).copy()
-            rest, where = other.values.to_numpy().reshape(-1, len(FIELDS)), which.values.to_numpy().astype(int)
-            longer = held[where] == 1
-            own[where[longer]] = rest[longer]
-            own = dict(zip(FIELDS, own.T, strict=True))
-            on = ended == 0
-            with np.errstate(invalid="ignore"):
-                fall = np.where(on, np.maximum.reduce([fall, own["fall"], peak - value - own["low"]]), fall)
-                peak = np.where(on, np.maximum(peak, value + own["top"]), peak)
-            value, one, two, count = (np.where(on, x + own[c], x) for x, c in ((value, "change"), (one, "one"), (two, "two"), (count, "count")))
-            ended, held = np.where(on, own["ended"], ended), own["before_last"]
-            bars += size.as_py()
+        n, runs = len(tile), Runs(len(tile))
+        for summary in zip(*(rows[c] for c in ("found", "other", "which")), strict=True):
+            runs.add(*summary)
+        one, two, count = runs.one, runs.two, runs.count
         with np.errstate(divide="ignore", invalid="ignore"):
             last = np.log(rows["last_close"].to_numpy()[-1])
-            final = np.select([ended == 1, ended == 2], [0.0, np.inf], capital * np.exp(value + np.where(held == 1, last, 0.0)))
+            final = np.select([runs.ended == 1, runs.ended == 2], [0.0, np.inf], capital * np.exp(runs.value + np.where(runs.held == 1, last, 0.0)))
             mean = one / count
             sd = np.sqrt(np.maximum(0.0, (two - count * mean * mean) / (count - 1)))
-            sharpe = np.where((count > 1) & (sd > 1e-15) & (ended != 2) & (per_year > 0), mean / sd * np.sqrt(per_year), 0.0)
+            sharpe = np.where((count > 1) & (sd > 1e-15) & (runs.ended != 2) & (per_year > 0), mean / sd * np.sqrt(per_year), 0.0)
         fixed = {c: [rows[c][0].as_py()] * n for c in SERIES}
-        return pa.table({**fixed, **{c: pa.array(x, pa.int32()) for c, x in zip(params, zip(*tile, strict=True), strict=True)}, "final_value": final, "max_dd": -np.expm1(-fall) * 100, "sharpe": sharpe, "bars": pa.array(bars.astype(int), pa.int64())})
+        bars = pa.array([sum(rows["n"].to_pylist())] * n, pa.int64())
+        return pa.table({**fixed, **{c: pa.array(x, pa.int32()) for c, x in zip(params, zip(*tile, strict=True), strict=True)}, "final_value": final, "max_dd": -np.expm1(-runs.fall) * 100, "sharpe": sharpe, "bars": bars})
 
-    def known(made: dict[int, np.ndarray], pair: tuple[int, ...]) -> np.ndarray:
-        return ~np.logical_or.reduce([np.isnan(made[p]) for p in pair])
+    return cut.summaries.groupBy(*SERIES, "tile", "from").applyInArrow(put_together, f"symbol string, level string, {', '.join(f'{p} int' for p in params)}, final_value double, max_dd double, sharpe double, bars long")
 
-    begins = cut.mapInArrow(reduced, f"{names}, stretch long, held array<double>").groupBy(*SERIES).applyInArrow(carried, f"{names}, stretch long, begin array<double>")
-    dealt = cut.join(begins, [*SERIES, "stretch"]).withColumn("tile_from", F.explode(F.sequence(F.lit(0), F.lit(len(tiles) - 1), F.lit(TILES)))).repartition(*SERIES, "stretch", "tile_from")
-    summaries = dealt.mapInArrow(summarised, f"{names}, stretch long, tile int, `from` int, n long, last_close double, found array<double>, other array<double>, which array<double>")
-    return summaries.groupBy(*SERIES, "tile", "from").applyInArrow(put_together, f"{names}, {', '.join(f'{p} int' for p in params)}, final_value double, max_dd double, sharpe double, bars long")
+
+def split_runs(candles: DataFrame, strategy, level: str, fee: float, capital: float) -> DataFrame:
+    """Every bar of every run, as backtest.runs has them, of series that are dealt by stretches of time: position, value, peak and return."""
+    params = list(strategy.params)
+    cut = cut_in_time(candles, strategy, level, fee)
+    alone, tiles = Cut(strategy, cut.tiles, cut.periods, fee, None, None), cut.tiles
+
+    def begun(rows: pa.Table) -> pa.Table:
+        """What each stretch's runs begin with: value, peak, whether something is held, how they ended."""
+        rows = in_order(rows)
+        runs, states = Runs(len(tiles[rows["tile"][0].as_py()][rows["from"][0].as_py() :][:PAIRS])), []
+        for summary in zip(*(rows[c] for c in ("found", "other", "which")), strict=True):
+            states.append(np.concatenate([runs.value, runs.peak, runs.held, runs.ended]).tolist())
+            runs.add(*summary)
+        return pa.table({**{c: rows[c] for c in (*SERIES, "stretch", "tile", "from")}, "state": pa.array(states, pa.list_(pa.float64()))})
+
+    def gone_through(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = tiles[batch["tile"][k].as_py()][batch["from"][k].as_py() :][:PAIRS]
+                own, close, seen, follows = alone.follows(doubles(batch["open"], k), doubles(batch["close"], k), doubles(batch["begin"], k), tile)
+                states = doubles(batch["state"], k).reshape(4, len(tile))
+                for pair, (follow, open_, unknown), (value, peak, held, ended) in zip(tile, follows, states.T, strict=True):
+                    follow = follow | open_ if unknown and held else follow
+                    values = capital * own.values(follow, value, int(ended))
+                    peaks = np.fmax.accumulate(np.concatenate([[capital * np.exp(peak)], values[1:]]))[1:]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        returns = np.where(values[:-1] > 0, values[1:] / values[:-1] - 1, np.nan)
+                    if seen == 0:
+                        returns[0] = np.nan
+                    n = len(close) - 2
+                    fixed = [pa.array([batch[c][k].as_py()] * n, pa.string()) for c in SERIES] + [pa.array([p] * n, pa.int32()) for p in pair]
+                    rows = [batch["time"][k].values, pa.array(doubles(batch["open"], k)), pa.array(close[2:]), pa.array(follow[1:-1].astype(np.int32)), pa.array(values[1:]), pa.array(peaks)]
+                    yield pa.RecordBatch.from_arrays([*fixed, *rows, pa.array(returns, mask=~(values[:-1] > 0) | (np.arange(n) == 0) & (seen == 0))], names=[*SERIES, *params, "time", "open", "close", "held", "value", "peak", "ret"])
+
+    states = cut.summaries.groupBy(*SERIES, "tile", "from").applyInArrow(begun, "symbol string, level string, stretch long, tile int, `from` int, state array<double>")
+    dealt = cut.stretches.join(states, [*SERIES, "stretch"])
+    return dealt.mapInArrow(gone_through, f"symbol string, level string, {', '.join(f'{p} int' for p in params)}, time long, open double, close double, held int, value double, peak double, ret double")
