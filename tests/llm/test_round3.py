@@ -488,3 +488,15 @@ def test_edits_of_equal_and_null_ids(spark, tmp_path):
         if r["doc_id"] == 5:
             own = [t for t in texts if len(t) == r["n_chars"]]
             assert any(hashlib.sha256(phrase_print.edited(t, f).encode()).hexdigest() == r["edited_sha256"] for t in own for f in texts)
+
+
+def test_hot_words_get_their_counts(spark, monkeypatch):
+    from tickloom.llm import lm_score
+
+    rng = np.random.default_rng(2)
+    for hot in (1000, 5):
+        monkeypatch.setattr(lm_score, "HOT", hot)
+        tail = [(int(r), 7 if k % 3 else int(h)) for k, (r, h) in enumerate(zip(rng.integers(0, 50, 900), rng.integers(0, 40, 900)))]
+        counts = {h: h * 10 for h in range(0, 40, 2)} | ({7: 70} if hot == 5 else {})
+        got = lm_score.with_counts(spark.createDataFrame(tail, "row long, h long"), spark.createDataFrame(list(counts.items()), "h long, n long"), len(tail)).collect()
+        assert Counter((r["row"], r["h"], r["n"]) for r in got) == Counter((r, h, counts.get(h)) for r, h in tail)

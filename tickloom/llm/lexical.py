@@ -34,7 +34,7 @@ from tickloom.llm.common import CHUNK_BYTES, LOWER, Lookup, Words, forget, piece
 #: Coordinates of a sketch, and the frequency that stands for itself and all above.
 COORDINATES, MOST_TF = 1 << 16, (1 << 16) - 1
 #: Documents of a list, items (about) and bytes of items looked up at once, candidates that are broadcast, bytes of a part of a long text.
-K, BLOCK, BLOCK_BYTES, MOST_BROADCAST, PART = 50, 256, 4 << 20, 1 << 20, 4 << 20
+K, BLOCK, BLOCK_BYTES, MOST_BROADCAST, PART = 50, 1024, 8 << 20, 1 << 20, 4 << 20
 
 #: Terms are runs of ASCII letters and digits and of all bytes of characters beyond ASCII.
 _cut = np.ones(256, bool)

@@ -310,6 +310,18 @@ def score_part(shared):
     return run
 
 
+#: A word of over 1 / HOT of the words to look up, and of HOT at least, is hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def with_counts(tail: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """tail (row, h) with the words' counts n of table (h, n), null without one; hot words get theirs by broadcast, so none brings its rows together."""
+    words = tail.groupBy("h").agg(F.count("*").alias("times")).join(table.select("h", "n"), "h", "left")
+    is_hot = F.col("times") > max(HOT, total / HOT)
+    hot = F.broadcast(words.where(is_hot).select("h", "n"))
+    return tail.join(hot, "h").unionByName(tail.join(hot.select("h"), "h", "left_anti").join(words.where(~is_hot).select("h", "n"), "h"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, held_out, text)."""
     counts, vectors = model.counts, len(model.p)
@@ -317,7 +329,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(score_part(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<long>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "scored")  # the row numbers stay as written
     tail = rows.select("row", F.explode("tail").alias("h"))
-    found = tail.join(counts.table, "h", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)).alias("logs"), F.count("n").alias("known"))
+    found = with_counts(tail, counts.table, rows.agg(F.sum(F.size("tail"))).first()[0] or 0).groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)).alias("logs"), F.count("n").alias("known"))
     logs = F.coalesce("logs", F.lit(0.0))
     return rows.drop("tail").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
