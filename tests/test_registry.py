@@ -7,7 +7,7 @@ import __spark_entry__
 from tickloom.plans import registry
 
 TINY = "/root/testdata/sf0.001"
-CHECKED = ["candles_hourly", "rollup_4h", "normalize_report", "interval_check", "freshness_plan", "parse_klines", "ema_grid", "bollinger", "rsi", "pmax", "asof_merge", "backtest", "trades", "daily_equity", "daily_sharpe", "loss_score", "sweep_top3", "trailing_stop"]
+CHECKED = ["candles_hourly", "rollup_4h", "normalize_report", "interval_check", "freshness_plan", "parse_klines", "ema_grid", "bollinger", "rsi", "pmax", "asof_merge", "backtest", "trades", "daily_equity", "daily_sharpe", "loss_score", "sweep_top3", "sweep_15m", "cci_family", "rmi_family", "keltner_gap", "open_close_range", "trailing_stop"]
 
 
 @pytest.fixture(scope="module")

@@ -199,7 +199,7 @@ SPLIT_BYTES, STRETCH = 1 << 30, 1 << 16
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's estimate of the sizes of the tables that df reads; those of which it knows nothing count as empty."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     return sum(n for n in sizes if n < (1 << 63) - 1)
 
