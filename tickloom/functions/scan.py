@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators.build import LEVELS
+
 #: Bars of a chunk: the powers of q over it stay within double precision's range.
 CHUNK = 128
 
@@ -272,8 +274,6 @@ def warmed_at(steps: list[Step], x: dict[str, np.ndarray], n: int) -> int:
 
 def _split(rest: DataFrame, keys: list[str], steps: list[Step], sources: list[str], schema: T.StructType) -> DataFrame:
     """recurrences of series that are dealt by stretches of time."""
-    from tickloom.operators.build import LEVELS  # the package's other direction
-
     length = F.create_map(*[F.lit(v) for name, ms, _ in LEVELS for v in (name, ms or 30 * 86_400_000)])
     stretch = F.floor(F.col("time") / (F.coalesce(F.try_element_at(length, F.col("level")), F.lit(86_400_000)) * STRETCH))
     rows = rest.withColumn("_stretch", stretch)

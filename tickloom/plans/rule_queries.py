@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import backtest as bt
 from tickloom.operators import build, rules
-from tickloom.operators import rule_trades as rule_trade
 from tickloom.operators import trades as tr
+from tickloom.operators.rule_trades import rule_trades as trades_of_rules
 from tickloom.plans import registry as reg
 from tickloom.plans.registry import BARS, HOUR, HOURLY, full, query
 
@@ -240,7 +240,7 @@ def calm(spark, sf_dir) -> DataFrame:
 
 
 def of_rules(spark, sf_dir) -> DataFrame:
-    return rule_trade.rule_trades(tagged_of(calm(spark, sf_dir)), reg.FEE, 100.0)
+    return trades_of_rules(tagged_of(calm(spark, sf_dir)), reg.FEE, 100.0)
 
 
 @query("rule_trades", calmed(f"{_TAGGED}, {_RULE_TRADES} SELECT symbol, trade_id, open_time, close_time, round(open_rate, 4) AS open_rate, round(close_rate, 4) AS close_rate, buy_tag, exit_reason, round(profit_ratio, 4) AS profit_ratio FROM rt"), 4)
