@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,9 +30,9 @@ LONG_BARS, LONG_MOST = 187_000, 100
 def long_sweep(spark: SparkSession):
     """All pairs of averages from 5 to LONG_MOST over one long series."""
     k = F.col("id")
-    noise = F.pmod(F.xxhash64("id"), F.lit(2001)) / 1000.0 - 1.0
-    close = 100 + 20 * F.sin(k / 3000.0) + 5 * F.sin(k / 73.0) + noise
-    bars = spark.range(LONG_BARS).select(F.lit("A-B").alias("symbol"), F.lit("15m").alias("level"), (k * 900_000).alias("time"), (close + 0.1 * noise).alias("open"), close.alias("close"))
+    step = (F.pmod(F.xxhash64("id"), F.lit(2001)) / 1000.0 - 1.0) * 0.007
+    walk = F.sum(step).over(Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, 0))  # one series
+    bars = spark.range(LONG_BARS).select(F.lit("A-B").alias("symbol"), F.lit("15m").alias("level"), (k * 900_000).alias("time"), (100 * F.exp(walk) * (1 + step / 10)).alias("open"), (100 * F.exp(walk)).alias("close"))
     return bt.backtest(bars, bt.DoubleEma(5, 6, LONG_MOST), "15m")
 
 
