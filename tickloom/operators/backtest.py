@@ -12,7 +12,8 @@ sum of logarithms. Warm-up values are null, so comparisons with them hold.
 
 Prices may be 0: a bar's value is then 0, the return of the bar after a value of 0 isn't counted, a sale at 0 leaves
 nothing for the rest of the run, and a purchase at 0 buys without limit, so that the final value is infinite and the
-Sharpe ratio 0; such runs rank by their ratio like all others. Negative prices aren't prices.
+Sharpe ratio 0; such runs rank by their ratio like all others. Negative prices aren't prices. ``after_loss`` has the returns
+of the positions after a sale at 0 counted as well, by their prices; value and drawdown stay.
 """
 
 from __future__ import annotations
@@ -182,8 +183,8 @@ def growth(df: DataFrame, fee: float, keys: list[str], order: str = "time") -> D
     return df.withColumn("factor", factor).withColumn("kept", kept)
 
 
-def equity(df: DataFrame, capital: float, keys: list[str], order: str = "time") -> DataFrame:
-    """df (held, kept) with ``value``, its running peak, and the return of each bar but the first and those after a value of 0."""
+def equity(df: DataFrame, capital: float, keys: list[str], order: str = "time", after_loss: bool = False) -> DataFrame:
+    """df (held, kept) with ``value``, its running peak, and the return of each bar but the first and those after a value of 0; after_loss: after a sale at 0 the factor less one."""
     ordered = Window.partitionBy(*keys).orderBy(order)
     w = ordered.rowsBetween(Window.unboundedPreceding, 0)
     sold = F.when(F.col("held") == 0, F.col("kept"))
@@ -192,7 +193,8 @@ def equity(df: DataFrame, capital: float, keys: list[str], order: str = "time")
     d = df.withColumn("value", cash * F.when(F.col("held") == 1, F.col("kept")).otherwise(1.0))
     before = F.lag("value").over(ordered)
     d = d.withColumn("peak", F.max(F.when(~F.isnan("value"), F.col("value"))).over(w))
-    return d.withColumn("ret", F.when(before > 0, F.try_divide(F.col("value"), before) - 1)).drop("kept")
+    ret = F.when(before > 0, F.try_divide(F.col("value"), before) - 1)
+    return d.withColumn("ret", F.coalesce(ret, F.when(gone, F.col("factor") - 1)) if after_loss else ret).drop("kept")
 
 
 def max_drawdown(value: str = "value", peak: str = "peak") -> Column:
@@ -214,15 +216,15 @@ def cast_prices(candles: DataFrame, precision: str) -> DataFrame:
     return candles.withColumns({c: F.col(c).cast(kind).cast("double") for c in ("open", "high", "low", "close")})
 
 
-def runs(candles: DataFrame, strategy: Strategy, fee: float, capital: float) -> DataFrame:
+def runs(candles: DataFrame, strategy: Strategy, fee: float, capital: float, after_loss: bool = False) -> DataFrame:
     """Every bar of every run: position, factor, value, peak and return. ``split_sweep.split_runs`` has them for series cut in time."""
     keys = [*SERIES, *strategy.params]
     d = strategy.indicators(candles)
-    return equity(growth(positions(d, strategy.signal(), keys), fee, keys), capital, keys)
+    return equity(growth(positions(d, strategy.signal(), keys), fee, keys), capital, keys, after_loss=after_loss)
 
 
-def relational_scores(candles: DataFrame, strategy: Strategy, level: str, fee: float, capital: float) -> DataFrame:
-    d = runs(candles.where(F.col("level") == level), strategy, fee, capital)
+def relational_scores(candles: DataFrame, strategy: Strategy, level: str, fee: float, capital: float, after_loss: bool = False) -> DataFrame:
+    d = runs(candles.where(F.col("level") == level), strategy, fee, capital, after_loss)
     return d.groupBy(*SERIES, *strategy.params).agg(F.max_by("value", "time").alias("final_value"), max_drawdown().alias("max_dd"), sharpe("ret", periods_per_year(level)).alias("sharpe"), F.count("*").alias("bars"))
 
 
@@ -232,8 +234,8 @@ class Scorer:
     Between an entry and an exit the value goes with the close, so sums of returns and of their squares are differences of prefix sums,
     and the value's extremes are those of the close. A fall within one trade is followed bar by bar only where the trade's range exceeds the deepest fall found."""
 
-    def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, capital: float, per_year: int):
-        self.n, self.capital, self.per_year, self.fee = len(closes), capital, per_year, float(np.log1p(-fee))
+    def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, capital: float, per_year: int, after_loss: bool = False):
+        self.n, self.capital, self.per_year, self.fee, self.after_loss = len(closes), capital, per_year, float(np.log1p(-fee)), after_loss
         before = np.concatenate([closes[:1], closes[:-1]])
         self.zeros = bool((closes == 0).any() or (opens == 0).any())
         self.free = opens == 0
@@ -252,6 +254,7 @@ class Scorer:
         if n > 1 and follow[0]:
             change = np.concatenate([[1], change])
         into, out, bars, without_limit = change[::2], change[1::2], n, False
+        counted = None  # trades whose returns count
         if self.zeros:
             # a purchase or a sale at 0 ends what there is to follow
             bought = np.flatnonzero(self.free[into])[:1]
@@ -259,14 +262,19 @@ class Scorer:
             if len(bought) and (not len(sold) or bought[0] <= sold[0]):
                 into, out, without_limit = into[: bought[0]], out[: bought[0]], True
             elif len(sold):
+                if self.after_loss:
+                    counted = into, out
                 into, out = into[: sold[0] + 1], out[: sold[0] + 1]
-                bars = int(out[-1]) + 1
+                bars = n if self.after_loss else int(out[-1]) + 1
+                if self.after_loss and len(bought):
+                    return 0.0, self.value(into, out)[1], 0.0
         if not len(into):
             return float("inf") if without_limit else self.capital, 0.0, 0.0
         with np.errstate(invalid="ignore"):
             final, fall = self.value(into, out)
         if without_limit:
             return float("inf"), fall, 0.0
+        into, out = counted or (into, out)
         end = out if len(out) == len(into) else np.append(out, n)
         a, b = self.enter[into], self.leave[out]
         one, two = ((s[end] - s[into + 1]).sum() + (a**k).sum() + (b**k).sum() for k, s in enumerate(self.sums, 1))
@@ -305,10 +313,10 @@ class Scorer:
         return self.capital * float(np.exp(after[-1])), float(-np.expm1(-fall) * 100)
 
 
-def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float, split: bool | None = None) -> DataFrame:
+def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str, fee: float, capital: float, split: bool | None = None, after_loss: bool = False) -> DataFrame:
     """Scores of tiles of parameters; series cut in time or not, if split doesn't leave it to the table's size."""
     if estimated_bytes(candles) >= SPLIT_BYTES if split is None else split:
-        return split_scores(candles, strategy, level, fee, capital)
+        return split_scores(candles, strategy, level, fee, capital, after_loss)
     tiles, per_year = strategy.tiles(), periods_per_year(level)
     bars = F.sort_array(F.collect_list(F.struct("time", "open", "close")))
     arrays = candles.where(F.col("level") == level).groupBy(*SERIES).agg(bars.alias("b")).select(*SERIES, F.col("b.open").alias("open"), F.col("b.close").alias("close"))
@@ -323,7 +331,7 @@ def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str
                 symbol, own_level, opens, closes, tile = (batch.column(c)[k] for c in range(5))
                 opens, closes = (numbers.values.to_numpy(zero_copy_only=False) for numbers in (opens, closes))
                 if held != (symbol, own_level):
-                    held, scorer = (symbol, own_level), Scorer(opens, closes, fee, capital, per_year)
+                    held, scorer = (symbol, own_level), Scorer(opens, closes, fee, capital, per_year, after_loss)
                 found = [(params, scorer(follow)) for params, follow in strategy.follow(closes, tiles[tile.as_py()])]
                 n = len(found)
                 names = [[symbol.as_py()] * n, [own_level.as_py()] * n]
@@ -333,9 +341,9 @@ def array_scores(candles: DataFrame, strategy: DoubleEma | SingleEma, level: str
     return dealt.mapInArrow(run, f"symbol string, level string, {', '.join(f'{p} int' for p in strategy.params)}, final_value double, max_dd double, sharpe double, bars long")
 
 
-def backtest(candles: DataFrame, strategy: Strategy, level: str, fee: float = 0.0015, capital: float = 1000.0) -> DataFrame:
+def backtest(candles: DataFrame, strategy: Strategy, level: str, fee: float = 0.0015, capital: float = 1000.0, after_loss: bool = False) -> DataFrame:
     """One row for each series and parameter row: final value, drawdown in percent, Sharpe ratio, bars."""
-    return (array_scores if hasattr(strategy, "tiles") else relational_scores)(candles, strategy, level, fee, capital)
+    return (array_scores if hasattr(strategy, "tiles") else relational_scores)(candles, strategy, level, fee, capital, after_loss=after_loss)
 
 
 def rank(scores: DataFrame, params: list[str], k: int) -> DataFrame:

@@ -27,7 +27,7 @@ from tickloom.operators.build import LEVELS, periods_per_year
 
 #: Runs that are put together in a task, and tiles that a task goes through.
 PAIRS, TILES = 128, 16
-#: Fields of a run's summary of a stretch: how it ends (1: sold at 0, 2: bought at 0), whether the last bar and the one before are followed, then logarithms of the value's change, top, bottom and deepest fall, sums and number of returns.
+#: Fields of a run's summary of a stretch: how it ends (1: sold at 0, 2: bought at 0, 3: both, and returns after the sale count), whether the last bar and the one before are followed, then logarithms of the value's change, top, bottom and deepest fall, sums and number of returns.
 FIELDS = ("ended", "last", "before_last", "change", "top", "low", "fall", "one", "two", "count")
 SERIES = ["symbol", "level"]
 
@@ -44,9 +44,9 @@ def averages(close: np.ndarray, periods: list[int], begin: np.ndarray) -> dict[i
 class Stretch:
     """Bars of a stretch, with the two before it in front (if there are any), to summarise runs over."""
 
-    def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, first: bool):
+    def __init__(self, opens: np.ndarray, closes: np.ndarray, fee: float, first: bool, after_loss: bool = False):
         """opens and closes have two bars in front; those of the first stretch are made up and never held."""
-        self.fee, self.first, self.n = float(np.log1p(-fee)), first, len(closes)
+        self.fee, self.first, self.n, self.after_loss = float(np.log1p(-fee)), first, len(closes), after_loss
         before = np.concatenate([closes[:1], closes[:-1]])
         self.free, self.lost = opens == 0, np.concatenate([[0], np.cumsum(before == 0)])
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -80,11 +80,14 @@ class Stretch:
         into, out = change[::2], change[1::2]
         bought = np.flatnonzero(self.free[into] & (into > 1))[:1]
         sold = np.flatnonzero(self.free[out])[:1]
+        counted = None  # trades whose returns count
         if len(bought) and (not len(sold) or bought[0] <= sold[0]):
             ended, bars, into, out = 2, int(into[bought[0]]), into[: bought[0]], out[: bought[0]]
         elif len(sold):
-            ended, into, out = 1, into[: sold[0] + 1], out[: sold[0] + 1]
-            bars = int(out[-1]) + 1
+            if self.after_loss:
+                counted = into, out
+            ended, into, out = 3 if self.after_loss and len(bought) else 1, into[: sold[0] + 1], out[: sold[0] + 1]
+            bars = n if self.after_loss else int(out[-1]) + 1
         count = bars - 2 - self.first
         last, before_last = float(follow[-1]), float(follow[-2])
         if not len(into):
@@ -115,11 +118,13 @@ class Stretch:
                 own = self.close[into[k] : end[k]]
                 fall = max(fall, float((np.maximum.accumulate(own) - own).max()))
         top, bottom = float(peaks[-1]), float(min(lows.min(), flat.min(initial=np.inf), np.inf if held else 0.0))
+        total = float(offset[-1]) if len(out) < len(into) else float(after[-1])
+        into, out = counted or (into, out)
+        end = out if len(out) == len(into) else np.append(out, n)
         new = into[1:] if held else into
         a, b = self.enter[new], self.leave[out]
         one, two = ((s[end] - s[into + 1]).sum() + (a**k).sum() + (b**k).sum() for k, s in enumerate(self.sums, 1))
         count -= int((self.lost[np.minimum(end + 1, n)] - self.lost[into + 1]).sum())
-        total = float(offset[-1]) if len(out) < len(into) else float(after[-1])
         return [ended, last, before_last, total, top, bottom, fall, float(one), float(two), count]
 
 
@@ -134,12 +139,13 @@ class Cut:
     #: a row for each stretch with its opens and closes and what it begins with
     stretches: DataFrame
     summaries: DataFrame
+    after_loss: bool = False
 
     def follows(self, open_: np.ndarray, close: np.ndarray, begin: np.ndarray, tile: list) -> tuple[Stretch, np.ndarray, int, Iterator]:
         """(the stretch with two bars in front, its closes, bars before it, for each run of the tile: what it follows, and whether what it follows two bars before isn't known)."""
         k, seen = len(self.periods), int(begin[0])
         close = np.concatenate([begin[[2, 1]], close])
-        own = Stretch(np.concatenate([[1.0, 1.0], open_]), close, self.fee, seen == 0)
+        own = Stretch(np.concatenate([[1.0, 1.0], open_]), close, self.fee, seen == 0, self.after_loss)
         place = np.arange(seen - 1, seen + len(close) - 1)  # the number of each bar in its series, from 1
         states = begin[3 : 3 + k], begin[3 + k :]
         at = {p: j for j, p in enumerate(self.periods)}
@@ -161,7 +167,7 @@ def doubles(x: pa.Array, k: int) -> np.ndarray:
     return x[k].values.to_numpy(zero_copy_only=False)
 
 
-def cut_in_time(candles: DataFrame, strategy, level: str, fee: float) -> Cut:
+def cut_in_time(candles: DataFrame, strategy, level: str, fee: float, after_loss: bool = False) -> Cut:
     tiles = strategy.tiles()
     periods = sorted({p for tile in tiles for pair in tile for p in pair})
     decay = np.array([1 - 2 / (p + 1) for p in periods])
@@ -217,7 +223,7 @@ def cut_in_time(candles: DataFrame, strategy, level: str, fee: float) -> Cut:
                             names=[*SERIES, "stretch", "tile", "from", "n", "last_close", "found", "other", "which"],
                         )
 
-    found_cut = Cut(strategy, tiles, periods, fee, None, None)
+    found_cut = Cut(strategy, tiles, periods, fee, None, None, after_loss)
     begins = cut.mapInArrow(reduced, f"{names}, stretch long, held array<double>").groupBy(*SERIES).applyInArrow(carried, f"{names}, stretch long, begin array<double>")
     stretches = cut.join(begins, [*SERIES, "stretch"])
     dealt = stretches.drop("time").withColumn("tile_from", F.explode(F.sequence(F.lit(0), F.lit(len(tiles) - 1), F.lit(TILES)))).repartition(*SERIES, "stretch", "tile_from")
@@ -230,6 +236,8 @@ class Runs:
     """Runs of one series while their stretches are put together: logarithms of value (of a trade that is open: less the close's), peak and deepest fall, sums and number of returns."""
 
     n: int
+    #: whether returns after a sale at 0 count
+    after_loss: bool = False
 
     def __post_init__(self):
         self.value, self.peak, self.fall, self.one, self.two, self.count, self.ended, self.held = (np.zeros(self.n) for _ in range(8))
@@ -244,33 +252,36 @@ class Runs:
         with np.errstate(invalid="ignore"):
             self.fall = np.where(on, np.maximum.reduce([self.fall, own["fall"], self.peak - self.value - own["low"]]), self.fall)
             self.peak = np.where(on, np.maximum(self.peak, self.value + own["top"]), self.peak)
-        self.value, self.one, self.two, self.count = (np.where(on, x + own[c], x) for x, c in ((self.value, "change"), (self.one, "one"), (self.two, "two"), (self.count, "count")))
-        self.ended, self.held = np.where(on, own["ended"], self.ended), own["before_last"]
+        self.value = np.where(on, self.value + own["change"], self.value)
+        counts = on | (self.ended == 1) if self.after_loss else on
+        self.one, self.two, self.count = (np.where(counts, x + own[c], x) for x, c in ((self.one, "one"), (self.two, "two"), (self.count, "count")))
+        both = counts & ~on & (own["ended"] >= 2)
+        self.ended, self.held = np.where(on, own["ended"], np.where(both, 3, self.ended)), own["before_last"]
 
 
 def in_order(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(np.argsort(rows["stretch"].to_numpy(), kind="stable")))
 
 
-def split_scores(candles: DataFrame, strategy, level: str, fee: float, capital: float) -> DataFrame:
+def split_scores(candles: DataFrame, strategy, level: str, fee: float, capital: float, after_loss: bool = False) -> DataFrame:
     """backtest.array_scores of series that are dealt by stretches of time."""
     per_year, params = periods_per_year(level), list(strategy.params)
-    cut = cut_in_time(candles, strategy, level, fee)
+    cut = cut_in_time(candles, strategy, level, fee, after_loss)
     tiles = cut.tiles
 
     def put_together(rows: pa.Table) -> pa.Table:
         rows = in_order(rows)
         tile = tiles[rows["tile"][0].as_py()][rows["from"][0].as_py() :][:PAIRS]
-        n, runs = len(tile), Runs(len(tile))
+        n, runs = len(tile), Runs(len(tile), after_loss)
         for summary in zip(*(rows[c] for c in ("found", "other", "which")), strict=True):
             runs.add(*summary)
         one, two, count = runs.one, runs.two, runs.count
         with np.errstate(divide="ignore", invalid="ignore"):
             last = np.log(rows["last_close"].to_numpy()[-1])
-            final = np.select([runs.ended == 1, runs.ended == 2], [0.0, np.inf], capital * np.exp(runs.value + np.where(runs.held == 1, last, 0.0)))
+            final = np.select([runs.ended % 2 == 1, runs.ended == 2], [0.0, np.inf], capital * np.exp(runs.value + np.where(runs.held == 1, last, 0.0)))
             mean = one / count
             sd = np.sqrt(np.maximum(0.0, (two - count * mean * mean) / (count - 1)))
-            sharpe = np.where((count > 1) & (sd > 1e-15) & (runs.ended != 2) & (per_year > 0), mean / sd * np.sqrt(per_year), 0.0)
+            sharpe = np.where((count > 1) & (sd > 1e-15) & (runs.ended < 2) & (per_year > 0), mean / sd * np.sqrt(per_year), 0.0)
         fixed = {c: [rows[c][0].as_py()] * n for c in SERIES}
         bars = pa.array([sum(rows["n"].to_pylist())] * n, pa.int64())
         return pa.table({**fixed, **{c: pa.array(x, pa.int32()) for c, x in zip(params, zip(*tile, strict=True), strict=True)}, "final_value": final, "max_dd": -np.expm1(-runs.fall) * 100, "sharpe": sharpe, "bars": bars})

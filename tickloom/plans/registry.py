@@ -314,12 +314,17 @@ def one_pair() -> bt.DoubleEma:
 
 
 def in_logs(scores: DataFrame) -> DataFrame:
-    """The given prices jump so much that values reach any size: they are compared as logarithms."""
-    return scores.withColumn("log_final", F.log("final_value")).drop("final_value")
+    """The given prices jump so much that values reach any size: they are compared as logarithms, that of 0 being minus infinity."""
+    return scores.withColumn("log_final", F.when(F.col("final_value") == 0, F.lit(float("-inf"))).otherwise(F.log("final_value"))).drop("final_value")
+
+
+def scored(candles: DataFrame, strategy: bt.Strategy, level: str = "1h") -> DataFrame:
+    """Scores as the SQL has them: returns count after a sale at 0 too."""
+    return bt.backtest(candles, strategy, level, FEE, CAPITAL, after_loss=True)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(in_logs(bt.backtest(hourly(spark, sf_dir), one_pair(), "1h", FEE, CAPITAL)), 4)
+    return rounded(in_logs(scored(hourly(spark, sf_dir), one_pair())), 4)
 
 
 QUERIES["backtest"] = flagship
@@ -400,7 +405,7 @@ _SCORES = "symbol, level, fast, slow, round(ln(final_value),4) AS log_final, rou
 
 
 def scores(spark, sf_dir):
-    return bt.backtest(hourly(spark, sf_dir), GRID, "1h", FEE, CAPITAL)
+    return scored(hourly(spark, sf_dir), GRID)
 
 
 @query("sweep", f"WITH RECURSIVE {_SWEEP} SELECT {_SCORES} FROM scores", 4)
@@ -419,7 +424,7 @@ def sweep_top3(spark, sf_dir):
 def sweep_single_best(spark, sf_dir):
     """P2, R2: price against one average, the best of each series."""
     strategy = bt.SingleEma(5, 24)
-    return in_logs(bt.rank(bt.backtest(hourly(spark, sf_dir), strategy, "1h", FEE, CAPITAL), strategy.params, 1))
+    return in_logs(bt.rank(scored(hourly(spark, sf_dir), strategy), strategy.params, 1))
 
 
 # Joins
@@ -560,7 +565,7 @@ def loss_score(spark, sf_dir):
 @query("sweep_single_precision", places=4)
 def sweep_single_precision(spark, sf_dir):
     """P7: prices kept in 32 bits."""
-    return in_logs(bt.rank(bt.backtest(bt.cast_prices(hourly(spark, sf_dir), "f32"), GRID, "1h", FEE, CAPITAL), GRID.params, 1))
+    return in_logs(bt.rank(scored(bt.cast_prices(hourly(spark, sf_dir), "f32"), GRID), GRID.params, 1))
 
 
 # Indicators whose SQL is made of that of the rules, in rule_queries.

@@ -314,4 +314,4 @@ _QUARTERS = f"{reg.TICKS}, {reg.candles_sql('15m', 'CAST(epoch_ms(ts) AS BIGINT)
 )
 def sweep_15m(spark, sf_dir):
     """P3, P9 on 15-minute candles."""
-    return reg.in_logs(bt.backtest(build.build_candles(reg.ticks(spark, sf_dir), "15m"), reg.GRID, "15m", reg.FEE, reg.CAPITAL))
+    return reg.in_logs(reg.scored(build.build_candles(reg.ticks(spark, sf_dir), "15m"), reg.GRID, "15m"))
