@@ -3,8 +3,9 @@
 Passages are windows of two halves of ``HALF`` words (lower-cased, cut at white space and ASCII
 punctuation), a window beginning at each half. Features are the words of the benchmark items that
 tell them apart best, weighted by the inverse frequency of the halves of all documents that have
-them. A distributed randomised SVD of the TF-IDF rows of the items and of a bounded sample of
-corpus halves gives the latent space; every window of every document is projected into it, and its
+them. A distributed randomised SVD of the TF-IDF rows of the items and of all corpus halves gives the
+latent space: one pass over the documents sums, for each pair of features, the products of how often they
+come in a half, and the SVD's products are made from these sums, whose number doesn't grow with the corpus; every window of every document is projected into it, and its
 cosine with every item is a blocked matrix product. An item longer than a window is indexed as
 passages of about ``PASSAGE`` words, each with a vector of its own. Candidates are checked on their
 words: the longest common subsequence with the whole item, and with its answer (its last sentence).
@@ -29,16 +30,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import CHUNK_BYTES, LOWER, SPACE, Lookup, Words, forget, lowered, pieces, saved, table, utf8
+from tickloom.llm.common import CHUNK_BYTES, LOWER, SPACE, Lookup, Words, forget, lowered, pieces, ragged, saved, table, utf8
 
 #: Words of half a window and of a passage of an item that is longer than a window; passages searched for at once (about).
 HALF, PASSAGE, BLOCK = 32, 48, 1024
-#: Halves whose features' latent vectors are laid out at once.
-RUN = 128
+#: Halves whose features' latent vectors are laid out at once; pairs of features whose sums a task holds.
+RUN, MOST_PAIRS = 128, 1 << 20
 #: Passages of a latent space (about), and the least share of its squared norm that one keeps in it.
 PART, KEPT = 256, 0.995
-#: Latent dimensions, extra columns and power rounds of the randomised SVD, halves sampled for it (about), weight of an item's row.
-LATENT, EXTRA, ROUNDS, SAMPLE, ITEM_WEIGHT = 256, 16, 2, 20_000, 4.0
+#: Latent dimensions, extra columns and power rounds of the randomised SVD, halves that all those of the corpus together weigh as much as (at most), weight of an item's row.
+LATENT, EXTRA, ROUNDS, CORPUS, ITEM_WEIGHT = 256, 16, 2, 20_000, 4.0
 #: Least distinct words of an item that become features (half of them, if those are more).
 LEAST_FEATURES = 12
 #: Least cosine of a candidate; least shares of an item's and its answer's words found in order; items shorter than SHORT must be found whole.
@@ -126,8 +127,7 @@ def count_halves(keys: np.ndarray):
     def run(batches):
         known, counts, total = Lookup(keys), np.zeros(len(keys), np.int64), 0
         for batch in batches:
-            for _, _, data, offsets in pieces(*utf8(lowered(batch.column(0)))):
-                words = words_of(data, offsets)
+            for _, words in parts_of(*utf8(lowered(batch.column(0))), 0):
                 half, begin = halves_of(words.first)
                 total += int(begin[-1])
                 at = known.find(words.hashes())
@@ -139,71 +139,88 @@ def count_halves(keys: np.ndarray):
     return run
 
 
-def half_features(keys: np.ndarray):
-    """Task over texts: the features of each half, with repeats, as positions."""
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct keys and the sums of their n."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def feature_pairs(keys: np.ndarray, places: list[np.ndarray], sizes: list[int]):
+    """Task over texts: (part, r, c, n): over all halves, the sum of the products of how often the features r <= c of a part come in one.
+
+    places has each part's positions for the keys (-1: none), sizes how many it has."""
 
     def run(batches):
-        known = Lookup(keys)
+        known, held = Lookup(keys), [[] for _ in places]
+
+        def given():
+            for k, found in enumerate(held):
+                if found:
+                    key, n = added(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array((key // sizes[k]).astype(np.int32)), pa.array((key % sizes[k]).astype(np.int32)), pa.array(n)], names=["part", "r", "c", "n"])
+                found.clear()
+
         for batch in batches:
-            for _, _, data, offsets in pieces(*utf8(lowered(batch.column(0)))):
-                words = words_of(data, offsets)
+            for _, words in parts_of(*utf8(lowered(batch.column(0))), 0):
                 half, _ = halves_of(words.first)
                 at = known.find(words.hashes())
-                hit = np.flatnonzero(at >= 0)
-                if len(hit):
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(half[hit]) != 0]))
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(first, len(hit)), pa.int32()), pa.array(at[hit], pa.int32())), pa.array(np.ones(len(first)))], names=["at", "weight"])
+                hit = at >= 0
+                for k, place in enumerate(places):
+                    own = place[at[hit]]
+                    pair, times = np.unique(half[hit][own >= 0] * np.int64(sizes[k]) + own[own >= 0], return_counts=True)
+                    in_half, feature = pair // sizes[k], pair % sizes[k]
+                    end = np.searchsorted(in_half, in_half, "right")
+                    for a in range(0, len(pair), RUN * HALF):
+                        one = np.arange(a, min(len(pair), a + RUN * HALF))
+                        two, _ = ragged(one, end[one] - one)
+                        one = np.repeat(one, end[one] - one)
+                        held[k].append(added(feature[one] * sizes[k] + feature[two], times[one] * times[two]))
+                if sum(len(x) for found in held for x, _ in found) > MOST_PAIRS:
+                    held[:] = [[added(*(np.concatenate(x) for x in zip(*found, strict=True)))] if found else [] for found in held]
+                    if sum(len(x) for found in held for x, _ in found) > MOST_PAIRS // 2:
+                        yield from given()
+        yield from given()
 
     return run
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = batch.column(0)
-    size = np.diff(lists.offsets.to_numpy())
-    return np.repeat(np.arange(len(size)), size), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], batch.column(1).to_numpy()
-
-
-def times_transposed(shared, gram: bool):
-    """Task over sparse rows A: A'(A X) as (at, column, value), or (A X)'(A X) if gram."""
+def times_columns(shared):
+    """Task over rows (r, at, n) of a symmetric matrix N: the rows (r, y) of W N W X, W the diagonal of the weights."""
 
     def run(batches):
         weight, x = shared.value
-        total = np.zeros((x.shape[1] if gram else x.shape[0], x.shape[1]))
+        x = x * weight[:, None]
         for batch in batches:
-            row, at, scale = _rows(batch)
-            y = np.zeros((batch.num_rows, x.shape[1]))
-            first = np.flatnonzero(np.concatenate([[True], np.diff(row) != 0])) if len(row) else np.zeros(0, np.int64)
-            if len(row):
-                y[row[first]] = np.add.reduceat(x[at] * weight[at][:, None], first)
-            y *= scale[:, None]
-            if gram:
-                total += y.T @ y
-            else:
-                for column in range(x.shape[1]):
-                    total[:, column] += np.bincount(at, weight[at] * scale[row] * y[row, column], len(x))
-        r, c = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[r, c])], names=["r", "c", "v"])
+            for a in range(0, batch.num_rows, RUN):
+                own = batch.slice(a, RUN)
+                r, lists, n = own.column(0).to_numpy(), own.column(1), own.column(2).flatten().to_numpy()
+                dense = np.zeros((len(r), len(x)))
+                dense[np.repeat(np.arange(len(r)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = n
+                y = (dense @ x) * weight[r][:, None]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * y.shape[1], pa.int32()), pa.array(y.ravel()))], names=["r", "y"])
 
     return run
 
 
-def randomised_svd(rows: DataFrame, weight: np.ndarray, latent: int) -> np.ndarray:
-    """Right singular vectors (features by latent) of the sparse rows (at, weight); sums over rows are made in Spark."""
+def randomised_svd(rows: DataFrame, share: float, own: np.ndarray, weight: np.ndarray, latent: int) -> np.ndarray:
+    """Right singular vectors (features by latent) of the halves whose pairs rows (r, at, n) has, each of that share, and of the rows own; products are made in Spark."""
     spark, n = rows.sparkSession, len(weight)
     rank = min(n, latent + EXTRA)
 
-    def product(x: np.ndarray, gram: bool) -> np.ndarray:
+    def product(x: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((weight, x))
-        sums = rows.mapInArrow(times_transposed(shared, gram), "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).toArrow()  # as many as features times rank
-        out = np.zeros((rank if gram else n, rank))
-        out[sums["r"].to_numpy(), sums["c"].to_numpy()] = sums["v"].to_numpy()
+        found = rows.mapInArrow(times_columns(shared), "r int, y array<double>").toArrow()  # as many numbers as features times rank
+        out = own.T @ (own @ x)
+        out[found["r"].to_numpy()] += share * found["y"].combine_chunks().flatten().to_numpy().reshape(-1, rank)
         shared.unpersist()
         return out
 
     x = np.random.default_rng(11).normal(size=(n, rank))
     for _ in range(ROUNDS):
-        x = np.linalg.qr(product(np.linalg.qr(x)[0], gram=False))[0]
-    values, vectors = np.linalg.eigh(product(x, gram=True))
+        x = np.linalg.qr(product(np.linalg.qr(x)[0]))[0]
+    values, vectors = np.linalg.eigh(x.T @ product(x))
     return x @ vectors[:, np.argsort(values)[::-1][: min(latent, rank)]]
 
 
@@ -243,34 +260,44 @@ def completed(vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors, more[size > 1e-6].T], axis=1)
 
 
-def fit_part(sample: DataFrame, items: Items, keys: np.ndarray, weight: np.ndarray, latent: int) -> Index:
-    """The latent space of items, from weights of all their words and sampled texts."""
+def features_of(items: Items, keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of items that tell them apart best, and their weights, of all their words with weights."""
     chosen = np.zeros(len(keys), bool)
     known = Lookup(keys)
     for words in items.passage_words():
         own = np.unique(known.find(words))
         chosen[own[np.argsort(-weight[own], kind="stable")[: max(LEAST_FEATURES, len(own) // 2)]]] = True
-    keys, weight = keys[chosen], weight[chosen]
+    return keys[chosen], weight[chosen]
+
+
+def fit_part(rows: DataFrame, share: float, items: Items, keys: np.ndarray, weight: np.ndarray, latent: int) -> Index:
+    """The latent space of items, from the weights of their features and all halves' pairs of them, each half of that share."""
     known = Lookup(keys)
     item_at = [at[at >= 0] for at in (known.find(w) for w in items.passage_words())]
-    own = sample.sparkSession.createDataFrame([(x.tolist(), float(ITEM_WEIGHT)) for x in item_at], "at array<int>, weight double")
-    rows = saved(sample.mapInArrow(half_features(keys), "at array<int>, weight double").unionAll(own), "svd-rows")
-    vectors = randomised_svd(rows, weight, latent)
-    forget(rows)
+    own = np.stack([np.bincount(at, weight[at], len(keys)) for at in item_at])
+    vectors = randomised_svd(rows, share, ITEM_WEIGHT * own, weight, latent)
     svd = vectors.shape[1]
-    vectors = completed(vectors, np.stack([np.bincount(at, weight[at], len(keys)) for at in item_at]))
+    vectors = completed(vectors, own)
     by_word = (vectors * weight[:, None]).astype(np.float32)
     item_latent = np.stack([by_word[at].sum(0) / np.sqrt(max((weight[at] ** 2).sum(), 1e-12)) for at in item_at]).astype(np.float32)
     return Index(items, keys, weight.astype(np.float32), by_word, item_latent, np.array([k for k, _, _ in items.passages]), svd)
 
 
+def pair_rows(docs: DataFrame, keys: np.ndarray, places: list[np.ndarray], sizes: list[int]) -> DataFrame:
+    """(part, r, at, n): for each feature of each part the features that share halves of docs (text) with it, itself included."""
+    pairs = docs.select("text").mapInArrow(feature_pairs(keys, places, sizes), "part int, r int, c int, n long").groupBy("part", "r", "c").agg(F.sum("n").alias("n"))
+    both = pairs.select("part", "n", F.explode(F.when(F.col("r") == F.col("c"), F.array(F.struct("r", "c"))).otherwise(F.array(F.struct("r", "c"), F.struct(F.col("c").alias("r"), F.col("r").alias("c"))))).alias("x"))
+    held = both.groupBy("part", "x.r").agg(F.collect_list(F.struct("x.c", "n")).alias("x"))  # at most a part's features
+    return held.select("part", "r", F.col("x.c").alias("at"), F.col("x.n").alias("n"))
+
+
 def fit(docs: DataFrame, benchmark: DataFrame, latent: int = LATENT) -> list[Block]:
-    """Indexes of all of the benchmark (item_id, text) in blocks, its words weighted by all rows of docs (text)."""
+    """Indexes of all of the benchmark (item_id, text) in blocks, its words weighted and its latent spaces made by all rows of docs (text)."""
     own = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     n_words = F.size(F.split("text", r"\s+"))
     passages = own.agg(F.sum(F.when(n_words <= 2 * HALF, 1).otherwise(F.ceil(n_words / PASSAGE)))).first()[0] or 0
     parts = -(-passages // PART)
-    found, sample = [], None
+    found = []
     for begin in range(0, parts, BLOCK // PART):
         numbers = range(begin, min(parts, begin + max(1, BLOCK // PART)))
         number = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
@@ -283,16 +310,17 @@ def fit(docs: DataFrame, benchmark: DataFrame, latent: int = LATENT) -> list[Blo
         n = np.zeros(len(keys) + 1)
         n[counts["at"].to_numpy()] = counts["n"].to_numpy()  # at -1 is the last
         weight = np.maximum(0.1, np.log((n[-1] + 1) / (n[:-1] + 1)))
-        if sample is None:
-            part = max(1, int(n[-1] // SAMPLE))
-            sample = saved(docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text"), "svd-sample")
-        indexes = []
+        features = []
         for items in own_items:
             mine = np.isin(keys, np.array([w for words in items.words for w in words], np.uint64))
-            indexes.append(fit_part(sample, items, keys[mine], weight[mine], latent))
-        keys = np.unique(np.concatenate([x.keys for x in indexes]))
-        found.append(Block(indexes, keys, [Lookup(x.keys).find(keys) for x in indexes]))
-    forget(sample)
+            features.append(features_of(items, keys[mine], weight[mine]))
+        keys = np.unique(np.concatenate([x for x, _ in features]))
+        places = [Lookup(x).find(keys) for x, _ in features]
+        pairs = saved(pair_rows(docs, keys, places, [len(x) for x, _ in features]), "feature-pairs")
+        share = min(1.0, CORPUS / max(1.0, n[-1]))
+        indexes = [fit_part(pairs.where(F.col("part") == k).drop("part"), share, items, *x, latent) for k, (items, x) in enumerate(zip(own_items, features, strict=True))]
+        forget(pairs)
+        found.append(Block(indexes, keys, places))
     return found
 
 
@@ -321,7 +349,7 @@ def parts_of(data: np.ndarray, offsets: np.ndarray, overlap: int, most: int = CH
             yield i, words
             if end == len(run):
                 break
-            begin, size = begin + int(words.start[whole - overlap]), most
+            begin, size = begin + (int(words.start[whole - overlap]) if overlap else last), most
 
 
 def matches(block: Block, known: Lookup, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:

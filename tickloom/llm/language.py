@@ -6,7 +6,7 @@ language (256 KB), and is broadcast; tasks score whole batches of texts in numpy
 
 N-grams of one text depend on each other, so its log-likelihoods are divided by 1 + n-grams / ``grain``
 before they are made probabilities. ``grain`` is calibrated: of the powers of 2 it is the one with the
-least log loss on at most ``CALIBRATE`` labelled texts that aren't counted (one in ``FOLDS``, by hash).
+least log loss on all labelled texts of the fold that isn't counted (one in ``FOLDS``, by hash).
 
 Defined results: a null text, an empty text or a text without a letter gets ``und`` and score 0.
 Rows whose language is null are not learned from. With nothing to learn from, all texts get
@@ -29,8 +29,8 @@ ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 #: Languages whose counts a task holds before it gives them out.
 HELD_LANGUAGES = 128
-#: One labelled text in FOLDS calibrates the score instead of being counted; at most CALIBRATE of them do.
-FOLDS, CALIBRATE = 16, 4_000
+#: One labelled text in FOLDS calibrates the score instead of being counted; grains to choose from; parts that a log loss is counted in.
+FOLDS, GRAINS, LOSS_UNIT = 16, 2.0 ** np.arange(17), 1e-6
 #: Added to each count.
 SMOOTHING = 0.5
 #: A document is kept from this score on.
@@ -113,9 +113,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     matrix = np.log(counts, out=counts)
     matrix -= np.log(total)
     model = Model(langs, matrix, np.log(np.array([docs[x] for x in langs], float) / sum(docs.values())))
-    part = max(1, sum(docs.values()) // (FOLDS * CALIBRATE))
-    held = train.where(aside & (F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(part)) == 0)).limit(CALIBRATE).select("lang", logs_udf(train.sparkSession, model)("text").alias("x")).toArrow()
-    model.grain = calibrated(model, held)
+    model.grain = calibrated(model, train.where(aside))
     return model
 
 
@@ -128,19 +126,6 @@ def logs_of(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return logs, len(ORDERS) * np.diff(first)
 
 
-def logs_udf(spark: SparkSession, model: Model):
-    """A column function: text -> its logs and the number of its n-grams, as one array."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("array<double>")
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [np.column_stack(logs_of(shared.value, data, offsets)) for _, _, data, offsets in pieces(*utf8(texts))]
-        flat = np.concatenate([np.zeros((0, len(shared.value.langs) + 1)), *parts])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
-
-    return run
-
-
 def shares(logs: np.ndarray, n: np.ndarray, grain: float) -> np.ndarray:
     """Probabilities of the languages."""
     x = logs / (1 + n / grain)[:, None]
@@ -148,14 +133,32 @@ def shares(logs: np.ndarray, n: np.ndarray, grain: float) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def calibrated(model: Model, held: pa.Table) -> float:
-    """The grain with the least log loss on rows (lang, x); 1 without rows."""
-    if not held.num_rows:
-        return 1.0
-    number = {x: i for i, x in enumerate(model.langs)}
-    of, flat = np.array([number[x] for x in held["lang"].to_pylist()]), np.array(held["x"].to_pylist())
-    loss = {grain: -np.log(np.maximum(shares(flat[:, :-1], flat[:, -1], grain)[np.arange(len(of)), of], 1e-9)).mean() for grain in 2.0 ** np.arange(17)}
-    return float(min(loss, key=lambda g: (round(loss[g], 6), g)))
+def losses(shared):
+    """Task over (text, lang): (grain, loss, n), the summed log loss with each of GRAINS, in LOSS_UNIT, and the texts."""
+
+    def run(batches):
+        model, total, texts = shared.value, np.zeros(len(GRAINS), np.int64), 0
+        number = {x: i for i, x in enumerate(model.langs)}
+        for batch in batches:
+            of = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
+            for i, j, data, offsets in pieces(*utf8(batch.column(0))):
+                logs, n = logs_of(model, data, offsets)
+                for k, grain in enumerate(GRAINS):
+                    p = shares(logs, n, grain)[np.arange(j - i), of[i:j]]
+                    total[k] += np.rint(-np.log(np.maximum(p, 1e-9)) / LOSS_UNIT).astype(np.int64).sum()
+            texts += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(GRAINS), pa.array(total), pa.array(np.full(len(GRAINS), texts))], names=["grain", "loss", "n"])
+
+    return run
+
+
+def calibrated(model: Model, held: DataFrame) -> float:
+    """The grain with the least log loss on the rows of held (text, lang), the least of equal ones; 1 without rows."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+    sums = held.select("text", "lang").mapInArrow(losses(shared), "grain double, loss long, n long").groupBy("grain").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    found = sums.collect()  # a row for each grain
+    shared.unpersist()
+    return min(((r["loss"] // r["n"], r["grain"]) for r in found if r["n"]), default=(0, 1.0))[1]
 
 
 def predictor(spark: SparkSession, model: Model):
