@@ -31,8 +31,8 @@ select page_id, host, path, rule, rule_verdict from parts left join fitting usin
 
 
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: the fold, the counts and the base."""
-    return lm_score.op2(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    """op2: the fold, the counts and the base, for which no model is trained."""
+    return lm_score.op2(spark, sf_dir, lm_score.counted).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
 LM_BASE = r"""

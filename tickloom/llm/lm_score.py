@@ -231,17 +231,24 @@ def weighted_sums(batches):
 class Model:
     counts: Counts
     p: np.ndarray
-    state: np.ndarray
+    #: the parameters; None for counts alone, which give no score
+    state: np.ndarray | None
 
 
-def fit(train: DataFrame) -> Model:
-    """Count all words of train (doc_id, text) and train on all its documents."""
-    spark = train.sparkSession
+def counted(train: DataFrame) -> Model:
+    """The counts of all words of train (text), without a trained model."""
     counts = count(train)
     n = np.zeros(SINGLES)
     n[: len(counts.head_n)] = counts.head_n[:SINGLES]
     p = np.concatenate([n, counts.class_n]) + SMOOTHING
     p /= p.sum()
+    return Model(counts, p, None)
+
+
+def fit(train: DataFrame) -> Model:
+    """Count all words of train (doc_id, text) and train on all its documents."""
+    spark, model = train.sparkSession, counted(train)
+    counts, p = model.counts, model.p
     state = start(p)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
     size = train.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -281,7 +288,7 @@ def score_part(shared):
     def run(batches):
         head, head_n, vectors, state, tokens, kinds, class_n, class_kinds = shared.value
         known = Lookup(head)
-        near, far, norm = tables(state, vectors)
+        near, far, norm = tables(state, vectors) if state is not None else (None, None, None)
         log_n = np.log10(head_n + SMOOTHING)
         base_norm = np.log10(tokens + SMOOTHING * (kinds + 1))
         class_norm = np.log10(np.concatenate([np.ones(SINGLES), class_n + SMOOTHING * (class_kinds + 1)]))
@@ -291,9 +298,12 @@ def score_part(shared):
                 at = known.find(h)
                 tail = at < 0
                 ids = ids_of(at, h, vectors - SINGLES)
-                before, last = contexts(ids, first)
-                model = ((near[last, ids] + far[before, ids] - norm[before, last]) / np.log(10)).astype(np.float64)
-                model -= class_norm[ids]
+                if state is None:
+                    model = np.full(len(ids), np.nan)
+                else:
+                    before, last = contexts(ids, first)
+                    model = ((near[last, ids] + far[before, ids] - norm[before, last]) / np.log(10)).astype(np.float64)
+                    model -= class_norm[ids]
                 of_head = np.where(tail, 0.0, log_n[at])
                 other = np.where(ids >= SINGLES, of_head, 0.0)
                 n = np.diff(first)
@@ -323,7 +333,7 @@ def with_counts(tail: DataFrame, table: DataFrame, total: int) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, held_out, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, held_out, text); the score of counts alone is NaN."""
     counts, vectors = model.counts, len(model.p)
     shared = docs.sparkSession.sparkContext.broadcast((counts.head, counts.head_n, vectors, model.state, counts.tokens, counts.kinds, counts.class_n, counts.class_kinds))
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(score_part(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<long>")
@@ -341,7 +351,7 @@ def held_out():
     return crc_of_id() % 5 == 1
 
 
-def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2(spark: SparkSession, sf_dir: str, learn=fit) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(docs.where(~held_out()))
+    model = learn(docs.where(~held_out()))
     return score(docs.withColumn("held_out", held_out()), model)
